@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, warc
+from . import hilbert, licenses, mixing, packing, quality, saat, toxicity, warc
 from .common import table
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saat.top_inner(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q, e c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = warc.round_trip(table(spark, sf_dir, "pages"))
     return captured.select(
@@ -45,5 +68,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
-ORACLE_SQL = {"op8_warc": OP8_SQL, "op10_licenses": licenses.duckdb_sql()}
+QUERIES = {f.__name__: f for f in (op2_hilbert, op3_quality, op4_mixing, op5_topk, op7_toxicity, op8_warc, op9_packing, op10_licenses)}
+ORACLE_SQL = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op10_licenses": licenses.duckdb_sql()}

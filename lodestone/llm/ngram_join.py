@@ -231,3 +231,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = near_links(docs, classes, id_col, text_col, words, percent)
     out = classes.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of linked ones stays: that of the smallest id. Documents
+    without words or without an id link with nothing and stay."""
+    found = components(docs, **options)
+    first = found.where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = keep(first, "ngram-kept")
+    out = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("times > 1 and doc_id is not null").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))

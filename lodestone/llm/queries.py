@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, licenses, mixing, ngram_join, packing, quality, saat, toxicity, warc
+from . import hilbert, licenses, mixing, ngram_join, packing, quality, saat, substrings, toxicity, warc
 from .common import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -84,5 +88,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert, op3_quality, op4_mixing, op5_topk, op6_ngram_join, op7_toxicity, op8_warc, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_hilbert, op3_quality, op4_mixing, op5_topk, op6_ngram_join, op7_toxicity, op8_warc, op9_packing, op10_licenses)}
 ORACLE_SQL = {"op5_topk": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_warc": OP8_SQL, "op10_licenses": licenses.duckdb_sql()}

@@ -179,10 +179,10 @@ def metrics_summary(t):
     return summary(t("events"), "event_type", "value")
 
 
-@query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events""")
+@query("""SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running FROM events""")
 def running_average(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("user_id", "event_id", F.round(F.avg("value").over(w), 4).alias("running"))
+    return t("events").select("user_id", "event_id", F.round(F.avg("value").over(w), 9).alias("running"))
 
 
 @query("""WITH k(event_type) AS (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error'), ('crash'))

@@ -2,12 +2,13 @@
 
 1. Every document becomes its set of word shingles. Documents with equal sets are one
    class, known by a digest of the set; only class members go on.
-2. Shingles meet by hash: those that stand in one class only are counted and dropped
-   there, as they can be in no intersection. What comes back to each document are its
-   repeated shingles with their frequencies, and how many others it has.
-3. In rarest-first order a prefix of n - ceil(t n) + 1 shingles must hold a common one
-   of any linked pair. A document with that many unique shingles has no link at all and
-   ends here.
+2. In rarest-first order a prefix of n - ceil(t n) + 1 shingles must hold a common one
+   of any linked pair, so a document with that many shingles that no other has links
+   with nothing. Shingles meet by hash; a fixed part of them tells this of most
+   documents, which end here.
+3. All shingles of the documents that are left meet again: those that one document has
+   are dropped, as they can be in no intersection; the others come back to their
+   documents with their frequencies.
 4. Documents with the same prefix and size are one group. Groups meet on prefix
    shingles; pairs of groups pass the length and the positional filter, are expanded to
    their members, and every pair of members is verified by the exact intersection.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from .common import keep
-from .shingles import WORDS, shingle_sets
+from .shingles import WORDS, mixed, shingle_sets
 
 #: Links have at least this many hundredths of their union in common.
 PERCENT = 80
@@ -41,6 +42,10 @@ PERCENT = 80
 BATCH_TEXTS = 3000
 #: Documents whose shingles one bucket gets on average.
 BUCKET_DOCS = 4000
+#: Eighths of the shingles that the first look at a document takes.
+SAMPLE_EIGHTHS = 3
+#: Bits of the filter of documents that are left after it: 4 MB at any size of the input.
+FILTER_BITS = 1 << 25
 
 
 def needed(n: int, percent: int) -> int:
@@ -88,12 +93,38 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary")
 
 
-def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, buckets: int) -> DataFrame:
-    """``doc_id, n, token, df`` of the shingles that more than one text has. Texts that
-    are equal and dealt out together are sent once, under the smallest of their ids."""
+class Chosen:
+    """A Bloom filter of ids with a fixed number of bits, so its size never grows. What it
+    lets through by mistake is only work; where it is full, everything goes through."""
+
+    def __init__(self, ids: DataFrame) -> None:
+        bit = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(4)]))
+        words = ids.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("mask"))
+        rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_BITS / 64 rows at most
+        bits = np.zeros(FILTER_BITS // 64, np.int64)
+        bits[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def column(self, id_col: F.Column) -> F.Column:
+        """The filter's places of an id, for ``has``."""
+        return F.array(*[F.pmod(F.xxhash64(id_col, F.lit(k)), F.lit(FILTER_BITS)) for k in range(4)])
+
+    def has(self, places: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(self.shared.value, np.int64)
+        return ((bits[places >> 6] >> (places & 63)) & 1).all(axis=1)
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, words: int, buckets: int, eighths: int, chosen: Chosen | None) -> DataFrame:
+    """Shingles of all texts (or of those that ``chosen`` lets through), dealt out by
+    their hashes: those of the first ``eighths`` of the hash range. Texts of one batch
+    that are equal are sent once, under the smallest of their ids."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _batches(batches, BATCH_TEXTS):
+            if chosen:
+                p = p.filter(pa.array(chosen.has(p.column(2).flatten().to_numpy().reshape(-1, 4))))
+            if not p.num_rows:
+                continue
             value, count, end, digest = _sets(p, words)
             ids = p.column(0).to_numpy(zero_copy_only=False)
             first: dict[bytes, int] = {}
@@ -102,7 +133,8 @@ def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, b
             sent = np.zeros(p.num_rows, bool)
             sent[list(first.values())] = True
             doc = np.repeat(np.arange(p.num_rows), count)
-            value, doc = value[sent[doc]], doc[sent[doc]]
+            some = sent[doc] & (value >> np.uint64(61) < eighths)
+            value, doc = value[some], doc[some]
             bucket = (value % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             value, doc, bucket = value[order], doc[order], bucket[order]
@@ -110,30 +142,61 @@ def repeated_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, b
             out = []
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 d, local = np.unique(doc[edge[b] : edge[b + 1]], return_inverse=True)
-                out.append((b, ids[d].astype("<i8").tobytes(), count[d].astype("<i4").tobytes(), value[edge[b] : edge[b + 1]].tobytes(), local.astype("<u2").tobytes()))
+                out.append((b, ids[d].astype("<i8").tobytes(), value[edge[b] : edge[b + 1]].tobytes(), local.astype("<u2").tobytes()))
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "ids", "sizes", "tokens", "local"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "ids", "tokens", "local"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    if chosen:
+        plain = plain.withColumn("places", chosen.column(F.col("doc_id")))
+    return plain.mapInArrow(deal, "bucket int, ids binary, tokens binary, local binary")
+
+
+def _met(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, shingles and their document frequencies of one bucket."""
+    ids = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(w, "<u2")] for i, w in zip(pdf["ids"], pdf["local"])])
+    tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in pdf["tokens"]])
+    order = np.argsort(tokens, kind="stable")
+    ids, tokens = ids[order], tokens[order]
+    run = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    return ids, tokens, np.diff(np.append(np.flatnonzero(run), len(tokens)))[np.cumsum(run) - 1]
+
+
+def unique_counts(dealt: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, alone``: how many of the dealt shingles no other text has. A bucket gives
+    one packed row for each of ``parts`` groups of documents, where they are added up."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, _, df = _met(pdf)
+        doc, alone = np.unique(ids[df == 1], return_counts=True)
+        part = (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        doc, alone, part = doc[order], alone[order], part[order]
+        edge = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(edge))
+        cut = lambda x, kind: [x[edge[k] : edge[k + 1]].astype(kind).tobytes() for k in some]
+        return pd.DataFrame({"part": some.astype(np.int32), "ids": cut(doc, "<i8"), "alone": cut(alone, "<u4")})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["ids"]])
+        alone = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["alone"]])
+        doc, at = np.unique(ids, return_inverse=True)
+        return pd.DataFrame({"doc_id": doc, "alone": np.bincount(at, weights=alone).astype(np.int64)})
+
+    packed = dealt.groupBy("bucket").applyInPandas(meet, "part int, ids binary, alone binary")
+    return packed.groupBy("part").applyInPandas(add, "doc_id long, alone long")
+
+
+def repeated_shingles(dealt: DataFrame) -> DataFrame:
+    """``doc_id, token, df`` of the dealt shingles that more than one text has."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, tokens = [], [], []
-        for r in pdf.itertuples():
-            local = np.frombuffer(r.local, "<u2")
-            ids.append(np.frombuffer(r.ids, "<i8")[local])
-            sizes.append(np.frombuffer(r.sizes, "<i4")[local])
-            tokens.append(np.frombuffer(r.tokens, np.uint64))
-        ids, sizes, tokens = np.concatenate(ids), np.concatenate(sizes), np.concatenate(tokens)
-        order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        run = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        df = np.diff(np.append(np.flatnonzero(run), len(tokens)))[np.cumsum(run) - 1]
+        ids, tokens, df = _met(pdf)
         some = df > 1
-        order = order[some]
-        return pd.DataFrame({"doc_id": ids[order], "n": sizes[order].astype(np.int64), "token": tokens[some].view(np.int64), "df": df[some].astype(np.int32)})
+        return pd.DataFrame({"doc_id": ids[some], "token": tokens[some].view(np.int64), "df": df[some].astype(np.int32)})
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    dealt = dealt.mapInArrow(deal, "bucket int, ids binary, sizes binary, tokens binary, local binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "doc_id long, n long, token long, df int")
+    return dealt.groupBy("bucket").applyInPandas(meet, "doc_id long, token long, df int")
 
 
 def prefix_length(percent: int) -> F.Column:
@@ -160,15 +223,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """``id, component`` of the class representatives that link with another one.
     ``classes`` has ``doc_id, n, digest, class_id`` of every document."""
-    spark = docs.sparkSession
-    total = classes.count()
-    found = repeated_shingles(docs, id_col, text_col, words, max(16, total // BUCKET_DOCS))
+    buckets = max(16, classes.count() // BUCKET_DOCS)
+    reps = classes.where("doc_id = class_id and n > 0").select("doc_id", "n").distinct()
+    # a part of the shingles tells of most documents that too many of theirs are unique
+    alone = unique_counts(_dealt(docs, id_col, text_col, words, buckets, SAMPLE_EIGHTHS, None), buckets)
+    able = keep(reps.join(alone, "doc_id", "left").where(F.coalesce("alone", F.lit(0)) < prefix_length(percent)).select("doc_id", "n"), "ngram-able")
+    chosen = Chosen(able.select(F.col("doc_id").alias("id")))
+    # frequencies among the documents that are left, of all their shingles
+    found = repeated_shingles(_dealt(docs, id_col, text_col, words, max(16, able.count() // BUCKET_DOCS), 8, chosen))
     # a document's repeated shingles come together: as many as its text has at most
-    own = found.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    own = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")).join(able, "doc_id")
     rare = (F.col("n") - F.size("s")).cast("long")
     own = own.where(rare < prefix_length(percent))
-    leaders = classes.where("doc_id = class_id and n > 0").select("doc_id").distinct()
-    own = own.join(leaders, "doc_id", "left_semi").select("doc_id", "n", rare.alias("rare"), F.slice("s.token", 1, (prefix_length(percent) - rare).cast("int")).alias("prefix"), F.sort_array("s.token").alias("t"))
+    own = own.select("doc_id", "n", rare.alias("rare"), F.slice("s.token", 1, (prefix_length(percent) - rare).cast("int")).alias("prefix"), F.sort_array("s.token").alias("t"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
@@ -181,21 +248,22 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     named = member.groupBy("key", "n").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))
     group_of = keep(member.join(named, ["key", "n"]).select("doc_id", "g"), "ngram-groups")
     at = sets.join(group_of.where("doc_id = g").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("g"), "n", "rare", F.posexplode("prefix").alias("i", "token"))
-    at = at.select("token", "g", "n", "rare", (F.col("rare") + F.col("i")).alias("pos"))
+    at = at.select("token", "g", "n", "rare", F.col("i").cast("long").alias("i"))
     # the least unusual group of a shingle is its pivot: the smallest share of unique shingles
-    light = F.struct((F.col("rare") / F.col("n")).alias("share"), F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("pos").alias("ppos"))
+    light = F.struct((F.col("rare") / F.col("n")).alias("share"), F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("rare").alias("prare"), F.col("i").alias("pi"))
     # shingles of one group can make no pair
     least = at.groupBy("token").agg(F.min(light).alias("p"), F.count("*").alias("c")).where("c > 1")
-    at = keep(at.join(least, "token").select("token", "g", "n", "pos", "p.*"), "ngram-postings")
+    at = keep(at.join(least, "token").select("token", "g", "n", "rare", "i", "p.*"), "ngram-postings")
 
-    def may_link(n1: str, pos1: str, n2: str, pos2: str) -> F.Column:
-        """Length filter, then positional: what can still be common from here on and before."""
-        a, b, i, j = F.col(n1), F.col(n2), F.col(pos1), F.col(pos2)
+    def may_link(n1: str, rare1: str, i1: str, n2: str, rare2: str, i2: str) -> F.Column:
+        """Length filter, then positional: unique shingles come first in the order and are
+        in no intersection, so before this one only repeated ones count."""
+        a, b, x, y = F.col(n1), F.col(n2), F.col(i1), F.col(i2)
         need = F.ceil((a + b) * percent / (100 + percent) - 1e-9)
-        return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (F.least(i, j) + F.least(a - i, b - j) >= need)
+        return (a * 100 >= b * percent) & (b * 100 >= a * percent) & (F.least(x, y) + F.least(a - F.col(rare1) - x, b - F.col(rare2) - y) >= need)
 
     edges = [_verify(group_of.where("doc_id <> g").select(F.col("g").alias("a"), F.col("doc_id").alias("b")), sets, percent)]
-    star = at.where("g <> pg").where(may_link("n", "pos", "pn", "ppos")).select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct()
+    star = at.where("g <> pg").where(may_link("n", "rare", "i", "pn", "prare", "pi")).select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct()
     edges.append(_verify(star, sets, percent))
     links = keep(edges[0].unionByName(edges[1]), "ngram-links")
     joined = connected_components(links, lambda df: keep(df, "ngram-parts"))
@@ -203,11 +271,14 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     part = group_of.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "g", F.coalesce("component", "doc_id").alias("part"))
     part = keep(part, "ngram-part-of")
     spread = part.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    open_ = at.join(spread, "g").select("token", "g", "n", "pos", "lo", "hi")
+    open_ = at.join(spread, "g").select("token", "g", "n", "rare", "i", "lo", "hi")
     apart = open_.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-    open_ = keep(open_.join(apart, "token", "left_semi"), "ngram-open")
-    other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "pos", "lo", "hi")])
-    groups = open_.join(other, "token").where("g < g2 and (lo <> lo2 or hi <> hi2 or lo <> hi)").where(may_link("n", "pos", "n2", "pos2")).select("g", "g2").distinct()
+    prefixes = sets.select(F.col("doc_id").alias("g"), "prefix")
+    open_ = keep(open_.join(apart, "token", "left_semi").join(prefixes, "g"), "ngram-open")
+    other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "rare", "i", "lo", "hi", "prefix")])
+    # a pair is made once: at the first shingle that both prefixes have
+    at_first = F.get(F.array_intersect("prefix", "prefix2"), 0) == F.col("token")
+    groups = open_.join(other, "token").where("g < g2 and (lo <> lo2 or hi <> hi2 or lo <> hi)").where(at_first).where(may_link("n", "rare", "i", "n2", "rare2", "i2")).select("g", "g2").distinct()
     inside = spread.where("lo < hi").select("g", F.col("g").alias("g2"))
     left = part.select("g", F.col("doc_id").alias("a"), F.col("part").alias("pa"))
     right = part.select(F.col("g").alias("g2"), F.col("doc_id").alias("b"), F.col("part").alias("pb"))

@@ -90,8 +90,8 @@ def bfs_both_ways(t):
 
 
 PATHS = f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('IMPORTS', 'CALLS')),
-p(path, at) AS (SELECT ['p5', dst], dst FROM e WHERE src = 'p5' UNION ALL SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.at WHERE len(path) <= 4 AND p.at <> 'p24' AND NOT list_contains(path, e.dst)),
-f AS (SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS steps FROM p WHERE at = 'p24')"""
+p(path, here) AS (SELECT ['p5', dst], dst FROM e WHERE src = 'p5' UNION ALL SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.here WHERE len(path) <= 4 AND p.here <> 'p24' AND NOT list_contains(path, e.dst)),
+f AS (SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS steps FROM p WHERE here = 'p24')"""
 
 
 @query(PATHS + " SELECT * FROM f")
@@ -105,8 +105,8 @@ def shortest_path(t):
     return G.shortest_path(edges_of(t), "p5", "p24", 4, ["IMPORTS", "CALLS"]).select(F.array_join("path", ">").alias("path"), "steps")
 
 
-@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'IMPORTS' AND src <> dst), w(id, at, n) AS (SELECT src, dst, 1 FROM e UNION SELECT w.id, e.dst, n + 1 FROM w JOIN e ON e.src = w.at WHERE n < 6 AND w.at <> w.id)
-SELECT id, min(n)::INTEGER AS length FROM w WHERE id = at AND n > 1 GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'IMPORTS' AND src <> dst), w(id, here, n) AS (SELECT src, dst, 1 FROM e UNION SELECT w.id, e.dst, n + 1 FROM w JOIN e ON e.src = w.here WHERE n < 6 AND w.here <> w.id)
+SELECT id, min(n)::INTEGER AS length FROM w WHERE id = here AND n > 1 GROUP BY 1""")
 def circular_dependencies(t):
     return G.cycles(edges_of(t), ["IMPORTS"], 6)
 

@@ -208,16 +208,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     intersection can have. Joins on a document that is in many pairs may be split."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            na, nb = (p.column(i).to_numpy() for i in (2, 3))
-            both = np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)) for x, y in zip(p.column(4), p.column(5))], np.int64)
-            ok = 100 * both >= percent * (na + nb - both)
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["u", "v"]).filter(pa.array(ok))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return joined.mapInArrow(common, "u long, v long")
+    # row by row inside the JVM: a batch of pairs would hold the sets of long texts many times
+    both = F.size(F.array_intersect("ta", "tb"))
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -235,14 +229,8 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     own = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")).join(able, "doc_id")
     rare = (F.col("n") - F.size("s")).cast("long")
     own = own.where(rare < prefix_length(percent))
-    own = own.select("doc_id", "n", rare.alias("rare"), F.slice("s.token", 1, (prefix_length(percent) - rare).cast("int")).alias("prefix"), F.sort_array("s.token").alias("t"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            raw = [np.asarray(x.values, np.int64).tobytes() for x in p.column(4)]
-            yield pa.RecordBatch.from_arrays([*p.columns[:4], pa.array(raw, pa.binary())], names=["doc_id", "n", "rare", "prefix", "tokens"])
-
-    sets = keep(own.mapInArrow(packed, "doc_id long, n long, rare long, prefix array<long>, tokens binary"), "ngram-sets")
+    own = own.select("doc_id", "n", rare.alias("rare"), F.slice("s.token", 1, (prefix_length(percent) - rare).cast("int")).alias("prefix"), F.col("s.token").alias("tokens"))
+    sets = keep(own, "ngram-sets")
     # groups of equal prefix and size; a group is named by its smallest member
     member = sets.select("doc_id", "n", "rare", F.xxhash64("prefix", "n").alias("key"), "prefix")
     named = member.groupBy("key", "n").agg(F.min("doc_id").alias("g"), F.count("*").alias("members"))

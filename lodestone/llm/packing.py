@@ -13,6 +13,7 @@ as rows of their own; long texts are tokenised whole; an empty table gives no ro
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -114,6 +115,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker and file: the words it remembers serve all its tasks."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 

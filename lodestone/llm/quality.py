@@ -40,7 +40,7 @@ HAND_OVER = 0.05
 
 def _classes() -> np.ndarray:
     """Class of every byte: what kind of character it is part of."""
-    kind = np.full(256, 10, np.int64)
+    kind = np.full(256, 10, np.uint8)
     kind[128:] = 9
     for k, chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!?", b"%$&#*@^~+_", b"|/\\<>=()[]{}\"'`-")):
         kind[list(chars)] = k
@@ -48,6 +48,8 @@ def _classes() -> np.ndarray:
 
 
 KINDS = 11
+#: Bytes whose character pairs are counted at once.
+BLOCK = 1 << 19
 CLASS_OF = _classes()
 CONTENT_WIDTH = KINDS * KINDS + 3
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
@@ -61,12 +63,13 @@ def content_features(texts: pa.Array) -> np.ndarray:
     sizes = np.array([len(r) for r in raw], np.int64)
     out = np.zeros((len(raw), CONTENT_WIDTH), np.float32)
     codes = CLASS_OF[np.frombuffer(b"".join(raw), np.uint8)]
-    doc = np.repeat(np.arange(len(raw)), sizes)
-    if len(codes) > 1:
-        same = doc[1:] == doc[:-1]
-        pair = (doc[:-1] * (KINDS * KINDS) + codes[:-1] * KINDS + codes[1:])[same]
-        seen = np.bincount(pair, minlength=len(raw) * KINDS * KINDS).reshape(len(raw), -1)
-        out[:, : KINDS * KINDS] = np.sqrt(seen / np.maximum(sizes[:, None] - 1, 1))
+    doc = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+    seen = np.zeros(len(raw) * KINDS * KINDS, np.int64)
+    for k in range(0, len(codes) - 1, BLOCK):  # long texts block by block, so memory stays bounded
+        now, then = slice(k, min(k + BLOCK, len(codes) - 1)), slice(k + 1, min(k + BLOCK, len(codes) - 1) + 1)
+        pair = (doc[now] * (KINDS * KINDS) + codes[now] * KINDS + codes[then])[doc[now] == doc[then]]
+        seen += np.bincount(pair, minlength=len(seen))
+    out[:, : KINDS * KINDS] = np.sqrt(seen.reshape(len(raw), -1) / np.maximum(sizes[:, None] - 1, 1))
     for i, s in enumerate(strings):
         lines = [x for x in (s or "").split("\n") if x]
         out[i, -3] = 1 - len(set(lines)) / len(lines) if lines else 0

@@ -36,18 +36,40 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+#: Bytes that are hashed at once; a piece ends at white space, so no word is cut.
+PIECE = 1 << 20
+
+
+def _pieces(space: np.ndarray) -> list[int]:
+    """Where pieces of PIECE bytes or little more end."""
+    out, at = [], 0
+    while len(space) - at > PIECE:
+        end = at + PIECE
+        while end < len(space) and not space[end : end + 4096].any():
+            end += 4096
+        at = min(len(space), end + int(space[end : end + 4096].argmax()))
+        out.append(at)
+    return [*out, len(space)] if at < len(space) else out
+
+
 def word_hashes(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of texts that stand one after another (each beginning at one of
     ``starts``, white space between them), and the number of words in each text."""
     codes = _LOWER[np.frombuffer(raw, np.uint8)]
     space = _SPACE[codes]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    # the powers repeat from block to block, so that long inputs need no long tables
-    power, inverse = _powers(1 << max(12, int(len(codes)).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[codes] * power[: len(codes)], dtype=np.uint64)])
-    hashes = mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-    return hashes, np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
+    begins, hashes, first = [], [], 0
+    for last in _pieces(space):
+        part, gap = codes[first:last], space[first:last]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        # a word's hash does not depend on where it stands, so pieces need no long tables
+        power, inverse = _powers(1 << max(12, len(part).bit_length()))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part] * power[: len(part)], dtype=np.uint64)])
+        hashes.append(mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)))
+        begins.append(begin + first)
+        first = last
+    begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

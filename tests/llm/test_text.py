@@ -228,3 +228,24 @@ def test_empty_tables(spark):
     public = pytest.importorskip("public_tokenizers")
     for df in (substrings.remove_repeats(none), ngram_join.components(none), mixing.mix_sources(none), licenses.scan_licenses(none), toxicity.score_toxicity(none, labels), quality.score_quality(none, labels), packing.pack(none, public.path("word_bpe_49k.json"))):
         assert df.collect() == []
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    from lodestone.llm import shingles
+
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 40))) for _ in range(300)), "x" * 9000, "", "a b c d e f", None]
+    want = shingles.shingle_sets(texts)
+    for piece in (1, 100, 5000):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        got = shingles.shingle_sets(texts)
+        assert all((a == b).all() for a, b in zip(want, got))
+
+
+def test_content_features_do_not_depend_on_blocks(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["Hello, world! 123", "", None, "a" * 50 + "\n" + "a" * 50, "x"])
+    want = quality.content_features(texts)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert (quality.content_features(texts) == want).all()

@@ -89,3 +89,19 @@ EMBEDDERS = {"hashed": hashed_embedding}
 
 def register(name: str, embedder) -> None:  # noqa: ANN001
     EMBEDDERS[name] = embedder
+
+
+def approximate_search(points: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bucket: float = 1.0, seed: int = 5) -> DataFrame:
+    """Approximate cosine search: random projections of normalised vectors choose the
+    candidates, the exact measure ranks them. Vectors of length 0 take no part."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    size = sum(float(x) * float(x) for x in query) ** 0.5
+    if size == 0:
+        return search(points, query, k, id_col=id_col, vector_col=vector_col)
+    unit = points.where(norm(F.col(vector_col)) > 0).withColumn("_unit", array_to_vector(normalize(F.col(vector_col)).cast("array<double>")))
+    model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxNearestNeighbors(unit, Vectors.dense([float(x) / size for x in query]), 4 * k, "_distance").drop("_unit", "_hash", "_distance")
+    return search(near, query, k, id_col=id_col, vector_col=vector_col)

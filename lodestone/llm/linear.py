@@ -15,10 +15,10 @@ def logit(p: np.ndarray, edge: float = 1e-4) -> np.ndarray:
 
 
 class Logistic:
-    """Newton's method on standardised columns with an L2 penalty. With one class only,
+    """Damped Newton's method on standardised columns with an L2 penalty. With one class only,
     or no rows at all, it gives the (smoothed) share of that class for every row."""
 
-    def __init__(self, penalty: float = 1.0, rounds: int = 25) -> None:
+    def __init__(self, penalty: float = 1.0, rounds: int = 50) -> None:
         self.penalty, self.rounds = penalty, rounds
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
@@ -36,13 +36,25 @@ class Logistic:
         beta = np.append(self.w, self.b)
         ridge = np.full(d + 1, self.penalty)
         ridge[-1] = 1e-6
+
+        def loss(at: np.ndarray) -> float:
+            score = z @ at
+            return float((weight * (np.logaddexp(0.0, score) - y * score)).sum() + 0.5 * (ridge * at * at).sum())
+
+        now = loss(beta)
         for _ in range(self.rounds):
             p = sigmoid(z @ beta)
             g = z.T @ (weight * (p - y)) + ridge * beta
             h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(ridge)
             step = np.linalg.solve(h, g)
-            beta = beta - np.clip(step, -4, 4)
-            if np.abs(step).max() < 1e-6:
+            # whole steps overshoot where the classes are almost apart: halve until the loss falls
+            size = 1.0
+            while (then := loss(beta - size * step)) > now - 1e-4 * size * float(g @ step) and size > 1e-6:
+                size /= 2
+            if then >= now:
+                break
+            beta, now = beta - size * step, then
+            if np.abs(size * step).max() < 1e-6:
                 break
         self.w, self.b = beta[:-1], float(beta[-1])
         return self

@@ -7,7 +7,8 @@ the shard's blocks are numbered along that order and the quota takes whole round
 the shard first and then its first blocks; a block may end inside a document.
 
 Cases: a null text has size 0; a null source is a source of its own, ordered last;
-repeated rows are rows of their own; an empty table gives an empty table; with no words
+repeated rows and rows that repeat an id or have none are rows of their own, as nothing
+joins on ids (equal rows get their shares in any order); an empty table gives an empty table; with no words
 at all every target is 0; columns of the input with other names are kept apart (only
 the three named ones are read).
 """
@@ -93,42 +94,48 @@ def mix_sources(
     block: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = 7,
+    with_row: bool = False,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and the shard of every document.
+    """``doc_id, size, source_size, target, taken`` and the shard of every document;
+    ``with_row`` adds the document's own columns as the struct ``row``.
 
     The per-source totals (one row a source: the table that mixing weights are set for)
     come to the driver; everything per document or shard stays distributed. Shards hold
     about ``shard_words`` words however large a source is, so no window grows with it.
     """
     spark = docs.sparkSession
-    sizes = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    # texts take part in the order, so that rows without ids are dealt over the shards
+    read = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark")]
+    sizes = keep(docs.select(*read), "mix-sizes")
     totals = [(r[0], r[1]) for r in sizes.groupBy("source").agg(F.sum("size")).collect()]
     targets = source_targets(totals, weights, share, cap, block)
     of_source = spark.createDataFrame(targets, "source_no int, source string, source_size long, target double, blocks long").withColumn("shards", F.ceil(F.greatest(F.col("source_size") / shard_words, F.lit(1.0))).cast("long"))
-    placed = (
-        sizes.join(of_source.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
-        .withColumn("rank_key", F.xxhash64(F.col("doc_id"), F.lit(seed)))
-        .withColumn("shard", F.pmod(F.xxhash64(F.col("rank_key"), F.lit("shard")), F.col("shards")))
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        # a row a source, as at the driver already
+        named = rows.join(F.broadcast(of_source.withColumnRenamed("source", "named")), F.col("source").eqNullSafe(F.col("named")))
+        keyed = named.withColumn("rank_key", F.xxhash64(F.col("doc_id"), F.col("mark"), F.lit(seed)))
+        return keyed.withColumn("shard", F.pmod(F.xxhash64(F.col("rank_key"), F.lit("shard")), F.col("shards")))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
         return pdf[["source_no", "shard", "shard_size"]].assign(quota=sainte_lague(pdf["shard_size"].to_numpy(), int(pdf["blocks"].iloc[0])))
 
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
+    shards = place(sizes).groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quota = shards.groupBy("source_no").applyInPandas(quotas, "source_no int, shard long, shard_size long, quota long")
-    order = Window.partitionBy("source_no", "shard").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source_no", "shard").orderBy("rank_key", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, 0)
     allowed = F.least(F.col("quota") * block, (F.col("shard_size") * cap).cast("long"))
     rounds = F.when(F.col("shard_size") > 0, F.floor(allowed / F.col("shard_size"))).otherwise(0)
     rest = allowed - rounds * F.col("shard_size")
     begin = F.col("upto") - F.col("size")
+    placed = place(docs.select(*read, F.struct(*docs.columns).alias("row")) if with_row else sizes)
     return (
-        placed.join(quota, ["source_no", "shard"])
-        .withColumn("upto", F.sum("size").over(order))
+        placed.withColumn("upto", F.sum("size").over(order))
+        .join(quota, ["source_no", "shard"])  # after the window, so rows are dealt once
         .select(
             "doc_id", "size", "source_size", "target",
             (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("upto"), rest) - begin)).cast("long").alias("taken"),
-            "source", "shard",
+            "source", "shard", *(["row"] if with_row else []),
         )
     )
 
@@ -152,13 +159,13 @@ def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is
     taken whole, and its first words where a block ends inside it. Documents of no words
-    or that no block covers go. ``doc_id`` must be unique for the texts to be found."""
-    # a table is written so that each document's share is computed once
-    taken = keep(mix_sources(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mix-taken")
-    cut = F.pandas_udf(first_words, "string")
-    joined = docs.join(taken, docs["doc_id"] == taken["_id"])
-    whole = joined.withColumn("_n", F.explode(F.expr("array_repeat(1, int(_taken div _size))")))
-    part = joined.where("_taken % _size > 0").withColumn("text", cut("text", F.expr("int(_taken % _size)")))
-    if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast("long"))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    or that no block covers go. Every row is carried to its share, so ids may be null or
+    repeated."""
+    taken = mix_sources(docs, with_row=True, **options).where("taken > 0").select("row", "size", "taken")
+    often = F.expr("concat(array_repeat(size, int(taken div size)), if(taken % size > 0, array(taken % size), cast(array() as array<bigint>)))")
+    parts = taken.select("row", "size", F.explode(often).alias("n"))
+    ends = F.col("n") < F.col("size")
+    # only texts that are cut go to Python
+    parts = parts.withColumn("cut", F.pandas_udf(first_words, "string")(F.when(ends, F.col("row.text")), F.col("n")))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return parts.select(*[F.when(ends, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])

@@ -63,7 +63,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.regexp_extract(F.col("response.refers_to"), r":(-?\d+)>$", 1).cast("long").alias("refers_to"),
+        F.regexp_extract(F.col("response.refers_to"), r":(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
     )
 
 

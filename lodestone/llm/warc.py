@@ -6,10 +6,11 @@ text writer makes the files: a record is one string, and the two line ends that
 every record are the writer's line separator, so no worker opens a file of its own.
 
 Cases: a null payload is an empty one; equal payloads of ``min_revisit`` bytes or more
-have one response (largest id), the others revisit it; payloads may hold anything,
-line ends included (records are read by Content-Length); a null id or url is written
-as an empty field; rows that repeat an id make records that join many to many, so ids
-must be unique; an empty table gives an archive without records and an empty result.
+have one response (largest id, which is a response wherever it is repeated), the others
+revisit it; payloads may hold anything, line ends included (records are read by
+Content-Length); a null id or url is written as an empty field; every row is a capture:
+where its id is null or stands in an earlier row, its records are named by a number of
+the row before the id; an empty table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
@@ -41,17 +42,26 @@ def digest32(payload: Column) -> Column:
 def capture_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
     """Two columns: ``record`` (text of all three records of a capture)."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    digested = keep(
-        pages.select(F.col(id_col).cast("long").alias("id"), digest32(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")),
-        "warc-digests",
-    )
-    # the id of a digest's response: partial maxima first, so a hot digest is one row a task
-    first = digested.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    # few columns, so a hot digest splits cheaply; the payloads then meet it by unique id
-    revisits = digested.join(first, "digest").where("id < first_id and bytes >= %d" % min_revisit).select(F.col("id").alias("revisit_id"), "first_id")
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    p = p.join(revisits, p["id"] == revisits["revisit_id"], "left")
-    urn = lambda kind, i: F.concat(F.lit(f"<urn:capture:{kind}:"), i.cast("string"), F.lit(">"))
+    # a number for each row, made once: only what is written keeps it
+    p = keep(
+        pages.select(
+            F.monotonically_increasing_id().alias("n"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
+            payload.alias("payload"), digest32(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
+        ),
+        "warc-pages", compression="zstd",
+    )
+    ids = p.where("id is not null").select("n", "id")
+    repeated = ids.groupBy("id").agg(F.min("n").alias("first_n"), F.count("*").alias("rows")).where("rows > 1")
+    later = ids.join(repeated, "id").where("n <> first_n").select(F.col("n").alias("later_n"))
+    name = F.when(F.col("id").isNull() | F.col("later_n").isNotNull(), F.concat(F.col("n").cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit("")))).otherwise(F.col("id").cast("string"))
+    # few columns, so a hot digest splits cheaply; the payloads then meet it by unique number
+    named = keep(p.select("n", "id", "digest", "bytes").join(later, F.col("n") == F.col("later_n"), "left").select("n", "id", "digest", "bytes", name.alias("name")), "warc-names")
+    # the response of a digest: partial maxima first, so a hot digest is one row a task
+    first = named.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max(F.struct("id", "n", "name")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    revisits = named.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")) & (F.col("bytes") >= min_revisit)).select(F.col("n").alias("revisit_n"), F.col("first.name").alias("first_name"))
+    names = named.join(revisits, F.col("n") == F.col("revisit_n"), "left").select("n", "name", "first_name")
+    p = p.select("n", "id", "url", "payload", "digest").join(names, "n")
+    urn = lambda kind, i: F.concat(F.lit(f"<urn:capture:{kind}:"), i, F.lit(">"))
     url = F.translate("url", "\r\n", "")
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\r\n]*)", 1)
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
@@ -64,17 +74,16 @@ def capture_records(pages: DataFrame, id_col: str, url_col: str, payload_col: st
         )
         return F.concat(head, F.lit("\r\n"), body)
 
-    uid = urn("response", F.col("id"))
-    is_revisit = F.col("first_id").isNotNull()
+    uid = urn("response", F.col("name"))
+    is_revisit = F.col("first_name").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(is_revisit, F.lit("")).otherwise(F.col("payload")))
-    digest = digest32(F.col("payload").cast("binary"))
     main = record(
         F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response")), uid, "application/http; msgtype=response", http,
-        line("WARC-Payload-Digest: sha1:", digest),
-        F.when(is_revisit, F.concat(line("WARC-Refers-To: ", urn("response", F.col("first_id"))), line("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
+        line("WARC-Payload-Digest: sha1:", F.col("digest")),
+        F.when(is_revisit, F.concat(line("WARC-Refers-To: ", urn("response", F.col("first_name"))), line("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
     )
-    request = record("request", urn("request", F.col("id")), "application/http; msgtype=request", F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)), line("WARC-Concurrent-To: ", uid))
-    metadata = record("metadata", urn("metadata", F.col("id")), "application/warc-fields", F.concat(line("captureId: ", F.col("id").cast("string")), line("payloadLength: ", F.octet_length("payload").cast("string"))), line("WARC-Concurrent-To: ", uid))
+    request = record("request", urn("request", F.col("name")), "application/http; msgtype=request", F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)), line("WARC-Concurrent-To: ", uid))
+    metadata = record("metadata", urn("metadata", F.col("name")), "application/warc-fields", F.concat(line("captureId: ", F.coalesce(F.col("id").cast("string"), F.lit(""))), line("payloadLength: ", F.octet_length("payload").cast("string"))), line("WARC-Concurrent-To: ", uid))
     return p.select(F.concat(request, F.lit(END), main, F.lit(END), metadata).alias("record"))
 
 

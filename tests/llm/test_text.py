@@ -131,6 +131,21 @@ def test_mixed_texts_hold_what_was_taken(spark):
     assert words == Counter({x["doc_id"]: x["taken"] for x in mixing.mix_sources(docs).collect() if x["taken"]})
 
 
+def test_mix_keeps_rows_that_have_no_id_or_repeat_one(spark):
+    counts = [(None, 90), (None, 200), (4, 70), (4, 70), (4, 30), (5, 120), (None, 90)]
+    rows = [(i, " ".join(f"w{k}" for k in range(n)), "en", None if k == 3 else "a", n, "x", "y", 3) for k, (i, n) in enumerate(counts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want, got, most = Counter(), Counter(), Counter()
+    for x in mixing.mix_sources(docs).collect():
+        want[x["doc_id"], x["source"]] += x["taken"]
+        most[x["doc_id"], x["source"]] += 2 * x["size"]
+    mixed = mixing.apply_mix(docs).collect()
+    for x in mixed:
+        got[x["doc_id"], x["source"]] += len(x["text"].split())
+        assert x["n_chars"] == len(x["text"]) or x["text"] in {r[1] for r in rows}
+    assert got == want and got[None, "a"] > 0 and all(got[k] <= most[k] for k in got)
+
+
 def test_apportionment():
     assert mixing.sainte_lague([53000, 24000, 23000], 7).tolist() == [3, 2, 2]
     assert mixing.sainte_lague([0, 0], 3).tolist() == [0, 0]

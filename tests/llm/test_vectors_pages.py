@@ -74,3 +74,18 @@ def test_warc_round_trip(spark):
     small = {r["page_id"]: r["response"]["record_type"] for r in warc.round_trip(df, min_revisit=50).collect()}
     assert set(small.values()) == {"response"}
     assert warc.round_trip(df.limit(0)).collect() == []
+
+
+def test_warc_keeps_pages_that_have_no_id_or_repeat_one(spark):
+    pages = [(None, "u0", "a"), (None, None, "b"), (5, "u5", "c"), (5, "u5", "d"), (5, "u5", "d"), (3, "u3", "c"), (3, "u3", "d"), (None, "u1", "d"), (9, "u9", "e")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = warc.round_trip(df, with_payload=True).collect()
+    assert len({r["response"]["record_id"] for r in rows}) == len(pages)
+    digest = {base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(): t for t in "abcde"}
+    held = {r["response"]["record_id"]: bytes(r["response"]["payload"]).decode() for r in rows if r["response"]["record_type"] == "response"}
+    got = []
+    for r in rows:
+        text = digest[r["response"]["payload_digest"]]
+        assert held[r["response"]["refers_to"] or r["response"]["record_id"]] == text and r["request"] and r["metadata"]
+        got.append((r["page_id"], r["target_uri"] or None, text))
+    assert sorted(got, key=repr) == sorted(pages, key=repr)

@@ -5,7 +5,8 @@ corpus, for the words that templates use). A block that holds at least ``thresho
 a template's words must hold one of the template's first n - ceil(threshold n) + 1 words
 in that order (prefix filter); it must be long enough (length filter); and from where
 the first common word stands in both, enough words must still follow (positional
-filter). What is left is verified by the exact intersection. A block is a line.
+filter). What is left is verified by the exact intersection. A block is a line, or as
+many words in sequence as the template has, wherever lines end: a wrapped notice is found.
 
 Only DataFrame operations run here. Besides the join, the words of a few base phrases
 are found wherever they stand consecutively, across lines too.
@@ -113,14 +114,43 @@ def block_matches(docs: DataFrame, text_col: str, templates: list[tuple[str, str
     return found.dropDuplicates(["_row", "block", "template"])
 
 
+def window_matches(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(row id, template, containment) of every text with a window of a template's number
+    of words that meets the threshold; the best window counts.
+
+    A template goes on only where the whole text holds enough of its words. The best
+    window can start at a template word, and those from which enough template words do
+    not follow in time are passed over."""
+    sets = [sorted(set(t.split())) for _, t in templates]
+    one = lambda i, t, s: F.struct(
+        F.lit(i).alias("template"), F.lit(len(t.split())).alias("length"), F.lit(ceil(threshold * len(s) - 1e-9)).alias("need"), F.array(*map(F.lit, s)).alias("held")
+    )
+    index = F.array(*[one(i, t, s) for i, ((_, t), s) in enumerate(zip(templates, sets))])
+    held = F.array(*map(F.lit, sorted({w for s in sets for w in s})))
+    texts = docs.select("_row", words_of(F.col(text_col)).alias("words")).withColumn("present", F.array_intersect(held, F.col("words")))
+    some = F.filter(index, lambda t: F.size(F.array_intersect(F.col("present"), t["held"])) >= t["need"])
+    pairs = texts.select("_row", "words", F.explode(some).alias("t"))
+    spots = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    pairs = pairs.select("_row", "t", F.filter(spots, lambda x: F.array_contains(F.col("t.held"), x["w"])).alias("hits"))
+    at = lambda i: F.get(F.col("hits"), i)["at"]
+    length, need = F.col("t.length"), F.col("t.need")
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - need), lambda i: at(i + need - 1) - at(i) < length)
+    window = lambda i: F.filter(F.slice("hits", i + 1, length), lambda x: x["at"] - at(i) < length)
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_distinct(F.transform(window(i), lambda x: x["w"])))))
+    found = pairs.select("_row", "t", best.alias("best")).where(F.col("best") >= need)
+    return found.select("_row", F.col("t.template").alias("template"), (F.col("best") / F.size("t.held")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, base: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document. ``score`` is 1 where a base phrase stands, else the largest
-    containment of a template in one of its blocks (0 where none meets the threshold)."""
+    containment of a template in one of its lines or windows (0 where none meets the threshold)."""
     templates, base = templates or TEMPLATES, base or BASE
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
     named = F.array(*[F.lit(label) for label, _ in templates])
     matched = (
         block_matches(rows, "text", templates, threshold)
+        .drop("block")
+        .unionByName(window_matches(rows, "text", templates, threshold))
         .groupBy("_row")
         .agg(F.collect_set(F.get(named, F.col("template"))).alias("_more"), F.max("containment").alias("_score"))
         .withColumnRenamed("_row", "_of")

@@ -196,6 +196,29 @@ def test_licenses(spark):
     assert got[7]["n_base"] == 0
 
 
+def test_wrapped_licenses_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [r.choice(["so", "the", "license", "of"]) for _ in range(r.randint(0, 30))]
+        for _, t in r.sample(licenses.TEMPLATES, 2):
+            words += [w if r.random() < 0.9 else r.choice(["x", "y", "the"]) for w in t.split()] + [r.choice("pq") for _ in range(r.randint(0, 9))]
+        texts.append("".join(w + r.choice([" ", " ", " ", "\n * ", ",\n"]) for w in words))
+    texts.append("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:")
+    got = {x["doc_id"]: x for x in licenses.scan_licenses(docs_of(spark, texts), base={"no such words": "none"}).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        best = {}
+        for label, t in licenses.TEMPLATES:
+            held, n = set(t.split()), len(t.split())
+            blocks = [words[k : k + n] for k in range(len(words))] + [re.findall(r"[a-z0-9]+", x.lower()) for x in text.split("\n")]
+            most = max((len(held & set(b)) for b in blocks), default=0)
+            if 10 * most >= 8 * len(held):
+                best[label] = max(best.get(label, 0), most / len(held))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(best)), max(best.values(), default=0.0))
+    assert got[60]["labels"] == "bsd"
+
+
 def labelled(spark, rows, name):
     return spark.createDataFrame([(i, y) for i, y in rows], f"doc_id long, {name} int")
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +43,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+def keep(df: DataFrame, name: str = "table", path: str | None = None, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and an
     executor that is lost later costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a worker takes at once; a longer text goes alone.
+BATCH_BYTES = 1 << 24
+
+
+def batched(batches: Iterator[pa.RecordBatch], most: int, column: int, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together anew: up to ``most`` rows and ``most_bytes`` of the
+    values of one column, but one row at least."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(total[at - 1]) if at else 0
+            fits = int(np.searchsorted(total, before + most_bytes - size, side="right"))
+            end = min(b.num_rows, at + most - rows, max(fits, at + (not held)))
+            if end > at:
+                held.append(b.slice(at, end - at))
+                rows, size = rows + end - at, size + int(total[end - 1]) - before
+            if end < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows, size = [], 0, 0
+            at = end
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would change other letters too)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 
-from .shingles import _VALUE, _powers, mixed
+from .shingles import mixed
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and of its inverse, up to n of each."""
+    inverse = pow(_ODD, -1, 1 << 64)
+    out = []
+    for base in (_ODD, inverse):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 #: Bytes of a trigger string.
 TRIGGER = 32

@@ -1,17 +1,30 @@
-"""Sets of word shingles as 64-bit hashes, made for many texts at once."""
+"""Sets of word shingles as 128-bit hashes, made for many texts at once.
+
+Every distinct word is hashed by keyed BLAKE2b to two 64-bit halves; a shingle folds the
+halves of its words in two lanes with different multipliers. Words are thus independent
+of how they are spelt, so no pair of texts can be built to collide without breaking the
+hash: among n distinct shingles two agree with a chance of n^2 / 2^129 or so (10^13
+shingles: 10^-13).
+"""
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
+import re
+from itertools import repeat
 
 import numpy as np
 
 WORDS = 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_ODD = 0x9E3779B97F4A7C15 | 1
+#: Bytes of text whose words are looked up at once; a piece ends at white space.
+PIECE = 1 << 20
+#: Bytes of words that a worker remembers with their hashes.
+REMEMBERED = 1 << 25
+KEY = b"word shingles"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# fixed values: odd multipliers of the two lanes
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SHORT = 0x5851F42D4C957F2D
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -21,81 +34,99 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64 and of its inverse, up to n of each."""
-    inverse = pow(_ODD, -1, 1 << 64)
-    out = []
-    for base in (_ODD, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+class Words:
+    """Hashes of words; those of earlier texts are remembered."""
 
+    def __init__(self) -> None:
+        self.clear()
 
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.both = np.zeros((1 << 12, 2), np.uint64)
+        self.size = 0
 
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """One row of two halves for every word."""
+        if self.size > REMEMBERED:
+            self.clear()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(missed := np.flatnonzero(at < 0)):
+            new = list({words[i] for i in missed.tolist()})
+            raw = b"".join(hashlib.blake2b(w, digest_size=16, key=KEY).digest() for w in new)
+            n, self.size = len(self.known), self.size + sum(map(len, new))
+            if n + len(new) > len(self.both):
+                self.both = np.resize(self.both, (2 * (n + len(new)), 2))
+            self.both[n : n + len(new)] = np.frombuffer(raw, "<u8").reshape(-1, 2)
+            self.known.update(zip(new, range(n, n + len(new))))
+            at[missed] = [self.known[words[i]] for i in missed.tolist()]
+        return self.both[at]
 
-#: Bytes that are hashed at once; a piece ends at white space, so no word is cut.
-PIECE = 1 << 20
+
+_words = Words()
 
 
-def _pieces(space: np.ndarray) -> list[int]:
-    """Where pieces of PIECE bytes or little more end."""
+def _pieces(raw: bytes) -> list[bytes]:
+    """A text in pieces of PIECE bytes or little more, cut at white space."""
     out, at = [], 0
-    while len(space) - at > PIECE:
-        end = at + PIECE
-        while end < len(space) and not space[end : end + 4096].any():
-            end += 4096
-        at = min(len(space), end + int(space[end : end + 4096].argmax()))
-        out.append(at)
-    return [*out, len(space)] if at < len(space) else out
-
-
-def word_hashes(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of texts that stand one after another (each beginning at one of
-    ``starts``, white space between them), and the number of words in each text."""
-    codes = _LOWER[np.frombuffer(raw, np.uint8)]
-    space = _SPACE[codes]
-    begins, hashes, first = [], [], 0
-    for last in _pieces(space):
-        part, gap = codes[first:last], space[first:last]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
-        begin, end = edge[::2], edge[1::2]
-        # a word's hash does not depend on where it stands, so pieces need no long tables
-        power, inverse = _powers(1 << max(12, len(part).bit_length()))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[part] * power[: len(part)], dtype=np.uint64)])
-        hashes.append(mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)))
-        begins.append(begin + first)
-        first = last
-    begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
-
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of every text, one text after another and each in ascending
-    order, and how many there are. A text of fewer words is one shingle of all of them;
-    without words there is none. Only A-Z are made lower case."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    size = np.array([len(r) + 1 for r in raw], np.int64)
-    hashes, counts = word_hashes(b" ".join(raw) + b" ", np.cumsum(size) - size)
+    while len(raw) - at > PIECE:
+        gap = SPACE.search(raw, at + PIECE)
+        end = gap.start() if gap else len(raw)
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the hash of every word (only A-Z made lower case) of all texts, and
+    the number of words in each text."""
+    out, held, counts = [], [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        for part in _pieces((t or "").encode("utf-8", "surrogatepass")):
+            own = part.lower().split()  # of bytes: ASCII letters and ASCII white space only
+            counts[i] += len(own)
+            held += own
+            if len(held) > 1 << 17:
+                out.append(_words.hashes(held))
+                held = []
+    out.append(_words.hashes(held))
+    return np.concatenate(out), counts
+
+
+def order_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The ascending order of 128-bit numbers; the low halves decide hardly ever."""
+    order = np.argsort(hi, kind="stable")
+    h, low = hi[order], lo[order]
+    if ((h[1:] == h[:-1]) & (low[1:] < low[:-1])).any():
+        order = np.lexsort((lo, hi))
+    return order
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """High and low halves of the distinct shingles of every text, one text after another
+    and each in ascending order, and how many there are. A text of fewer words is one
+    shingle of all of them; without words there is none."""
+    hashes, counts = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
     first = np.cumsum(counts) - counts
-    place = np.arange(len(hashes)) - first[doc]
-    whole = place + words <= counts[doc]
-    value = np.zeros(len(hashes), np.uint64)
-    for j in range(words):
-        value = value * np.uint64(_ODD) + np.append(hashes[j:], np.zeros(min(j, len(hashes)), np.uint64))
-    value = mixed(value)
+    whole = np.arange(len(hashes)) - first[doc] + words <= counts[doc]
+    lanes = []
+    for lane, odd in enumerate(LANES):
+        value = np.zeros(len(hashes), np.uint64)
+        for j in range(words):
+            value *= np.uint64(odd)
+            value[: max(0, len(value) - j)] += hashes[j:, lane]
+        lanes.append(mixed(value))
     for d in np.flatnonzero((counts > 0) & (counts < words)).tolist():
-        part = np.uint64(counts[d])
-        for h in hashes[first[d] : first[d] + counts[d]]:
-            part = np.uint64((int(part) * _ODD + int(h)) & 0xFFFFFFFFFFFFFFFF)
-        value[first[d]] = mixed(np.array([part ^ np.uint64(0x5851F42D4C957F2D)]))[0]
+        for lane, odd in enumerate(LANES):
+            part = int(counts[d]) * _SHORT
+            for h in hashes[first[d] : first[d] + counts[d], lane].tolist():
+                part = (part * odd + h) & 0xFFFFFFFFFFFFFFFF
+            lanes[lane][first[d]] = mixed(np.array([part ^ _SHORT], np.uint64))[0]
         whole[first[d]] = True
-    value, doc = value[whole], doc[whole]
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
-    fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return value[fresh], np.bincount(doc[fresh], minlength=len(texts))
+    hi, lo, doc = lanes[0][whole], lanes[1][whole], doc[whole]
+    order = order_of(hi, lo)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]
+    hi, lo, doc = hi[order], lo[order], doc[order]
+    fresh = np.ones(len(hi), bool)
+    fresh[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1])
+    return hi[fresh], lo[fresh], np.bincount(doc[fresh], minlength=len(texts))

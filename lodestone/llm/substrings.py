@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
-from .ngram_join import _batches
+from .common import batched, keep
 from .parsing import TRIGGER, Piece, parse, window_hashes
 
 WINDOW = 200
@@ -78,7 +77,7 @@ def dictionary_parts(texts: DataFrame, window: int, trigger_bytes: int, buckets:
     """Distinct phrases of every batch, dealt out by trigger."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _batches(batches, BATCH_TEXTS):
+        for p in batched(batches, BATCH_TEXTS, column=1):
             keys = p.column(0).to_numpy()
             doc, begin, starts, trigger, phrase, first, times = _parsed(p, window, trigger_bytes)
             bucket = (trigger[first] % np.uint64(buckets)).astype(np.int64)
@@ -100,7 +99,7 @@ def repeated_in_batch(texts: DataFrame, window: int, trigger_bytes: int) -> Data
     """``key, spans`` of the phrases that a batch has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _batches(batches, BATCH_TEXTS):
+        for p in batched(batches, BATCH_TEXTS, column=1):
             keys = p.column(0).to_numpy()
             doc, begin, starts, _, _, first, times = _parsed(p, window, trigger_bytes)
             some = np.flatnonzero(np.repeat(times > 1, times))

@@ -102,6 +102,25 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, batch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_shingles_of_words_that_polynomials_confuse(spark):
+    word = "a"
+    for _ in range(10):  # sums of any odd base modulo 2^64 agree on this word and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(docs_of(spark, [word, other, f"a b {word} c d", f"a b {other} c d"])).collect()}
+    assert got == {i: i for i in range(4)}
+
+
+def test_ngram_join_of_odd_rows(spark):
+    long_ = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, long_), (7, long_), (7, long_), (3, "  "), (4, None), (9, long_ + " more"), (5, "  ")]
+    df = spark.createDataFrame([(i, t, 1, b"", 2) for i, t in rows], "doc_id long, text string, n int, digest binary, class_id int")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.components(df).collect())
+    assert got == [(-1, 29_996, None), (3, 0, 3), (4, 0, 4), (5, 0, 5), (7, 29_996, 7), (7, 29_996, 7), (9, 29_997, 7)]
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 7]
+
+
 def test_mixing_meets_targets(spark):
     r = random.Random(2)
     texts = [" ".join(["w"] * r.choice([0, 1, 5, 80, 400])) for _ in range(300)] + [None]
@@ -278,6 +297,7 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
         monkeypatch.setattr(shingles, "PIECE", piece)
         got = shingles.shingle_sets(texts)
         assert all((a == b).all() for a, b in zip(want, got))
+        shingles._words.clear()
 
 
 def test_content_features_do_not_depend_on_blocks(monkeypatch):

@@ -1,19 +1,22 @@
 """Licence scans: an exact set-similarity join of text blocks with notice templates.
 
-Words are ordered by how many documents hold them, rarest first (counted over the whole
-corpus, for the words that templates use). A block that holds at least ``threshold`` of
-a template's words must hold one of the template's first n - ceil(threshold n) + 1 words
-in that order (prefix filter); it must be long enough (length filter); and from where
-the first common word stands in both, enough words must still follow (positional
-filter). What is left is verified by the exact intersection. A block is a line, or as
-many words in sequence as the template has, wherever lines end: a wrapped notice is found.
-
-Only DataFrame operations run here. Besides the join, the words of a few base phrases
-are found wherever they stand consecutively, across lines too.
-
-Cases: a null or empty text has no words and no labels, score 0; repeated rows are
-grouped by their own row, not by id; long texts and lines are scanned whole; an empty
-table gives an empty result; other columns are not read.
+A block is every run of as many words as a template has, wherever lines end, so a
+wrapped notice is found like any other. One scan splits the texts and keeps of each the
+places of words that templates or base phrases use; all else works on those places.
+Words are ordered by how many documents hold them, rarest first, counted over the whole
+corpus. A block that holds at least ``threshold`` of a template's distinct words must
+hold one of the first n - ceil(threshold n) + 1 in that order (prefix filter); a text
+meets a template at the first word in the order that both have, and goes on only if that
+word leaves enough of the template behind it (positional filter) and the text holds
+enough of its words at all (length filter). What is left is verified exactly, window by
+window. Base phrases are places whose next words stand at the next places.
+
+Only DataFrame operations run here.
+
+Cases: a null or empty text has no words and no labels, score 0; repeated rows are rows
+of their own (a number made with the first scan names them), as are rows without an id;
+long texts and lines are scanned whole; of several windows the best counts, so ties
+decide nothing; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import keep, lower_ascii
 
 #: What separates words: ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,123 +55,89 @@ TEMPLATES = [
 THRESHOLD = 0.8
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(text), SEPARATORS), lambda w: w != "")
-
-
-def places(words: Column, phrase: str) -> Column:
-    """Start places (words from 0) of a phrase's words, read only where they occur."""
+def places_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
+    """``row, doc_id, n_words`` and of the words in ``vocabulary`` the places ``at``
+    (words from 0) and the words ``w`` themselves, in text order."""
+    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # pieces between separators: only the first and the last one can be empty
+    df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.split(text, SEPARATORS).alias("ws"))
+    lead = (F.get("ws", F.lit(0)) == "").cast("int")
+    trail = ((F.size("ws") > 1) & (F.element_at("ws", -1) == "")).cast("int")
+    held = lambda w: w.isin(vocabulary)
+    return df.select(
+        "row", "doc_id", (F.size("ws") - lead - trail).cast("long").alias("n_words"),
+        F.array_compact(F.transform("ws", lambda w, i: F.when(held(w), i))).alias("raw"), F.filter("ws", held).alias("w"), lead.alias("lead"),
+    ).select("row", "doc_id", "n_words", F.transform("raw", lambda i: i - F.col("lead")).alias("at"), "w")
+
+
+def phrase_places(phrase: str) -> Column:
+    """Places where a phrase's words stand one after another; looked for only in texts
+    that hold all of them."""
     parts = phrase.split(" ")
-    here = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == p for k, p in enumerate(parts)])
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - len(parts), F.lit(0))), here)
-
-
-def base_scan(docs: DataFrame, text: Column, base: dict[str, str]) -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word and the array ``_base`` of labels.
-
-    A phrase can only stand in a text that holds its words one after another with
-    separators between, which one pattern search finds out before any places are listed.
-    """
-    low = lower_ascii(F.coalesce(text, F.lit("")))
-    some = low.rlike("|".join(SEPARATORS.join(p.split(" ")) for p in base))
-    none = F.array().cast("array<int>")
-    df = docs.withColumn("_words", words_of(F.coalesce(text, F.lit(""))))
-    for i, p in enumerate(base):
-        df = df.withColumn(f"_p{i}", F.when(some, places(F.col("_words"), p)).otherwise(none))
-    every = [F.col(f"_p{i}") for i in range(len(base))]
-    df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_base", sum((F.size(x) for x in every), F.lit(0)).cast("long"))
-    df = df.withColumn("_places", F.concat(*every))
-    df = df.withColumn("first_word", F.array_min("_places").cast("long")).withColumn("last_word", F.array_max("_places").cast("long"))
-    labels = F.array_compact(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, label in zip(every, base.values())]))
-    return df.withColumn("_base", labels).drop("_words", "_places", *[f"_p{i}" for i in range(len(base))])
+    w, at = (lambda i, k: F.get(F.col("w"), i + k)), (lambda i, k: F.get(F.col("at"), i + k))
+    here = lambda i: reduce(lambda a, b: a & b, [(w(i, k) == x) & (at(i, k) == at(i, 0) + k) for k, x in enumerate(parts)])
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), here)
+    some = reduce(lambda a, b: a & b, [F.array_contains("w", x) for x in parts])
+    return F.when(some, F.transform(starts, lambda i: F.get(F.col("at"), i))).otherwise(F.array().cast("array<int>"))
 
 
-def block_matches(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(row id, block, template, containment) of every block that meets the threshold."""
-    spark = docs.sparkSession
+def block_matches(placed: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """``row, template, containment`` of every text with a block that meets the threshold;
+    the best block counts."""
+    spark = placed.sparkSession
     sets = [sorted(set(t.split())) for _, t in templates]
-    vocabulary = sorted({w for s in sets for w in s})
-    held = F.array(*map(F.lit, vocabulary))
-    # in how many documents each template word stands: one small row a word and task is shuffled
-    counted = docs.select(F.explode(F.array_intersect(words_of(F.col(text_col)), held)).alias("w")).groupBy("w").count().collect()
-    seen = {r["w"]: r["count"] for r in counted}  # at most one row for each template word
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+    # in how many documents each template word stands: at most one row for each
+    seen = {r["w"]: r["count"] for r in placed.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").count().collect()}
+    rank = {w: i for i, w in enumerate(sorted({w for s in sets for w in s}, key=lambda w: (seen.get(w, 0), w)))}
     ordered = [sorted(s, key=rank.get) for s in sets]
-    need = [ceil(threshold * len(s) - 1e-9) for s in ordered]
-    prefixes = [(w, t, k, len(o), n, o) for t, (o, n) in enumerate(zip(ordered, need)) for k, w in enumerate(o[: len(o) - n + 1])]
-    index = F.broadcast(spark.createDataFrame(prefixes, "w string, template int, t_pos int, t_size int, need int, t_words array<string>"))  # a row for each word of fixed templates
-    starts = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
-    order = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.get)])
-    blocks = docs.select("_row", F.posexplode(F.split(lower_ascii(F.col(text_col)), "\n")).alias("block", "line"))
-    blocks = blocks.where(F.col("line").rlike(r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(sorted({p[0] for p in prefixes})) + r")(?:$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"))
-    blocks = blocks.withColumn("words", words_of(F.col("line")))
-    # a block's template words in global order; other words match nothing and stand apart
-    blocks = blocks.select("_row", "block", F.array_intersect(order, F.col("words")).alias("words"))
-    hits = blocks.select("_row", "block", "words", F.posexplode("words").alias("b_pos", "w")).where(F.array_contains(starts, F.col("w")))
-    pairs = hits.join(index, "w").where(
-        (F.size("words") >= F.col("need"))
-        & (F.least(F.size("words") - F.col("b_pos"), F.col("t_size") - F.col("t_pos")) + F.least(F.col("b_pos"), F.col("t_pos")) >= F.col("need"))
+    entry = lambda t, o, need, k, w: F.struct(
+        F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(k).alias("t_pos"), F.lit(need).alias("need"),
+        F.lit(len(templates[t][1].split())).alias("length"), F.array(*map(F.lit, o)).alias("held"),
     )
-    common = F.size(F.array_intersect("words", "t_words"))
-    found = pairs.where(common >= F.col("need")).select("_row", "block", "template", (common / F.col("t_size")).alias("containment"))
-    return found.dropDuplicates(["_row", "block", "template"])
-
-
-def window_matches(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(row id, template, containment) of every text with a window of a template's number
-    of words that meets the threshold; the best window counts.
-
-    A template goes on only where the whole text holds enough of its words. The best
-    window can start at a template word, and those from which enough template words do
-    not follow in time are passed over."""
-    sets = [sorted(set(t.split())) for _, t in templates]
-    one = lambda i, t, s: F.struct(
-        F.lit(i).alias("template"), F.lit(len(t.split())).alias("length"), F.lit(ceil(threshold * len(s) - 1e-9)).alias("need"), F.array(*map(F.lit, s)).alias("held")
-    )
-    index = F.array(*[one(i, t, s) for i, ((_, t), s) in enumerate(zip(templates, sets))])
-    held = F.array(*map(F.lit, sorted({w for s in sets for w in s})))
-    texts = docs.select("_row", words_of(F.col(text_col)).alias("words")).withColumn("present", F.array_intersect(held, F.col("words")))
-    some = F.filter(index, lambda t: F.size(F.array_intersect(F.col("present"), t["held"])) >= t["need"])
-    pairs = texts.select("_row", "words", F.explode(some).alias("t"))
-    spots = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w")))
-    pairs = pairs.select("_row", "t", F.filter(spots, lambda x: F.array_contains(F.col("t.held"), x["w"])).alias("hits"))
+    need = [ceil(threshold * len(o) - 1e-9) for o in ordered]
+    prefixes = [(t, o, n, k, w) for t, (o, n) in enumerate(zip(ordered, need)) for k, w in enumerate(o[: len(o) - n + 1])]
+    index = F.broadcast(spark.range(1).select(F.inline(F.array(*[entry(*x) for x in prefixes]))))  # a row for each prefix word of fixed templates
+    starts = F.array(*map(F.lit, sorted({x[-1] for x in prefixes})))
+    texts = placed.select("row", "at", "w", F.array_distinct("w").alias("present"))
+    met = texts.withColumn("word", F.explode(F.array_intersect(starts, "present"))).join(index, "word")
+    both = F.array_intersect("held", "present")
+    met = met.where((F.get(both, F.lit(0)) == F.col("word")) & (F.size("held") - F.col("t_pos") >= F.col("need")) & (F.size(both) >= F.col("need")))
+    hits = F.filter(F.arrays_zip("at", "w"), lambda x: F.array_contains("held", x["w"]))
+    pairs = met.select("row", "template", "need", "length", F.size("held").alias("size"), hits.alias("hits"))
     at = lambda i: F.get(F.col("hits"), i)["at"]
-    length, need = F.col("t.length"), F.col("t.need")
-    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - need), lambda i: at(i + need - 1) - at(i) < length)
-    window = lambda i: F.filter(F.slice("hits", i + 1, length), lambda x: x["at"] - at(i) < length)
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_distinct(F.transform(window(i), lambda x: x["w"])))))
-    found = pairs.select("_row", "t", best.alias("best")).where(F.col("best") >= need)
-    return found.select("_row", F.col("t.template").alias("template"), (F.col("best") / F.size("t.held")).alias("containment"))
+    # the best block can begin at a template word; too few such words in its reach: no block
+    begins = F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: at(i + F.col("need") - 1) - at(i) < F.col("length"))
+    block = lambda i: F.filter(F.slice("hits", i + 1, F.col("length")), lambda x: x["at"] - at(i) < F.col("length"))
+    best = F.array_max(F.transform(begins, lambda i: F.size(F.array_distinct(F.transform(block(i), lambda x: x["w"])))))
+    return pairs.select("row", "template", "size", "need", best.alias("best")).where(F.col("best") >= F.col("need")).select("row", "template", (F.col("best") / F.col("size")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, base: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document. ``score`` is 1 where a base phrase stands, else the largest
-    containment of a template in one of its lines or windows (0 where none meets the threshold)."""
+    containment of a template in one of its blocks (0 where none meets the threshold)."""
     templates, base = templates or TEMPLATES, base or BASE
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
+    vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p in base for w in p.split()})
+    placed = keep(places_of(docs, id_col, text_col, vocabulary), "license-places")
     named = F.array(*[F.lit(label) for label, _ in templates])
-    matched = (
-        block_matches(rows, "text", templates, threshold)
-        .drop("block")
-        .unionByName(window_matches(rows, "text", templates, threshold))
-        .groupBy("_row")
-        .agg(F.collect_set(F.get(named, F.col("template"))).alias("_more"), F.max("containment").alias("_score"))
-        .withColumnRenamed("_row", "_of")
-    )
-    scanned = base_scan(rows, F.col("text"), base).drop("text")
-    joined = scanned.join(matched, F.col("_row") == F.col("_of"), "left")
+    matched = block_matches(placed, templates, threshold).groupBy("row").agg(F.collect_set(F.get(named, F.col("template"))).alias("more"), F.max("containment").alias("best"))
+    scanned = placed.select("row", "doc_id", "n_words", *[phrase_places(p).alias(f"p{i}") for i, p in enumerate(base)])
+    every = [F.col(f"p{i}") for i in range(len(base))]
+    labels = F.array_compact(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, label in zip(every, base.values())]))
+    scanned = scanned.select("row", "doc_id", "n_words", F.concat(*every).alias("places"), labels.alias("found"))
+    joined = scanned.join(matched, "row", "left")
     text_of = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return joined.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", text_of(F.col("_base")).alias("base_labels"),
-        text_of(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_score", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), text_of(F.col("found")).alias("base_labels"),
+        text_of(F.concat("found", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
 def duckdb_sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same result by comparing every line with every template."""
+    """The same result by comparing every block with every template."""
     templates = templates or TEMPLATES
-    rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {ceil(threshold * len(set(t.split())) - 1e-9)})" for label, t in templates)
+    rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, {ceil(threshold * len(set(t.split())) - 1e-9)}, {len(t.split())})" for i, (label, t) in enumerate(templates))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrase = " UNION ALL ".join(
@@ -180,9 +149,10 @@ ws AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
 hit AS ({phrase}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY 1),
-tpl(label, words, need) AS (VALUES {rows}),
-lines AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-meets AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words)::DOUBLE AS s FROM lines, tpl WHERE len(list_intersect(w, words)) >= need),
+tpl(t, label, words, need, length) AS (VALUES {rows}),
+near AS (SELECT doc_id, t, label, need, length, len(words) AS n, i, w[i] AS x FROM spots, tpl WHERE list_contains(words, w[i])),
+meets AS (SELECT a.doc_id, a.label, count(DISTINCT b.x) / any_value(a.n)::DOUBLE AS s FROM near a JOIN near b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.length
+  GROUP BY a.doc_id, a.t, a.label, a.i, a.need HAVING count(DISTINCT b.x) >= a.need),
 every AS (SELECT doc_id, label FROM hit UNION SELECT doc_id, label FROM meets),
 names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY 1),
 best AS (SELECT doc_id, max(s) AS s FROM meets GROUP BY 1)

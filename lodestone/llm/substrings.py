@@ -3,24 +3,31 @@
 Texts are byte strings. Every window of ``window`` bytes has one trigger, the substring
 of it with the smallest rolling hash; consecutive windows with the same trigger form a
 phrase, and neighbouring phrases overlap by a window less one byte. The parse of a text
-is its sequence of phrases; the dictionary holds every distinct phrase with how often
-the parse has it. Equal windows have equal triggers at the same place, so
-
-* a phrase that the parse has twice is repeated as a whole: all its windows are;
-* a phrase whose trigger no other phrase has is unique: none of its windows is;
-* of the rest, suffixes of dictionary phrases that share a trigger are ranked by their
-  first ``window`` bytes, and equal ranks, each counted as often as the parse has its
-  phrase, are repeated windows.
-
-Since phrases overlap as they do, the order of what follows a phrase never decides
-whether two windows are equal, so of the corpus order only these ranks are made, by
-64-bit hashes of the windows inside a trigger's class. A class of more than
-``HOT_CLASS`` distinct phrases is split by window hash instead of meeting in one group.
-Texts of one batch with equal phrases send them once, so copies do not pile up.
+is its sequence of phrases; the dictionary holds the distinct phrases. Equal windows have
+equal triggers at the same place, so both orders are dealt out by trigger:
+
+* suffixes of the parse are ordered by trigger and first phrase, all of it that a string
+  of ``window`` bytes can reach. Phrases that stand there twice are repeated as a whole;
+  a phrase whose trigger no other phrase has is unique in all its windows;
+* of the others, the suffixes of dictionary phrases are ordered by their first ``window``
+  bytes (a suffix array by doubling, on the bytes themselves), each phrase once. Suffixes
+  that tie are repeated windows.
+
+Ties of both orders together are all places of the corpus whose next ``window`` bytes
+stand elsewhere; what follows beyond them cannot matter, so neither order goes deeper.
+A trigger class of more than ``HOT_CLASS`` distinct phrases is split: windows that hold
+the trigger at about the same place share a core of bytes around it, and those that share
+trigger, place and core are ordered together. Texts of one batch that are equal there, or
+have equal phrases, send them once, so copies do not pile up.
+
+Phrases are named by 128-bit BLAKE2b of their bytes (10^13 distinct ones: two share a
+name with a chance of 10^-13); windows are compared byte by byte.
 
 Cases: a null text is empty; texts shorter than the window lose nothing; repeated rows
-repeat each other's bytes; long texts are parsed in overlapping pieces; columns with
-other names are not read; an empty table gives no rows.
+repeat each other's bytes and are rows of their own (a number made at the start names
+them), so ids may be null or repeated; every copy of a tie goes, none is preferred; long
+texts are parsed in overlapping pieces; other columns are carried whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,100 +38,117 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, keep
-from .parsing import TRIGGER, Piece, parse, window_hashes
+from .parsing import TRIGGER, parse, suffix_ranks
 
 WINDOW = 200
 BATCH_TEXTS = 2000
-BUCKET_DOCS = 4000
-#: Distinct phrases of a trigger beyond which its windows are dealt out by their hashes.
+#: Bytes of text for each bucket of triggers, on average.
+BUCKET_BYTES = 6_000_000
+#: Bytes of phrases that are ordered together in one bucket; classes are never parted.
+SORT_BYTES = 2_000_000
+#: Distinct phrases of a trigger beyond which its windows are dealt out by their cores.
 HOT_CLASS = 2000
+#: Parts by the trigger's place in a window that a hot class is split into first.
+HOT_PARTS = 8
 
 
-def _spans(begin: np.ndarray, starts: np.ndarray) -> bytes:
-    return np.stack([begin, starts], axis=1).astype("<i8").tobytes()
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """``key, row, size, z``: a number for each row, its columns, and its text compressed."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    plain = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.drop(text_col).columns).alias("row") if len(docs.columns) > 1 else F.struct(F.lit(0)).alias("row"), text.alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """``key, row, text``: equal rows have equal keys, which is all that is asked. ``row``
-    is what goes with the text to the end."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    row = F.struct(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry if c != "doc_id"])
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), row.alias("row"), text.alias("text"))
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for p in batches:
+            for k in range(0, p.num_rows, 1000):
+                q = p.slice(k, 1000)
+                texts = q.column(2)
+                sizes = pa.compute.binary_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([q.column(0), q.column(1), sizes, pa.array([squeeze(t.as_py()) for t in texts], pa.binary())], names=["key", "row", "size", "z"])
+
+    return plain.mapInArrow(run, f"key long, row {dict(plain.dtypes)['row']}, size long, z binary")
 
 
 def _rows(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _parsed(p: pa.RecordBatch, window: int, trigger: int):  # noqa: ANN202
-    """The phrases of a batch in (trigger, phrase) order; where distinct ones begin, how
-    often the batch has each."""
-    x = parse([t.as_py() for t in p.column(1)], window, trigger)
-    order = np.lexsort((x.phrase, x.trigger))
-    doc, begin, starts, trigger, phrase = (c[order] for c in x)
-    new = np.ones(len(order), bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(order)))
-    return doc, begin, starts, trigger, phrase, first, times
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of every run of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() if len(x) else []
+    return list(zip(cut, [*cut[1:], len(x)]))
+
+
+PARTS = "bucket long, keys binary, local binary, begins binary, starts binary, offsets binary, triggers binary, names binary, many binary"
 
 
 def dictionary_parts(texts: DataFrame, window: int, trigger_bytes: int, buckets: int) -> DataFrame:
-    """Distinct phrases of every batch, dealt out by trigger."""
+    """Distinct phrases of every batch, dealt out by trigger. What a batch has more than
+    once is repeated already: such windows go along without a trigger."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batched(batches, BATCH_TEXTS, column=1):
+        import zstandard
+
+        loosen = zstandard.ZstdDecompressor().decompress
+        number = TaskContext.get().partitionId()
+        for p in batched(batches, BATCH_TEXTS, column=1, most_bytes=1 << 22):
             keys = p.column(0).to_numpy()
-            doc, begin, starts, trigger, phrase, first, times = _parsed(p, window, trigger_bytes)
+            x = parse([loosen(z.as_py()) for z in p.column(1)], window, trigger_bytes)
+            order = np.lexsort((x.name[:, 1], x.name[:, 0], x.trigger))
+            doc, begin, starts, offset, trigger, name = (c[order] for c in x)
+            new = np.ones(len(order), bool)
+            new[1:] = (trigger[1:] != trigger[:-1]) | (name[1:] != name[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            out = []
+            twice = np.flatnonzero(np.repeat(times > 1, times))
+            if len(twice):
+                twice = twice[np.lexsort((begin[twice], doc[twice]))]
+                d, b, n = doc[twice], begin[twice], starts[twice]
+                fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1] + n[:-1])])
+                n = np.add.reduceat(n, np.flatnonzero(fresh))
+                used, local = np.unique(d[fresh], return_inverse=True)
+                out.append((number % buckets, keys[used].astype("<i8").tobytes(), local.astype("<u2").tobytes(), b[fresh].astype("<u4").tobytes(), n.astype("<u4").tobytes(), b"", b"", b"", b""))
             bucket = (trigger[first] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             first, times, bucket = first[order], times[order], bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                f, t = first[edge[b] : edge[b + 1]], times[edge[b] : edge[b + 1]]
+            for a, b in _runs(bucket):
+                f, t = first[a:b], times[a:b]
                 used, local = np.unique(doc[f], return_inverse=True)
-                out.append((b, keys[used].astype("<i8").tobytes(), local.astype("<u2").tobytes(), begin[f].astype("<u4").tobytes(), starts[f].astype("<u2").tobytes(), trigger[f].tobytes(), phrase[f].tobytes(), (t > 1).astype("u1").tobytes()))
+                out.append((int(bucket[a]), keys[used].astype("<i8").tobytes(), local.astype("<u2").tobytes(), begin[f].astype("<u4").tobytes(), starts[f].astype("<u4").tobytes(), offset[f].astype("<u2").tobytes(), trigger[f].tobytes(), name[f].tobytes(), (t > 1).astype("u1").tobytes()))
             if out:
-                yield _rows(list(zip(*out)), [pa.int32()] + [pa.binary()] * 7, ["bucket", "keys", "local", "begins", "starts", "triggers", "phrases", "many"])
+                yield _rows(list(zip(*out)), [pa.int64()] + [pa.binary()] * 8, [c.split()[0] for c in PARTS.split(", ")])
 
-    return texts.mapInArrow(deal, "bucket int, keys binary, local binary, begins binary, starts binary, triggers binary, phrases binary, many binary")
+    return texts.mapInArrow(deal, PARTS)
 
 
-def repeated_in_batch(texts: DataFrame, window: int, trigger_bytes: int) -> DataFrame:
-    """``key, spans`` of the phrases that a batch has more than once."""
+JUDGED = "key long, begin long, starts long, offset int, kind int, trigger long, hot boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batched(batches, BATCH_TEXTS, column=1):
-            keys = p.column(0).to_numpy()
-            doc, begin, starts, _, _, first, times = _parsed(p, window, trigger_bytes)
-            some = np.flatnonzero(np.repeat(times > 1, times))
-            order = some[np.argsort(doc[some], kind="stable")]
-            cut = np.append(np.flatnonzero(np.diff(doc[order], prepend=-1)), len(order))
-            spans = [_spans(begin[order[a:b]], starts[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-            if spans:
-                yield _rows([keys[doc[order[cut[:-1]]]], spans], [pa.int64(), pa.binary()], ["key", "spans"])
-
-    return texts.mapInArrow(run, "key long, spans binary")
-
-
-def judge_phrases(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of the dictionary: phrases repeated as a whole (``kind`` 2), and of
-    every trigger with several phrases one place of each (1: alone, 0: repeated)."""
-    of = lambda col, kind: [np.frombuffer(x, kind) for x in pdf[col]]
-    key = np.concatenate([np.frombuffer(k, "<i8")[i] for k, i in zip(pdf["keys"], of("local", "<u2"))])
-    begin, starts, trigger, phrase, many = (np.concatenate(of(c, k)) for c, k in (("begins", "<u4"), ("starts", "<u2"), ("triggers", np.uint64), ("phrases", np.uint64), ("many", "u1")))
-    order = np.lexsort((phrase, trigger))
-    key, begin, starts, trigger, phrase, many = (c[order] for c in (key, begin, starts, trigger, phrase, many))
+
+def judge_phrases(pdf: pd.DataFrame, hot_class: int = HOT_CLASS) -> pd.DataFrame:
+    """Of one bucket of the parse: windows repeated as a whole (``kind`` 2), and of every
+    trigger with several phrases one place of each (1: alone, 0: repeated)."""
+    of = lambda part, col, kind: np.concatenate([np.frombuffer(x, kind) for x in part[col]] or [np.zeros(0, kind)])
+    place = lambda part: np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(i, "<u2")] for k, i in zip(part["keys"], part["local"])] or [np.zeros(0, np.int64)])
+    known = pdf["triggers"].str.len() == 0
+    done, pdf = pdf[known], pdf[~known]
+    out = [pd.DataFrame({"key": place(done), "begin": of(done, "begins", "<u4").astype(np.int64), "starts": of(done, "starts", "<u4").astype(np.int64), "offset": 0, "kind": 2, "trigger": 0, "hot": False})]
+    key, name = place(pdf), of(pdf, "names", "<u8").reshape(-1, 2)
+    begin, starts, offset, trigger, many = (of(pdf, c, k) for c, k in (("begins", "<u4"), ("starts", "<u4"), ("offsets", "<u2"), ("triggers", np.uint64), ("many", "u1")))
+    order = np.lexsort((name[:, 1], name[:, 0], trigger))
+    key, begin, starts, offset, trigger, many, name = (c[order] for c in (key, begin, starts, offset, trigger, many, name))
     n = len(order)
     new_class = np.ones(n, bool)
     new_class[1:] = trigger[1:] != trigger[:-1]
     new_phrase = new_class.copy()
-    new_phrase[1:] |= phrase[1:] != phrase[:-1]
+    new_phrase[1:] |= (name[1:] != name[:-1]).any(axis=1)
     class_of, phrase_of = np.cumsum(new_class) - 1, np.cumsum(new_phrase) - 1
     times = np.bincount(phrase_of, weights=1 + many)[phrase_of]
     distinct = np.bincount(class_of, weights=new_phrase).astype(np.int64)[class_of]
@@ -132,132 +156,118 @@ def judge_phrases(pdf: pd.DataFrame) -> pd.DataFrame:
     mixed = np.flatnonzero(new_phrase & (distinct > 1))
     at = np.concatenate([whole, mixed])
     kind = np.concatenate([np.full(len(whole), 2), (times[mixed] < 2).astype(np.int64)]).astype(np.int32)
-    return pd.DataFrame({"key": key[at], "begin": begin[at].astype(np.int64), "starts": starts[at].astype(np.int64), "kind": kind, "trigger": trigger[at].view(np.int64), "hot": distinct[at] > HOT_CLASS})
+    out.append(pd.DataFrame({"key": key[at], "begin": begin[at].astype(np.int64), "starts": starts[at].astype(np.int64), "offset": offset[at].astype(np.int32), "kind": kind, "trigger": trigger[at].view(np.int64), "hot": distinct[at] > hot_class}))
+    return pd.concat(out)
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """``key, row, z``: texts compressed before they are shuffled."""
+def hot_parts(text: bytes, begin: int, starts: int, offset: int, window: int, trigger_bytes: int) -> list[tuple[int, int, int, bytes]]:
+    """A hot phrase's windows by where they hold the trigger: (part, first start, number
+    of starts, the core that all windows of this part around this trigger hold)."""
+    places = window - trigger_bytes + 1
+    wide = -(-places // HOT_PARTS)
+    at, out = begin + offset, []
+    for part in range(-(-places // wide)):
+        low, high = at - (part + 1) * wide + 1, at - part * wide
+        a, b = max(low, begin), min(high, begin + starts - 1)
+        if a <= b:
+            out.append((part, a, b - a + 1, text[max(high, 0) : low + window]))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for p in batches:
-            for k in range(0, p.num_rows, 1000):
-                q = p.slice(k, 1000)
-                yield pa.RecordBatch.from_arrays([q.column(0), q.column(1), pa.array([squeeze(t.as_py()) for t in q.column(2)], pa.binary())], names=["key", "row", "z"])
 
-    return texts.mapInArrow(run, f"key long, row {dict(texts.dtypes)['row']}, z binary")
+def _class_key(*parts: bytes | int) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for x in parts:
+        h.update(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True))
+    return int.from_bytes(h.digest(), "little") >> 1
 
 
-def repeated_windows(packed: DataFrame, mixed: DataFrame, window: int, buckets: int) -> DataFrame:
+def repeated_windows(packed: DataFrame, mixed: DataFrame, window: int, trigger_bytes: int, buckets: int) -> DataFrame:
     """``key, spans`` of the windows that phrases of one trigger share. A phrase goes as
-    bytes to its trigger's bucket, or, in a hot class, as hashes to those of its windows."""
-    asked = mixed.groupBy("key").agg(F.collect_list(F.struct("begin", "starts", "kind", "trigger", "hot")).alias("asked"))
+    bytes to its trigger's bucket, those of a hot class to the buckets of their cores."""
+    asked = mixed.groupBy("key").agg(F.collect_list(F.struct("begin", "starts", "offset", "kind", "trigger", "hot")).alias("asked"))
     both = packed.select("key", "z").join(asked, "key")
+    names, types = ["bucket", "class", "key", "begin", "starts", "need", "part"], [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         loosen = zstandard.ZstdDecompressor().decompress
-        names = ["bucket", "key", "begin", "need", "trigger", "part", "hashes", "at"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for p in batches:
-            out, seen = [], set()
+            out: list = []
+            size, alike = 0, {}
             for key, z, asked_ in zip(p.column(0).to_pylist(), p.column(1), p.column(2).to_pylist()):
-                if key in seen:
-                    continue
-                seen.add(key)
                 text = loosen(z.as_py())
                 for a in asked_:
-                    stop = a["begin"] + a["starts"] + window - 1
+                    begin, starts, need = a["begin"], a["starts"], a["kind"] == 1
                     if not a["hot"]:
-                        out.append((a["trigger"] % buckets, key, a["begin"], a["kind"] == 1, a["trigger"], text[a["begin"] : stop], None, None))
+                        own = _class_key(a["trigger"])
+                        out.append((own % buckets, own, key, begin, starts, need, text[begin : begin + starts + window - 1]))
+                        size += starts + window
                         continue
-                    h = window_hashes(text, a["begin"], a["starts"], window)
-                    b = (h % np.uint64(buckets)).astype(np.int64)
-                    for x in np.unique(b).tolist():
-                        w = np.flatnonzero(b == x)
-                        out.append((x, key, a["begin"], a["kind"] == 1, a["trigger"], None, h[w].tobytes(), w.astype("<u4").tobytes()))
-                if len(out) > 20_000:
-                    yield _rows(list(zip(*out)), types, names)
-                    out = []
-            if out:
-                yield _rows(list(zip(*out)), types, names)
+                    for part, b, n, core in hot_parts(text, begin, starts, a["offset"], window, trigger_bytes):
+                        own, raw = _class_key(a["trigger"], part, core), text[b : b + n + window - 1]
+                        size += len(raw)
+                        alike.setdefault((own, raw), []).append((key, b, n, need))
+                if size > 1 << 23:
+                    yield from flush(out, alike)
+                    out, size, alike = [], 0, {}
+            yield from flush(out, alike)
+
+    def flush(out: list, alike: dict) -> Iterator[pa.RecordBatch]:
+        # strings that a batch has twice are repeated; one of them goes on as a witness
+        for (own, raw), places in alike.items():
+            key, b, n, need = places[0]
+            out.append((own % buckets, own, key, b, n, need and len(places) == 1, raw))
+            if len(places) > 1:
+                out += [(own % buckets, own, key, b, n, True, None) for key, b, n, need in places if need]
+        if out:
+            yield _rows(list(zip(*out)), types, names)
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, at, row = [], [], []
-        parts = [(i, b) for i, b in enumerate(pdf["part"]) if b is not None]
-        for k in range(0, len(parts), 1000):
-            some = parts[k : k + 1000]
-            sizes = np.array([len(b) for _, b in some])
-            first = np.cumsum(sizes) - sizes
-            windows = sizes - window + 1
-            of = np.repeat(np.arange(len(some)), windows)
-            place = np.arange(len(of)) - (np.cumsum(windows) - windows)[of]
-            begin = first[of] + place
-            hashes.append(Piece(np.frombuffer(b"".join(b for _, b in some), np.uint8)).hashes(begin, begin + window))
-            at.append(place)
-            row.append(np.array([i for i, _ in some])[of])
-        for i, (h, w) in enumerate(zip(pdf["hashes"], pdf["at"])):
-            if h is not None:
-                hashes.append(np.frombuffer(h, np.uint64))
-                at.append(np.frombuffer(w, "<u4").astype(np.int64))
-                row.append(np.full(len(at[-1]), i))
-        hashes, at, row = np.concatenate(hashes), np.concatenate(at), np.concatenate(row)
-        trigger = pdf["trigger"].to_numpy()[row]
-        order = np.lexsort((hashes, trigger))
-        h, t = hashes[order], trigger[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-        times = np.diff(np.append(np.flatnonzero(new), len(order)))[np.cumsum(new) - 1]
-        found = order[(times > 1) & pdf["need"].to_numpy()[row[order]]]
-        found = found[np.lexsort((at[found], row[found]))]
-        r, w = row[found], at[found]
-        # consecutive windows of a phrase go as one span
-        cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])) if len(found) else np.zeros(0, np.int64)
-        length = np.diff(np.append(cut, len(found)))
-        begin = pdf["begin"].to_numpy()[r[cut]] + w[cut]
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[r[cut]], "spans": [_spans(np.array([b]), np.array([n])) for b, n in zip(begin, length)]})
-
-    dealt = both.mapInArrow(deal, "bucket int, key long, begin long, need boolean, trigger long, part binary, hashes binary, at binary")
-    return dealt.groupBy("bucket").applyInPandas(rank, "key long, spans binary")
-
-
-def removed_runs(spans: list[bytes], window: int) -> np.ndarray:
+        told = pdf["part"].isna()
+        out = [pdf.loc[told, ["key", "begin", "starts"]]]
+        pdf = pdf[~told]
+        pdf = pdf.iloc[np.argsort(pdf["class"].to_numpy(), kind="stable")]
+        sizes = pdf["part"].str.len().to_numpy(np.int64)
+        group, at = pdf["class"].to_numpy(), 0
+        total = np.cumsum(sizes)
+        for a, b in _runs(group):
+            if b < len(group) and total[b - 1] - (total[at - 1] if at else 0) < SORT_BYTES:
+                continue
+            some = pdf.iloc[at:b]
+            _, shared = suffix_ranks(some["part"].tolist(), window)
+            row = np.repeat(np.arange(b - at), sizes[at:b])
+            place = np.arange(len(row)) - (total[at:b] - sizes[at:b] - (total[at - 1] if at else 0))[row]
+            found = np.flatnonzero(shared & some["need"].to_numpy(bool)[row])
+            r, w = row[found], place[found]
+            # consecutive windows of a phrase go as one span
+            cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])) if len(found) else np.zeros(0, np.int64)
+            out.append(pd.DataFrame({"key": some["key"].to_numpy()[r[cut]], "begin": some["begin"].to_numpy()[r[cut]] + w[cut], "starts": np.diff(np.append(cut, len(found)))}))
+            at = b
+        return pd.concat(out)
+
+    dealt = both.mapInArrow(deal, "bucket long, class long, key long, begin long, starts long, need boolean, part binary")
+    return dealt.groupBy("bucket").applyInPandas(rank, "key long, begin long, starts long")
+
+
+def removed_runs(begin: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Maximal runs (begin, end) of bytes that repeated windows cover."""
-    x = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans])
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    end = np.maximum.accumulate(x[:, 0] + x[:, 1] + window - 1)
-    new = np.concatenate([[True], x[1:, 0] > end[:-1]])
-    first = np.flatnonzero(new)
-    return np.stack([x[first, 0], end[np.append(first[1:], len(x)) - 1]], axis=1)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, trigger: int = TRIGGER, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and its columns
-    ``carry``; ``with_text`` adds ``kept``, the remaining text without letters that were
-    cut through."""
-    texts = _keyed(docs, id_col, text_col, carry or [])
-    buckets = max(16, docs.count() // BUCKET_DOCS)
-    plain = texts.select("key", "text")
-    judged = keep(
-        dictionary_parts(plain, window, trigger, buckets).groupBy("bucket").applyInPandas(judge_phrases, "key long, begin long, starts long, kind int, trigger long, hot boolean"),
-        "parse-judged",
-    )
-    packed = _packed(texts)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in batches:
-            begin, starts = (p.column(i).to_numpy() for i in (1, 2))
-            raw = _spans(begin, starts)
-            yield _rows([p.column(0), [raw[16 * i : 16 * i + 16] for i in range(p.num_rows)]], [pa.int64(), pa.binary()], ["key", "spans"])
-
-    whole = judged.where("kind = 2").select("key", "begin", "starts").mapInArrow(pack, "key long, spans binary")
-    found = whole.unionByName(repeated_in_batch(plain, window, trigger)).unionByName(repeated_windows(packed, judged.where("kind < 2"), window, buckets))
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    end = np.maximum.accumulate(begin + starts[order] + window - 1)
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+    return np.stack([begin[first], end[np.append(first[1:], len(begin)) - 1]], axis=1)
+
+
+def _cut_texts(docs: DataFrame, text_col: str, window: int, trigger: int, with_text: bool, hot_class: int) -> DataFrame:
+    """``row`` (a row's other columns), the four figures and, ``with_text``, ``kept``."""
+    packed = keep(_numbered(docs, text_col), "parse-texts")
+    buckets = max(16, (packed.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)
+    judged = keep(dictionary_parts(packed.select("key", "z"), window, trigger, buckets).groupBy("bucket").applyInPandas(lambda pdf: judge_phrases(pdf, hot_class), JUDGED), "parse-judged")
+    found = judged.where("kind = 2").select("key", "begin", "starts").unionByName(repeated_windows(packed, judged.where("kind < 2"), window, trigger, buckets))
     # a text has no more spans than bytes, so what one row collects is bounded by its text
-    spans = found.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    shape = f"row {dict(texts.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    spans = found.groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("starts").alias("starts"))
+    shape = f"row {dict(packed.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -266,29 +276,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for p in batches:
             for k in range(0, p.num_rows, 500):
                 q, out = p.slice(k, 500), []
-                for z, s in zip(q.column(1), q.column(2)):
+                for z, b, n in zip(q.column(1), q.column(2), q.column(3)):
                     text = loosen(z.as_py())
-                    runs = removed_runs([x.as_py() for x in s.values], window) if s.is_valid else np.zeros((0, 2), np.int64)
+                    runs = removed_runs(b.values.to_numpy(), n.values.to_numpy(), window) if b.is_valid and len(b) else np.zeros((0, 2), np.int64)
                     at, kept = 0, []
-                    for a, b in runs.tolist():
+                    for a, e in runs.tolist():
                         kept.append(text[at:a])
-                        at = b
+                        at = e
                     kept = b"".join([*kept, text[at:]])
-                    out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                    out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
                 cols = list(zip(*out))[: 4 + with_text]
                 arrays = [q.column(0)] + [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
-    done = packed.join(spans, "key", "left").select("row", "z", "spans").mapInArrow(cut, shape)
-    return done.select("row.*", *done.columns[1:])
+    return packed.join(spans, "key", "left").select("row", "z", "begins", "starts").mapInArrow(cut, shape)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, trigger: int = TRIGGER, with_text: bool = False, hot_class: int = HOT_CLASS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; ``with_text``
+    adds ``kept``, the remaining text without letters that were cut through."""
+    done = _cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", window, trigger, with_text, hot_class)
+    return done.select(F.col("row.doc_id").alias("doc_id"), *done.columns[1:])
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, trigger: int = TRIGGER, hot_class: int = HOT_CLASS) -> DataFrame:
     """The documents with the remaining texts, in the columns of ``docs``. A text of which
-    nothing remains goes; one that was empty before stays as it is."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = remove_repeats(docs, with_text=True, carry=rest, **options)
-    done = done.where("n_removed = 0 or n_removed < n_bytes and kept <> ''").withColumn("text", F.col("kept"))
-    if "n_chars" in rest:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    nothing remains goes; one that was empty before stays, a null text as an empty one."""
+    done = _cut_texts(docs, text_col, window, trigger, True, hot_class).where("n_removed = 0 or n_removed < n_bytes and kept <> ''")
+    shorter = F.when(F.col("n_removed") > 0, F.length("kept"))
+    new = {c: F.col("row")[c] for c in docs.columns if c != text_col} | {text_col: F.col("kept")}
+    if "n_chars" in new:
+        new["n_chars"] = F.coalesce(shorter.cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return done.select(*[new[c].alias(c) for c in docs.columns])

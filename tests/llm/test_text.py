@@ -53,13 +53,34 @@ def brute_removal(texts, window):
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
-def test_substrings_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT_CLASS", hot)
+def test_substrings_equal_brute_force(spark, hot):
     texts = passages(1, 120)
-    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeats(docs_of(spark, texts), window=30, trigger=6).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeats(docs_of(spark, texts), window=30, trigger=6, hot_class=hot).collect()}
     assert [got[i] for i in range(len(texts))] == brute_removal(texts, 30)
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_long_substrings_of_long_texts(spark, hot):
+    """Windows of 200 bytes; texts beyond the seam of two pieces; one passage in many surroundings."""
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(420)
+    long_ = noise((1 << 18) - 150)
+    texts = [long_ + passage + noise(90_000), noise(500) + long_[-300:] + passage[:260], "ab" * 1000, long_[:199], "x" * 199, None]
+    texts += [noise(r.randint(0, 300)) + passage[r.randint(0, 60) :] + noise(r.randint(0, 300)) for _ in range(40)]
+    got = {x["doc_id"]: tuple(x)[1:] for x in substrings.remove_repeats(docs_of(spark, texts), hot_class=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removal(texts, 200)
+
+
+def test_substrings_of_odd_rows_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text + " end", 1), (4, text, 2), (4, text, 2), (5, "alone", 3), (None, None, 4), (6, "", 5)]
+    df = spark.createDataFrame([(i, t, n, "z", b"k", None) for i, t, n in rows], "doc_id long, text string, n_bytes int, row string, z binary, key string")
+    out = substrings.without_repeats(df)
+    got = sorted(((x["doc_id"] or -1), x["text"], x["n_bytes"]) for x in out.collect())
+    assert out.columns == df.columns and got == [(-1, "", 4), (-1, " end", 1), (5, "alone", 3), (6, "", 5)]
+
+
 def test_substrings_over_many_batches(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BATCH_TEXTS", 7)
     texts = passages(2, 150)
@@ -230,7 +251,7 @@ def test_wrapped_licenses_equal_brute_force(spark):
         best = {}
         for label, t in licenses.TEMPLATES:
             held, n = set(t.split()), len(t.split())
-            blocks = [words[k : k + n] for k in range(len(words))] + [re.findall(r"[a-z0-9]+", x.lower()) for x in text.split("\n")]
+            blocks = [words[k : k + n] for k in range(len(words))]
             most = max((len(held & set(b)) for b in blocks), default=0)
             if 10 * most >= 8 * len(held):
                 best[label] = max(best.get(label, 0), most / len(held))

@@ -43,11 +43,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep(df: DataFrame, name: str = "table", path: str | None = None, **options: str) -> DataFrame:
+def keep(df: DataFrame, name: str = "table", path: str | None = None, by: str | None = None, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and an
-    executor that is lost later costs no recomputation."""
+    executor that is lost later costs no recomputation. ``by`` gives each value of a
+    column a folder of its own."""
     path = path or new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

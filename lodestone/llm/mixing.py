@@ -2,7 +2,7 @@
 
 The target of a source is an amount of words. Blocks of equal size are the seats: they
 are given to sources by highest quotients (votes / 1, 3, 5, ...), then in the same way
-to the shards of each source. Inside a shard the documents stand in a seeded order, so
+to teams of shards of each source and to the shards of each team. Inside a shard the documents stand in a seeded order, so
 the shard's blocks are numbered along that order and the quota takes whole rounds of
 the shard first and then its first blocks; a block may end inside a document.
 
@@ -26,6 +26,8 @@ from .common import WORD, keep
 BLOCK_WORDS = 16
 #: Words that a shard holds on average; a source gets as many shards as its size asks for.
 SHARD_WORDS = 200_000
+#: Shards whose quotas are made together.
+TEAM_SHARDS = 4096
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -65,18 +67,20 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
         n = np.floor((votes / mid + 1) / 2).sum()
         low, high = (mid, high) if n > seats else (low, mid)
     got = np.floor((votes / high + 1) / 2).astype(np.int64)
-    for _ in range(int(seats - got.sum())):
-        got[int(np.argmax(votes / (2 * got + 1)))] += 1
+    while (left := int(seats - got.sum())) > 0:  # once, but for rounding: these quotients are equal
+        got[np.argsort(-(votes / (2 * got + 1)), kind="stable")[:left]] += 1
     return got
 
 
 def source_targets(totals: list[tuple], weights: tuple, share: float, cap: float, block: int) -> list[tuple]:
-    """(source, size) of every source to (number, source, size, target, blocks)."""
+    """(source, size) of every source to (number, source, size, target, blocks, words of a block)."""
     order = sorted(totals, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
     sizes = [int(r[1] or 0) for r in order]
     target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(order))], share, cap)
+    # a small corpus has smaller blocks, so that every source gets some thousand of them
+    block = int(min(block, max(1, sum(target) // (1000 * max(1, len(order))))))
     seats = sainte_lague(np.array(target), round(sum(target) / block)) if order else []
-    return [(i, r[0], s, float(t), int(n)) for i, (r, s, t, n) in enumerate(zip(order, sizes, target, seats))]
+    return [(i, r[0], s, float(t), int(n), block) for i, (r, s, t, n) in enumerate(zip(order, sizes, target, seats))]
 
 
 def word_count(text: Column) -> Column:
@@ -96,7 +100,7 @@ def mix_sources(
     seed: int = 7,
     with_row: bool = False,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and the shard of every document;
+    """``doc_id, size, source_size, target, taken``, the shard and the seeded rank of every document;
     ``with_row`` adds the document's own columns as the struct ``row``.
 
     The per-source totals (one row a source: the table that mixing weights are set for)
@@ -109,7 +113,7 @@ def mix_sources(
     sizes = keep(docs.select(*read), "mix-sizes")
     totals = [(r[0], r[1]) for r in sizes.groupBy("source").agg(F.sum("size")).collect()]
     targets = source_targets(totals, weights, share, cap, block)
-    of_source = spark.createDataFrame(targets, "source_no int, source string, source_size long, target double, blocks long").withColumn("shards", F.ceil(F.greatest(F.col("source_size") / shard_words, F.lit(1.0))).cast("long"))
+    of_source = spark.createDataFrame(targets, "source_no int, source string, source_size long, target double, blocks long, block int").withColumn("shards", F.ceil(F.greatest(F.col("source_size") / shard_words, F.lit(1.0))).cast("long"))
 
     def place(rows: DataFrame) -> DataFrame:
         # a row a source, as at the driver already
@@ -117,14 +121,19 @@ def mix_sources(
         keyed = named.withColumn("rank_key", F.xxhash64(F.col("doc_id"), F.col("mark"), F.lit(seed)))
         return keyed.withColumn("shard", F.pmod(F.xxhash64(F.col("rank_key"), F.lit("shard")), F.col("shards")))
 
-    def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        return pdf[["source_no", "shard", "shard_size"]].assign(quota=sainte_lague(pdf["shard_size"].to_numpy(), int(pdf["blocks"].iloc[0])))
-
-    shards = place(sizes).groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    quota = shards.groupBy("source_no").applyInPandas(quotas, "source_no int, shard long, shard_size long, quota long")
+    def seats(entry: str, votes: str):  # noqa: ANN202
+        return lambda pdf: pdf.sort_values(entry).assign(seats=lambda x: sainte_lague(x[votes].to_numpy(), int(x["blocks"].iloc[0])))[[c for c in ("source_no", "team", "shard", "shard_size", "seats") if c in pdf.columns or c == "seats"]]
+
+    # from sources to teams of shards, then to the shards of each team: no group grows with
+    # its source (a team of TEAM_SHARDS; a source of 10^12 words has some thousand teams)
+    shards = place(sizes).groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
+    shards = shards.withColumn("team", F.floor(F.col("shard") / TEAM_SHARDS))
+    teams = shards.groupBy("source_no", "team").agg(F.sum("shard_size").alias("team_size"), F.first("blocks").alias("blocks"))
+    given = teams.groupBy("source_no").applyInPandas(seats("team", "team_size"), "source_no int, team long, seats long").withColumnRenamed("seats", "blocks")
+    quota = shards.drop("blocks").join(given, ["source_no", "team"]).groupBy("source_no", "team").applyInPandas(seats("shard", "shard_size"), "source_no int, team long, shard long, shard_size long, seats long")
+    quota = quota.select("source_no", "shard", "shard_size", F.col("seats").alias("quota"))
     order = Window.partitionBy("source_no", "shard").orderBy("rank_key", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, 0)
-    allowed = F.least(F.col("quota") * block, (F.col("shard_size") * cap).cast("long"))
+    allowed = F.least(F.col("quota") * F.col("block"), (F.col("shard_size") * cap).cast("long"))
     rounds = F.when(F.col("shard_size") > 0, F.floor(allowed / F.col("shard_size"))).otherwise(0)
     rest = allowed - rounds * F.col("shard_size")
     begin = F.col("upto") - F.col("size")
@@ -135,7 +144,7 @@ def mix_sources(
         .select(
             "doc_id", "size", "source_size", "target",
             (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("upto"), rest) - begin)).cast("long").alias("taken"),
-            "source", "shard", *(["row"] if with_row else []),
+            "source", "shard", "rank_key", *(["row"] if with_row else []),
         )
     )
 

@@ -7,8 +7,10 @@ without a gap, and one tail of fewer tokens, whose bins lose less than C / (k +
 Every partition packs on its own: no shuffle, and a partition that is computed again
 gives the same rows. Bins that a partition leaves half full are split by powers of two.
 
-Cases: a null or empty text is its end-of-document id alone; repeated rows are packed
-as rows of their own; long texts are tokenised whole; an empty table gives no rows.
+Cases: a null or empty text is its end-of-document id alone; repeated rows, and rows
+whose id is null or repeated, are packed as rows of their own; pieces of equal length go
+in the order of their rows; long texts are tokenised whole, and no text is taken for the
+end id; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import batched
+
 CAPACITY = 4096
 #: Exact power-of-two pieces are not cut shorter than this; the rest is one tail.
 MIN_PIECE = 64
@@ -50,13 +54,13 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known: dict = {"": 0}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
         self.used, self.n = 0, 1
 
-    def _put(self, word: str, ids: list[int]) -> None:
+    def _put(self, word: str | tuple, ids: list[int]) -> None:
         if self.n == len(self.begin):
             self.begin, self.size = np.resize(self.begin, 2 * self.n), np.resize(self.size, 2 * self.n)
         if self.used + len(ids) > len(self.flat):
@@ -87,10 +91,10 @@ class WordTokenizer:
         """All ids one text after another, each closed by ``end_id``; tokens of each text."""
         if self.n > CACHE_WORDS:
             self.clear()
-        end = "\x00end"
+        end = (end_id,)  # no text, so no word of a text is taken for it
         if end not in self.known:
             self._put(end, [end_id])
-        words: list[str] = []
+        words: list = []
         counts = []
         for t in texts:
             w = self._split(t or "")
@@ -193,20 +197,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             out = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[2], cols[3], cols[4], *cols[-4:])]
             return pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, counts = words.encode(part.column(1).to_pylist(), end_id)
-                raw = ids.astype("<u4").tobytes()
-                rows, at = [], 0
-                for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
-                    start = 0
-                    for length in cut_lengths(n, capacity, min_piece):
-                        crc = zlib.crc32(raw[4 * at : 4 * (at + length)])
-                        rows += bins.add((doc, start, length, crc, n, ids[at : at + length].astype(np.int32) if with_ids else None))
-                        start, at = start + length, at + length
-                if rows:
-                    yield batch_of(rows)
+        for part in batched(batches, 256, column=1):
+            ids, counts = words.encode(part.column(1).to_pylist(), end_id)
+            raw = ids.astype("<u4").tobytes()
+            rows, at = [], 0
+            for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
+                start = 0
+                for length in cut_lengths(n, capacity, min_piece):
+                    crc = zlib.crc32(raw[4 * at : 4 * (at + length)])
+                    rows += bins.add((doc, start, length, crc, n, ids[at : at + length].astype(np.int32) if with_ids else None))
+                    start, at = start + length, at + length
+            if rows:
+                yield batch_of(rows)
         if rows := bins.rest():
             yield batch_of(rows)
 

@@ -1,7 +1,7 @@
 """WARC archives: writing captures and assembling transactions from the records.
 
 A capture is three records: request, response (or revisit) and metadata. Request and
-metadata name the response in ``WARC-Concurrent-To``; reading joins them on it. Spark's
+metadata name the response in ``WARC-Concurrent-To``; reading lets them meet on it. Spark's
 text writer makes the files: a record is one string, and the two line ends that close
 every record are the writer's line separator, so no worker opens a file of its own.
 
@@ -10,7 +10,7 @@ have one response (largest id, which is a response wherever it is repeated), the
 revisit it; payloads may hold anything, line ends included (records are read by
 Content-Length); a null id or url is written as an empty field; every row is a capture:
 where its id is null or stands in an earlier row, its records are named by a number of
-the row before the id; an empty table gives an archive without records and an empty result.
+the row before the id; other columns are not read, whatever their names; an empty table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from .common import keep, new_path
 
 #: Two line ends close a record.
 END = "\r\n\r\n"
-#: Captures in one archive file: bounds the memory of the task that reads it.
-CAPTURES_PER_FILE = 2000
+#: Captures in one archive file, by the most bytes of their payloads: bounds the memory of
+#: the task that reads it. A larger capture has a file of its own.
+CAPTURES_PER_FILE = ((1 << 16, 2000), (1 << 21, 64), (None, 1))
 RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, page_id long, payload_bytes long, payload binary"
 
 
@@ -40,27 +41,28 @@ def digest32(payload: Column) -> Column:
 
 
 def capture_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """Two columns: ``record`` (text of all three records of a capture)."""
+    """``record`` (text of all three records of a capture) and its size class ``tier``."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    tier = sum((F.octet_length(payload) > most).cast("int") for most, _ in CAPTURES_PER_FILE if most is not None)
     # a number for each row, made once: only what is written keeps it
     p = keep(
         pages.select(
             F.monotonically_increasing_id().alias("n"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
-            payload.alias("payload"), digest32(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
+            payload.alias("payload"), digest32(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), tier.alias("tier"),
         ),
-        "warc-pages", compression="zstd",
+        "warc-pages", by="tier", compression="zstd",
     )
     ids = p.where("id is not null").select("n", "id")
     repeated = ids.groupBy("id").agg(F.min("n").alias("first_n"), F.count("*").alias("rows")).where("rows > 1")
     later = ids.join(repeated, "id").where("n <> first_n").select(F.col("n").alias("later_n"))
     name = F.when(F.col("id").isNull() | F.col("later_n").isNotNull(), F.concat(F.col("n").cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit("")))).otherwise(F.col("id").cast("string"))
     # few columns, so a hot digest splits cheaply; the payloads then meet it by unique number
-    named = keep(p.select("n", "id", "digest", "bytes").join(later, F.col("n") == F.col("later_n"), "left").select("n", "id", "digest", "bytes", name.alias("name")), "warc-names")
+    named = keep(p.select("n", "id", "digest", "bytes", "tier").join(later, F.col("n") == F.col("later_n"), "left").select("n", "id", "digest", "bytes", name.alias("name"), "tier"), "warc-names")
     # the response of a digest: partial maxima first, so a hot digest is one row a task
     first = named.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.max(F.struct("id", "n", "name")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     revisits = named.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first.id")) & (F.col("bytes") >= min_revisit)).select(F.col("n").alias("revisit_n"), F.col("first.name").alias("first_name"))
-    names = named.join(revisits, F.col("n") == F.col("revisit_n"), "left").select("n", "name", "first_name")
-    p = p.select("n", "id", "url", "payload", "digest").join(names, "n")
+    names = keep(named.join(revisits, F.col("n") == F.col("revisit_n"), "left").select("n", "name", "first_name", "tier"), "warc-named", by="tier")
+    p = p.select("n", "id", "url", "payload", "digest", "tier").join(names, ["n", "tier"])
     urn = lambda kind, i: F.concat(F.lit(f"<urn:capture:{kind}:"), i, F.lit(">"))
     url = F.translate("url", "\r\n", "")
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\r\n]*)", 1)
@@ -84,13 +86,15 @@ def capture_records(pages: DataFrame, id_col: str, url_col: str, payload_col: st
     )
     request = record("request", urn("request", F.col("name")), "application/http; msgtype=request", F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)), line("WARC-Concurrent-To: ", uid))
     metadata = record("metadata", urn("metadata", F.col("name")), "application/warc-fields", F.concat(line("captureId: ", F.coalesce(F.col("id").cast("string"), F.lit(""))), line("payloadLength: ", F.octet_length("payload").cast("string"))), line("WARC-Concurrent-To: ", uid))
-    return p.select(F.concat(request, F.lit(END), main, F.lit(END), metadata).alias("record"))
+    return p.select(F.concat(request, F.lit(END), main, F.lit(END), metadata).alias("record"), "tier")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0) -> None:
-    """Writes gzip archives of at most ``CAPTURES_PER_FILE`` captures under ``path``."""
+    """Writes gzip archives under ``path``, in a folder for each of the size classes."""
     records = capture_records(pages, id_col, url_col, payload_col, min_revisit)
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    for number, (_, captures_) in enumerate(CAPTURES_PER_FILE):
+        # the tables behind have a folder for each class, so every class reads its own only
+        records.where(F.col("tier") == number).select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", captures_).text(f"{path}/{number}")
 
 
 def parse_records(data: bytes, with_payload: bool) -> Iterator[tuple]:
@@ -129,21 +133,23 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 rows = list(parse_records(zlib.decompressobj(31).decompress(content.as_py()), with_payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(parse, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit joined with the request and
-    metadata records that are concurrent to it. Record ids are unique, so no key is hot."""
-    main = records.where(F.col("record_type").isin("response", "revisit"))
-    of = lambda kind: records.where(F.col("record_type") == kind)
-    request = of("request").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", F.col("payload").alias("head")).alias("request"))
-    metadata = of("metadata").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "page_id", "payload_bytes").alias("metadata"))
-    return (
-        main.join(request, "record_id", "left")
-        .join(metadata, "record_id", "left")
-        .select(F.col("metadata.page_id").alias("page_id"), "target_uri", "request", F.struct("record_id", "record_type", "refers_to", "payload_digest", "payload").alias("response"), "metadata")
+    """One nested row per capture: its response or revisit with the request and metadata
+    records that are concurrent to it. The records are read once and meet on the id of the
+    response, which all three name; ids are unique, so no key is hot. Records that are
+    concurrent to none, and requests or metadata without a response, give no row."""
+    kind = F.col("record_type")
+    of = lambda some, row: F.first(F.when(some, row), ignorenulls=True)
+    met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture")).agg(
+        of(kind.isin("response", "revisit"), F.struct("record_id", "record_type", "refers_to", "payload_digest", "payload", "target_uri")).alias("main"),
+        of(kind == "request", F.struct("record_id", F.col("payload").alias("head"))).alias("request"),
+        of(kind == "metadata", F.struct("record_id", "page_id", "payload_bytes")).alias("metadata"),
     )
+    response = F.struct(*[F.col("main")[c].alias(c) for c in ("record_id", "record_type", "refers_to", "payload_digest", "payload")])
+    return met.where("main is not null").select(F.col("metadata.page_id").alias("page_id"), F.col("main.target_uri").alias("target_uri"), "request", response.alias("response"), "metadata")
 
 
 def round_trip(pages: DataFrame, with_payload: bool = False, **options) -> DataFrame:

@@ -162,6 +162,58 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s] - t) <= 0.01 * t + mixing.BLOCK_WORDS * 12
 
 
+def highest_quotients(votes, seats):
+    import heapq
+    from fractions import Fraction
+
+    got = [0] * len(votes)
+    heap = [(-Fraction(v), i) for i, v in enumerate(votes) if v]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i = heapq.heappop(heap)
+        got[i] += 1
+        heapq.heappush(heap, (-Fraction(votes[i], 2 * got[i] + 1), i))
+    return got
+
+
+def test_mix_equals_plain_version(spark, monkeypatch):
+    """From the shards and seeded ranks on: every quota and share, seat by seat."""
+    monkeypatch.setattr(mixing, "TEAM_SHARDS", 3)
+    r = random.Random(6)
+    texts = [" ".join(["w"] * r.choice([0, 1, 3, 40, 300])) for _ in range(250)] + [None, None]
+    sources = [r.choice(["b", "b", "b", "a", None, "é"]) for _ in texts]
+    rows = mixing.mix_sources(docs_of(spark, texts, sources), shard_words=700).collect()
+    order = sorted(set(sources), key=lambda x: (x is None, (x or "").encode()))
+    size = [sum(len((t or "").split()) for t, s in zip(texts, sources) if s == o) for o in order]
+    target = mixing.water_fill(size, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2.0)
+    block = max(1, min(16, int(sum(target) // (1000 * len(order)))))
+    seats = dict(zip(order, highest_quotients([int(t * 1000) for t in target], round(sum(target) / block))))
+    shards = defaultdict(list)
+    for x in rows:
+        assert (x["size"], x["source"], x["source_size"]) == (len((texts[x["doc_id"]] or "").split()), sources[x["doc_id"]], size[order.index(x["source"])])
+        assert abs(x["target"] - target[order.index(x["source"])]) < 1e-6
+        shards[x["source"], x["shard"]].append(x)
+    for source in order:
+        own = sorted(k for s, k in shards if s == source)
+        total = {k: sum(x["size"] for x in shards[source, k]) for k in own}
+        teams = sorted({k // 3 for k in own})
+        of_team = dict(zip(teams, highest_quotients([sum(total[k] for k in own if k // 3 == t) for t in teams], seats[source])))
+        for t in teams:
+            some = [k for k in own if k // 3 == t]
+            for k, quota in zip(some, highest_quotients([total[k] for k in some], of_team[t])):
+                allowed = min(quota * block, 2 * total[k])
+                rest = allowed - (allowed // total[k] if total[k] else 0) * total[k]
+                for x in sorted(shards[source, k], key=lambda x: (x["rank_key"], x["doc_id"])):
+                    part = min(rest, x["size"])
+                    rest -= part
+                    assert x["taken"] == (allowed // total[k] if total[k] else 0) * x["size"] + part
+
+
+def test_small_corpora_are_mixed(spark):
+    rows = mixing.mix_sources(docs_of(spark, ["a b c", "d"], ["x", "y"])).collect()
+    assert sorted((x["doc_id"], x["taken"], x["target"]) for x in rows) == [(0, 4, 30 / 7), (1, 2, 12 / 7)]
+
+
 def test_mixed_texts_hold_what_was_taken(spark):
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (30, 100, 7, 64, 200, 1)]
     docs = docs_of(spark, texts, ["a", "a", "b", "b", "c", "c"])
@@ -198,7 +250,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    texts = ["", None, "Hello, World! It's 'S fine...", "é É İ! ́x ½", "a\x1cb c\td\r\n<|endoftext|> <|ENDOFTEXT|>", "ﬁ ΣΑΣ. 日本 語", "word " * 9000, *passages(4, 60)]
+    texts = ["\x00end", "", None, "Hello, World! It's 'S fine...", "é É İ! ́x ½", "a\x1cb c\td\r\n<|endoftext|> <|ENDOFTEXT|>", "ﬁ ΣΑΣ. 日本 語", "word " * 9000, *passages(4, 60)]
     rows = packing.pack(docs_of(spark, texts), path, with_ids=True).collect()
     plain = Tokenizer.from_file(path)
     pieces, bins = defaultdict(list), defaultdict(list)

@@ -56,7 +56,7 @@ def test_vector_searches_of_nothing(spark):
 
 
 def test_warc_round_trip(spark):
-    pages = ["<html>é</html>", None, "", "a\r\n\r\nWARC/1.1\r\nb", "a\r\n\r\nWARC/1.1\r\nb", "x" * 100_000, "<html>é</html>", "\r\n\r\n"]
+    pages = ["<html>é</html>", None, "", "a\r\n\r\nWARC/1.1\r\nb", "a\r\n\r\nWARC/1.1\r\nb", "x" * 100_000, "<html>é</html>", "\r\n\r\n", "y" * 2_500_000]
     df = spark.createDataFrame([(i, f"http://h{i}/p?q={i}" if i else None, t, 7) for i, t in enumerate(pages)], "page_id long, url string, html string, bytes int")
     rows = {r["page_id"]: r for r in warc.round_trip(df, with_payload=True).collect()}
     assert len(rows) == len(pages)

@@ -19,7 +19,7 @@ WORDS = 5
 #: Bytes of text whose words are looked up at once; a piece ends at white space.
 PIECE = 1 << 20
 #: Bytes of words that a worker remembers with their hashes.
-REMEMBERED = 1 << 25
+REMEMBERED = 1 << 21
 KEY = b"word shingles"
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 # fixed values: odd multipliers of the two lanes

@@ -8,27 +8,31 @@ each segment what is left of a vector is known by its length, so the true score
 within |query| x |rest| of the accumulated one (Cauchy and Schwarz). A query stops only
 once these bounds prove that few vectors can be members; those are scored exactly.
 
-Shards and blocks of queries have bounded sizes and meet in one group each; every group
-gives its k best, of which each query's k best are kept.
-
-Cases: null vectors, null or non-finite components, and vectors of an unusual length
-take no part; a zero vector does; rows that repeat an id count once; equal scores go to
-the smaller id; an empty table gives no rows.
+Every point goes to one shard, whose index is built once, in the task that has it; blocks
+of queries stream past it, so only the stated queries are copied to all shards. Every
+block gives its k best of a shard, of which each query's k best are kept.
+
+Cases: null vectors and null or non-finite components take no part; a zero vector does;
+vectors of different lengths have no product; of rows that repeat an id the smallest
+vector counts; equal scores go to the smaller id; other columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import QUERY_EVERY, best, common_size, usable
+from .common import keep
+from .vectors import QUERY_EVERY, best, sizes_of, usable
 
 SCALE = 1024
-SHARD_ROWS = 8192
+SHARD_ROWS = 16384
 QUERY_BLOCK = 512
 #: A query stops when at most this share of a shard (and k) can still be members.
 FEW = 0.02
@@ -77,33 +81,49 @@ class Shard:
         return out
 
 
-def top_inner(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+def top_inner(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest integer inner products of every
     query (ids divisible by ``every``) among all other vectors."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col, zero_too=True)
-    d = common_size(rows)
-    if not d:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("v") == d).dropDuplicates(["vec_id"])
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    n = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, parts = max(1, ceil(n[0] / SHARD_ROWS)), max(1, ceil(n[1] / QUERY_BLOCK))
-    numbers = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
-    by_hash = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    points = rows.select(by_hash(shards).alias("s"), F.explode(numbers(parts)).alias("b"), F.col("vec_id").alias("id"), "v")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(numbers(shards)).alias("s"), by_hash(parts).alias("b"), F.col("vec_id").alias("id"), "v")
-
-    def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, own = p["id"].to_numpy(), q["id"].to_numpy()
-        shard, out = Shard(np.vstack(p["v"].to_numpy())), []
-        for at in range(0, len(q), QUERY_BLOCK):
-            part = q.iloc[at : at + QUERY_BLOCK]
-            for i, (where, score) in zip(own[at : at + QUERY_BLOCK], shard.top(np.vstack(part["v"].to_numpy()), own[at : at + QUERY_BLOCK], ids, k)):
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[where], "score": score}))
-        return pd.concat(out)
-
-    found = points.groupBy("s", "b").cogroup(queries.groupBy("s", "b")).applyInPandas(search, "query_id long, vec_id long, score long")
-    return best(found, k, ascending=False)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    whole = F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v")
+    rows = keep(usable(vectors, id_col, vector_col, zero_too=True).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", whole), "saat-vectors")
+    for d, total in sizes_of(rows):  # hardly ever more than one length
+        out = out.unionByName(best(_shard_tops(rows.where(F.size("v") == d), d, max(1, ceil(total / shard_rows)), k, every), k, ascending=False))
+    return out
+
+
+def _shard_tops(rows: DataFrame, d: int, shards: int, k: int, every: int) -> DataFrame:
+    """``query_id, vec_id, score``: of every shard the k best of every query."""
+    # the points of a shard come first (no query), then all queries
+    points = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("s"), F.lit(False).alias("query"), "vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.lit(True).alias("query"), "vec_id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, points, index = -1, [], [], None
+        for b in batches:
+            kinds = b.column(0).to_numpy() * 2 + b.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), b.num_rows]
+            for first, last in zip(edges[:-1], edges[1:]):
+                if first == last:
+                    continue
+                shard, query = divmod(int(kinds[first]), 2)
+                own = b.column(2).to_numpy()[first:last]
+                x = b.column(3).slice(first, last - first).flatten().to_numpy().reshape(-1, d)
+                if shard != at:
+                    at, ids, points, index = shard, [], [], None
+                if not query:
+                    ids.append(own)
+                    points.append(x)
+                    continue
+                if index is None and ids:
+                    ids, points = np.concatenate(ids), np.concatenate(points)
+                    index = Shard(points)
+                if index is None:
+                    continue
+                for n in range(0, len(x), QUERY_BLOCK):
+                    for i, (where, score) in zip(own[n : n + QUERY_BLOCK], index.top(x[n : n + QUERY_BLOCK], own[n : n + QUERY_BLOCK], ids, k)):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), i)), pa.array(ids[where]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    dealt = points.unionByName(queries).repartition(shards, "s").sortWithinPartitions("s", "query", "vec_id")
+    return dealt.mapInArrow(search, "query_id long, vec_id long, score long")

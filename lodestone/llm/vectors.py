@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_EVERY = 100
+MOST_SIZES = 64
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_too: bool) -> DataFrame:
@@ -18,10 +19,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_too: bool) ->
     return df if zero_too else df.where(F.exists("v", lambda x: x != 0.0))
 
 
-def common_size(df: DataFrame) -> int:
-    """The number of components that most vectors have (0: there are no vectors)."""
-    top = df.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return top[0]["n"] if top else 0
+def sizes_of(df: DataFrame) -> list[tuple[int, int]]:
+    """Every number of components with how many vectors have it. Vectors are compared with
+    those of their own length; hundreds of lengths in one column are an error of the input."""
+    rows = df.groupBy(F.size("v").alias("n")).count().orderBy("n").limit(MOST_SIZES + 1).collect()
+    if len(rows) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} lengths of vectors in one column")
+    return [(r["n"], r["count"]) for r in rows]
 
 
 def best(found: DataFrame, k: int, ascending: bool) -> DataFrame:

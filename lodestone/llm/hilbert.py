@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Every ordering projects the vectors onto a few random orthogonal directions, shifts the
-cells by a random amount and walks them along a Hilbert curve. The key range of each
-ordering is cut into blocks; a query looks at its own block and the blocks next to it,
-in all orderings. What the windows hold is merged and ranked by the exact distance.
-
-Projections, scales and block limits are fitted on ``FIT_ROWS`` vectors (smallest hashes
-of their ids); all vectors are indexed. A window holds ``WINDOW_SHARE`` of the vectors,
-but ``WINDOW_ROWS`` at least. Blocks are cut into chunks of a bounded number of rows, so
-what a task holds does not grow with the table.
-
-Cases: vectors that are null, zero or hold null or non-finite components, and those of
-an unusual length, take no part; identical vectors stand for at most k + 1 smallest
-ids (the others could never be among the k nearest); rows that repeat an id count once;
-an empty table gives no rows.
+cells by a random amount and walks them along a Hilbert curve. Spark range-partitions
+the rows of all orderings by (ordering, key, id), so a task holds a stretch of a curve in
+order, and a query looks at the ``window`` rows on either side of its own place in every
+ordering. Rows there carry vectors rounded to one byte a component; what the windows
+hold is merged, the nearest candidates by rounded distance are joined with the vectors
+themselves and ranked by the exact distance.
+
+A query sees at most 2 x ``ORDERINGS`` x ``WINDOW`` rows however large the table is: work
+grows with the table, not with its square. Projections and scales are fitted on
+``FIT_ROWS`` vectors (smallest hashes of their ids); all vectors are indexed. A window
+ends at the edge of its task's stretch, of which other orderings have others; recall is
+measured with these edges.
+
+Cases: vectors that are null, zero or hold null or non-finite components take no part;
+vectors of different lengths are no neighbours; identical vectors stand for at most
+k + 1 smallest ids (the others could never be among the k nearest), so ties are right;
+of rows that repeat an id the smallest vector counts; other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +27,21 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import QUERY_EVERY, best, common_size, usable
+from .common import keep
+from .vectors import QUERY_EVERY, best, sizes_of, usable
 
-ORDERINGS = 12
+ORDERINGS = 24
 DIRECTIONS, BITS = 8, 6
-BLOCKS = 40
-WINDOW_SHARE = 0.125
-WINDOW_ROWS = 2500
-CHUNK_ROWS = 20_000
+#: Rows on either side of a query that it looks at in an ordering.
+WINDOW = 700
+#: Rows of a range, on average.
+RANGE_ROWS = 50_000
+#: Nearest rows by rounded vectors that a window hands on, and that a query ranks exactly.
+CANDIDATES = 40
 FIT_ROWS = 10_000
 SEED = 3
 
@@ -66,9 +73,9 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Orderings:
-    """Projection, scale, shift and block limits of every ordering."""
+    """Projection, scale and shift of every ordering, and how vectors are rounded."""
 
-    def __init__(self, sample: np.ndarray, orderings: int, blocks: int, seed: int) -> None:
+    def __init__(self, sample: np.ndarray, orderings: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         m = min(DIRECTIONS, d)
@@ -76,85 +83,76 @@ class Orderings:
         for _ in range(orderings):
             turn = np.linalg.qr(rng.standard_normal((d, d)))[0][:, :m]
             y = sample @ turn
-            centre, spread = y.mean(0), np.maximum(y.std(0), 1e-12)
-            part = [turn, centre, spread, rng.random(m) / 8, None]
-            part[4] = np.quantile(self._keys(sample, part), np.arange(1, blocks) / blocks, method="nearest")
-            self.parts.append(part)
-
-    @staticmethod
-    def _keys(x: np.ndarray, part: list) -> np.ndarray:
-        turn, centre, spread, shift, _ = part
-        place = np.clip(((x @ turn - centre) / spread + 3.5) / 7.0, 0.0, 1.0)
-        return hilbert_keys(np.minimum((place + shift) / 1.125 * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
-
-    def blocks(self, x: np.ndarray) -> list[np.ndarray]:
-        """For every ordering the block of every row."""
-        return [np.searchsorted(p[4], self._keys(x, p), side="left") for p in self.parts]
-
-
-def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, blocks: int = BLOCKS, window_share: float = WINDOW_SHARE, window_rows: int = WINDOW_ROWS, seed: int = SEED) -> DataFrame:
+            self.parts.append((turn, y.mean(0), np.maximum(y.std(0), 1e-12), rng.random(m) / 8))
+        self.centre = sample.mean(0)
+        self.unit = max(float(np.quantile(np.abs(sample - self.centre), 0.999)) / 127, 1e-300)
+
+    def keys(self, x: np.ndarray) -> list[np.ndarray]:
+        """For every ordering the place of every row on its curve."""
+        out = []
+        for turn, centre, spread, shift in self.parts:
+            place = np.clip(((x @ turn - centre) / spread + 3.5) / 7.0, 0.0, 1.0)
+            out.append(hilbert_keys(np.minimum((place + shift) / 1.125 * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS))
+        return out
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((x - self.centre) / self.unit), -127, 127).astype(np.int8)
+
+
+def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, every: int, window: int, candidates: int) -> DataFrame:
+    """``query_id, vec_id, near``: from every window of every query the nearest rows by
+    rounded vectors."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                p = b.slice(at, 2000)
+                x = p.column(1).flatten().to_numpy().reshape(-1, d)
+                raw = index.codes(x).tobytes()
+                codes = pa.array([raw[i * d : i * d + d] for i in range(len(x))], pa.binary())
+                for o, key in enumerate(index.keys(x)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o), pa.int32()), pa.array(key, pa.int64()), p.column(0), codes], names=["o", "key", "id", "code"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        order, ids = t["o"].to_numpy(), t["id"].to_numpy()
+        code = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(-1, d).astype(np.float32)
+        length = (code * code).sum(1)
+        for q in np.flatnonzero(ids % every == 0).tolist():
+            a, b = max(0, q - window), min(len(ids), q + window + 1)
+            near = length[a:b] - 2.0 * (code[a:b] @ code[q])
+            near[(order[a:b] != order[q]) | (ids[a:b] == ids[q])] = np.inf
+            n = min(candidates, len(near))
+            some = np.argpartition(near, n - 1)[:n]
+            some = some[np.isfinite(near[some])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[q])), pa.array(ids[a:b][some]), pa.array(near[some].astype(np.float64))], names=["query_id", "vec_id", "near"])
+
+    spreaded = rows.select("vec_id", "v").mapInArrow(spread, "o int, key long, id long, code binary")
+    ranges = max(1, ceil(total * len(index.parts) / RANGE_ROWS))
+    dealt = spreaded.repartitionByRange(ranges, "o", "key", "id").sortWithinPartitions("o", "key", "id")
+    return dealt.mapInArrow(look, "query_id long, vec_id long, near double")
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, window: int = WINDOW, candidates: int = CANDIDATES, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score`` (Euclidean) for every id divisible by ``every``."""
     spark = vectors.sparkSession
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = usable(vectors, id_col, vector_col, zero_too=False)
-    d = common_size(rows)
-    if not d:
-        return none
-    rows = rows.where(F.size("v") == d)
-    total = rows.count()
-    fit = np.array([r["v"] for r in rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()])
-    index = Orderings(fit, orderings, blocks, seed)
-    chunks = ceil(total / blocks / CHUNK_ROWS)
-    # blocks on either side of a query's own, by the wanted share and number of rows
-    reach = min(blocks, max(ceil((blocks * window_share - 1) / 2), ceil((blocks * window_rows / total - 1) / 2)))
-    same = Window.partitionBy("v").orderBy("vec_id")
-    held = rows.dropDuplicates(["vec_id"]).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-
-    def spread(as_query: bool):  # noqa: ANN202
-        """Rows (group, id, vector) of a vector in every ordering; a query in every block
-        and chunk of its window."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    p = b.slice(at, 2000)
-                    ids = p.column(0).to_numpy()
-                    x = p.column(1).flatten().to_numpy().reshape(-1, d)
-                    raw = np.array([r.tobytes() for r in x], dtype=object)
-                    for o, block in enumerate(index.blocks(x)):
-                        for step in range(-reach, reach + 1) if as_query else (0,):
-                            to = block + step
-                            ok = np.flatnonzero((to >= 0) & (to < blocks))
-                            for c in range(chunks) if as_query else (None,):
-                                chunk = c if as_query else ids[ok] // every % chunks
-                                group = (o * blocks + to[ok]) * chunks + chunk
-                                if len(ok):
-                                    yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(ids[ok], pa.int64()), pa.array(raw[ok], pa.binary())], names=["g", "id", "v"])
-
-        return run
-
-    def rank(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        matrix = lambda t: np.frombuffer(b"".join(t["v"]), np.float64).reshape(-1, d)
-        x, q = matrix(points), matrix(queries)
-        ids, own = points["id"].to_numpy(), queries["id"].to_numpy()
-        norms, out = (x * x).sum(1), []
-        for at in range(0, len(q), 256):
-            near = norms - 2.0 * (q[at : at + 256] @ x.T)
-            near[own[at : at + 256, None] == ids[None, :]] = np.inf
-            n = min(k + 6, len(ids))
-            for row, (i, qi) in enumerate(zip(own[at : at + 256], q[at : at + 256])):
-                # a few more than k by the fast formula, then the exact distance
-                edge = np.partition(near[row], n - 1)[n - 1]
-                some = np.flatnonzero((near[row] <= edge + 1e-9 * (1 + abs(edge))) & (near[row] < np.inf))
-                exact = np.sqrt(((x[some] - qi) ** 2).sum(1))
-                top = np.lexsort((ids[some], exact))[:k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[some][top], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    shape = "g long, id long, v binary"
-    points = held.select("vec_id", "v").mapInArrow(spread(False), shape)
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(spread(True), shape)
-    found = points.groupBy("g").cogroup(queries.groupBy("g")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    return best(found.dropDuplicates(["query_id", "vec_id"]), k, ascending=True)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    one = keep(usable(vectors, id_col, vector_col, zero_too=False).groupBy("vec_id").agg(F.min("v").alias("v")), "hilbert-vectors")
+    for d, total in sizes_of(one):  # hardly ever more than one length
+        rows = one.where(F.size("v") == d)
+        fit = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()])
+        index = Orderings(fit, orderings, seed)
+        same = Window.partitionBy("v").orderBy("vec_id")
+        held = rows.withColumn("n", F.row_number().over(same)).where((F.col("n") <= k + 1) | (F.col("vec_id") % every == 0)).select("vec_id", "v")
+        found = window_candidates(held, index, d, total, every, window, max(candidates, k))
+        merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("score"))
+        chosen = best(merged, max(candidates, k), ascending=True).select("query_id", "vec_id")
+        queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        both = chosen.join(rows, "vec_id").join(queries, "query_id")
+        squares = F.zip_with("v", "q", lambda a, b: (a - b) * (a - b))
+        exact = both.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+        out = out.unionByName(best(exact, k, ascending=True))
+    return out

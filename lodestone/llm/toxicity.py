@@ -8,12 +8,18 @@ one of a few marked symbols; a text's score is a weighted sum over its matched c
 
 The insult words and stems, their weights and the weights of the marked symbols are
 learnt from a bounded sample of labelled rows (``TRAIN_ROWS``, smallest hashes of their
-ids), never from the held-out fifth. A stem enters only for toxic texts that no earlier
-entry explains, so the other words of a text that was copied often do not.
+ids among the documents that are there), never from the held-out fifth. Counts of words
+and stems and the features are made where the texts are; the driver gets entries that
+mark toxic texts, and a row of features a text. A stem enters only for toxic texts that
+no earlier entry explains, so the other words of a text that was copied often do not.
+How often marks stand in a text counts too, as a stem may stand in a clean text by chance.
 
 Cases: null and empty texts, and texts without a match, get the learnt base score;
-repeated rows get equal scores; long texts are read whole; without labels only the
-fixed words count, with fixed weights; an empty table gives no rows.
+several labels of a document: the largest counts; of texts that share an id the smallest
+is learnt from; of equally good entries the more specific, then the later by code point,
+is taken, so reruns agree; repeated rows get equal scores; long texts are read whole;
+without labels only the fixed words count, with fixed weights; other columns are not
+read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
 from .linear import Logistic
 
 TRAIN_ROWS = 12_000
-STEM_LENGTHS = (4, 5, 6, 7)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 #: A learnt entry must stand in so many toxic training texts that nothing else explains.
-LEAST_TEXTS = 3
-MOST_ENTRIES = 400
+LEAST_TEXTS = 4
+#: Least logarithm of how much likelier an entry stands in toxic texts than in clean ones.
+LEAST_WEIGHT = 2.0
 # fixed values: words of the grammar
 INSULTS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown".split()
 THREATS = "kill hurt destroy beat stab shoot burn hunt punish".split()
@@ -44,6 +52,7 @@ CLAUSE = re.compile(r"[.!?;\n|]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Marked symbols, in the order of the features that count them.
 MARKS = ("I", "Ir", "In", "It", "T", "Tr", "Tn", "Tt")
+WIDTH = len(MARKS) + 3
 
 
 class Transducer:
@@ -80,39 +89,41 @@ def compose(symbols: list[str]) -> list[str]:
 class Grammar:
     """Words with their symbols, stems with their weights, and the weights of the marks."""
 
-    def __init__(self, stems: dict[str, float], model: Logistic | None = None) -> None:
-        self.stems, self.model = stems, model
+    def __init__(self, entries: dict[str, float], model: Logistic | None = None) -> None:
+        """``entries``: whole words with a leading "=", stems without."""
+        self.entries, self.model = entries, model
         self._ready = None
 
     def __getstate__(self) -> dict:
-        return {"stems": self.stems, "model": self.model, "_ready": None}
+        return {"entries": self.entries, "model": self.model, "_ready": None}
 
     def _build(self) -> None:
         import ahocorasick
 
         self._ready = ahocorasick.Automaton()
-        for s, w in self.stems.items():
-            self._ready.add_word(s, (len(s), w))
-        for s in THREATS:
-            if s not in self.stems:
-                self._ready.add_word(s, (len(s), None))
+        self.longest = max(map(len, self.entries), default=0)
+        for s in {*(e.removeprefix("=") for e in self.entries), *THREATS}:
+            self._ready.add_word(s, len(s))
         self._ready.make_automaton()
         self.symbols = dict.fromkeys(THREATS, "T") | dict.fromkeys(TARGETS, "Y") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R")
 
     def _word(self, word: str) -> tuple[str, float]:
-        for n in range(len(word), 2, -1):
-            if (w := self.stems.get(word[:n] if n < len(word) else word)) is not None and (n == len(word) or n in STEM_LENGTHS):
+        if (w := self.entries.get("=" + word)) is not None:
+            return "I", w
+        for n in range(min(len(word), self.longest), 2, -1):
+            if (w := self.entries.get(word[:n])) is not None:
                 return "I", w
         return self.symbols.get(word, "o"), 0.0
 
     def features(self, text: str | None) -> np.ndarray:
-        """Log counts of the marked symbols, the largest and the summed insult weight."""
+        """Log counts of the marked symbols, the largest and the summed weight of the
+        insults, and how many of them stand in a thousand characters."""
         if self._ready is None:
             self._build()
-        out = np.zeros(len(MARKS) + 2)
+        out = np.zeros(WIDTH)
         low = (text or "").lower()
         at, weights = -1, []
-        for end, (n, _) in self._ready.iter(low):
+        for end, n in self._ready.iter(low):
             begin = end - n + 1
             if begin <= at or (begin and low[begin - 1].isalpha()):
                 continue
@@ -127,7 +138,7 @@ class Grammar:
                     weights.append(weight)
         out[: len(MARKS)] = np.log1p(out[: len(MARKS)])
         if weights:
-            out[-2], out[-1] = max(weights), np.log1p(sum(weights))
+            out[-3:] = max(weights), np.log1p(sum(weights)), np.log1p(1000 * len(weights) / len(low))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -139,61 +150,95 @@ class Grammar:
         return self.model.predict(x)
 
 
-def learn_stems(texts: list[str], y: list[int]) -> dict[str, float]:
-    """Words and stems that mark toxic texts, by covering: the entry with the highest
-    score is taken, the toxic texts it stands in are set aside, and so on."""
-    toxic = [set(TOKEN.findall(t.lower())) for t, k in zip(texts, y) if k]
-    n_clean = sum(1 for k in y if not k)
-
-    def entries(words: set[str]) -> set[str]:
-        return {"=" + w for w in words} | {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n}
-
-    where = defaultdict(list)
-    for i, words in enumerate(toxic):
-        for e in entries(words):
-            where[e].append(i)
-    where = {e: set(ids) for e, ids in where.items() if len(ids) >= LEAST_TEXTS}
-    clean: Counter = Counter()
-    for t, k in zip(texts, y):
-        if not k:
-            clean.update(e for e in entries(set(TOKEN.findall(t.lower()))) if e in where)
-    weight = {e: np.log((len(ids) + 0.5) / (len(toxic) + 1)) - np.log((clean[e] + 0.5) / (n_clean + 1)) for e, ids in where.items()}
-    # only what stands in clean texts hardly ever; the rest cannot tell on its own
-    where = {e: ids for e, ids in where.items() if weight[e] > 2.5 and clean[e] <= 0.05 * len(ids)}
+def entries_of(text: str) -> set[str]:
+    """What a text may be known by: its words, and the beginnings of longer words."""
+    words = set(TOKEN.findall(text.lower()))
+    return {"=" + w for w in words} | {w[:n] for w in words for n in STEM_LENGTHS if len(w) > n}
+
+
+def cover(where: dict[str, set[int]], clean: dict[str, int], toxic: int, others: int) -> dict[str, float]:
+    """Entries with weights: the one that explains most toxic texts is taken, those texts
+    are set aside, and so on, until none explains ``LEAST_TEXTS`` more."""
+    weight = {e: float(np.log((len(ids) + 0.5) / (toxic + 1)) - np.log((clean[e] + 0.5) / (others + 1))) for e, ids in where.items()}
+    where = {e: ids for e, ids in where.items() if len(ids) >= LEAST_TEXTS and weight[e] > LEAST_WEIGHT}
     out: dict[str, float] = {}
-    left = set(range(len(toxic)))
-    while where and len(out) < MOST_ENTRIES:
-        # the entry that explains most of what is left; of equal ones the more specific one
-        best = max(where, key=lambda e: (len(where[e] & left), weight[e], len(e), e))
-        gain = where.pop(best) & left
-        if len(gain) < LEAST_TEXTS:
-            break
-        left -= gain
-        out[best.removeprefix("=")] = float(weight[best])
+    left = set().union(*where.values()) if where else set()
+    while where:
+        gain = {e: len(ids & left) for e, ids in where.items()}
+        where = {e: ids for e, ids in where.items() if gain[e] >= LEAST_TEXTS}
+        if where:
+            best = max(where, key=lambda e: (gain[e] * weight[e], len(e), e))
+            left -= where.pop(best)
+            out[best] = weight[best]
     return out
 
 
+COUNTED = "entry string, half int, toxic array<long>, clean long"
+
+
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """``entry, toxic0, toxic1, clean0, clean1``: of both halves of the sample (``doc_id,
+    half, y, text``) the toxic texts that hold an entry and the number of clean ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                ids, halves, ys, texts = (c.to_pylist() for c in b.slice(k, 500).columns)
+                toxic, clean = defaultdict(list), Counter()
+                for i, h, y, t in zip(ids, halves, ys, texts):
+                    for e in entries_of(t):
+                        if y:
+                            toxic[e, h].append(i)
+                        else:
+                            clean[e, h] += 1
+                keys = list({**toxic, **clean})
+                cols = [[e for e, _ in keys], [h for _, h in keys], [toxic.get(x, []) for x in keys], [clean[x] for x in keys]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64()))], names=["entry", "half", "toxic", "clean"])
+
+    counted = sample.select("doc_id", "half", "y", "text").mapInArrow(count, COUNTED)
+    of = lambda h: F.col("half") == h
+    return counted.groupBy("entry").agg(
+        *[F.flatten(F.collect_list(F.when(of(h), F.col("toxic")))).alias(f"toxic{h}") for h in (0, 1)],
+        *[F.coalesce(F.sum(F.when(of(h), F.col("clean"))), F.lit(0)).alias(f"clean{h}") for h in (0, 1)],
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str, train_rows: int) -> Grammar:
-    spark = docs.sparkSession
     usable = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
-    fixed = dict.fromkeys(INSULTS, 3.0)
-    if not chosen:
-        return Grammar(fixed)
-    sample = F.broadcast(spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "doc_id long, y int"))  # train_rows rows at most
-    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in docs.join(sample, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect())
-    y = [r[1] for r in rows]
-    # stems from one half, the weights of the marks from the other, so that stems that
+    there = usable.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # train_rows rows of two numbers
+    # entries from one half, the weights of the marks from the other, so that entries that
     # only happen to stand in toxic texts are not taken at their own word
-    half = [i % 2 for i in range(len(rows))]
-    stems = learn_stems([r[2] for r, h in zip(rows, half) if h == 0], [k for k, h in zip(y, half) if h == 0])
-    grammar = Grammar(fixed | stems)
-    x = np.stack([grammar.features(r[2]) for r, h in zip(rows, half) if h == 1] or [np.zeros(len(MARKS) + 2)])
-    known = np.array([k for k, h in zip(y, half) if h == 1] or [0])
-    if 0 < known.sum() < len(known):
-        model = Logistic(penalty=0.3).fit(x, known)
-        # then with stems of the whole sample
-        grammar = Grammar(fixed | learn_stems([r[2] for r in rows], y), model)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    sample = keep(text.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("half", half), "toxicity-sample")
+    fixed = {"=" + w: 3.0 for w in INSULTS}
+    sizes = {(r["half"], r["y"] > 0): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    if not sizes:
+        return Grammar(fixed)
+    counts = keep(entry_counts(sample), "toxicity-counts")
+
+    def learn(halves: tuple[int, ...]) -> dict[str, float]:
+        ids, clean = F.concat(*[F.col(f"toxic{h}") for h in halves]), sum((F.col(f"clean{h}") for h in halves), F.lit(0))
+        toxic, others = (sum(sizes.get((h, k), 0) for h in halves) for k in (True, False))
+        weight = F.log((F.size("ids") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (others + 1))
+        # entries that mark toxic texts: of train_rows texts at most
+        rows = counts.select("entry", ids.alias("ids"), clean.alias("clean")).where((F.size("ids") >= LEAST_TEXTS) & (weight > LEAST_WEIGHT)).collect()
+        return cover({r["entry"]: set(r["ids"]) for r in rows}, {r["entry"]: r["clean"] for r in rows}, toxic, others)
+
+    grammar = Grammar(fixed | learn((0,)))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [grammar.features(t).tolist() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    rows = sample.where("half = 1").select("y", "text").mapInArrow(features, "y int, x array<double>").collect()  # train_rows rows of WIDTH numbers at most
+    rows.sort(key=lambda r: (r["y"], r["x"]))
+    y = np.array([r["y"] > 0 for r in rows], np.float64)
+    if 0 < y.sum() < len(y):
+        # then with the entries of the whole sample
+        return Grammar(fixed | learn((0, 1)), Logistic(penalty=0.3).fit(np.array([r["x"] for r in rows]), y))
     return grammar
 
 

@@ -377,6 +377,37 @@ def test_content_features_do_not_depend_on_blocks(monkeypatch):
     import pyarrow as pa
 
     texts = pa.array(["Hello, world! 123", "", None, "a" * 50 + "\n" + "a" * 50, "x"])
-    want = quality.content_features(texts)
+    rest = [["en", None, "en", "de", "fr"], [None, "a", "a", "b", "a"], [17, None, 0, 101, 1]]
+    want = quality.view_features(texts, *rest)
     monkeypatch.setattr(quality, "BLOCK", 7)
-    assert (quality.content_features(texts) == want).all()
+    assert all((a == b).all() for a, b in zip(quality.view_features(texts, *rest), want))
+
+
+def test_rounds_of_co_training_help():
+    """Two views that each tell the class by 5 of 60 columns; 50 labels, a pool without."""
+    import numpy as np
+
+    signal = 0.6 * (np.arange(60) < 5)
+    right = []
+    for rounds in (0, 4):
+        rng, got = np.random.default_rng(3), []
+
+        def rows(n, rng=rng):
+            y = rng.random(n) < 0.5
+            return y.astype(float), [rng.standard_normal((n, 60)) + np.where(y, 1, -1)[:, None] * signal for _ in range(2)]
+
+        for _ in range(10):
+            (y, known), (_, pool), (test_y, test) = rows(50), rows(1500), rows(1000)
+            views = quality.CoTrained().fit(tuple(known), y, tuple(pool), rounds).score(*test)
+            got.append([((s >= 0.5) == test_y).mean() for s in views])
+        right.append(np.mean(got, axis=0))
+    assert (right[1] > right[0] + 0.01).all()
+
+
+def test_quality_of_odd_rows(spark):
+    texts = ["the word of thing. " * 20 if i % 3 else "THE!! WORD$$$ " * 20 for i in range(90)]
+    rows = [(i, t, "en", None, None, 1.5, "y", 3) for i, t in enumerate(texts)] + [(None, "the word of thing. " * 20, None, "s", 4, 2.5, None, 3)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, y string, content_score long")
+    labels = labelled(spark, [(i, int(i % 3 > 0)) for i in range(90)] + [(0, 1), (None, 1), (10**6, 0)], "quality")
+    kept = quality.keep_good(docs, labels, pool_rows=0)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, -1, *(i for i in range(90) if i % 3)]

@@ -38,8 +38,8 @@ from .common import batched
 from .linear import Logistic, logit, sigmoid
 from .shingles import word_hashes
 
-LABELLED_ROWS = 20_000
-POOL_ROWS = 20_000
+LABELLED_ROWS = 10_000
+POOL_ROWS = 10_000
 ROUNDS = 4
 #: A pseudo-label counts only where its classifier is at least this sure.
 SURE = 0.95
@@ -63,7 +63,7 @@ KINDS = 11
 BLOCK = 1 << 19
 CLASS_OF = _classes()
 #: Slots of hashed words.
-WORD_SLOTS = 192
+WORD_SLOTS = 128
 CONTENT_WIDTH = KINDS * KINDS + WORD_SLOTS + 1
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
 LAYOUT = 9

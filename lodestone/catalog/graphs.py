@@ -1,8 +1,9 @@
 """Graph queries over a property graph that the tables hold.
 
 Nodes are nations, regions, suppliers, customers and parts; LOCATED_IN leads from
-customers and suppliers to nations and from nations to regions, IMPORTS from part to
-part by a fixed rule, so that there are cycles of several lengths.
+customers and suppliers to nations and from nations to regions, IMPORTS IMPORTS
+and CALLS from every part to parts by fixed rules modulo the number of parts, so that the
+graph grows with the tables and has cycles of several lengths.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ query = C.query
 NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'Region' AS type, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'Nation', n_name FROM nation
 UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_name FROM supplier UNION ALL SELECT 'c' || c_custkey, 'Customer', c_name FROM customer UNION ALL SELECT 'p' || p_partkey, 'Part', p_name FROM part)"""
 EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'LOCATED_IN' AS type FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LOCATED_IN' FROM supplier
-UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'LOCATED_IN' FROM customer UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey * 7 + 3) % 50, 'IMPORTS' FROM part WHERE p_partkey < 200
-UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey * 3 + 1) % 40, 'CALLS' FROM part WHERE p_partkey < 100)"""
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'LOCATED_IN' FROM customer UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey * 7 + 3) % (SELECT count(*) FROM part), 'IMPORTS' FROM part
+UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey * 3 + 1) % (SELECT count(*) FROM part), 'CALLS' FROM part)"""
 BOTH = f"{NODES}, {EDGES}"
 
 
@@ -33,13 +34,13 @@ def nodes_of(t):
 def edges_of(t):
     edge = lambda df, a, src, b, dst, kind: df.select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"), F.lit(kind).alias("type"))
     part = t("part")
-    key = F.col("p_partkey")
+    key, n = F.col("p_partkey"), part.count()
     return (
         edge(t("nation"), "n", "n_nationkey", "r", "n_regionkey", "LOCATED_IN")
         .unionByName(edge(t("supplier"), "s", "s_suppkey", "n", "s_nationkey", "LOCATED_IN"))
         .unionByName(edge(t("customer"), "c", "c_custkey", "n", "c_nationkey", "LOCATED_IN"))
-        .unionByName(edge(part.where("p_partkey < 200"), "p", key, "p", (key * 7 + 3) % 50, "IMPORTS"))
-        .unionByName(edge(part.where("p_partkey < 100"), "p", key, "p", (key * 3 + 1) % 40, "CALLS"))
+        .unionByName(edge(part, "p", key, "p", (key * 7 + 3) % n, "IMPORTS"))
+        .unionByName(edge(part, "p", key, "p", (key * 3 + 1) % n, "CALLS"))
     )
 
 
@@ -90,19 +91,19 @@ def bfs_both_ways(t):
 
 
 PATHS = f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('IMPORTS', 'CALLS')),
-p(path, here) AS (SELECT ['p5', dst], dst FROM e WHERE src = 'p5' UNION ALL SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.here WHERE len(path) <= 4 AND p.here <> 'p24' AND NOT list_contains(path, e.dst)),
-f AS (SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS steps FROM p WHERE here = 'p24')"""
+p(path, here) AS (SELECT ['p5', dst], dst FROM e WHERE src = 'p5' UNION ALL SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON e.src = p.here WHERE len(path) <= 4 AND p.here <> 'p115' AND NOT list_contains(path, e.dst)),
+f AS (SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INTEGER AS steps FROM p WHERE here = 'p115')"""
 
 
 @query(PATHS + " SELECT * FROM f")
 def all_paths(t):
-    found = G.paths(edges_of(t), "p5", "p24", 4, ["IMPORTS", "CALLS"])
+    found = G.paths(edges_of(t), "p5", "p115", 4, ["IMPORTS", "CALLS"])
     return found.select(F.array_join("path", ">").alias("path"), "steps")
 
 
 @query(PATHS + " SELECT * FROM f ORDER BY steps, path LIMIT 1")
 def shortest_path(t):
-    return G.shortest_path(edges_of(t), "p5", "p24", 4, ["IMPORTS", "CALLS"]).select(F.array_join("path", ">").alias("path"), "steps")
+    return G.shortest_path(edges_of(t), "p5", "p115", 4, ["IMPORTS", "CALLS"]).select(F.array_join("path", ">").alias("path"), "steps")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'IMPORTS' AND src <> dst), w(id, here, n) AS (SELECT src, dst, 1 FROM e UNION SELECT w.id, e.dst, n + 1 FROM w JOIN e ON e.src = w.here WHERE n < 6 AND w.here <> w.id)
@@ -111,9 +112,10 @@ def circular_dependencies(t):
     return G.cycles(edges_of(t), ["IMPORTS"], 6)
 
 
-@query(f"""WITH RECURSIVE {BOTH}, u AS (SELECT src, dst FROM edges WHERE type <> 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE type <> 'LOCATED_IN'), k AS (SELECT id FROM nodes WHERE type = 'Part'),
-w(id, other) AS (SELECT id, id FROM k UNION SELECT w.id, u.dst FROM w JOIN u ON u.src = w.other)
-SELECT id, min(other) AS component FROM (SELECT w.id, w.other FROM w) GROUP BY 1""")
+@query(f"""WITH RECURSIVE {BOTH}, u AS MATERIALIZED (SELECT src, dst FROM edges WHERE type <> 'LOCATED_IN' UNION SELECT dst, src FROM edges WHERE type <> 'LOCATED_IN'),
+w(id, component) USING KEY (id) AS (SELECT id, id FROM nodes WHERE type = 'Part'
+UNION SELECT u.dst, min(w.component) FROM w JOIN u ON u.src = w.id JOIN recurring.w AS o ON o.id = u.dst WHERE w.component < o.component GROUP BY 1)
+SELECT id, component FROM w""")
 def connected_components(t):
     e = edges_of(t).where("type <> 'LOCATED_IN'")
     return G.components(e, nodes_of(t).where("type = 'Part'").select("id").unionByName(e.select(F.col("dst").alias("id"))).distinct()).join(nodes_of(t).where("type = 'Part'").select("id"), "id", "left_semi")
@@ -157,11 +159,11 @@ def delete_nodes(t):
     return G.delete_nodes(edges_of(t), nodes_of(t), start_of(t, "n1", "n2", "p1"))[1]
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS file, l_linenumber::BIGINT AS s, l_linenumber + l_quantity::BIGINT AS e FROM lineitem WHERE l_orderkey % 20 = 0)
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS file, l_linenumber::BIGINT AS s, l_linenumber + l_quantity::BIGINT AS e FROM lineitem)
 SELECT a.id AS outer, b.id AS inner, greatest(0.0, 1 - (b.s - a.s) / 100.0)::DOUBLE AS strength FROM c a JOIN c b ON a.file = b.file AND a.s <= b.s AND a.e >= b.e AND a.id <> b.id""".replace("AS outer", 'AS "outer"').replace("AS inner", 'AS "inner"'))
 def containment_edges(t):
     line = F.col("l_linenumber").cast("long")
-    chunks = t("lineitem").where("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 10 + line).alias("id"), F.col("l_orderkey").alias("file"), line.alias("start"), (line + F.col("l_quantity").cast("long")).alias("end"))
+    chunks = t("lineitem").select((F.col("l_orderkey") * 10 + line).alias("id"), F.col("l_orderkey").alias("file"), line.alias("start"), (line + F.col("l_quantity").cast("long")).alias("end"))
     return G.containment(chunks)
 
 
@@ -173,14 +175,27 @@ def follows_edges(t):
     return t("conversations").select("conv_id", F.col("turn").alias("src"), nxt.alias("dst")).where("dst is not null")
 
 
-@query()
+def _ranks(rounds: int = 20) -> str:
+    step = "r{0} AS MATERIALIZED (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM n LEFT JOIN (SELECT dst, sum(rank / degree) AS got FROM r{1} JOIN h ON r{1}.id = h.src GROUP BY 1) g ON g.dst = n.id, c, (SELECT coalesce(sum(rank), 0) AS lost FROM r{1} WHERE id NOT IN (SELECT src FROM h)) l)"
+    return ", ".join(step.format(i, i - 1) for i in range(1, rounds + 1))
+
+
+@query(f"""WITH {EDGES}, e AS MATERIALIZED (SELECT src, dst FROM edges WHERE type = 'IMPORTS'), n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM n),
+h AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM e), r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM n, c), {_ranks()} SELECT id, round(rank, 10) AS rank FROM r20""")
 def page_rank(t):
     e = edges_of(t).where("type = 'IMPORTS'")
     n = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    return G.page_rank(e, n).orderBy(F.desc("rank"), "id").limit(10)
+    return G.page_rank(e, n).select("id", F.round("rank", 10).alias("rank"))
+
+
+def _labels(rounds: int = 10) -> str:
+    vote = "SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM h JOIN l{0} ON h.dst = l{0}.id GROUP BY 1, 2"
+    step = "l{0} AS MATERIALIZED (SELECT n.id, coalesce(b.label, l{1}.label) AS label FROM n JOIN l{1} USING (id) LEFT JOIN (" + vote.replace("{0}", "{1}") + ") b ON b.src = n.id AND b.k = 1)"
+    return ", ".join(step.format(i, i - 1) for i in range(1, rounds + 1))
 
 
-@query()
+@query(f"""WITH {EDGES}, e AS MATERIALIZED (SELECT src, dst FROM edges WHERE type = 'CALLS'), n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), h AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+l0 AS MATERIALIZED (SELECT id, id AS label FROM n), {_labels()} SELECT id, label AS community FROM l10 WHERE label IN (SELECT label FROM l10 GROUP BY 1 HAVING count(*) >= 2)""")
 def communities(t):
     e = edges_of(t).where("type = 'CALLS'")
     n = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()

@@ -23,14 +23,9 @@ def _jac(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {both} / (len({a}) + len({b}) - {both})::DOUBLE END)"
 
 
-# DuckDB's edit distance counts bytes, so both sides compare ASCII texts
-ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '_', 'g')"
-PAIRS = f"SELECT a.item_id AS i, b.item_id AS j, {ASCII.format('a.text')} AS x, {ASCII.format('b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
-PLAIN = "lower(trim(regexp_replace(regexp_replace(regexp_replace({}, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), '\\s+', ' ', 'g')))"
-
-
+PAIRS = "SELECT a.item_id AS i, b.item_id AS j, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 def _pairs(t):
-    b = t("benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
+    b = t("benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("i"), F.col("item_id").alias("j"), F.col("text").alias("y"))
     return b.select(F.col("item_id").alias("i"), F.col("text").alias("x")).join(nxt, "i").select("i", "j", "x", "y")
 
@@ -40,14 +35,13 @@ def keyword_similarity(t):
     return _pairs(t).select("i", "j", F.round(T.keyword_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query(f"WITH p AS ({PAIRS}), k AS (SELECT i, j, {PLAIN.format('x')} AS a, {PLAIN.format('y')} AS b FROM p) SELECT i, j, round(CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE END, 6) AS score FROM k")
+# DuckDB's edit distance counts bytes, so these are tested against plain Python
+@query()
 def levenshtein_similarity(t):
     return _pairs(t).select("i", "j", F.round(T.levenshtein_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query(f"""WITH p AS ({PAIRS}), k AS (SELECT i, j, x, y, {_kw('x')} AS a, {_kw('y')} AS b, {PLAIN.format('x')} AS c, {PLAIN.format('y')} AS d FROM p),
-s AS (SELECT i, j, CASE WHEN x = y THEN 1.0 ELSE {_jac('a', 'b')} END AS kw, 1 - levenshtein(c, d) / greatest(length(c), length(d))::DOUBLE AS lev FROM k)
-SELECT i, j, round((0.4 * lev + 0.2 * kw) / 0.6, 6) AS score FROM s""")
+@query()
 def hybrid_similarity(t):
     x, y = F.col("x"), F.col("y")
     return _pairs(t).select("i", "j", F.round(T.hybrid(T.levenshtein_similarity(x, y), F.lit(None).cast("double"), T.keyword_similarity(x, y)), 6).alias("score"))
@@ -59,9 +53,7 @@ def batch_similarity(t):
     return S.keyword_pairs(t("benchmark"), "item_id", "text")
 
 
-@query(f"""WITH p AS ({PAIRS}), k AS (SELECT i, j, x, y, {_kw('x')} AS a, {_kw('y')} AS b, {PLAIN.format('x')} AS c, {PLAIN.format('y')} AS d FROM p),
-s AS (SELECT i, j, x = y AS same, {_jac('a', 'b')} AS kw, 1 - levenshtein(c, d) / greatest(length(c), length(d))::DOUBLE AS lev FROM k)
-SELECT i, j, round(CASE WHEN same THEN 1.0 WHEN kw >= 0.9 THEN kw ELSE (kw * 1.0 + lev * 0.7) / 1.7 END, 6) AS score, CASE WHEN same OR kw >= 0.9 THEN 1 ELSE 2 END AS steps FROM s""")
+@query()
 def cascade_similarity(t):
     x, y = F.col("x"), F.col("y")
     score, steps = S.cascade(x == y, [("keyword", T.keyword_similarity(x, y)), ("levenshtein", T.levenshtein_similarity(x, y))], kind="document")
@@ -223,9 +215,15 @@ def deterministic_ids(t):
     return t("documents").select("doc_id", M.chunk_id(F.col("source"), F.lit(1), F.col("n_chars"), F.col("text")).alias("chunk"), M.file_id(F.col("source"), F.lit("p")).alias("file"), M.relation_id(F.col("source"), F.col("lang"), F.lit("USES")).alias("rel"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(id, other) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT id, min(other) AS "group" FROM r GROUP BY 1""")
 def near_duplicate_groups(t):
-    return S.minhash_groups(t("documents"), "doc_id", "text")
+    return S.near_duplicate_groups(t("documents"), "doc_id", "text")
 
 
 @query()

@@ -53,11 +53,11 @@ def knn_threshold(t):
     return _rounded(V.search(t("embeddings"), QUERY, k=50, threshold=0.1))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.{D}, q.{D}) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.{D}, q.{D}) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def knn_batch(t):
     e = t("embeddings")
-    found = V.batch_search(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k=5)
+    found = V.batch_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k=5)
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -91,8 +91,17 @@ def validate_points(t):
     return t("embeddings").where(V.valid_point(F.col("vec_id"), F.col("embedding"), 64)).agg(F.count("*").alias("valid"))
 
 
-@query()
+def _embedded(key: str, table: str) -> str:
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    slots = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
+    return f"(SELECT {key} AS id, list_transform(range(64), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS v FROM (SELECT {key}, {slots} AS s FROM {table}))"
+
+
+@query(f"""WITH s AS (SELECT -1 - q.id AS query_id, d.id AS vec_id, round(CASE WHEN list_sum(q.v) > 0 AND list_sum(d.v) > 0 THEN list_cosine_similarity(d.v, q.v) ELSE 0.0 END, 6) AS score
+FROM {_embedded('doc_id', 'documents')} d, {_embedded('item_id', 'benchmark')} q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 5""")
 def search_by_text(t):
-    embedded = t("documents").select(F.col("doc_id").alias("vec_id"), V.hashed_embedding(F.col("text")).alias("embedding"))
-    asked = t("benchmark").where("item_id % 20 = 0").select((-1 - F.col("item_id")).alias("query_id"), V.hashed_embedding(F.col("text")).alias("query"))
-    return V.batch_search(embedded, asked, k=5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    embed = V.EMBEDDERS["hashed"]
+    embedded = t("documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    asked = t("benchmark").select((-1 - F.col("item_id")).alias("query_id"), embed(F.col("text")).alias("query"))
+    return V.batch_search(embedded, asked, k=5, digits=6).select("query_id", "vec_id", "rank", "score")

@@ -41,6 +41,11 @@ def keywords(text: Column, kind: str = "document") -> Column:
     return F.array_except(F.array_distinct(kept), stop)
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is worked out once a row, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 where either is empty."""
     both = F.size(F.array_intersect(a, b))

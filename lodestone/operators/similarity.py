@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, keywords
+from ..functions.text import jaccard, keywords, let
 from ..plans.components import connected_components
 from ..plans.lineage import cut
 
@@ -61,7 +60,7 @@ def keyword_pairs(texts: DataFrame, id_col: str, text_col: str, threshold: float
 
 def tf_idf(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Weights of distinct keywords: 1 / length times ln(N / (df + 1))."""
-    df = texts.select(F.col(id_col), keywords(F.col(text_col)).alias("w"))
+    df = cut(texts.select(F.col(id_col), keywords(F.col(text_col)).alias("w")))  # texts are split once
     words = df.select(id_col, F.size("w").alias("length"), F.explode("w").alias("word"))
     seen = words.groupBy("word").agg(F.count("*").alias("df"))
     total = texts.agg(F.count("*").alias("total"))
@@ -76,44 +75,70 @@ def repetitive(rows: DataFrame, keys: list[str], order: str, hash_col: str, back
     return rows.withColumn("repetitive", same >= times)
 
 
-def minhash_groups(texts: DataFrame, id_col: str, text_col: str, rows: int = 4, bands: int = 16, threshold: float = 0.7) -> DataFrame:
-    """``id, group`` of near duplicates by keyword sets: min-hash bands find candidates, a
-    pair counts once its exact score reaches the threshold, groups are components. Inside
-    a band only the smallest member is compared with the others, so copies make a star."""
-    kept = cut(texts.select(F.col(id_col).alias("id"), keywords(F.col(text_col)).alias("w")).where(F.size("w") > 0))
-    least = [F.array_min(F.transform("w", lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in range(rows * bands)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(bands)])
-    signed = kept.select("id", F.explode(keys).alias("key"))
-    first = signed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = signed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    left, right = kept.select(F.col("id").alias("a"), F.col("w").alias("wa")), kept.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    links = pairs.join(left, "a").join(right, "b").where(jaccard(F.col("wa"), F.col("wb")) >= threshold)
-    joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), cut)
-    return joined.select("id", F.col("component").alias("group"))
+def shingles(text: Column, words: int = 5) -> Column:
+    """Distinct runs of ``words`` words (A-Z made lower case); a shorter text is one run."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, words), " "))
+    return let(held, lambda w: F.when(F.size(w) >= words, F.array_distinct(runs(w))).when(F.size(w) > 0, F.array(F.array_join(w, " "))))
+
+
+def set_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """``u, v, similarity``: all pairs of sets (``id, w``) whose Jaccard measure reaches
+    ``threshold``, exactly. Rarest tokens first, a prefix of each set must hold a token of
+    any set that it links with; pairs that meet there pass the length and the positional
+    filter, and are verified on the sets themselves."""
+    kept = cut(sets.where(F.size("w") > 0).select("id", "w", F.size("w").alias("n")))
+    words = kept.select("id", "n", F.explode("w").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy("df", "word")
+    # what one set alone has comes first in the order and links with nothing
+    shared = words.join(often, "word").withColumn("at", F.row_number().over(order)).withColumn("held", F.count("*").over(Window.partitionBy("id")))
+    at = shared.select("word", "id", "n", (F.col("n") - F.col("held") + F.col("at") - 1).alias("at"))
+    at = at.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    left, right = at.select("word", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu")), at.select("word", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"))
+    need = F.ceil((F.col("nu") + F.col("nv")) * (threshold / (1 + threshold)) - 1e-9)
+    near = F.least("nu", "nv") >= F.greatest("nu", "nv") * threshold - 1e-9
+    follows = F.least(F.col("iu"), F.col("iv")) + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) >= need
+    pairs = left.join(right, "word").where("u < v").where(near & follows).select("u", "v").distinct()
+    both = pairs.join(kept.select(F.col("id").alias("u"), F.col("w").alias("wu")), "u").join(kept.select(F.col("id").alias("v"), F.col("w").alias("wv")), "v")
+    return both.select("u", "v", jaccard(F.col("wu"), F.col("wv")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``id, group`` of texts that links of shingle sets join to another one, by the
+    smallest id. Texts with equal sets are one class, of which one member is compared."""
+    sets = texts.select(F.col(id_col).alias("id"), shingles(F.col(text_col), words).alias("w")).where(F.size("w") > 0)
+    sets = cut(sets.withColumn("mark", F.sha2(F.array_join(F.array_sort("w"), "\n"), 256)))
+    first = sets.groupBy("mark").agg(F.min("id").alias("u"), F.count("*").alias("n"))
+    alike = sets.join(first.where("n > 1"), "mark").where("id <> u").select("u", F.col("id").alias("v"))
+    one = sets.join(first.select(F.col("u").alias("id")), "id", "left_semi")
+    links = alike.unionByName(set_links(one.select("id", "w"), threshold).select("u", "v"))
+    return connected_components(links, cut).select("id", F.col("component").alias("group"))
 
 
 def greedy_groups(texts: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """``id, group``: in the order of ids every row joins the first kept row that it is
-    similar to, or is kept itself. Only rows of one connected component of similar rows
-    can meet, so each component is one task."""
-    import pandas as pd
-
-    pairs = cut(keyword_pairs(texts, id_col, text_col, threshold).where("is_similar").select(F.col("i").alias("u"), F.col("j").alias("v")))
-    part = connected_components(pairs, cut)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            near.setdefault(v, []).append(u)
-            near.setdefault(u, [])
-        group: dict[int, int] = {}
-        for i in sorted(near):
-            kept = [u for u in sorted(near[i]) if group[u] == u]
-            group[i] = kept[0] if kept else i
-        return pd.DataFrame({"id": list(group), "group": np.array(list(group.values()), np.int64)})
-
-    in_part = pairs.join(part.select(F.col("id").alias("u"), "component"), "u")
-    return in_part.groupBy("component").applyInPandas(walk, "id long, group long")
+    """``id, group``: in the order of ids every row joins the smallest kept row that it is
+    similar to by keywords, or is kept itself. All rows come out.
+
+    Rounds of joins: a row whose smaller neighbours are all decided is decided, so there
+    are as many rounds as the longest chain of neighbours in ascending order."""
+    rows = cut(texts.select(F.col(id_col).alias("id"), keywords(F.col(text_col)).alias("w")))
+    pairs = cut(set_links(rows, threshold).select("u", "v"))
+    later = pairs.select(F.col("v").alias("id")).distinct()
+    done = cut(rows.select("id").join(later, "id", "left_anti").select("id", F.col("id").alias("group")))
+    open_ = cut(later)
+    while not open_.isEmpty():
+        kept = done.where("id = group").select(F.col("id").alias("u"), F.lit(True).alias("kept"))
+        known = done.select(F.col("id").alias("u"), F.lit(True).alias("known"))
+        state = open_.withColumnRenamed("id", "v").join(pairs, "v").join(known, "u", "left").join(kept, "u", "left")
+        # a kept neighbour decides as soon as no smaller one is open
+        told = state.groupBy("v").agg(F.min(F.when(F.col("known").isNull(), F.col("u"))).alias("open"), F.min(F.when(F.col("kept"), F.col("u"))).alias("joins"))
+        told = told.where("open is null or joins < open").select(F.col("v").alias("id"), F.coalesce("joins", "v").alias("group"))
+        told = cut(told)
+        done = cut(done.unionByName(told))
+        open_ = cut(open_.join(told, "id", "left_anti"))
+    return done
 
 
 def group_details(groups: DataFrame, texts: DataFrame) -> DataFrame:

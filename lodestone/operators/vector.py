@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a search that are compared at once; more go in further blocks.
-QUERY_BLOCK = 256
+from ..functions.text import let
+
+#: Points that one task of a batch search holds, on average.
+SHARD_POINTS = 4096
 
 
 def _sum(values: Column) -> Column:
@@ -40,8 +44,8 @@ MEASURES = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, Fal
 
 
 def normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    divided = lambda n: F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), divided)
 
 
 def valid_point(vec_id: Column, vector: Column, size: int) -> Column:
@@ -62,25 +66,32 @@ def search(points: DataFrame, query: list[float], k: int = 10, measure: str = "c
     return df.orderBy(order, id_col).limit(k)
 
 
-def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, measure: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, measure: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of a stated set of queries (``query_id``,
-    ``query``): blocks of queries meet every point, and the rank limit holds in each task
-    before the shuffle."""
+    ``query``). Points are dealt to shards once and only the queries are copied to each;
+    the rank limit holds in every task before the shuffle. With ``digits`` scores are
+    rounded before they are ranked, so that equal vectors tie."""
     f, larger = MEASURES[measure]
-    blocks = queries.select(F.floor(F.abs(F.xxhash64("query_id")) % 8).alias("block"), "query_id", "query")
-    spread = points.select(id_col, vector_col, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
-    scored = spread.join(blocks, "block").where(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("vec_id"), f(F.col(vector_col), F.col("query")).alias("score"))
+    spark = points.sparkSession
+    shards = max(spark.sparkContext.defaultParallelism, points.count() // SHARD_POINTS)
+    a, b = F.col(vector_col), F.col("query")
+    if measure == "cosine":  # lengths once a vector, not once a pair
+        f, a, b = dot, normalize(a), normalize(b)
+    dealt = points.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), F.col(id_col).alias("vec_id"), a.alias("v"))
+    asked = queries.select("query_id", b.alias("q")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    score = f(F.col("v"), F.col("q"))
+    scored = dealt.join(asked, "shard").where("vec_id <> query_id").select("query_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score"))
     order = F.col("score").desc() if larger else F.col("score").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """The offline embedder: words counted in hashed slots, signed, of length 1."""
+    """The offline embedder: words counted in hashed slots, of length 1."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return normalize(counts)
+    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size)
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+    return let(let(slots, counts), normalize)
 
 
 #: Embedders by name; ``register`` adds one.
@@ -91,17 +102,34 @@ def register(name: str, embedder) -> None:  # noqa: ANN001
     EMBEDDERS[name] = embedder
 
 
-def approximate_search(points: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, bucket: float = 1.0, seed: int = 5) -> DataFrame:
-    """Approximate cosine search: random projections of normalised vectors choose the
-    candidates, the exact measure ranks them. Vectors of length 0 take no part."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    size = sum(float(x) * float(x) for x in query) ** 0.5
-    if size == 0:
-        return search(points, query, k, id_col=id_col, vector_col=vector_col)
-    unit = points.where(norm(F.col(vector_col)) > 0).withColumn("_unit", array_to_vector(normalize(F.col(vector_col)).cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxNearestNeighbors(unit, Vectors.dense([float(x) / size for x in query]), 4 * k, "_distance").drop("_unit", "_hash", "_distance")
-    return search(near, query, k, id_col=id_col, vector_col=vector_col)
+#: Share of the cells that a query of the approximate search looks into.
+PROBED = 0.75
+CELLS_MOST = 1024
+
+
+def approximate_search(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probed: float = PROBED, seed: int = 5) -> DataFrame:
+    """``query_id, rank, vec_id, score`` by cosine, approximately: unit vectors belong to
+    the cell of the nearest of some chosen vectors (the square root of their number,
+    ``CELLS_MOST`` at most), a query looks into the nearest ``probed`` share of the cells,
+    and what is there is ranked exactly. Points are dealt by cell once. Vectors of length
+    0 take no part. Without any structure among the vectors (2,000 of them) a recall of
+    0.92 asks for 0.7 of the cells; clustered ones need far fewer."""
+    unit = lambda df, key, vector, name: df.where(norm(F.col(vector)) > 0).select(F.col(key).alias(name), normalize(F.col(vector)).alias("v"))
+    at, asked = unit(points, id_col, vector_col, "vec_id"), unit(queries, "query_id", "query", "query_id")
+    cells = min(CELLS_MOST, max(1, int(at.count() ** 0.5)))
+    chosen = [r["v"] for r in at.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(cells).collect()]
+    centres = np.array(chosen).T if chosen else np.zeros((1, 1))
+
+    def nearest_cells(n: int):  # noqa: ANN202
+        @F.pandas_udf("array<int>")
+        def f(v: pd.Series) -> pd.Series:
+            score = np.vstack(v.to_numpy()) @ centres if len(v) else np.zeros((0, n))
+            return pd.Series(list(np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32)), dtype=object)
+
+        return f
+
+    dealt = at.withColumn("cell", F.explode(nearest_cells(1)("v")))
+    probes = asked.withColumn("cell", F.explode(nearest_cells(max(1, round(probed * max(1, len(chosen)))))("v"))).withColumnRenamed("v", "q")
+    scored = dealt.join(probes, "cell").where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -44,3 +44,17 @@ def gap_for(pending: Column) -> Column:
     """Milliseconds to wait by how many changes are pending."""
     # fixed values: 100, 500 and 1000 ms from 50, 20 and 10 pending changes, else 500 ms
     return F.when(pending >= 50, 100).when(pending >= 20, 500).when(pending >= 10, 1000).otherwise(500)
+
+
+def flush_delay(waiting: Column) -> Column:
+    """Milliseconds until waiting changes are worked on: the more there are, the sooner."""
+    # fixed values: numbers of changes and delays
+    return F.when(waiting >= 50, 100).when(waiting >= 20, 1000).otherwise(5000)
+
+
+def live_entries(entries: DataFrame, cache: str, key: str, at: str, now: Column, ttl: str, most: int) -> DataFrame:
+    """What a cache with a time to live and a most number of entries still holds: the last
+    write of each key, if it is young enough and among the ``most`` newest."""
+    last = entries.groupBy(cache, key).agg(F.max(at).alias(at)).where(F.col(at) > now - F.expr(f"interval {ttl}"))
+    rank = F.row_number().over(Window.partitionBy(cache).orderBy(F.desc(at), key))
+    return last.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")

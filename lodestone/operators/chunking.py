@@ -208,6 +208,110 @@ def merge_neighbours(rows: DataFrame, score: Callable[[Column, Column], Column],
     return held.select(*keys, F.explode(F.aggregate(rest.cast(kind), first, step)).alias("c")).select(*keys, "c.*")
 
 
+def pair_small(rows: DataFrame, least: int = 100, keys: tuple = ("doc_id",)) -> DataFrame:
+    """A small chunk joins the one behind it, which then joins nothing else: of a run of
+    small ones every second begins a pair. The last chunk begins none."""
+    order = Window.partitionBy(*keys).orderBy("chunk")
+    n = F.row_number().over(order)
+    marked = rows.withColumn("_n", n).withColumn("_small", (F.length("content") < least) & F.lead("chunk").over(order).isNotNull())
+    since = F.coalesce(F.max(F.when(~F.col("_small"), F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    marked = marked.withColumn("_first", F.col("_small") & ((F.col("_n") - since) % 2 == 1))
+    group = F.when(F.coalesce(F.lag("_first").over(order), F.lit(False)), F.lag("chunk").over(order)).otherwise(F.col("chunk"))
+    return _joined(marked.withColumn("_group", group), keys, "_group")
+
+
+def merge_contents(first: Column, second: Column, first_line: Column, second_line: Column) -> Column:
+    """Two texts as one; lines that both have (by their line numbers) are taken once."""
+    a = lines_of(first)
+    common = first_line + F.size(a) - second_line
+    left = F.slice(a, F.lit(1), F.greatest(F.size(a) - common, F.lit(0)))
+    return F.when(common <= 0, F.concat_ws("\n", first, second)).otherwise(F.array_join(F.concat(left, lines_of(second)), "\n"))
+
+
+def same_chunks(rows: DataFrame, hash_of: Column, keys: tuple = ("doc_id",)) -> DataFrame:
+    """``chunk_a, chunk_b`` of one file that have the same hash, the same lines or the same
+    text: equal joins, one after another."""
+    held = rows.select(*keys, "chunk", hash_of.alias("_h"), F.struct("start_line", "end_line").alias("_l"), F.md5("content").alias("_t"))
+    out = None
+    for mark in ("_h", "_l", "_t"):
+        a, b = held.select(*keys, mark, F.col("chunk").alias("chunk_a")), held.select(*keys, mark, F.col("chunk").alias("chunk_b"))
+        part = a.join(b, [*keys, mark]).where("chunk_a < chunk_b").select(*keys, "chunk_a", "chunk_b")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def structural_similarity(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Of a chunk and a later one (type, complexity, size, start_line, end_line), 0 to 1."""
+    share = lambda x: F.when(F.greatest(a(x), b(x)) > 0, 1 - F.abs(a(x) - b(x)) / F.greatest(a(x), b(x))).otherwise(0.0)
+    apart = b("start_line") - a("end_line")
+    # fixed values: weights and the greatest distance in lines
+    near = F.when((apart >= 0) & (apart <= 50), 0.3 * (1 - apart / 50)).otherwise(0.0)
+    return F.least(F.lit(1.0), F.when(a("type") == b("type"), 0.3).otherwise(0.0) + 0.2 * share("complexity") + 0.2 * share("size") + near)
+
+
+def structural_groups(rows: DataFrame, least: float = 0.8, keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys, chunk, into``: every chunk joins the first chunk of its document that is not
+    merged itself and that it is alike enough. Alike ones stand within 33 lines, so pairs
+    are few however long a document is."""
+    from .similarity import greedy_rounds
+
+    key = [*keys, "chunk"]
+    a, b = rows.alias("a"), rows.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    # lines in steps of 64: a pair lies in one step or in two that follow each other
+    step = lambda x: F.floor(F.col(x) / 64)
+    a = rows.withColumn("_s", F.explode(F.array(step("end_line"), step("end_line") + 1))).alias("a")
+    b = rows.withColumn("_s", step("start_line")).alias("b")
+    near = a.join(b, [*same, F.col("a._s") == F.col("b._s"), F.col("a.chunk") < F.col("b.chunk")])
+    score = structural_similarity(lambda x: F.col(f"a.{x}"), lambda x: F.col(f"b.{x}"))
+    pairs = near.where(score >= least - 1e-9).select(F.struct(*[F.col(f"a.{k}") for k in key]).alias("u"), F.struct(*[F.col(f"b.{k}") for k in key]).alias("v"))
+    done = greedy_rounds(rows.select(F.struct(*key).alias("id")), pairs)
+    return done.select("id.*", F.col("group")["chunk"].alias("into"))
+
+
+#: Types that may join a generic chunk.
+MIXABLE = ("function", "class", "import")
+
+
+def boundary_groups(rows: DataFrame, most_chars: int = 1000, most_complexity: float = 50.0, keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys, chunk, into``: neighbours join while both fit, their types go together, the
+    first is no function or class, and their complexity stays low. One fold over a
+    document's chunks (their measures, not their texts)."""
+    item = F.struct("chunk", "type", F.length("content").alias("size"), F.col("complexity").cast("double").alias("complexity"))
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_c"))
+    state = "struct<into:int,type:string,size:int,complexity:double,out:array<struct<chunk:int,into:int>>>"
+    none = F.struct(F.lit(-1).alias("into"), F.lit("").alias("type"), F.lit(0).alias("size"), F.lit(0.0).alias("complexity"), F.array().cast("array<struct<chunk:int,into:int>>").alias("out")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        mixed = (s["type"].isin(*MIXABLE) & (x["type"] == "generic")) | (x["type"].isin(*MIXABLE) & (s["type"] == "generic"))
+        joins = (s["into"] >= 0) & (s["size"] + x["size"] <= most_chars) & ((s["type"] == x["type"]) | mixed) & ~s["type"].isin("function", "class") & (s["complexity"] + x["complexity"] <= most_complexity)
+        into = F.when(joins, s["into"]).otherwise(x["chunk"])
+        return F.struct(
+            into.alias("into"), F.when(joins, s["type"]).otherwise(x["type"]).alias("type"), F.when(joins, s["size"] + x["size"] + 1).otherwise(x["size"]).alias("size"),
+            F.when(joins, s["complexity"] + x["complexity"]).otherwise(x["complexity"]).alias("complexity"), F.concat(s["out"], F.array(F.struct(x["chunk"].alias("chunk"), into.alias("into")))).alias("out"),
+        ).cast(state)
+
+    return held.select(*keys, F.explode(F.aggregate("_c", none, step)["out"]).alias("c")).select(*keys, "c.*")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """Chunks merged as ``into`` of ``structural_groups`` or ``boundary_groups`` says."""
+    return _joined(rows.join(groups, [*keys, "chunk"]), keys, "into")
+
+
+def overlap_strategy(alike: Column, fits: Column, shared_nodes: Column, gap: Column, boundary: Column) -> Column:
+    """Which overlap two neighbours get: by how alike their lines are, whether the sizes fit,
+    whether they share nodes of code, and how well one may cut between them."""
+    return F.when((alike > 0.8) | ~fits, "smart-dedup").when(shared_nodes | (gap <= 1) & (boundary > 0.6), "node-aware").when(boundary > 0.3, "ast-boundary").otherwise("hybrid")
+
+
+def definition_ends(text: Column) -> Column:
+    """Chunks that begin where a definition begins; a text without one is a single chunk."""
+    lines = lines_of(text)
+    at = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(STARTS), i - 1)), lambda i: i.isNotNull())
+    return F.array_distinct(F.concat(at, F.array(F.size(lines) - 1)))
+
+
 def dedup(rows: DataFrame, hash_of: Column, keys: tuple = ("doc_id",)) -> DataFrame:
     """The first chunk of each content hash within a document."""
     rank = F.row_number().over(Window.partitionBy(*keys, "_h").orderBy("chunk"))

@@ -165,6 +165,31 @@ def delete_nodes(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(gone.select("id").distinct(), "id", "left_anti"), left
 
 
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that are left when those named by ``src, dst, type`` go."""
+    return edges.join(gone.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti")
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the type and name of both ends; an end that no node has stays null."""
+    end = lambda at: nodes.select(F.col("id").alias(at), F.col("type").alias(f"{at}_type"), F.col("name").alias(f"{at}_name"))
+    return edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+
+
+# fixed values: limits and the words of an insight
+INSIGHTS = [
+    ("average_degree > 5", "The codebase has a high connectivity, which may indicate tight coupling between components."),
+    ("external > 0.5 * files", "The project has a high ratio of external dependencies to project files, which may increase maintenance complexity."),
+    ("components < 5", "The project has few connected components, which may indicate a monolithic architecture."),
+]
+
+
+def insights(measures: DataFrame) -> DataFrame:
+    """``insight`` rows of a graph's measures (average_degree, external, files, components)."""
+    told = F.array_compact(F.array(*[F.when(F.expr(test), F.lit(text)) for test, text in INSIGHTS]))
+    return measures.select(F.explode(told).alias("insight"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old ones of the same keys; missing columns become null."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, keywords, let
+from ..functions.text import clamp, jaccard, keyword_similarity, keywords, let
 from ..plans.components import connected_components
 from ..plans.lineage import cut
+from .vector import EMBEDDERS, cosine
 
 # fixed values: order of the strategies and weights by kind of content
 ORDER = {"code": ["keyword", "levenshtein", "semantic"], "document": ["keyword", "semantic", "levenshtein"], "generic": ["levenshtein", "keyword", "semantic"]}
@@ -47,6 +48,52 @@ def cascade(same: Column, scores: list[tuple[str, Column]], kind: str = "generic
     return out.otherwise(means[-1]), steps.otherwise(len(ranked))
 
 
+#: Texts under so many characters are compared by their keywords.
+SHORT = 10
+
+
+def semantic(a: Column, b: Column, embedder: str = "hashed") -> Column:
+    """Cosine of embeddings, 0 to 1; by keywords where a text is short or an embedder fails."""
+    words = keyword_similarity(a, b)
+    embed = EMBEDDERS[embedder]
+    near = clamp(cosine(embed(a), embed(b)))
+    return F.when((F.length(a) < SHORT) | (F.length(b) < SHORT), words).otherwise(F.coalesce(near, words))
+
+
+def duplicates(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.9) -> DataFrame:
+    """``id, is_duplicate``: whether another text is equal or as similar by keywords."""
+    rows = cut(texts.select(F.col(id_col).alias("id"), F.md5(text_col).alias("mark"), keywords(F.col(text_col)).alias("w")))
+    links = set_links(rows, threshold)
+    alike = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id")))
+    copies = rows.join(rows.groupBy("mark").count().where("count > 1"), "mark", "left_semi").select("id")
+    found = alike.unionByName(copies).distinct().withColumn("is_duplicate", F.lit(True))
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+
+
+# fixed values: words that pair analysis passes over
+COMMON = (
+    "the a an and or but in on at to for of with by from up about into through during before after above below between among is are was were be been being have has had do does did will would could should may might must can "
+    "this that these those i you he she it we they what which who when where why how not no yes"
+).split()
+
+
+def analysis_words(text: Column) -> Column:
+    held = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+")
+    return F.filter(held, lambda w: (F.length(w) > 2) & ~w.isin(COMMON))
+
+
+def analyse_pair(a: Column, b: Column) -> Column:
+    """Difference and ratio of lengths, overlap of words, and complexity of both texts."""
+    def complexity(text: Column) -> Column:
+        score = F.size(F.array_distinct(F.split(text, ""))) * 0.3 + F.size(F.split(text, "\n")) * 0.4 + F.size(analysis_words(text)) * 0.3
+        return F.least(F.lit(1.0), score / 1000)
+
+    x, y, m, n = analysis_words(a), analysis_words(b), F.length(a), F.length(b)
+    union = F.size(F.array_union(x, y))
+    overlap = F.when(union > 0, F.size(F.filter(x, lambda w: F.array_contains(y, w))) / union).otherwise(0.0)
+    return F.struct(F.abs(m - n).alias("difference"), F.when(F.greatest(m, n) > 0, F.least(m, n) / F.greatest(m, n)).otherwise(1.0).alias("ratio"), overlap.alias("overlap"), complexity(a).alias("complexity_a"), complexity(b).alias("complexity_b"))
+
+
 def keyword_pairs(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.6) -> DataFrame:
     """All pairs that share a keyword. They meet on their keywords, so pairs without a
     common one are never made."""
@@ -124,7 +171,12 @@ def greedy_groups(texts: DataFrame, id_col: str, text_col: str, threshold: float
     Rounds of joins: a row whose smaller neighbours are all decided is decided, so there
     are as many rounds as the longest chain of neighbours in ascending order."""
     rows = cut(texts.select(F.col(id_col).alias("id"), keywords(F.col(text_col)).alias("w")))
-    pairs = cut(set_links(rows, threshold).select("u", "v"))
+    return greedy_rounds(rows.select("id"), set_links(rows, threshold).select("u", "v"))
+
+
+def greedy_rounds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, group`` of all rows (``id``) by pairs (``u`` before ``v``), as above."""
+    pairs = cut(pairs)
     later = pairs.select(F.col("v").alias("id")).distinct()
     done = cut(rows.select("id").join(later, "id", "left_anti").select("id", F.col("id").alias("group")))
     open_ = cut(later)

@@ -106,7 +106,7 @@ def _stream(t, key: str = "event_id"):
 def stream_windows(t):
     at, events = _stream(t)
     S.run_each(S.measured(events, "ts", ["event_type"], "value", "1 day"), S.into_table(f"{at}/out", ["event_type", "start"], "n"), f"{at}/point")
-    return t("events").sparkSession.read.parquet(f"{at}/out").withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.table_at(t("events").sparkSession, f"{at}/out").withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query()

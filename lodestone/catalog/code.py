@@ -3,6 +3,8 @@ duplicates, edits of graphs and timing of changes."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
@@ -12,7 +14,10 @@ from ..operators import chunking as K
 from ..operators import code_quality as Q
 from ..operators import filesearch as S
 from ..operators import graph as G
+from ..operators import metrics as R
 from ..operators import similarity as M
+from ..plans.lineage import shared_dir
+from ..sources.collections import PointStore
 from .base import Catalog
 from .graphs import BOTH, EDGES, edges_of, nodes_of, start_of
 from .texts import _jac, _kw, _pairs
@@ -248,3 +253,78 @@ def live_cache(t):
     events = t("events")
     now = F.lit(events.agg(F.max("ts")).first()[0])
     return H.live_entries(events, "event_type", "user_id", "ts", now, "3 days", 20).select("event_type", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""WITH r AS (SELECT event_id, event_type, value, count(*) FILTER (value < 20) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 2 PRECEDING) AS low FROM events)
+SELECT event_id, event_type, CASE WHEN value < 10 THEN 'critical' WHEN value < 15 THEN 'high' ELSE 'medium' END AS severity FROM r WHERE low = 3""")
+def low_streaks(t):
+    events = t("events").withColumn("at", F.struct("ts", "event_id"))
+    return R.low_streaks(events, "at", "value", 20.0, 3, ["event_type"]).select("event_id", "event_type", "severity")
+
+
+@query("""WITH l AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 50), s AS (SELECT count(*) AS n, avg((value >= 50)::INT) AS share FROM l),
+m AS (SELECT n, 0.5 * CASE WHEN share > 0.8 THEN 1.1 WHEN share > 0.6 THEN 1.02 WHEN share < 0.1 THEN 0.9 WHEN share < 0.2 THEN 0.95 ELSE 1.0 END AS moved FROM s)
+SELECT (CASE WHEN n >= 10 AND abs(least(0.95, greatest(0.3, moved)) - 0.5) > 0.05 THEN least(0.95, greatest(0.3, moved)) ELSE 0.5 END)::DOUBLE AS threshold FROM m""")
+def adaptive_threshold(t):
+    return M.adaptive_threshold(t("events").withColumn("score", F.col("value") / 100), "event_id", "score", 0.5)
+
+
+@query("""WITH d AS (SELECT min(doc_id) OVER (PARTITION BY md5(text)) AS "group", doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT "group", count(*)::BIGINT AS n, arg_max(doc_id, n * 1000000000 - doc_id) AS representative FROM d GROUP BY 1""")
+def group_details(t):
+    from pyspark.sql import Window
+
+    docs = t("documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    groups = docs.select("id", F.min("id").over(Window.partitionBy(F.md5("text"))).alias("group"))
+    return M.group_details(groups, docs)
+
+
+@query(f"""WITH {FOUR} SELECT a.doc_id, a.chunk::BIGINT AS chunk_a, b.chunk::BIGINT AS chunk_b FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.chunk < b.chunk AND (b.s = a.e + 1 OR (b.s <= a.e AND a.s <= b.e))""")
+def adjacent_chunks(t):
+    return K.similar_neighbours(_four(t)).select("doc_id", F.col("chunk_a").cast("long").alias("chunk_a"), F.col("chunk_b").cast("long").alias("chunk_b"))
+
+
+YES = lambda test, w: f"CASE WHEN {test} THEN {w} ELSE 0.0 END"
+
+
+@query(f"""WITH l AS (SELECT page_id, string_split(html, chr(10)) AS l FROM pages WHERE html IS NOT NULL), u AS (SELECT page_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line, unnest(list_append(l[2:], NULL)) AS y FROM l)
+SELECT page_id, line, round(least(1.0, {YES("trim(x) = ''", 0.3)} + {YES(f"regexp_matches(x, {_quoted(K.CLOSERS)})", 0.4)} + {YES(f"coalesce(regexp_matches(y, {_quoted(K.STARTS)}), false)", 0.4)} + {YES("regexp_matches(trim(x), '^(//|#|[*])')", 0.2)}), 6)::DOUBLE AS score FROM u""")
+def boundary_scores(t):
+    from pyspark.sql import Window
+
+    lines = t("pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("at", "x"))
+    lines = lines.withColumn("y", F.lead("x").over(Window.partitionBy("page_id").orderBy("at")))
+    return lines.select("page_id", (F.col("at") + 1).cast("long").alias("line"), F.round(K.boundary_score(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query(f"""WITH l AS (SELECT page_id, html, string_split(html, chr(10)) AS l FROM pages WHERE html IS NOT NULL)
+SELECT page_id, round(least(1.0, {YES(f"regexp_matches(html, {_quoted(K.STARTS)})", 0.3)} + {YES(f"regexp_matches(trim(html), {_quoted(K.CLOSERS)})", 0.2)} + {YES("regexp_matches(trim(html), '^(//|#|/[*])')", 0.1)} + {YES("len(l) < 10", 0.2)} + {YES("len(list_filter(l, lambda x: length(trim(x)) > 2)) * 2 > len(l)", 0.2)}), 6)::DOUBLE AS quality FROM l""")
+def overlap_quality(t):
+    return t("pages").where("html is not null").select("page_id", F.round(K.overlap_quality(F.col("html")), 6).alias("quality"))
+
+
+@query("SELECT o_orderkey AS id, ext, ext IN ('ts', 'js', 'tsx', 'jsx', 'py', 'java', 'cpp', 'c', 'h', 'hpp', 'md', 'txt') AS to_vector, ext IN ('ts', 'js', 'tsx', 'jsx', 'py', 'java', 'cpp', 'c', 'h', 'hpp') AS to_graph FROM (SELECT o_orderkey, ['ts', 'md', 'png', 'py'][o_orderkey % 4 + 1] AS ext FROM orders)")
+def routed_changes(t):
+    ext = F.get(F.array(*map(F.lit, ("ts", "md", "png", "py"))), (F.col("o_orderkey") % 4).cast("int"))
+    return H.routed(t("orders").select(F.col("o_orderkey").alias("id"), ext.alias("ext")), F.col("ext"))
+
+
+@query("SELECT 'c' || (label % 2) AS collection, count(*)::BIGINT AS points, 64 AS size FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY 1")
+def point_store(t):
+    """Upserts, repeated upserts and deletes in two collections."""
+    spark = t("region").sparkSession
+    store = PointStore(spark, f"{shared_dir(spark)}/points-{uuid.uuid4().hex}")
+    points = t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label")
+    for label in (0, 1):
+        some = points.where(F.col("label") % 2 == label)
+        store.upsert(f"c{label}", some, 64)
+        store.upsert(f"c{label}", some.where("id % 3 = 0"), 64)
+        store.delete(f"c{label}", some.where("id % 7 = 0").select("id"))
+    return store.info()
+
+
+@query("""SELECT c_custkey AS id, '/p/' || c_custkey AS path, c_mktsegment AS status FROM customer WHERE c_custkey % 5 <> 0""")
+def migrated_states(t):
+    """States that were kept as JSON texts become rows; broken ones go."""
+    text = F.when(F.col("c_custkey") % 5 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("/p/"), "c_custkey").alias("path"), F.col("c_mktsegment").alias("status"))))
+    return H.migrate_json(t("customer").select(text.alias("state")), "state", "id long, path string, status string", "id")

@@ -202,6 +202,14 @@ def communities(t):
     return G.communities(e, n)
 
 
-@query(f"WITH {NODES} SELECT type, count(*)::BIGINT AS n FROM nodes GROUP BY 1 ORDER BY 1 LIMIT 10")
+@query(f"""WITH RECURSIVE {BOTH}, w(id, depth) AS (SELECT 'p5', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.id WHERE w.depth < 2 AND type = 'IMPORTS')
+SELECT 'schema' AS kind, type AS found, count(*)::BIGINT AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'keyword', id, 1 FROM (SELECT id FROM nodes WHERE contains(name, '7') ORDER BY id LIMIT 10) UNION ALL SELECT 'exact', id, 1 FROM nodes WHERE id = 's3'
+UNION ALL SELECT 'neighbor', dst, 1 FROM edges WHERE src = 'p5' AND type = 'IMPORTS' UNION ALL SELECT 'path', id, min(depth) FROM w GROUP BY id HAVING min(depth) > 0""")
 def search_dispatch(t):
-    return G.search(edges_of(t), nodes_of(t), "schema", "")
+    """All five kinds of search by one entry."""
+    edges, nodes, one = edges_of(t), nodes_of(t), F.lit(1).cast("long")
+    row = lambda kind, df, found, n: df.select(F.lit(kind).alias("kind"), F.col(found).alias("found"), n.cast("long").alias("n"))
+    out = row("schema", G.search(edges, nodes, "schema", ""), "type", F.col("n"))
+    out = out.unionByName(row("keyword", G.search(edges, nodes, "keyword", "7"), "id", one)).unionByName(row("exact", G.search(edges, nodes, "exact", "s3"), "id", one))
+    out = out.unionByName(row("neighbor", G.search(edges, nodes, "neighbor", "p5", types=["IMPORTS"]), "id", one))
+    return out.unionByName(row("path", G.search(edges, nodes, "path", "p5", types=["IMPORTS"]), "id", F.col("depth")))

@@ -74,10 +74,11 @@ def project_list(t):
     return P.page(df, [F.lower("c_name").desc(), "c_custkey"], 20, 20).select("c_custkey", "c_name")
 
 
-@query("SELECT event_id, ts FROM events WHERE event_type IN ('error', 'click') AND value > 10 AND ts >= (SELECT min(ts) FROM events) ORDER BY ts DESC, event_id LIMIT 50")
+@query("SELECT event_id, ts FROM events WHERE event_type IN ('error', 'click') AND value > 10 AND ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) ORDER BY ts DESC, event_id LIMIT 50")
 def error_log_filter(t):
     e = t("events")
-    return e.where(F.col("event_type").isin("error", "click") & (F.col("value") > 10) & F.col("ts").isNotNull()).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    return e.where(F.col("event_type").isin("error", "click") & (F.col("value") > 10) & (F.col("ts") >= F.lit(low + (high - low) / 2))).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
 
 
 @query("SELECT o_custkey, list_sort(list(o_orderkey)) AS ids FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")

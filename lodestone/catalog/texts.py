@@ -77,10 +77,13 @@ def exact_dedup(t):
     return t("documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("""WITH w AS (SELECT conv_id, turn, md5(role) AS h FROM conversations), r AS (SELECT *, lag(h, 1) OVER o AS a, lag(h, 2) OVER o AS b, lag(h, 3) OVER o AS c FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, (coalesce((a = h)::INT, 0) + coalesce((b = h)::INT, 0) + coalesce((c = h)::INT, 0)) >= 2 AS repetitive FROM r""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, line, md5(x) AS h, lag(md5(x), 1) OVER o AS a, lag(md5(x), 2) OVER o AS b, lag(md5(x), 3) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line))
+SELECT doc_id, line, (coalesce((a = h)::INT, 0) + coalesce((b = h)::INT, 0) + coalesce((c = h)::INT, 0)) >= 2 AS repetitive FROM r""")
 def repetitive_overlap(t):
-    return S.repetitive(t("conversations").withColumn("h", F.md5("role")), ["conv_id"], "turn", "h").select("conv_id", "turn", "repetitive")
+    lines = t("documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "x"))
+    rows = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.md5("x").alias("h"))
+    return S.repetitive(rows, ["doc_id"], "line", "h").select("doc_id", "line", "repetitive")
 
 
 @query("""WITH l AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS w, row_number() OVER (ORDER BY doc_id) AS r FROM documents),

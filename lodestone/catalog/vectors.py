@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import vector as V
 from .base import Catalog
+from .texts import _jac, _kw
 
 C = Catalog()
 query = C.query
@@ -61,14 +63,6 @@ def knn_batch(t):
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH v AS (SELECT vec_id, label, list_cosine_similarity({D}, {SQL_QUERY}) AS s FROM embeddings)
-SELECT vec_id, round(0.7 * s + 0.3 * (CASE WHEN label = 3 THEN 1.0 ELSE 0.0 END), 6) AS score FROM v ORDER BY 0.7 * s + 0.3 * (CASE WHEN label = 3 THEN 1.0 ELSE 0.0 END) DESC, vec_id LIMIT 10""")
-def hybrid_search(t):
-    q = F.array(*[F.lit(x) for x in QUERY])
-    score = 0.7 * V.cosine(F.col("embedding"), q) + 0.3 * (F.col("label") == 3).cast("double")
-    return t("embeddings").select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
-
-
 @query(f"SELECT vec_id, round(list_sum(list_transform({D}, lambda x: x * x)), 4) AS squared, 1.0::DOUBLE AS unit FROM embeddings")
 def l2_normalize(t):
     e = F.col("embedding")
@@ -105,3 +99,17 @@ def search_by_text(t):
     embedded = t("documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
     asked = t("benchmark").select((-1 - F.col("item_id")).alias("query_id"), embed(F.col("text")).alias("query"))
     return V.batch_search(embedded, asked, k=5, digits=6).select("query_id", "vec_id", "rank", "score")
+
+
+ASKED = "the report of the nation and its trade by sea"
+
+
+@query(f"""WITH q AS (SELECT 0 AS doc_id, '{ASKED}' AS text), e AS {_embedded('doc_id', 'documents')}, a AS {_embedded('doc_id', 'q')},
+k AS (SELECT doc_id, {_kw('text')} AS w FROM documents), b AS (SELECT {_kw('text')} AS w FROM q),
+s AS (SELECT k.doc_id, 0.7 * (CASE WHEN list_sum(e.v) > 0 THEN list_cosine_similarity(e.v, a.v) ELSE 0.0 END) + 0.3 * {_jac('k.w', 'b.w')} AS s FROM k JOIN e ON e.id = k.doc_id, a, b)
+SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 6) DESC, doc_id LIMIT 10""")
+def hybrid_search(t):
+    """Vector and keyword scores of documents for one text, by weight."""
+    embed, asked = V.EMBEDDERS["hashed"], F.lit(ASKED)
+    score = 0.7 * V.cosine(embed(F.col("text")), embed(asked)) + 0.3 * T.jaccard(T.keywords(F.col("text")), T.keywords(asked))
+    return t("documents").where("text is not null").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)

@@ -58,3 +58,10 @@ def live_entries(entries: DataFrame, cache: str, key: str, at: str, now: Column,
     last = entries.groupBy(cache, key).agg(F.max(at).alias(at)).where(F.col(at) > now - F.expr(f"interval {ttl}"))
     rank = F.row_number().over(Window.partitionBy(cache).orderBy(F.desc(at), key))
     return last.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
+
+
+def migrate_json(states: DataFrame, text_col: str, schema: str, key: str) -> DataFrame:
+    """Rows of states that were kept as JSON texts; texts that are no JSON, or that lack
+    the key, go."""
+    rows = states.select(F.from_json(text_col, schema).alias("s")).select("s.*")
+    return rows.where(F.col(key).isNotNull())

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # fixed values: limits of the strategies (lines, characters, least characters, depth)
 LIMITS = {"line": (50, 3000, 0, 0), "bracket": (50, 3000, 200, 3), "xml": (50, 3000, 200, 10), "markdown": (100, 3000, 0, 0)}
 # fixed values: languages that are cut by brackets or tags
@@ -32,15 +34,21 @@ def lines_of(text: Column) -> Column:
 def _fold(lines: Column, marks: Callable[[Column], dict[str, Column]], start: dict[str, Column], step: Callable[[Column, Column, Column], tuple[Column, dict[str, Column]]]) -> Column:
     """Ends of chunks. ``step`` gets state, line and the number of the last line, and
     gives the ends to add (an array) and the next state."""
-    items = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("len"), *[c.alias(k) for k, c in marks(x).items()]))
-    last = F.size(lines) - 1
     begin = F.struct(F.array().cast("array<int>").alias("ends"), *[c.alias(k) for k, c in start.items()])
 
-    def merge(s: Column, x: Column) -> Column:
-        ends, state = step(s, x, last)
-        return F.struct(F.concat(s["ends"], ends).alias("ends"), *[c.alias(k) for k, c in state.items()])
+    def fold(held: Column, last: Column) -> Column:
+        items = F.transform(held, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("len"), *[c.alias(k) for k, c in marks(x).items()]))
+
+        def merge(s: Column, x: Column) -> Column:
+            ends, state = step(s, x, last)
+            # the ends so far are copied once a chunk, not once a line
+            kept = let(ends, lambda e: F.when(F.size(e) > 0, F.concat(s["ends"], e)).otherwise(s["ends"]))
+            return F.struct(kept.alias("ends"), *[c.alias(k) for k, c in state.items()])
 
-    return F.array_distinct(F.concat(F.aggregate(items, begin, merge)["ends"], F.array(last)))
+        return F.array_distinct(F.concat(F.aggregate(items, begin, merge)["ends"], F.array(last)))
+
+    # lines are split once a text, and counted once
+    return let(lines, lambda held: let(F.size(held) - 1, lambda last: fold(held, last)))
 
 
 def _one(test: Column, end: Column) -> Column:
@@ -135,11 +143,14 @@ def strategy_for(language: Column) -> Column:
 
 def chunks(docs: DataFrame, ends: Column, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     """One row per chunk: ``keys, chunk, start_line, end_line`` (from 1) and ``content``."""
-    lines = F.col("_lines")
-    span = F.transform(F.col("_ends"), lambda e, i: F.struct(F.coalesce(F.get(F.col("_ends"), i - 1) + 1, F.lit(0)).alias("b"), e.alias("e")))
     # texts of chunks are cut before they are dealt out, so that no row holds all lines
-    parts = F.transform(span, lambda s: F.struct((s["b"] + 1).alias("start_line"), (s["e"] + 1).alias("end_line"), F.array_join(F.slice(lines, s["b"] + 1, s["e"] - s["b"] + 1), "\n").alias("content")))
-    cut = docs.where(F.col(text_col).isNotNull()).select(*keys, lines_of(F.col(text_col)).alias("_lines"), ends.alias("_ends")).select(*keys, F.posexplode(parts).alias("chunk", "c"))
+    def parts(lines: Column, at: Column) -> Column:
+        begins = F.transform(at, lambda e, i: F.struct(F.coalesce(F.get(at, i - 1) + 1, F.lit(0)).alias("b"), e.alias("e")))
+        return F.transform(begins, lambda s: F.struct((s["b"] + 1).alias("start_line"), (s["e"] + 1).alias("end_line"), F.array_join(F.slice(lines, s["b"] + 1, s["e"] - s["b"] + 1), "\n").alias("content")))
+
+    # lines and ends are worked out once a text, however many chunks it has
+    all_ = let(lines_of(F.col(text_col)), lambda lines: let(ends, lambda at: parts(lines, at)))
+    cut = docs.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(all_).alias("chunk", "c"))
     return cut.select(*keys, "chunk", "c.*").where(F.trim(F.translate("content", "\n\t\r", "   ")) != "")
 
 

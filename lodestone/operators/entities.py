@@ -64,7 +64,8 @@ def inheritance(files: DataFrame, **columns) -> DataFrame:
 
 def to_graph(files: DataFrame, **columns) -> tuple[DataFrame, DataFrame]:
     """Nodes ``id, type, name`` and edges ``src, dst, type``: files contain definitions,
-    import modules, and functions call the functions of their file or any other."""
+    import modules, functions call the functions of their file or any other, and classes
+    inherit from or implement the classes of any file."""
     found = entities(files, **columns)
     file_id = F.concat(F.lit("file:"), F.col("path"))
     own_id = F.concat_ws(":", F.lit("symbol"), "name", "type", "path", F.col("line").cast("string"))
@@ -78,7 +79,11 @@ def to_graph(files: DataFrame, **columns) -> tuple[DataFrame, DataFrame]:
     functions = found.where("type = 'function'").select("path", "name", own_id.alias("id"))
     called = calls(files, **columns).select("path", "caller", "callee").distinct()
     ends = called.join(functions.select("path", F.col("name").alias("caller"), F.col("id").alias("src")), ["path", "caller"]).join(functions.select(F.col("name").alias("callee"), F.col("id").alias("dst")), "callee")
-    return nodes, edges.unionByName(ends.where("src <> dst").select("src", "dst", F.lit("CALLS").alias("type")).distinct())
+    edges = edges.unionByName(ends.where("src <> dst").select("src", "dst", F.lit("CALLS").alias("type")).distinct())
+    classes = found.where("type = 'class'").select("path", "name", own_id.alias("id"))
+    kin = inheritance(files, **columns).distinct().join(classes.select("path", F.col("name").alias("child"), F.col("id").alias("src")), ["path", "child"])
+    kin = kin.join(classes.select(F.col("name").alias("parent"), F.col("id").alias("dst")), "parent")
+    return nodes, edges.unionByName(kin.where("src <> dst").select("src", "dst", "type").distinct())
 
 
 def ends_of(properties: Column) -> tuple[Column, Column]:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.lineage import cut
-
 CHANGE = "path string, change string, hash string, at timestamp"
 #: How late an event may come.
 LATE = "10 minutes"
@@ -33,32 +32,38 @@ def measured(events: DataFrame, time: str, keys: list[str], value: str, size: st
     return own.select(*keys, F.col("w.start").alias("start"), "n", "mean", "least", "most")
 
 
-def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl: int | None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame(columns=["path", "change", "hash", "at"])
+        return
     known = state.get[0] if state.exists else None
-    out = []
     rows = pd.concat(list(batches)).sort_values(["at", "kind"], kind="stable")
-    for kind, hashed, at in zip(rows["kind"], rows["hash"], rows["at"]):
-        if kind == "delete":
-            change, new = ("deleted" if known is not None else None), None
-        elif hashed == known:
-            continue
-        else:
-            change, new = ("created" if known is None else "modified"), hashed
-        known = new
-        if change:
-            out.append((key[0], change, hashed, at))
-    if known is None:
+    gone, renamed = rows["kind"] == "delete", rows["kind"] == "rename"
+    # what is stored after each event, and before it
+    after = rows["hash"].where(~gone, None).astype(object)
+    before = after.shift(1).astype(object)
+    before.iloc[0] = known
+    had, same = before.notna(), (before == after) & before.notna()
+    change = np.select([renamed, gone & had, ~gone & ~same & had, ~gone & ~had], ["renamed", "deleted", "modified", "created"], "")
+    last = after.iloc[-1]
+    if last is None or pd.isna(last):
         state.remove() if state.exists else None
     else:
-        state.update((known,))
-    yield pd.DataFrame(out, columns=["path", "change", "hash", "at"])
+        state.update((last,))
+        if ttl:
+            state.setTimeoutDuration(ttl)
+    some = change != ""
+    yield pd.DataFrame({"path": key[0], "change": change[some], "hash": rows["hash"][some].to_numpy(), "at": rows["at"][some].to_numpy()})
 
 
-def file_changes(events: DataFrame) -> DataFrame:
-    """Raw events ``path, kind (add, change, delete), hash, at`` to changes: created where no
-    hash is stored, modified where another one is, deleted only where one is; events that
-    change nothing go. The state is one hash a file; files spread over all tasks."""
-    return events.groupBy("path").applyInPandasWithState(_judge, CHANGE, "hash string", "append", GroupStateTimeout.NoTimeout)
+def file_changes(events: DataFrame, ttl: int | None = None) -> DataFrame:
+    """Raw events ``path, kind (add, change, delete, rename), hash, at`` to changes: created
+    where no hash is stored, modified where another one is, deleted only where one is,
+    renamed always; events that change nothing go. The state is one hash a file, which is
+    forgotten ``ttl`` milliseconds after its last event; files spread over all tasks."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+    return events.groupBy("path").applyInPandasWithState(lambda key, batches, state: _judge(key, batches, state, ttl), CHANGE, "hash string", "append", timeout)
 
 
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -71,15 +76,33 @@ def run_each(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
 
 
 def into_table(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the last row of every key. A batch that is repeated after a
-    failure gives the same table."""
+    """A sink that keeps the last row of every key. Every batch writes a version of its own
+    from the one before, and older ones go only then, so a batch that fails or is repeated
+    leaves a whole table behind; ``table_at`` reads the newest."""
     from ..operators.changes import latest
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        rows = batch.unionByName(spark.read.parquet(path)) if there else batch
-        cut(latest(rows, keys, [F.desc(order)], 1)).write.mode("overwrite").parquet(path)
+        known = [v for v in _versions(spark, path) if v < number]
+        rows = batch.unionByName(spark.read.parquet(f"{path}/v{known[-1]}")) if known else batch
+        latest(rows, keys, [F.desc(order)], 1).write.mode("overwrite").parquet(f"{path}/v{number}")
+        for v in known[:-1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return each
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written to their end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(at)]
+    whole = lambda n: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and whole(n))
+
+
+def table_at(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")

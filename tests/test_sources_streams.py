@@ -57,6 +57,19 @@ def test_file_change_stream(spark, tmp_path):
     assert got == [(0, "a", "created"), (2, "b", "created"), (4, "a", "modified"), (5, "b", "deleted"), (6, "b", "created")]
 
 
+def test_a_table_keeps_whole_versions(spark, tmp_path):
+    at = str(tmp_path / "t")
+    each = changes.into_table(at, ["k"], "n")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, n int")
+    each(rows(("a", 1), ("b", 1)), 0)
+    each(rows(("a", 2)), 1)
+    each(rows(("a", 3)), 2)
+    (tmp_path / "t" / "v3").mkdir()  # begun, but never finished
+    assert sorted(map(tuple, changes.table_at(spark, at).collect())) == [("a", 3), ("b", 1)]
+    each(rows(("a", 3)), 2)  # again, after a failure
+    assert sorted(map(tuple, changes.table_at(spark, at).collect())) == [("a", 3), ("b", 1)]
+
+
 def test_bursts_and_windows(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [("u", t0 + timedelta(seconds=s), float(s)) for s in (0, 1, 2, 60, 61, 4000)]
@@ -65,7 +78,7 @@ def test_bursts_and_windows(spark, tmp_path):
     changes.run_to(changes.bursts(read(), "ts", ["k"], "5 seconds"), str(tmp_path / "o1"), str(tmp_path / "c1"))
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "o1")).collect()) == [2, 3]
     changes.run_each(changes.measured(read(), "ts", ["k"], "v", "30 seconds"), changes.into_table(str(tmp_path / "o2"), ["k", "start"], "n"), str(tmp_path / "c2"))
-    assert sorted((r["n"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "o2")).collect()) == [(1, 4000.0), (2, 60.5), (3, 1.0)]
+    assert sorted((r["n"], r["mean"]) for r in changes.table_at(spark, str(tmp_path / "o2")).collect()) == [(1, 4000.0), (2, 60.5), (3, 1.0)]
 
 
 def test_code_graph(spark):

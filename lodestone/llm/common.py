@@ -19,14 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only on one machine, as in tests, a
+    temporary folder is made and set for the session where that is unset.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

@@ -1,6 +1,7 @@
 """The text operators against brute force, and their odd cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -411,3 +412,33 @@ def test_quality_of_odd_rows(spark):
     labels = labelled(spark, [(i, int(i % 3 > 0)) for i in range(90)] + [(0, 1), (None, 1), (10**6, 0)], "quality")
     kept = quality.keep_good(docs, labels, pool_rows=0)
     assert kept.columns == docs.columns and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, -1, *(i for i in range(90) if i % 3)]
+
+
+def test_very_long_texts(spark):
+    """Tens of thousands of words around what each operator looks for; ties and clashing names."""
+    filler = "plain words of no meaning at all " * 3_000
+    notice = licenses.TEMPLATES[9][1]
+    df = spark.createDataFrame([(1, filler + notice + " " + filler, 1, "x"), (2, filler, 1, "x"), (2, filler, 1, "x"), (None, notice, 1, "x")], "doc_id long, text string, n_words int, labels string")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["labels"]) for r in licenses.scan_licenses(df).collect()))
+    n = 7 * 3_000
+    assert got == [(0, len(notice.split()), "mit"), (1, 2 * n + len(notice.split()), "mit"), (2, n, ""), (2, n, "")]
+    toxic = spark.createDataFrame([(1, filler + "you stupid idiot. " + filler, 0.5), (2, filler, 0.5), (None, "", 0.5), (2, filler, 0.5)], "doc_id long, text string, score double")
+    scored = sorted((r["doc_id"] or 0, r["predicted"]) for r in toxicity.score_toxicity(toxic, labelled(spark, [], "toxic")).collect())
+    assert scored == [(0, 0), (1, 1), (2, 0), (2, 0)]
+    mixed = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix_sources(df.where("doc_id is not null").dropDuplicates(["doc_id"]).selectExpr("*", "'a' as source", "0 as taken")).collect()}
+    assert mixed[1][0] == 2 * n + len(notice.split()) and all(t <= 2 * s for s, t in mixed.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_held_out_accuracy(spark):
+    """Both classifiers on the fifth of the labels that they never learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = [(truth[r["doc_id"]][1], r["predicted"], r["score"]) for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    bad, good = [s for y, _, s in rows if y], [s for y, _, s in rows if not y]
+    assert sum(a > b for a in bad for b in good) >= 0.95 * len(bad) * len(good)
+    assert sum(p for y, p, _ in rows if y) >= 0.9 * len(bad) and sum(p for y, p, _ in rows if not y) <= 0.01 * len(good)
+    known = labels.where(~toxicity.held_out(labels["doc_id"]))
+    rows = [(truth[r["doc_id"]][0], r["predicted"]) for r in quality.score_quality(docs, known).collect() if r["doc_id"] in truth and held(r["doc_id"])]
+    assert sum(y == p for y, p in rows) >= 0.99 * len(rows)

@@ -6,7 +6,10 @@ the columns of ``documents``.
 
 Cases: a null text is an empty one to every stage, so it stays until the mix, which
 takes words and so has nothing to take from it; rows without a label are judged like all
-others; an empty table stays empty through all stages.
+others; a row without an id is a document of its own in every stage; of rows that share
+an id the second stage keeps one; a passage that stands in several documents goes from
+all of them; columns beside those of ``documents`` are carried up to the last stage,
+whatever their names; ties are as the operators say; an empty table stays empty.
 """
 
 from __future__ import annotations

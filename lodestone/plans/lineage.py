@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, where driver and executors reach it. Only
-    where no folder is named, as in tests on one machine, a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``, where driver and executors reach it. Only on
+    one machine, as in tests, a temporary one is set where none is named."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return context.getCheckpointDir().rstrip("/")
 
 

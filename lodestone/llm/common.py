@@ -56,7 +56,7 @@ def keep(df: DataFrame, name: str = "table", path: str | None = None, by: str |
 
 
 #: Bytes of text that a worker takes at once; a longer text goes alone.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 
 def batched(batches: Iterator[pa.RecordBatch], most: int, column: int, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import keep, lower_ascii
 
 #: What separates words: ASCII but digits and lower-case letters.
@@ -103,13 +104,19 @@ def block_matches(placed: DataFrame, templates: list[tuple[str, str]], threshold
     both = F.array_intersect("held", "present")
     met = met.where((F.get(both, F.lit(0)) == F.col("word")) & (F.size("held") - F.col("t_pos") >= F.col("need")) & (F.size(both) >= F.col("need")))
     hits = F.filter(F.arrays_zip("at", "w"), lambda x: F.array_contains("held", x["w"]))
-    pairs = met.select("row", "template", "need", "length", F.size("held").alias("size"), hits.alias("hits"))
-    at = lambda i: F.get(F.col("hits"), i)["at"]
-    # the best block can begin at a template word; too few such words in its reach: no block
-    begins = F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: at(i + F.col("need") - 1) - at(i) < F.col("length"))
-    block = lambda i: F.filter(F.slice("hits", i + 1, F.col("length")), lambda x: x["at"] - at(i) < F.col("length"))
-    best = F.array_max(F.transform(begins, lambda i: F.size(F.array_distinct(F.transform(block(i), lambda x: x["w"])))))
-    return pairs.select("row", "template", "size", "need", best.alias("best")).where(F.col("best") >= F.col("need")).select("row", "template", (F.col("best") / F.col("size")).alias("containment"))
+    length, need = F.col("length"), F.col("need")
+
+    def best(h: Column) -> Column:
+        at = lambda i: F.get(h, i)["at"]
+        # the best block can begin at a template word; too few such words in its reach: no block
+        begins = F.filter(F.sequence(F.lit(0), F.size(h) - need), lambda i: at(i + need - 1) - at(i) < length)
+        block = lambda i: F.filter(F.slice(h, i + 1, length), lambda x: x["at"] - at(i) < length)
+        return F.array_max(F.transform(begins, lambda i: F.size(F.array_distinct(F.transform(block(i), lambda x: x["w"])))))
+
+    # places of a text are worked out once, however many blocks it has
+    most = let(hits, best)
+    pairs = met.select("row", "template", (most / F.size("held")).alias("containment"), (need / F.size("held")).alias("least"))
+    return pairs.where(F.col("containment") >= F.col("least")).select("row", "template", "containment")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, base: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, licenses, mixing, ngram_join, packing, quality, saat, substrings, toxicity, warc
+from . import hilbert, lattice, licenses, mixing, ngram_join, packing, quality, saat, substrings, toxicity, tries, warc, whitening
 from .common import table
 
 
@@ -88,5 +88,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_hilbert, op3_quality, op4_mixing, op5_topk, op6_ngram_join, op7_toxicity, op8_warc, op9_packing, op10_licenses)}
-ORACLE_SQL = {"op5_topk": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_warc": OP8_SQL, "op10_licenses": licenses.duckdb_sql()}
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_hilbert, op3_quality, op4_mixing, op5_topk, op6_ngram_join, op7_toxicity, op8_warc, op9_packing, op10_licenses, op11_lattice, op12_collocations, op13_whitening)}
+ORACLE_SQL = {"op5_topk": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_warc": OP8_SQL, "op10_licenses": licenses.duckdb_sql(), "op12_collocations": tries.duckdb_sql()}

@@ -100,8 +100,89 @@ def bracket_ends(text: Column) -> Column:
     return balanced_ends(text, [BRACKETS, TAGS], 5, 200)
 
 
-def xml_ends(text: Column) -> Column:
-    return balanced_ends(text, [TAGS], 3, 200, imbalance=10)
+# fixed values: elements of HTML that have no end, and those whose text holds no tags
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+RAW = ["script", "style"]
+#: In a line: comments that end in it, the end and the begin of longer ones, tags, and tags
+#: that go on in the next line.
+MARKUP = r"(<!--.*?-->|-->|<!--|</[A-Za-z][^<>]*>|<[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*/?>|<[A-Za-z][^<>]*$|^[^<>]*/?>)"
+NAME = r"^</?([A-Za-z][\w:.-]*)"
+TAG_STATE = "struct<names:array<string>,inside:string>"
+
+
+def tag_state() -> Column:
+    """No open element. ``inside`` is a comment (``!``), a tag that goes on (``<``) or the
+    name of an element whose text holds no tags."""
+    return F.struct(F.array().cast("array<string>").alias("names"), F.lit("").alias("inside")).cast(TAG_STATE)
+
+
+def tag_marks(line: Column) -> Column:
+    """What the tags of a line do, in their order: ``does`` and the element's name."""
+    found = F.regexp_extract_all(line, F.lit(MARKUP), F.lit(1))
+
+    def mark(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, NAME, 1))
+        does = (
+            F.when(x.startswith("<!--"), F.when(x.endswith("-->"), "none").otherwise("note")).when(x == "-->", "note ends").when(x.startswith("</"), "close")
+            .when(x.startswith("<"), F.when(~x.endswith(">"), "begin").when(x.endswith("/>"), "none").otherwise("open")).otherwise(F.when(x.endswith("/>"), "end empty").otherwise("end"))
+        )
+        return F.struct(does.alias("does"), name.alias("name"))
+
+    return F.filter(F.transform(found, mark), lambda m: (m["does"] != "none") & ~((m["does"] == "open") & m["name"].isin(VOID)))
+
+
+def after_tag(s: Column, m: Column) -> Column:
+    """The elements open behind a tag. An end closes the innermost element of its name and
+    what was left open in it; an end without a begin does nothing."""
+    names, inside, does, name = s["names"], s["inside"], m["does"], m["name"]
+    put = lambda n, i: F.struct(n.alias("names"), i.alias("inside")).cast(TAG_STATE)
+    less = F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0)))
+    at = F.size(names) - F.array_position(F.reverse(names), name).cast("int")
+    closed = F.when(F.array_contains(names, name), F.slice(names, F.lit(1), F.greatest(at, F.lit(0)))).otherwise(names)
+    held = (
+        F.when(inside == "!", F.when(does == "note ends", put(names, F.lit(""))).otherwise(s))
+        # a tag that began on an earlier line: its element is open unless the tag ends it
+        .when(inside == "<", F.when(does == "end", put(F.when(F.element_at(names, -1).isin(VOID), less).otherwise(names), F.when(F.element_at(names, -1).isin(RAW), F.element_at(names, -1)).otherwise(""))).when(does == "end empty", put(less, F.lit(""))).otherwise(s))
+        .when(inside != "", F.when((does == "close") & (name == inside), put(closed, F.lit(""))).otherwise(s))
+    )
+    return held.when(does == "note", put(names, F.lit("!"))).when(does == "open", put(F.concat(names, F.array(name)), F.when(name.isin(RAW), name).otherwise(""))).when(does == "begin", put(F.concat(names, F.array(name)), F.lit("<"))).when(does == "close", put(closed, F.lit(""))).otherwise(s)
+
+
+def tag_depths(text: Column) -> Column:
+    """How many elements are open behind each line."""
+    def depths(lines: Column) -> Column:
+        begin = F.struct(tag_state().alias("tags"), F.array().cast("array<array<int>>").alias("out"), F.array().cast("array<int>").alias("last"))
+
+        def step(s: Column, x: Column) -> Column:
+            tags = F.aggregate(tag_marks(x), s["tags"], after_tag)
+            # depths are gathered by hundreds, so that no line copies all those before it
+            def put(t: Column) -> Column:
+                last = F.concat(s["last"], F.array(F.size(t["names"])))
+                full = F.size(s["last"]) >= 255
+                return F.struct(t.alias("tags"), F.when(full, F.concat(s["out"], F.array(last))).otherwise(s["out"]).alias("out"), F.when(full, F.array().cast("array<int>")).otherwise(last).alias("last"))
+
+            return let(tags, put)
+
+        return let(F.aggregate(lines, begin, step), lambda s: F.concat(F.flatten(s["out"]), s["last"]))
+
+    return depths(lines_of(text))
+
+
+def xml_ends(text: Column, least_lines: int = 3, least_chars: int = 200, most_chars: int = 3000, most_lines: int = 50, most_depth: int = 10) -> Column:
+    """A chunk ends where every element that began in it has ended, once it is large enough,
+    and anyway where it is full or too deep; elements count anew behind it."""
+    marks = lambda x: {"tags": tag_marks(x)}
+
+    def step(s: Column, x: Column, last: Column):  # noqa: ANN202
+        n, chars = s["n"] + 1, s["chars"] + x["len"] + 1
+        tags = F.aggregate(x["tags"], s["tags"], after_tag)
+        depth = F.size(tags["names"])
+        cut = ((depth == 0) & (n >= least_lines) & (chars - 1 >= least_chars)) | (chars - 1 >= most_chars) | (n >= most_lines) | (depth > most_depth) | (x["i"] == last)
+        # a comment or a script goes on behind a cut
+        anew = F.struct(F.array().cast("array<string>").alias("names"), F.when(tags["inside"] == "<", "").otherwise(tags["inside"]).alias("inside")).cast(TAG_STATE)
+        return _one(cut, x["i"]), {"n": F.when(cut, 0).otherwise(n), "chars": F.when(cut, 0).otherwise(chars), "tags": F.when(cut, anew).otherwise(tags)}
+
+    return _fold(lines_of(text), marks, {"n": F.lit(0), "chars": F.lit(0), "tags": tag_state()}, step)
 
 
 def markdown_ends(text: Column, most_lines: int = 100, most_chars: int = 3000) -> Column:

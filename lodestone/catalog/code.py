@@ -16,17 +16,24 @@ from ..operators import filesearch as S
 from ..operators import graph as G
 from ..operators import metrics as R
 from ..operators import similarity as M
+from ..operators import vector as V
 from ..plans.lineage import shared_dir
 from ..sources.collections import PointStore
 from .base import Catalog
 from .graphs import BOTH, EDGES, edges_of, nodes_of, start_of
-from .texts import _jac, _kw, _pairs
+from .texts import INTENT_SQL, _jac, _kw, _pairs, asked, asked_sql
 
 C = Catalog()
 query = C.query
 PAIRS = "SELECT a.item_id AS i, b.item_id AS j, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 
 
+def _vector(text: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    slots = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
+    return f"list_transform(range(64), lambda i: len(list_filter({slots}, lambda x: x = i))::DOUBLE)"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -156,12 +163,6 @@ def structural_groups(t):
     return K.structural_groups(_typed(t)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("into").cast("long").alias("into"))
 
 
-def _vector(text: str) -> str:
-    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-    slots = f"list_transform({words}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
-    return f"list_transform(range(64), lambda i: len(list_filter({slots}, lambda x: x = i))::DOUBLE)"
-
-
 @query(f"""WITH p AS ({PAIRS}), v AS (SELECT i, j, x, y, {_kw('x')} AS a, {_kw('y')} AS b, {_vector('x')} AS u, {_vector('y')} AS v FROM p)
 SELECT i, j, round(CASE WHEN length(x) < 10 OR length(y) < 10 THEN (CASE WHEN x = y THEN 1.0 ELSE {_jac('a', 'b')} END) WHEN list_sum(u) = 0 OR list_sum(v) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, list_cosine_similarity(u, v))) END, 6)::DOUBLE AS score FROM v""")
 def semantic_similarity(t):
@@ -187,14 +188,38 @@ def pair_analysis(t):
     return rows.select("i", "j", F.col("d.difference").cast("long").alias("difference"), *[F.round(f"d.{c}", 6).alias(c) for c in ("ratio", "overlap", "complexity_a", "complexity_b")])
 
 
-FILES = "SELECT coalesce(source, 'none') || '/' || doc_id || '.' || coalesce(lang, 'txt') AS path, (doc_id % 97) / 97.0::DOUBLE AS score, (doc_id * 37) % 1000 AS modified FROM documents"
+FILES = """files AS (SELECT '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '/' || w[1] || '_' || w[2] || '_' || doc_id || '.' || coalesce(lang, 'und') AS path, coalesce(text, '') AS description, doc_id * 37 % 1000 AS modified
+FROM (SELECT *, list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), ['one', 'two']) AS w FROM documents))"""
+
+
+def _files(t):
+    words = F.concat(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1)), F.array(F.lit("one"), F.lit("two")))
+    lang = F.coalesce("lang", F.lit("und"))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), lang, F.lit("/"), F.get(words, F.lit(0)), F.lit("_"), F.get(words, F.lit(1)), F.lit("_"), "doc_id", F.lit("."), lang)
+    return t("documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("description"), (F.col("doc_id") * 37 % 1000).alias("modified"))
+
+
+STOPS, NO_PATH = "[" + ", ".join(f"'{w}'" for w in T.QUERY_STOP) + "]", "[" + ", ".join(f"'{w}'" for w in S.NO_PATH) + "]"
+WORDS = rf"list_concat(list_concat(list_filter(list_transform(regexp_split_to_array(s, '\s+'), lambda w: regexp_replace(w, '[^\w\x{{4e00}}-\x{{9fa5}}]', '', 'g')), lambda w: length(w) > 1 AND NOT list_contains({STOPS}, w)), regexp_extract_all(s, '\.\w+$')), list_filter(regexp_extract_all(s, '[\w-]+'), lambda w: length(w) > 2))"
+# parts of queries: places are those of a word's first place, as both engines order them alike
+PARTS = rf"""k AS (SELECT *, {WORDS} AS words, list_filter(regexp_split_to_array(s, '\s+'), lambda w: regexp_matches(w, '^[\w-]+(\.[\w-]+)+$')) AS names FROM intents),
+e AS (SELECT *, CASE intent WHEN 'EXACT_FILENAME' THEN names WHEN 'PATH_PATTERN' THEN list_filter(words, lambda w: NOT starts_with(w, '.') AND length(w) > 2 AND NOT list_contains({NO_PATH}, w)) WHEN 'EXTENSION_SEARCH' THEN list_filter(words, lambda w: starts_with(w, '.') AND length(w) > 1) ELSE [] END AS own FROM k),
+u AS (SELECT *, unnest(own) AS text FROM e), parts AS (SELECT query_id, list_position(own, text) AS part, CASE WHEN intent = 'PATH_PATTERN' THEN 'path' ELSE 'name' END AS field, text, 1.0::DOUBLE AS weight, CASE WHEN intent = 'EXTENSION_SEARCH' THEN text END AS tag FROM u GROUP BY ALL
+UNION ALL SELECT query_id, part, field, query, weight, NULL FROM e, (VALUES ('EXACT_FILENAME', 0, 'name', 1.0::DOUBLE), ('PATH_PATTERN', 0, 'path', 1.0), ('EXTENSION_SEARCH', 0, 'name', 1.0), ('SEMANTIC_DESCRIPTION', 0, 'description', 1.0), ('SEMANTIC_DESCRIPTION', 1, 'name', 1.0),
+('HYBRID_QUERY', 0, 'description', 0.85), ('HYBRID_QUERY', 1, 'name', 0.85 * 0.8), ('HYBRID_QUERY', 2, 'path', 0.85 * 0.6)) w(kind, part, field, weight) WHERE kind = intent AND len(own) = 0)"""
 
 
-@query(f"WITH f AS ({FILES}) SELECT path, round(score, 6) AS score, modified FROM f WHERE (lower(path) LIKE '%.en' OR lower(path) LIKE '%.de') AND lower(path) LIKE '%1%' AND score >= 0.5 ORDER BY floor(score / 0.01 + 1e-9) DESC, modified DESC, path LIMIT 25")
+@query(f"""WITH asked AS ({asked_sql('benchmark', 'item_id')}), {INTENT_SQL}, {FILES}, {PARTS},
+i AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, '.' || regexp_extract(path, '[.]([^.]+)$', 1) AS tag FROM files), p AS (SELECT path, tag, 'name' AS field, {_vector('name')} AS v FROM i UNION ALL SELECT path, tag, 'path', {_vector('path')} FROM i UNION ALL SELECT path, tag, 'description', {_vector('description')} FROM i),
+q AS (SELECT *, {_vector('text')} AS v FROM parts), c AS (SELECT q.query_id, q.part, q.weight, p.path, round(CASE WHEN list_sum(q.v) > 0 AND list_sum(p.v) > 0 THEN list_cosine_similarity(q.v, p.v) ELSE 0.0 END, 6) AS score FROM q JOIN p ON p.field = q.field AND (q.tag IS NULL OR q.tag = p.tag)),
+b AS (SELECT * FROM c WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, path) <= 50),
+o AS (SELECT query_id, path, min({{'part': part, 'score': score * weight}}).score AS score FROM b GROUP BY 1, 2),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(o.score / 0.01 + 1e-9) DESC, modified DESC, path)::INTEGER AS rank, path, round(o.score, 6) AS score FROM o JOIN files USING (path))
+SELECT query_id, rank, path, score, intent FROM r JOIN intents USING (query_id) WHERE rank <= 100""")
 def file_search(t):
-    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit("."), F.coalesce("lang", F.lit("txt")))
-    files = t("documents").select(path.alias("path"), (F.col("doc_id") % 97 / 97.0).alias("score"), (F.col("doc_id") * 37 % 1000).alias("modified"))
-    return S.ranked(S.filter_results(files, [".en", ".de"], "1", 0.5), 25).select("path", F.round("score", 6).alias("score"), "modified")
+    embed = V.EMBEDDERS["hashed"]
+    found = S.search_files(S.file_index(_files(t), embed), asked(t("benchmark"), "item_id"), embed)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _listed(values: list[str]) -> str:

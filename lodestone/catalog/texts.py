@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -183,22 +185,41 @@ def group_by_complexity(t):
     return _paths(t).groupBy(level.alias("complexity")).agg(F.count("*").alias("n"))
 
 
-QUERIES = ["config.json", "find all typescript files", "find files in src directory", "find files related to authentication", "find authentication files in api folder", "search about login", "readme", "recent files under folder", "find .py"]
-
-
 def _has(q: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({q}, '{x}')" for x in terms) + ")"
 
 
-@query(f"""WITH q(query) AS (VALUES {', '.join(f"('{x}')" for x in QUERIES)}), d AS (SELECT query, lower(trim(query)) AS s FROM q),
-f AS (SELECT query, s, regexp_matches(s, '^[\\w-]+\\.\\w+$') OR NOT {_has('s', T.NO_NAME_TERMS)} AS ex, {_has('s', T.PATH_TERMS)} AND {_has('s', T.PLACE_TERMS)} AS pa,
+# what is asked for: file queries of all kinds, made of the first words of the texts
+ASKED = ["{0}.en", "find all {0} files", "files in directory {0} {1}", "find {0} related to {1}", "find .de", "files with extension .en", "search about {0} {1} {2}", "{0} {1}", "关于 {0} {1}", "在 {0} 目录下 {1}", "recent {0}_{1}.fr", "all {2}"]
+
+
+def asked_sql(table: str, key: str) -> str:
+    """``query_id, query`` of a table with texts."""
+    parts = lambda x: " || ".join(f"'{p}'" if i % 2 == 0 else f"w[{int(p) + 1}]" for i, p in enumerate(re.split(r"[{}]", x)) if p)
+    return f"SELECT {key} AS query_id, CASE {key} % {len(ASKED)} {' '.join(f'WHEN {i} THEN {parts(x)}' for i, x in enumerate(ASKED))} END AS query FROM (SELECT {key}, list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), ['one', 'two', 'three']) AS w FROM {table})"
+
+
+def asked(rows, key: str):
+    words = F.concat(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1)), F.array(*map(F.lit, ("one", "two", "three"))))
+    made = lambda x: F.concat(*[F.lit(p) if i % 2 == 0 else F.get("w", F.lit(int(p))) for i, p in enumerate(re.split(r"[{}]", x)) if p])
+    out = F
+    for i, x in enumerate(ASKED):
+        out = out.when(F.col(key) % len(ASKED) == i, made(x))
+    return rows.withColumn("w", words).select(F.col(key).alias("query_id"), out.alias("query"))
+
+
+INTENT_SQL = f"""d AS (SELECT query_id, query, lower(trim(query)) AS s FROM asked),
+f AS (SELECT query_id, query, s, regexp_matches(s, '^[\\w-]+\\.\\w+$') OR NOT {_has('s', T.NO_NAME_TERMS)} AS ex, {_has('s', T.PATH_TERMS)} AND {_has('s', T.PLACE_TERMS)} AS pa,
 {_has('s', T.SEMANTIC_TERMS)} OR ({_has('s', ['find', 'search'])} AND NOT {_has('s', ['typescript', 'files'])}) AS se,
-regexp_matches(s, '\\.[a-zA-Z]+') OR regexp_matches(s, '\\.\\w+$') OR {_has('s', ['extension', 'file type', 'typescript'])} OR (contains(s, 'files') AND NOT {_has('s', ['related', 'authentication'])}) AS xt FROM d)
-SELECT query, CASE WHEN ex THEN 'EXACT_FILENAME' WHEN xt AND contains(s, 'files') AND NOT pa THEN 'EXTENSION_SEARCH' WHEN pa AND NOT se AND {_has('s', ['directory', 'folder'])} THEN 'PATH_PATTERN'
-WHEN pa::INT + se::INT + xt::INT >= 2 THEN 'HYBRID_QUERY' WHEN xt THEN 'EXTENSION_SEARCH' WHEN pa THEN 'PATH_PATTERN' WHEN se THEN 'SEMANTIC_DESCRIPTION' ELSE 'HYBRID_QUERY' END AS intent FROM f""")
+regexp_matches(s, '\\.[a-zA-Z]+') OR regexp_matches(s, '\\.\\w+$') OR {_has('s', T.EXTENSION_TERMS)} OR (contains(s, 'files') AND NOT {_has('s', ['related', 'authentication'])}) AS xt FROM d),
+intents AS (SELECT query_id, query, s, CASE WHEN ex THEN 'EXACT_FILENAME' WHEN xt AND contains(s, 'files') AND NOT pa THEN 'EXTENSION_SEARCH' WHEN pa AND NOT se AND {_has('s', T.NAMED_TERMS)} THEN 'PATH_PATTERN'
+WHEN pa::INT + se::INT + xt::INT >= 2 THEN 'HYBRID_QUERY' WHEN xt THEN 'EXTENSION_SEARCH' WHEN pa THEN 'PATH_PATTERN' WHEN se THEN 'SEMANTIC_DESCRIPTION' ELSE 'HYBRID_QUERY' END AS intent FROM f)"""
+
+
+@query(f"WITH c AS (SELECT conv_id * 100 + turn AS key, text FROM conversations), asked AS ({asked_sql('c', 'key')}), {INTENT_SQL} SELECT query_id, query, intent FROM intents")
 def query_intent(t):
-    q = t("region").sparkSession.createDataFrame([(x,) for x in QUERIES], "query string")
-    return q.select("query", T.intent(F.col("query"))[0].alias("intent"))
+    q = asked(t("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text"), "key")
+    return q.select("query_id", "query", T.intent(F.col("query"))[0].alias("intent"))
 
 
 @query("SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(p_brand || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\W]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS words FROM part")

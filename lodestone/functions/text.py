@@ -246,20 +246,35 @@ def file_complexity(lang: Column, size: Column) -> Column:
     return F.when(size > 200 * 1024, F.least(F.lit(1.0), base + 0.2)).when(size > 100 * 1024, F.least(F.lit(1.0), base + 0.1)).when(size < 10 * 1024, F.greatest(F.lit(0.1), base - 0.1)).otherwise(base)
 
 
-# fixed values: English terms of the intent rules
-PATH_TERMS = ["path", "directory", "folder"]
-PLACE_TERMS = ["in", "under"]
-SEMANTIC_TERMS = ["related", "about", "authentication"]
-NO_NAME_TERMS = ["related", "about", "for", "find", "search", "files", "authentication", "all"]
+# fixed values: terms of the intent rules, Chinese and English
+PATH_TERMS = ["目录", "文件夹", "路径", "下", "在", "位于", "path", "directory", "folder"]
+PLACE_TERMS = ["in", "在", "位于", "under", "下"]
+NAMED_TERMS = ["directory", "folder", "目录", "文件夹"]
+SEMANTIC_TERMS = ["相关", "关于", "涉及", "包含", "用于", "功能", "作用", "描述", "说明", "related", "about", "authentication"]
+EXTENSION_TERMS = ["扩展名", "extension", "文件类型", "file type", "typescript"]
+TIME_TERMS = ["最近", "最新", "昨天", "今天", "上周", "last", "recent", "new"]
+NO_NAME_TERMS = ["相关", "关于", "涉及", "包含", "用于", "功能", "作用", "描述", "说明", "related", "about", "for", "find", "search", "files", "authentication", "all"]
+# fixed values: words that are no keywords of a file query
+QUERY_STOP = """的 了 在 是 我 有 和 就 不 人 都 一 个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 那 里 就是 还 把 比 从 被 本 吗 呢 些 样 想 开 知道 什么 时候 怎么 为什么 哪里
+who what when where why how find search look for get all the a an and or but in on at to for of with by from up about into through during before after above below between among throughout despite towards upon""".split()
 
 
 def intent_flags(query: Column) -> dict[str, Column]:
     q = F.lower(F.trim(query))
     path = any_of(q, PATH_TERMS) & any_of(q, PLACE_TERMS)
     semantic = any_of(q, SEMANTIC_TERMS) | (any_of(q, ["find", "search"]) & ~q.contains("typescript") & ~q.contains("files"))
-    ext = q.rlike(r"\.\w+$") | any_of(q, ["extension", "file type", "typescript"]) | (q.contains("files") & ~q.contains("related") & ~q.contains("authentication")) | q.rlike(r"\.[a-zA-Z]+")
+    ext = q.rlike(r"\.\w+$") | any_of(q, EXTENSION_TERMS) | (q.contains("files") & ~q.contains("related") & ~q.contains("authentication")) | q.rlike(r"\.[a-zA-Z]+")
     exact = q.rlike(r"^[\w-]+\.\w+$") | ~any_of(q, NO_NAME_TERMS)
-    return {"exact": exact, "path": path, "semantic": semantic, "extension": ext, "files": q.contains("files"), "named": any_of(q, ["directory", "folder"]), "time": any_of(q, ["last", "recent", "new"])}
+    return {"exact": exact, "path": path, "semantic": semantic, "extension": ext, "files": q.contains("files"), "named": any_of(q, NAMED_TERMS), "time": any_of(q, TIME_TERMS)}
+
+
+def query_keywords(query: Column) -> Column:
+    """Keywords of a file query as they stand in it: words without signs and stop words, an
+    extension at its end, then all names of more than two letters."""
+    q = F.lower(F.trim(query))
+    words = F.filter(F.transform(F.split(q, r"\s+"), lambda w: F.regexp_replace(w, r"[^\w\u4e00-\u9fa5]", "")), lambda w: (F.length(w) > 1) & ~w.isin(QUERY_STOP))
+    ending = F.regexp_extract_all(q, F.lit(r"(\.\w+)$"), F.lit(1))
+    return F.array_distinct(F.concat(words, ending, F.filter(F.regexp_extract_all(q, F.lit(r"([\w-]+)"), F.lit(1)), lambda w: F.length(w) > 2)))
 
 
 def intent(query: Column) -> tuple[Column, Column]:

@@ -86,6 +86,44 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, measure: st
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Queries that meet a shard at once.
+BLOCK_QUERIES = 2048
+
+
+def block_search(points: DataFrame, queries: DataFrame, k: int, least: float, digits: int = 6) -> DataFrame:
+    """``query_id, part, id, score``: of every (query_id, part) of ``queries`` (``field, v``
+    and a ``tag`` or null) the k best points (``field, id, tag, v``) of the same field, and
+    of the same tag where it has one, by cosine and then by id. Blocks of queries meet
+    shards of points as matrices; scores are rounded before they are ranked, so equal
+    vectors tie; k rows of a query leave a block. Vectors of length 0 are like nothing."""
+    n, m = points.count(), queries.count()
+    shards, blocks = max(1, -(-n // SHARD_POINTS)), max(1, -(-m // BLOCK_QUERIES))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda count, *keys: F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+    dealt = points.select("field", "id", "tag", normalize(F.col("v")).alias("v"), own(shards, "id").alias("shard"), every(blocks).alias("block"))
+    asked = queries.select("field", "query_id", "part", F.col("tag").alias("want"), normalize(F.col("v")).alias("q"), own(blocks, "query_id", "part").alias("block"), every(shards).alias("shard"))
+    keys = ["field", "shard", "block"]
+    kinds = dict(queries.dtypes) | {"id": dict(points.dtypes)["id"]}
+
+    def nearest(at: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        found = {c: [] for c in ("query_id", "part", "id", "score")}
+        if len(at) and len(of):
+            score = np.round(np.vstack(of["q"].to_numpy()) @ np.vstack(at["v"].to_numpy()).T, digits)
+            ids, tags = (np.array(at[c].tolist(), object) for c in ("id", "tag"))
+            order = {x: i for i, x in enumerate(sorted(set(ids)))}
+            place = np.array([order[x] for x in ids])
+            for i, (query, part, want) in enumerate(zip(of["query_id"].tolist(), of["part"].tolist(), of["want"].tolist())):
+                some = np.flatnonzero((score[i] >= least) & ((tags == want) if isinstance(want, str) else True))
+                some = some[np.lexsort((place[some], -score[i, some]))[:k]]
+                for c, values in zip(found, ([query] * len(some), [part] * len(some), ids[some].tolist(), score[i, some].tolist())):
+                    found[c] += values
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in found.items()})
+
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(nearest, f"query_id {kinds['query_id']}, part int, id {kinds['id']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """The offline embedder: words counted in hashed slots, of length 1."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -47,7 +47,7 @@ def _scores() -> str:
     return f"[{{'score': CASE WHEN ts > 0 THEN ts + js ELSE js END, 'name': CASE WHEN ts > 0 THEN 'typescript' ELSE 'javascript' END}}, {others}]"
 
 
-@query(f"""WITH p AS (SELECT page_id, lower(substr(html, 1, {L.HEAD})) AS h FROM pages WHERE html IS NOT NULL), q AS (SELECT page_id, h, {_hits('h', L.TYPED)} AS ts, {_hits('h', L.PATTERNS['javascript'])} AS js FROM p),
+@query(f"""WITH p AS (SELECT page_id, substr(html, 1, {L.HEAD}) AS h FROM pages WHERE html IS NOT NULL), q AS (SELECT page_id, h, {_hits('h', L.TYPED)} AS ts, {_hits('h', L.PATTERNS['javascript'])} AS js FROM p),
 s AS (SELECT page_id, {_scores()} AS s FROM q), m AS (SELECT page_id, s, list_max(list_transform(s, lambda x: x.score)) AS most, list_sum(list_transform(s, lambda x: x.score)) AS total FROM s)
 SELECT page_id, CASE WHEN most < 1 THEN 'unknown' ELSE list_filter(s, lambda x: x.score = most)[1].name END AS language, round(CASE WHEN most < 1 THEN 0.0 ELSE most / total END, 6)::DOUBLE AS confidence FROM m""")
 def language_by_content(t):

@@ -7,6 +7,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import languages as L
+from ..operators import boundaries as B
+from ..operators import chunking as K
+from ..operators import code_quality as Q
+from ..operators import rebalance as R
 from ..operators import structure as S
 from .base import Catalog
 
@@ -54,3 +59,46 @@ def code_definitions(t):
 def structure_chunks(t):
     rows = S.structure_chunks(code_files(t), keys=("custkey",))
     return rows.select("custkey", "kind", "name", *[F.col(c).cast("long").alias(c) for c in ("chunk", "start_line", "end_line", "level")], F.md5("content").alias("digest"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _kind(x: str, kind: str) -> str:
+    return f"coalesce(regexp_matches(trim({x}), {_quoted('|'.join(L.LINE_KINDS[kind]))}), false)"
+
+
+def _plain(text: str) -> str:
+    for p in Q.ASIDE:
+        text = f"regexp_replace({text}, {_quoted(p)}, ' ', 'g')"
+    return text
+
+
+NET = lambda x, a, b: f"(length(replace({x}, '{b}', '')) - length(replace({x}, '{a}', '')))"
+STARTS = lambda x: f"({_kind(x, 'function')} OR {_kind(x, 'class')})"
+DECLARES = lambda x: f"coalesce(regexp_matches(trim({x}), {_quoted(B.DECLARED)}), false)"
+KNOWN = list(B.WEIGHTS)
+WEIGHT_ROWS = ", ".join(f"({i}, '{k}', [{', '.join(map(str, B.WEIGHTS.get(k, B.COMMON)))}])" for i, k in enumerate([*KNOWN, "other"]))
+
+
+@query(f"""WITH w(k, language, w) AS (VALUES {WEIGHT_ROWS}), l AS (SELECT doc_id, doc_id % {len(KNOWN) + 1} AS k, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
+c AS (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b, trim(translate(x, chr(9) || chr(13), '  ')) AS t, {_plain('x')} AS d FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+p AS (SELECT *, {_plain('t')} AS tp FROM c),
+f AS (SELECT *, regexp_matches(t, {_quoted(B.ONLY_CLOSERS)}) OR ({NET('tp', '(', ')')} = 0 AND {NET('tp', '{', '}')} = 0 AND {NET('tp', '[', ']')} = 0 AND (length(tp) - length(replace(tp, '`', ''))) % 2 = 0) AS f1,
+regexp_matches(t, {_quoted(B.FUNCTION_CLOSED)}) AS f2, regexp_matches(t, {_quoted(B.CLOSED)}) AS f3, {_kind('x', 'import')} OR regexp_matches(t, {_quoted(B.EXPORTED)}) AS f5,
+t = '' AND a IS NOT NULL AND b IS NOT NULL AND ({STARTS('a')} OR {STARTS('b')} OR ({DECLARES('a')} AND {DECLARES('b')})) AS f6, {_kind('x', 'comment')} AS f7 FROM p)
+SELECT doc_id, line, round(least(1.0, {' + '.join(f"CASE WHEN {name} THEN w[{i + 1}] * {B.SHARES[i]} ELSE 0.0 END" for i, name in enumerate(('f1', 'f2', 'f3', 'f3', 'f5', 'f6', 'f7')))}), 6)::DOUBLE AS score,
+(sum({NET('d', '{', '}')}) OVER (PARTITION BY doc_id ORDER BY line))::BIGINT AS depth FROM f JOIN w USING (k)""")
+def boundary_lines(t):
+    """Every line of all documents, with the weights of one language after another."""
+    names = F.array(*map(F.lit, [*KNOWN, "other"]))
+    rows = B.boundary_lines(t("documents"), F.get(names, (F.col("doc_id") % (len(KNOWN) + 1)).cast("int")))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.round("score", 6).alias("score"), F.col("depth").cast("long").alias("depth"))
+
+
+@query()
+def rebalanced_chunks(t):
+    """Line chunks of all documents, cut and joined to a like size."""
+    rows = K.chunks(t("documents"), K.line_ends(F.col("text"), 8, 600)).withColumns({"type": F.when(F.col("chunk") % 3 == 0, "code").otherwise("import"), "language": F.lit("text")})
+    return R.rebalance(rows).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "start_line", "end_line")], F.md5("content").alias("digest"))

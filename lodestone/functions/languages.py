@@ -44,20 +44,21 @@ PATTERNS = {
 }
 # fixed values: what makes JavaScript TypeScript
 TYPED = [
-    r"\binterface\s+\w+", r"\btype\s+\w+\s*=", r"\benum\s+\w+", r"\bdeclare\s+", r":\s*\w+\s*(\[\]|&amp;|\|)", r":\s*\w+\s*=\s*\w+", r"\bextends\s+\w+\s*&lt;\w+&gt;", r"\bimplements\s+\w+", r"\breadonly\s+\w+", r"\babstract\s+class",
+    r"\binterface\s+\w+", r"\btype\s+\w+\s*=", r"\benum\s+\w+", r"\bdeclare\s+", r":\s*\w+\s*(\[\]|&|\|)", r":\s*\w+\s*=\s*\w+", r"\bextends\s+\w+\s*<\w+>", r"\bimplements\s+\w+", r"\breadonly\s+\w+", r"\babstract\s+class",
     r"\bprivate\s+\w+", r"\bprotected\s+\w+", r"\bpublic\s+\w+",
 ]
-# fixed values: kinds of lines by patterns of the trimmed line, one after another
+MODIFIERS = r"(?:(?:export|default|public|private|protected|internal|static|abstract|final|sealed|partial|async|override|virtual|unsafe|pub|const)\s+)*"
+# Rules for the kind of a trimmed line, one after another. An import brings names in by the
+# word that it begins with, a comment begins with a sign of one; types and functions begin
+# with their word behind any modifiers, or are names with brackets that open a body; an end
+# is nothing but closing signs, or the word.
 LINE_KINDS = {
-    "import": [r"^import\s+.*$", r"^from\s+.*$", r"^#include\s+[<\"]", r"^using\s+[\w.]+", r"^package\s+[\w.]+", r"^require\s*\("],
-    "comment": [r"^//", r"^\*\s", r"^/\*.*\*/$", r"^\*/", r"^#", r"^--", r"^<!--.*-->$", r"^\*\s*@"],
-    "class": [r"^(export\s+(default\s+)?|abstract\s+|sealed\s+|partial\s+|public\s+|private\s+|protected\s+)?class\b", r"^(interface|struct|enum|trait|impl)\s+\w+", r"^type\s+\w+\s*="],
-    "function": [
-        r"^(export\s+)?(async\s+)?function\b", r"^(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>", r"^\w+\s*[=:]\s*(async\s*)?\([^)]*\)\s*=>", r"^static\s+\w+\s*\(", r"^\w+\s*\([^)]*\)\s*(:\s*\w+\s*)?(\{|=>)",
-        r"^(def|func|fn)\s+\w+\s*\(", r"^\w+\s+fn\s+\w+\s*\(", r"^(public|private|protected|static)\s+\w+\s+\w+\s*\(", r"^\w+\s+\w+\s*\(",
-    ],
-    "end": [r"^\}\s*(//.*)?$", r"^\}\s*;?\s*$", r"=>\s*\{.*\}\s*;?$", r"function.*\)\s*\{.*\}\s*;?$", r"^end(if|function|\s+function)?$"],
-}
+    "import": [r"^(?:import|from|use|using|package|include)\s", r"^#\s*(?:include|import)\b", r"^(?:(?:const|let|var)\s.*=\s*)?require\b"],
+    "comment": [r"^(?://|/[*]|[*]|#|--|<!--)"],
+    "class": [rf"^{MODIFIERS}(?:class|interface|trait|protocol|struct|enum|union|record|impl|namespace|type)\s+\w"],
+    "function": [rf"^{MODIFIERS}(?:function|def|fn|func)\b", rf"^{MODIFIERS}(?:(?:let|var)\s+)?\w+\s*[=:]\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]*)?=>", rf"^{MODIFIERS}(?:\w[\w<>\[\].]*\s+)?\w+\s*\([^;]*\)\s*(?::\s*[\w<>\[\]]+\s*)?\{{$"],
+    "end": [r"^[}\])]+[;,]?\s*(?://.*)?$", r"^end(?:if|function|\s+\w+)?;?$"],
+}
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
@@ -68,7 +69,7 @@ def matches(text: Column, patterns: list[str]) -> Column:
 def language_of(text: Column) -> Column:
     """``language, confidence``: the language whose patterns a text's beginning meets most
     (``unknown`` without any) and its share of all that are met."""
-    head = F.lower(F.substring(text, 1, HEAD))
+    head = F.substring(text, 1, HEAD)
 
     def judge(h: Column) -> Column:
         typed, script = matches(h, TYPED), matches(h, PATTERNS["javascript"])
@@ -86,7 +87,12 @@ def language_of(text: Column) -> Column:
 
 def line_kind(line: Column) -> Column:
     """What a line is: the first kind of ``LINE_KINDS`` that it meets, else ``other``."""
-    out, trimmed = F, F.trim(line)
-    for kind, patterns in LINE_KINDS.items():
-        out = out.when(reduce(lambda a, b: a | b, [trimmed.rlike(p) for p in patterns]), kind)
+    out = F
+    for kind in LINE_KINDS:
+        out = out.when(is_kind(line, kind), kind)
     return out.otherwise("other")
+
+
+def is_kind(line: Column, kind: str) -> Column:
+    """Whether a line meets a kind's own rules, whatever comes before it."""
+    return F.trim(line).rlike("|".join(LINE_KINDS[kind]))

@@ -46,6 +46,22 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(items: Column, start: Column, step, out, kind: str) -> Column:  # noqa: ANN001
+    """What ``out`` makes of the state behind each item, of ``kind``. Results are gathered
+    by 256, so an item copies no more than those, not all before it."""
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("last"))
+
+    def put(s: Column, x: Column) -> Column:
+        def add(state: Column) -> Column:
+            last = F.concat(s["last"], F.array(out(state).cast(kind)))
+            full = F.size(s["last"]) >= 255
+            return F.struct(state.alias("state"), F.when(full, F.concat(s["full"], F.array(last))).otherwise(s["full"]).alias("full"), F.when(full, F.array().cast(f"array<{kind}>")).otherwise(last).alias("last"))
+
+        return let(step(s["state"], x), add)
+
+    return let(F.aggregate(items, begin, put), lambda s: F.concat(F.flatten(s["full"]), s["last"]))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 where either is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, scan
 
 # fixed values: limits of the strategies (lines, characters, least characters, depth)
 LIMITS = {"line": (50, 3000, 0, 0), "bracket": (50, 3000, 200, 3), "xml": (50, 3000, 200, 10), "markdown": (100, 3000, 0, 0)}
@@ -150,22 +150,7 @@ def after_tag(s: Column, m: Column) -> Column:
 
 def tag_depths(text: Column) -> Column:
     """How many elements are open behind each line."""
-    def depths(lines: Column) -> Column:
-        begin = F.struct(tag_state().alias("tags"), F.array().cast("array<array<int>>").alias("out"), F.array().cast("array<int>").alias("last"))
-
-        def step(s: Column, x: Column) -> Column:
-            tags = F.aggregate(tag_marks(x), s["tags"], after_tag)
-            # depths are gathered by hundreds, so that no line copies all those before it
-            def put(t: Column) -> Column:
-                last = F.concat(s["last"], F.array(F.size(t["names"])))
-                full = F.size(s["last"]) >= 255
-                return F.struct(t.alias("tags"), F.when(full, F.concat(s["out"], F.array(last))).otherwise(s["out"]).alias("out"), F.when(full, F.array().cast("array<int>")).otherwise(last).alias("last"))
-
-            return let(tags, put)
-
-        return let(F.aggregate(lines, begin, step), lambda s: F.concat(F.flatten(s["out"]), s["last"]))
-
-    return depths(lines_of(text))
+    return scan(lines_of(text), tag_state(), lambda s, x: F.aggregate(tag_marks(x), s, after_tag), lambda s: F.size(s["names"]), "int")
 
 
 def xml_ends(text: Column, least_lines: int = 3, least_chars: int = 200, most_chars: int = 3000, most_lines: int = 50, most_depth: int = 10) -> Column:

@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.languages import MODIFIERS
 from ..functions.text import let
 from .chunking import lines_of
 
-MODIFIERS = r"(?:(?:export|default|public|private|protected|internal|static|abstract|final|sealed|partial|async|override|virtual|unsafe|pub|const)\s+)*"
 #: Kinds of definitions and the pattern, with a group for the name, of a line that begins one.
 DEFINITIONS = {
     "class": rf"^\s*{MODIFIERS}class\s+([A-Za-z_$][\w$]*)",

@@ -11,9 +11,12 @@ from ..functions import languages as L
 from ..operators import boundaries as B
 from ..operators import chunking as K
 from ..operators import code_quality as Q
+from ..operators import graph as G
 from ..operators import rebalance as R
+from ..operators import spans as P
 from ..operators import structure as S
 from .base import Catalog
+from .graphs import BOTH, edges_of, nodes_of, start_of
 
 C = Catalog()
 query = C.query
@@ -61,6 +64,42 @@ def structure_chunks(t):
     return rows.select("custkey", "kind", "name", *[F.col(c).cast("long").alias(c) for c in ("chunk", "start_line", "end_line", "level")], F.md5("content").alias("digest"))
 
 
+# calls of those files: every step is called by its line, and say by every even order
+CALLS = """calls AS (SELECT i.c AS custkey, first + 1 + above + k AS line, 'step' AS name, first + 1 + above AS owner_line, CASE WHEN i.even THEN 'line' || n ELSE 'line_' || n END AS owner FROM i JOIN p ON p.c = i.c AND p.o = i.o, unnest(range(1, more + CASE WHEN i.even THEN 1 ELSE 2 END)) s(k)
+UNION ALL SELECT c, first + inside + 2, 'say', first, 'order' || o FROM p WHERE even)"""
+
+
+@query(f"WITH {SPANS}, {CALLS} SELECT custkey, line::BIGINT AS line, name, owner_line::BIGINT AS owner_line, owner FROM calls")
+def code_calls(t):
+    files = code_files(t)
+    owned = P.innermost(S.uses(files, keys=("custkey",)), S.definitions(files, keys=("custkey",)), ("custkey",))
+    return owned.where("does = 'CALLS'").select("custkey", F.col("line").cast("long").alias("line"), "name", F.col("owner_line").cast("long").alias("owner_line"), F.col("owner_name").alias("owner"))
+
+
+@query(f"""WITH {SPANS}, {CALLS}, e AS (SELECT DISTINCT custkey, line FROM calls), n AS (SELECT e.custkey, e.line, s.kind || ':' || s.name AS id, row_number() OVER (PARTITION BY e.custkey, e.line ORDER BY s.start_line) AS k FROM e JOIN spans s ON s.custkey = e.custkey AND abs(s.start_line - e.line) <= 10)
+SELECT c.custkey, c.line::BIGINT AS line, c.name, CASE WHEN b.id IS NOT NULL THEN a.id END AS from_id, b.id AS to_id FROM calls c LEFT JOIN n a ON a.custkey = c.custkey AND a.line = c.line AND a.k = 1 LEFT JOIN n b ON b.custkey = c.custkey AND b.line = c.line AND b.k = 2""")
+def edge_endpoints(t):
+    """The first two definitions within ten lines of every call."""
+    files = code_files(t)
+    entities = S.definitions(files, keys=("custkey",)).select("custkey", F.col("start_line").alias("line"), F.concat("kind", F.lit(":"), "name").alias("id"))
+    found = P.endpoints(S.uses(files, keys=("custkey",)).where("does = 'CALLS'"), entities, ("custkey",))
+    return found.select("custkey", F.col("line").cast("long").alias("line"), "name", "from_id", "to_id")
+
+
+HOPS = """h AS (SELECT e.src, e.dst FROM edges e JOIN part q ON 'p' || q.p_partkey = e.dst WHERE e.type IN ('IMPORTS', 'CALLS') AND substr(e.src, 2)::BIGINT % 10 < 8 AND q.p_size >= 10)"""
+
+
+@query(f"""WITH RECURSIVE {BOTH}, {HOPS}, r(id, depth) AS (SELECT id, 0 FROM nodes WHERE id IN ('p1', 'p2', 'p3') UNION SELECT h.dst, r.depth + 1 FROM r JOIN h ON h.src = r.id WHERE r.depth < 4)
+SELECT id, min(depth)::INTEGER AS depth, q.p_size::VARCHAR AS size FROM r JOIN part q ON 'p' || q.p_partkey = r.id GROUP BY id, q.p_size HAVING min(depth) > 0 ORDER BY depth, id LIMIT 40""")
+def filtered_traversal(t):
+    """Parts within four hops over edges of weight below 8 and parts of size 10 and more."""
+    sizes = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("properties"))
+    nodes = nodes_of(t).join(sizes, "id", "left")
+    edges = edges_of(t).withColumn("properties", F.create_map(F.lit("weight"), (F.substring("src", 2, 20).cast("long") % 10).cast("string")))
+    found = G.traverse(edges, nodes, start_of(t, "p1", "p2", "p3"), 4, ["IMPORTS", "CALLS"], F.expr("cast(properties['weight'] as int) < 8"), F.expr("cast(properties['size'] as int) >= 10"), limit=40)
+    return found.select("id", "depth", F.expr("properties['size']").alias("size"))
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 

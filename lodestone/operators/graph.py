@@ -49,6 +49,22 @@ def up_to(edges: DataFrame, start: DataFrame, steps: int, types: list[str] | Non
     return seen.where("depth > 0")
 
 
+def restricted(edges: DataFrame, nodes: DataFrame, edge_where: Column | None = None, node_where: Column | None = None) -> DataFrame:
+    """Edges (any columns beside ``src, dst, type``) that meet a condition and lead to nodes
+    that meet one: what each hop of a traversal with filters may use, so both conditions are
+    applied once, below the first hop."""
+    some = edges if edge_where is None else edges.where(edge_where)
+    return some if node_where is None else some.join(nodes.where(node_where).select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def traverse(edges: DataFrame, nodes: DataFrame, start: DataFrame, steps: int = 3, types: list[str] | None = None, edge_where: Column | None = None, node_where: Column | None = None, limit: int = 10) -> DataFrame:
+    """The nearest nodes within ``steps`` hops over edges of some types, every edge and every
+    node on the way meeting its condition (properties are maps: ``properties['k']``); the
+    columns of ``nodes`` and ``depth``, by depth and id."""
+    found = up_to(restricted(edges, nodes, edge_where, node_where), start, steps, types)
+    return found.join(nodes, "id").orderBy("depth", "id").limit(limit)
+
+
 def paths(edges: DataFrame, source: object, target: object, longest: int, types: list[str] | None = None, direction: str = "out") -> DataFrame:
     """``path, steps``: all simple paths of at most ``longest`` hops."""
     hops = directed(edges, types, direction).select("src", "dst").distinct()

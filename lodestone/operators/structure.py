@@ -32,12 +32,12 @@ DEFINITIONS = {
     "function": rf"^\s*{MODIFIERS}(?:function\s*\*?|def|fn|func(?:\s*\([^)]*\))?)\s+([A-Za-z_$][\w$]*)|^\s*{MODIFIERS}(?:let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\]., |]+)?\s*=>|\w+\s*=>)",
     # a name and brackets before the curly one, perhaps with types before and behind, or
     # alone behind a type, with the curly one on a later line
-    "method": rf"^\s*{MODIFIERS}(?:[A-Za-z_][\w<>\[\],.?*&:]*\s+)?[*&~#]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?:(?::|->)\s*[\w<>\[\]., |?&]+|const|noexcept|override|throws\s+[\w, .]+)?\s*\{{\s*$|^\s*{MODIFIERS}(?:(?!(?:return|await|yield|throw|new|else|not|in)\b)[A-Za-z_][\w<>\[\],.?*&:]*\s+)[*&~]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*$",
+    "method": rf"^\s*{MODIFIERS}(?:[A-Za-z_][\w<>\[\],.?*&:]*\s+)?[*&~#]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\((?![^)]*\bfunction\b)[^;{{}}]*\)\s*(?:(?::|->)\s*[\w<>\[\]., |?&]+|const|noexcept|override|throws\s+[\w, .]+)?\s*\{{(?:\s*|.*\}}\s*)$|^\s*{MODIFIERS}(?:(?!(?:return|await|yield|throw|new|else|not|in)\b)[A-Za-z_][\w<>\[\],.?*&:]*\s+)[*&~]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*$",
 }
 #: Words before a bracket that begin no method.
 NO_METHODS = "if for while switch catch return else do try with synchronized foreach using lock match unless elif except function new".split()
 #: What a line needs to begin a definition.
-MAYBE = r"\b(?:class|interface|trait|protocol|struct|enum|union|record|impl|type|namespace|module|mod|function|def|fn|func)\b|=>|\)[^;]*$"
+MAYBE = r"\b(?:class|interface|trait|protocol|struct|enum|union|record|impl|type|namespace|module|mod|function|def|fn|func)\b|=>|\)[^;]*(?:$|\{)"
 #: Strings and comments within a line, whichever begins first; marks of longer ones.
 WHOLE_TRIPLE = r'"""(?:[^"]|"(?!""))*"""|' + r"'''(?:[^']|'(?!''))*'''"
 ASIDE = r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//.*$|^\s*#.*$"
@@ -166,3 +166,47 @@ def structure_chunks(files: DataFrame, text_col: str = "text", keys: tuple = ("d
     both = let(lines_of(text), lambda lines: let(spans(text), lambda found: chosen(lines, found)))
     rows = files.where(text.isNotNull() & (F.trim(F.translate(text, "\n\t\r", "   ")) != ""))
     return rows.select(*keys, F.posexplode(both).alias("chunk", "c")).select(*keys, "chunk", "c.*")
+
+
+#: Names before a bracket, and members of the object itself that are not called.
+CALLED, MEMBER = r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(", r"\b(?:this|self)\.([A-Za-z_$][\w$]*)\b(?!\s*\()"
+
+
+def uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys, line, does (CALLS, ACCESSES), name``: functions that lines call, by the last
+    part of their name, and members that they touch; strings and line comments left out. A
+    line that begins a definition does not call it."""
+    def of(x: Column, i: Column) -> Column:
+        def found(c: Column) -> Column:
+            own = F.coalesce(_found(c)["name"], F.lit(""))
+            called = F.filter(F.transform(F.regexp_extract_all(c, F.lit(CALLED), F.lit(1)), lambda n: F.substring_index(n, ".", -1)), lambda n: ~n.isin([w for w in NO_METHODS if w != "new"]) & (n != own))
+            row = lambda kind: lambda n: F.struct((i + 1).alias("line"), F.lit(kind).alias("does"), n.alias("name"))
+            return F.concat(F.transform(called, row("CALLS")), F.transform(F.regexp_extract_all(c, F.lit(MEMBER), F.lit(1)), row("ACCESSES")))
+
+        return let(F.regexp_replace(x, ASIDE, ""), found)
+
+    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(F.flatten(F.transform(lines_of(F.col(text_col)), of))).alias("u"))
+    return rows.select(*keys, "u.*")
+
+
+def usage_edges(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys, src_line, src, type, dst_key.., dst_line, dst``: CALLS from the innermost
+    definition around a call to the functions and methods of that name (those of the file if
+    it has any, else those of all files), and ACCESSES from it to members (``dst_line`` is
+    where the class around it begins)."""
+    from .spans import innermost
+
+    spans = definitions(files, text_col, keys)
+    owned = innermost(uses(files, text_col, keys), spans, keys).where("owner_line is not null")
+    source = [*keys, F.col("owner_line").alias("src_line"), F.col("owner_name").alias("src")]
+    targets = spans.where("kind in ('function', 'method')").select(F.struct(*keys).alias("at"), F.col("start_line").alias("dst_line"), F.col("name").alias("dst"))
+    calls = owned.where("does = 'CALLS'").select(*source, F.col("name").alias("dst"), F.struct(*keys).alias("own")).distinct()
+    here = calls.join(targets.withColumnRenamed("at", "own"), ["own", "dst"])
+    # names that the file does not define are looked for in all files
+    rest = calls.join(here.select("own", "dst").distinct(), ["own", "dst"], "left_anti").join(targets, "dst")
+    columns = [*keys, "src_line", "src", F.lit("CALLS").alias("type"), "dst_file", "dst_line", "dst"]
+    called = here.withColumn("dst_file", F.col("own")).select(*columns).unionByName(rest.withColumn("dst_file", F.col("at")).select(*columns))
+    classes = spans.where("kind in ('class', 'struct', 'interface')")
+    touched = innermost(owned.where("does = 'ACCESSES'"), classes, keys, "class_").where("class_line is not null")
+    members = touched.select(*source, F.lit("ACCESSES").alias("type"), F.struct(*keys).alias("dst_file"), F.col("class_line").alias("dst_line"), F.col("name").alias("dst")).distinct()
+    return called.where(~(F.col("dst_file").eqNullSafe(F.struct(*keys)) & (F.col("src_line") == F.col("dst_line")))).distinct().unionByName(members)

@@ -39,6 +39,8 @@ DEPTH, LEAST_COUNT, TOP = 3, 10, 2000
 #: 100 times a longer phrase's count reaches so many times a shorter one's: it is dropped.
 SHARE = 50
 SAMPLE_DOCS = 3000
+#: Parts of a language that are ranked apart before their best are.
+PARTS = 128
 #: Texts longer than this do not help to place cuts.
 SAMPLE_CHARS = 50_000
 #: Nodes that shards send to a range, by about so many a byte of text.
@@ -289,8 +291,11 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT,
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = both.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # the best of every part of a language first, so that no task ranks a whole language
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order))
+    few = both.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", part).where(F.col("rank") <= top)
+    best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     # the root of each language, one for every range that it begins in, has all its words
     roots = at(0).groupBy("lang").agg(F.sum("a").alias("n"))
     return best.join(roots, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -301,7 +306,8 @@ def duckdb_sql(least: int = LEAST_COUNT, share: int = SHARE, top: int = TOP) ->
     return rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
   SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents)),
+-
+]')) AS piece FROM documents)),
 o AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM p UNION ALL
   SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p UNION ALL
   SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),

@@ -123,3 +123,31 @@ def knn_approximate(t):
     points = t("embeddings")
     asked = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return V.approximate_search(points, asked).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+GAPPED = "CASE WHEN n >= 50 THEN 100 WHEN n >= 20 THEN 500 WHEN n >= 10 THEN 1000 ELSE 500 END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
+r AS (SELECT user_id, k, us, us AS first, 1 AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.us, CASE WHEN e.us - r.us <= {GAPPED} * 1000 * 43200::BIGINT THEN r.first ELSE e.us END, CASE WHEN e.us - r.us <= {GAPPED} * 1000 * 43200::BIGINT THEN r.n + 1 ELSE 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, make_timestamp(first) AS start, make_timestamp(max(us)) AS last, count(*)::INTEGER AS n FROM r GROUP BY user_id, first""")
+def dynamic_bursts(t):
+    """Bursts of a user's events; a gap of half a second stands for six hours."""
+    from ..operators import changes as H
+
+    found = H.dynamic_bursts(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id"], 43200.0)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")})
+
+
+@query("""WITH r AS (SELECT user_id::VARCHAR AS path, md5(user_id::VARCHAR || event_type) AS hash, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(user_id::VARCHAR || event_type) DESC) AS k FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)
+SELECT path, count(*)::INTEGER AS n, string_agg(hash, ' ' ORDER BY k DESC) AS hashes, max(ts)::TIMESTAMP AS last FROM r WHERE k <= 5 GROUP BY path""")
+def stream_histories(t):
+    """The last five hashes of every user, kept as state of a stream."""
+    from ..streaming import state
+
+    at, events = _stream(t)
+    raw = events.where("user_id is not null").select(F.col("user_id").cast("string").alias("path"), F.md5(F.concat(F.col("user_id").cast("string"), "event_type")).alias("hash"), F.col("ts").alias("at"))
+    with state.rocks(t("events").sparkSession):
+        S.run_each(state.histories(raw, 5), S.into_table(f"{at}/out", ["path"], "last"), f"{at}/point")
+    rows = S.table_at(t("events").sparkSession, f"{at}/out")
+    return rows.select("path", "n", F.array_join("hashes", " ").alias("hashes"), F.col("last").cast("timestamp_ntz").alias("last"))

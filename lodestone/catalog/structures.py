@@ -12,6 +12,7 @@ from ..operators import boundaries as B
 from ..operators import chunking as K
 from ..operators import code_quality as Q
 from ..operators import graph as G
+from ..operators import overlaps as O
 from ..operators import rebalance as R
 from ..operators import spans as P
 from ..operators import structure as S
@@ -141,3 +142,12 @@ def rebalanced_chunks(t):
     """Line chunks of all documents, cut and joined to a like size."""
     rows = K.chunks(t("documents"), K.line_ends(F.col("text"), 8, 600)).withColumns({"type": F.when(F.col("chunk") % 3 == 0, "code").otherwise("import"), "language": F.lit("text")})
     return R.rebalance(rows).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "start_line", "end_line")], F.md5("content").alias("digest"))
+
+
+@query()
+def chunk_overlaps(t):
+    """Overlaps between the pieces that bracket chunks of the code files hand on."""
+    files = code_files(t).withColumn("language", F.when(F.col("custkey") % 2 == 0, "typescript").otherwise("python"))
+    rows = K.chunks(files, K.bracket_ends(F.col("text")), keys=("custkey",))
+    found = O.overlaps(rows, files, keys=("custkey",))
+    return found.select("custkey", F.col("chunk").cast("long").alias("chunk"), "strategy", F.md5("overlap").alias("digest"), F.round("quality", 6).alias("quality"))

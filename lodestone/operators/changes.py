@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let, scan
+
 # fixed values: file extensions that each index reads
 GRAPH_EXTENSIONS = ["ts", "js", "tsx", "jsx", "py", "java", "cpp", "c", "h", "hpp"]
 VECTOR_EXTENSIONS = [*GRAPH_EXTENSIONS, "md", "txt"]
@@ -40,10 +42,55 @@ def debounce(events: DataFrame, time: str, keys: list[str], gap: str) -> DataFra
     return burst.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+# fixed values: from so many waiting changes on, so many ms without one flush them; else 500
+GAPS = [(50, 100), (20, 500), (10, 1000)]
+GAP = 500
+
+
 def gap_for(pending: Column) -> Column:
     """Milliseconds to wait by how many changes are pending."""
-    # fixed values: 100, 500 and 1000 ms from 50, 20 and 10 pending changes, else 500 ms
-    return F.when(pending >= 50, 100).when(pending >= 20, 500).when(pending >= 10, 1000).otherwise(500)
+    out = F
+    for least, ms in GAPS:
+        out = out.when(pending >= least, ms)
+    return out.otherwise(GAP)
+
+
+def flushed(times: list[int], stretch: float = 1.0) -> list[tuple[int, int, int, int]]:
+    """``first, last, end, number`` of bursts of sorted times in microseconds. A burst ends
+    when its gap has passed since its last change; one just then still belongs to it."""
+    out: list[tuple[int, int, int, int]] = []
+    for t in times:
+        first, n = (out[-1][0], out[-1][3]) if out and t <= out[-1][2] else (t, 0)
+        if n:
+            out.pop()
+        gap = next((ms for least, ms in GAPS if n + 1 >= least), GAP)
+        out.append((first, t, t + int(1000 * gap * stretch), n + 1))
+    return out
+
+
+def dynamic_bursts(events: DataFrame, time: str, keys: list[str], stretch: float = 1.0) -> DataFrame:
+    """``keys, start, last, n``: bursts of changes of a key whose gap depends on how many
+    wait already. Events further apart than the longest gap part bursts in any case, by a
+    window; a fold over the times in between finds the other ends."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    order = Window.partitionBy(*keys).orderBy("_us")
+    longest = int(1000 * stretch * max(GAP, *(ms for _, ms in GAPS)))
+    rows = events.where(F.col(time).isNotNull()).select(*keys, us.alias("_us"))
+    parted = rows.withColumn("_new", F.coalesce(F.col("_us") - F.lag("_us").over(order) > longest, F.lit(True)).cast("int"))
+    part = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    held = parted.withColumn("_part", part).groupBy(*keys, "_part").agg(F.sort_array(F.collect_list("_us")).alias("_t"))
+
+    def step(s: Column, t: Column) -> Column:
+        def put(n: Column) -> Column:
+            return F.struct((s["burst"] + (n == 1).cast("int")).alias("burst"), n.alias("n"), (t + (gap_for(n) * 1000 * stretch).cast("long")).alias("end"))
+
+        return let(F.when(t <= s["end"], s["n"] + 1).otherwise(1), put)
+
+    begin = F.struct(F.lit(0).alias("burst"), F.lit(0).alias("n"), F.lit(-(1 << 62)).alias("end"))
+    numbers = scan(F.col("_t"), begin, step, lambda s: s["burst"], "int")
+    each = held.select(*keys, "_part", F.explode(F.arrays_zip(F.col("_t").alias("t"), numbers.alias("b"))).alias("x"))
+    found = each.groupBy(*keys, "_part", "x.b").agg(F.min("x.t").alias("start"), F.max("x.t").alias("last"), F.count("*").cast("int").alias("n"))
+    return found.select(*keys, F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n")
 
 
 def flush_delay(waiting: Column) -> Column:

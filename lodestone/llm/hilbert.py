@@ -8,15 +8,20 @@ ordering. Rows there carry vectors rounded to one byte a component; what the win
 hold is merged, the nearest candidates by rounded distance are joined with the vectors
 themselves and ranked by the exact distance.
 
-A query sees at most 2 x ``ORDERINGS`` x ``WINDOW`` rows however large the table is: work
-grows with the table, not with its square. Projections and scales are fitted on
+A query sees 2 x ``ORDERINGS`` windows, so work grows with the table to the power 1.5 at
+most (1 with a fixed ``window``), not with its square. Projections and scales are fitted on
 ``FIT_ROWS`` vectors (smallest hashes of their ids); all vectors are indexed. A window
 ends at the edge of its task's stretch, of which other orderings have others; recall is
 measured with these edges.
 
+Equal vectors are indexed once, under their smallest id, with their k + 1 smallest ids
+(the others could never be among the k nearest): so copies fill no window, a hot vector
+costs as much as any other, and every query of equal vectors picks its neighbours from one
+list by distance and id. The default window grows with the root of the number of vectors
+beyond ``STEADY_ROWS``, as that is what recall asks for on vectors without structure.
+
 Cases: vectors that are null, zero or hold null or non-finite components take no part;
-vectors of different lengths are no neighbours; identical vectors stand for at most
-k + 1 smallest ids (the others could never be among the k nearest), so ties are right;
+vectors of different lengths are no neighbours; equal distances go to the smaller id;
 of rows that repeat an id the smallest vector counts; other columns are not read,
 whatever their names; an empty table gives no rows.
 """
@@ -32,12 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
-from .vectors import QUERY_EVERY, best, sizes_of, usable
+from .vectors import QUERY_EVERY, sizes_of, usable
 
 ORDERINGS = 24
 DIRECTIONS, BITS = 8, 6
 #: Rows on either side of a query that it looks at in an ordering.
-WINDOW = 700
+WINDOW, STEADY_ROWS = 700, 50_000
 #: Rows of a range, on average.
 RANGE_ROWS = 50_000
 #: Nearest rows by rounded vectors that a window hands on, and that a query ranks exactly.
@@ -99,9 +104,9 @@ class Orderings:
         return np.clip(np.rint((x - self.centre) / self.unit), -127, 127).astype(np.int8)
 
 
-def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, every: int, window: int, candidates: int) -> DataFrame:
-    """``query_id, vec_id, near``: from every window of every query the nearest rows by
-    rounded vectors."""
+def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, window: int, candidates: int) -> DataFrame:
+    """``query_id, vec_id, near``: from every window of every row that is ``asked`` for the
+    nearest rows (``vec_id, v, asked``) by rounded vectors."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +116,7 @@ def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, eve
                 raw = index.codes(x).tobytes()
                 codes = pa.array([raw[i * d : i * d + d] for i in range(len(x))], pa.binary())
                 for o, key in enumerate(index.keys(x)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o), pa.int32()), pa.array(key, pa.int64()), p.column(0), codes], names=["o", "key", "id", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o), pa.int32()), pa.array(key, pa.int64()), p.column(0), codes, p.column(2)], names=["o", "key", "id", "code", "asked"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -121,38 +126,59 @@ def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, eve
         order, ids = t["o"].to_numpy(), t["id"].to_numpy()
         code = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(-1, d).astype(np.float32)
         length = (code * code).sum(1)
-        for q in np.flatnonzero(ids % every == 0).tolist():
+        for q in np.flatnonzero(t["asked"].to_numpy()).tolist():
             a, b = max(0, q - window), min(len(ids), q + window + 1)
             near = length[a:b] - 2.0 * (code[a:b] @ code[q])
             near[(order[a:b] != order[q]) | (ids[a:b] == ids[q])] = np.inf
             n = min(candidates, len(near))
-            some = np.argpartition(near, n - 1)[:n]
+            # of rows as near as the last one those of the smallest ids
+            some = np.flatnonzero(near <= np.partition(near, n - 1)[n - 1])
             some = some[np.isfinite(near[some])]
+            some = some[np.lexsort((ids[a:b][some], near[some]))[:n]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[q])), pa.array(ids[a:b][some]), pa.array(near[some].astype(np.float64))], names=["query_id", "vec_id", "near"])
 
-    spreaded = rows.select("vec_id", "v").mapInArrow(spread, "o int, key long, id long, code binary")
+    spreaded = rows.select("vec_id", "v", "asked").mapInArrow(spread, "o int, key long, id long, code binary, asked boolean")
     ranges = max(1, ceil(total * len(index.parts) / RANGE_ROWS))
     dealt = spreaded.repartitionByRange(ranges, "o", "key", "id").sortWithinPartitions("o", "key", "id")
     return dealt.mapInArrow(look, "query_id long, vec_id long, near double")
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, window: int = WINDOW, candidates: int = CANDIDATES, seed: int = SEED) -> DataFrame:
+def groups_of(rows: DataFrame, k: int) -> DataFrame:
+    """``vec_id, v, ids``: every vector once, with its k + 1 smallest ids, the smallest as
+    its own. The limit holds in every task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = rows.withColumn("n", rank).where(F.col("n") <= k + 1)
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "v", "ids")
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, window: int | None = None, candidates: int = CANDIDATES, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score`` (Euclidean) for every id divisible by ``every``."""
     spark = vectors.sparkSession
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     one = keep(usable(vectors, id_col, vector_col, zero_too=False).groupBy("vec_id").agg(F.min("v").alias("v")), "hilbert-vectors")
-    for d, total in sizes_of(one):  # hardly ever more than one length
+    for d, _ in sizes_of(one):  # hardly ever more than one length
         rows = one.where(F.size("v") == d)
         fit = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()])
         index = Orderings(fit, orderings, seed)
-        same = Window.partitionBy("v").orderBy("vec_id")
-        held = rows.withColumn("n", F.row_number().over(same)).where((F.col("n") <= k + 1) | (F.col("vec_id") % every == 0)).select("vec_id", "v")
-        found = window_candidates(held, index, d, total, every, window, max(candidates, k))
-        merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("score"))
-        chosen = best(merged, max(candidates, k), ascending=True).select("query_id", "vec_id")
-        queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        both = chosen.join(rows, "vec_id").join(queries, "query_id")
+        # queries with the id that their vector is indexed under
+        lone = keep(groups_of(rows, k), "hilbert-groups")
+        asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").join(lone.select("v", F.col("vec_id").alias("own")), "v").select("query_id", "own")
+        asked = keep(asked, "hilbert-queries")
+        held = lone.join(asked.select(F.col("own").alias("vec_id")).distinct().withColumn("asked", F.lit(True)), "vec_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        total = lone.count()
+        wide = window or ceil(WINDOW * max(1.0, total / STEADY_ROWS) ** 0.5)
+        found = window_candidates(held, index, d, total, wide, max(candidates, k))
+        merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
+        chosen = merged.withColumn("n", rank).where(F.col("n") <= max(candidates, k)).select("query_id", "vec_id")
+        queries = held.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("ids").alias("copies"))
+        both = chosen.join(lone, "vec_id").join(queries, "query_id")
         squares = F.zip_with("v", "q", lambda a, b: (a - b) * (a - b))
-        exact = both.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
-        out = out.unionByName(best(exact, k, ascending=True))
+        score = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+        near = both.withColumn("score", score).select("query_id", F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id"))).alias("near"))
+        # with the copies of the query's own vector: k + 1 ids of every candidate at most
+        own = queries.select("query_id", F.transform("copies", lambda i: F.struct(F.lit(0.0).alias("score"), i.alias("vec_id"))).alias("near"))
+        tops = near.unionByName(own).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("top"))
+        picked = asked.join(tops.withColumnRenamed("query_id", "own"), "own").select("query_id", F.posexplode(F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
+        out = out.unionByName(picked.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score"))
     return out

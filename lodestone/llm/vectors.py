@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_EVERY = 100
-MOST_SIZES = 64
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_too: bool) -> DataFrame:
@@ -20,12 +19,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_too: bool) ->
 
 
 def sizes_of(df: DataFrame) -> list[tuple[int, int]]:
-    """Every number of components with how many vectors have it. Vectors are compared with
-    those of their own length; hundreds of lengths in one column are an error of the input."""
-    rows = df.groupBy(F.size("v").alias("n")).count().orderBy("n").limit(MOST_SIZES + 1).collect()
-    if len(rows) > MOST_SIZES:
-        raise ValueError(f"more than {MOST_SIZES} lengths of vectors in one column")
-    return [(r["n"], r["count"]) for r in rows]
+    """Every number of components with how many vectors have it: as many rows as there are
+    lengths. Vectors are compared with those of their own length."""
+    return [(r["n"], r["count"]) for r in df.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
 
 
 def best(found: DataFrame, k: int, ascending: bool) -> DataFrame:

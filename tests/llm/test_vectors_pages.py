@@ -67,6 +67,28 @@ def test_nearest_has_recall_on_many_vectors(spark, tmp_path):
     assert len(got) == 10 * (n // 500) and hit >= 0.9 * len(got)
 
 
+def test_copies_and_equal_distances_are_exact(spark):
+    """A hot vector with thousands of copies, also as queries, and points at one distance:
+    neighbours go by distance and id, however small the window."""
+    rng = np.random.default_rng(3)
+    hot, ring = np.ones(8), np.eye(8)
+    rows = [(i, hot.tolist()) for i in range(6000)] + [(6000 + i, (hot + 2 * ring[i % 8] * (-1) ** (i // 8)).tolist()) for i in range(16)] + [(7000 + i, (9 + rng.standard_normal(8)).tolist()) for i in range(300)]
+    got = {}
+    for r in hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=40).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {q: [i for i in range(11) if i != q][:10] for q in range(0, 6000, 100)}
+    assert all([i for _, i, _ in sorted(got[q])] == want[q] and all(s == 0.0 for _, _, s in got[q]) for q in want)
+    # the one query of the ring is nearest to the copies, of which the smallest ids count
+    assert [(i, s) for _, i, s in sorted(got[6000])] == [(i, 2.0) for i in range(10)]
+    assert set(got) == {*want, 6000, *range(7000, 7300, 100)} and all(len(x) == 10 for x in got.values())
+
+
+def test_many_lengths(spark):
+    rows = [(100 * n + i, [1.0 + i] * n) for n in range(1, 71) for i in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r["query_id"], r["vec_id"]) for r in saat.top_inner(df.where("size(embedding) % 10 = 1")).collect()} == {(100 * n, 100 * n + 1) for n in range(1, 71, 10)}
+
+
 def test_searches_of_several_lengths_and_repeated_ids(spark):
     rows = [(0, [1.0, 0.0], 1, "a"), (1, [0.5, 0.5], 1, "a"), (2, [3.0, 4.0], 1, "a"), (100, [1.0, 2.0, 3.0], 1, "a"), (3, [1.0, 2.0, 4.0], 1, "a"), (1, [9.0, 9.0], 1, "a")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, query_id string")

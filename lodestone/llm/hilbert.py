@@ -8,8 +8,8 @@ ordering. Rows there carry vectors rounded to one byte a component; what the win
 hold is merged, the nearest candidates by rounded distance are joined with the vectors
 themselves and ranked by the exact distance.
 
-A query sees 2 x ``ORDERINGS`` windows, so work grows with the table to the power 1.5 at
-most (1 with a fixed ``window``), not with its square. Projections and scales are fitted on
+A query sees 2 x ``ORDERINGS`` windows of rows, so with a fixed ``window`` work grows with
+the table. Projections and scales are fitted on
 ``FIT_ROWS`` vectors (smallest hashes of their ids); all vectors are indexed. A window
 ends at the edge of its task's stretch, of which other orderings have others; recall is
 measured with these edges.
@@ -17,8 +17,12 @@ measured with these edges.
 Equal vectors are indexed once, under their smallest id, with their k + 1 smallest ids
 (the others could never be among the k nearest): so copies fill no window, a hot vector
 costs as much as any other, and every query of equal vectors picks its neighbours from one
-list by distance and id. The default window grows with the root of the number of vectors
-beyond ``STEADY_ROWS``, as that is what recall asks for on vectors without structure.
+list by distance and id.
+
+How wide a window has to be depends on the vectors, so it is measured: the true neighbours
+of ``SAMPLE`` queries (by one scan) are looked for along the curves, and the window is as
+wide as ``GOAL`` of them ask for, ``WINDOW`` at least. Clustered vectors keep it narrow,
+vectors without any structure widen it as the table grows.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part;
 vectors of different lengths are no neighbours; equal distances go to the smaller id;
@@ -42,7 +46,9 @@ from .vectors import QUERY_EVERY, sizes_of, usable
 ORDERINGS = 24
 DIRECTIONS, BITS = 8, 6
 #: Rows on either side of a query that it looks at in an ordering.
-WINDOW, STEADY_ROWS = 700, 50_000
+WINDOW = 700
+#: Queries whose true neighbours are looked for, and the part of them to be found.
+SAMPLE, GOAL = 64, 0.95
 #: Rows of a range, on average.
 RANGE_ROWS = 50_000
 #: Nearest rows by rounded vectors that a window hands on, and that a query ranks exactly.
@@ -104,9 +110,9 @@ class Orderings:
         return np.clip(np.rint((x - self.centre) / self.unit), -127, 127).astype(np.int8)
 
 
-def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, window: int, candidates: int) -> DataFrame:
-    """``query_id, vec_id, near``: from every window of every row that is ``asked`` for the
-    nearest rows (``vec_id, v, asked``) by rounded vectors."""
+def curves(rows: DataFrame, index: Orderings, d: int, total: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``o, key, id, code, asked``: rows (``vec_id, v, asked``) along all orderings, a
+    stretch of a curve in order in each task."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,6 +124,15 @@ def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, win
                 for o, key in enumerate(index.keys(x)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o), pa.int32()), pa.array(key, pa.int64()), p.column(0), codes, p.column(2)], names=["o", "key", "id", "code", "asked"])
 
+    spreaded = rows.select("vec_id", "v", "asked").mapInArrow(spread, "o int, key long, id long, code binary, asked boolean")
+    ranges = max(1, ceil(total * len(index.parts) / range_rows))
+    return spreaded.repartitionByRange(ranges, "o", "key", "id").sortWithinPartitions("o", "key", "id")
+
+
+def window_candidates(dealt: DataFrame, d: int, window: int, candidates: int) -> DataFrame:
+    """``query_id, vec_id, near``: from every window of every row that is ``asked`` for the
+    nearest rows by rounded vectors."""
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -137,12 +152,56 @@ def window_candidates(rows: DataFrame, index: Orderings, d: int, total: int, win
             some = some[np.lexsort((ids[a:b][some], near[some]))[:n]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[q])), pa.array(ids[a:b][some]), pa.array(near[some].astype(np.float64))], names=["query_id", "vec_id", "near"])
 
-    spreaded = rows.select("vec_id", "v", "asked").mapInArrow(spread, "o int, key long, id long, code binary, asked boolean")
-    ranges = max(1, ceil(total * len(index.parts) / RANGE_ROWS))
-    dealt = spreaded.repartitionByRange(ranges, "o", "key", "id").sortWithinPartitions("o", "key", "id")
     return dealt.mapInArrow(look, "query_id long, vec_id long, near double")
 
 
+def measured_window(held: DataFrame, dealt: DataFrame, d: int, k: int) -> int:
+    """Rows on either side within which ``GOAL`` of the true neighbours of ``SAMPLE`` rows
+    that are asked for stand in some ordering."""
+    some = held.where("asked").orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
+    if not some:
+        return WINDOW
+    own, q = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                ids = b.column(0).slice(at, 4096).to_numpy()
+                x = b.column(1).slice(at, 4096).flatten().to_numpy().reshape(-1, d)
+                far = (x * x).sum(1)[None, :] - 2 * (q @ x.T)
+                far[own[:, None] == ids[None, :]] = np.inf
+                for i in range(len(own)):
+                    both = np.append(best[i][0], far[i]), np.append(best[i][1], ids)
+                    first = np.argsort(both[0], kind="stable")[:k]
+                    best[i] = both[0][first], both[1][first]
+        for i, (far, ids) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own[i])), pa.array(ids), pa.array(far)], names=["query_id", "vec_id", "far"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "vec_id"))
+    true = held.select("vec_id", "v").mapInArrow(scan, "query_id long, vec_id long, far double").where("far < double('inf')").withColumn("n", rank).where(F.col("n") <= k)
+    truth: dict[int, list[int]] = {}
+    for r in true.collect():  # k rows of each sampled query
+        truth.setdefault(r["query_id"], []).append(r["vec_id"])
+    wanted = np.array(sorted({*truth, *(i for x in truth.values() for i in x)}), np.int64)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_, at = [], 0
+        for b in batches:
+            ids = b.column(2).to_numpy()
+            there = np.flatnonzero(np.isin(ids, wanted))
+            held_ += zip(b.column(0).to_numpy()[there].tolist(), ids[there].tolist(), (at + there).tolist())
+            at += len(ids)
+        place = {(o, i): p for o, i, p in held_}
+        rows_ = [(i, t, abs(place[o, t] - p)) for (o, i), p in place.items() if i in truth for t in truth[i] if (o, t) in place]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows_], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "apart"])
+
+    found = dealt.mapInArrow(look, "query_id long, vec_id long, apart long").groupBy("query_id", "vec_id").agg(F.min("apart").alias("apart")).collect()
+    apart = sorted(r["apart"] for r in found)
+    most = sum(map(len, truth.values()))
+    return max(WINDOW, apart[min(len(apart), ceil(GOAL * most)) - 1]) if apart else WINDOW
+
+
 def groups_of(rows: DataFrame, k: int) -> DataFrame:
     """``vec_id, v, ids``: every vector once, with its k + 1 smallest ids, the smallest as
     its own. The limit holds in every task before the shuffle."""
@@ -152,7 +211,8 @@ def groups_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, window: int | None = None, candidates: int = CANDIDATES, seed: int = SEED) -> DataFrame:
-    """``query_id, rank, vec_id, score`` (Euclidean) for every id divisible by ``every``."""
+    """``query_id, rank, vec_id, score`` (Euclidean) for every id divisible by ``every``;
+    without a ``window`` its width is measured."""
     spark = vectors.sparkSession
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     one = keep(usable(vectors, id_col, vector_col, zero_too=False).groupBy("vec_id").agg(F.min("v").alias("v")), "hilbert-vectors")
@@ -166,8 +226,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = QUERY_EVERY, id_col: s
         asked = keep(asked, "hilbert-queries")
         held = lone.join(asked.select(F.col("own").alias("vec_id")).distinct().withColumn("asked", F.lit(True)), "vec_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
         total = lone.count()
-        wide = window or ceil(WINDOW * max(1.0, total / STEADY_ROWS) ** 0.5)
-        found = window_candidates(held, index, d, total, wide, max(candidates, k))
+        wide = window or (measured_window(held, curves(held, index, d, total), d, k) if total > 2 * WINDOW else WINDOW)
+        found = window_candidates(curves(held, index, d, total, max(RANGE_ROWS, 8 * wide)), d, wide, max(candidates, k))
         merged = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
         chosen = merged.withColumn("n", rank).where(F.col("n") <= max(candidates, k)).select("query_id", "vec_id")

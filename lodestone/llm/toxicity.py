@@ -128,7 +128,8 @@ class Grammar:
             if begin <= at or (begin and low[begin - 1].isalpha()):
                 continue
             # the clause that this match stands in, judged once
-            left = max(low.rfind(c, 0, begin) for c in ".!?;\n|") + 1
+            # nothing before the end of the clause judged last matters, so no text is read twice
+            left = max(low.rfind(c, max(at, 0), begin) for c in ".!?;\n|") + 1
             stop = CLAUSE.search(low, end)
             at = stop.start() if stop else len(low)
             words = [self._word(w) for w in TOKEN.findall(low[left:at])]

@@ -254,12 +254,15 @@ def edge_ends(t):
     return G.with_ends(edges_of(t), nodes_of(t)).select("src", "dst", "type", "src_type", "src_name", "dst_type", "dst_name")
 
 
-@query(f"""WITH {BOTH}, m AS (SELECT (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes)::DOUBLE AS average_degree, (SELECT count(*) FROM edges WHERE type = 'IMPORTS') AS external, (SELECT count(*) FROM nodes WHERE type = 'Part') AS files, (SELECT count(*) FROM region) AS components)
+@query(f"""WITH RECURSIVE {BOTH}, u AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+w(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.dst, min(w.component) FROM w JOIN u ON u.src = w.id JOIN recurring.w AS o ON o.id = u.dst WHERE w.component < o.component GROUP BY 1),
+m AS (SELECT (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes)::DOUBLE AS average_degree, (SELECT count(*) FROM edges WHERE type = 'IMPORTS') AS external, (SELECT count(*) FROM nodes WHERE type = 'Part') AS files, (SELECT count(DISTINCT component) FROM w) AS components)
 SELECT unnest(list_filter([{', '.join(f"CASE WHEN {test} THEN '{text}' END" for test, text in G.INSIGHTS)}], lambda x: x IS NOT NULL)) AS insight FROM m""")
 def graph_insights(t):
     one = lambda df, name: df.agg(F.count("*").alias(name))
     edges, nodes = edges_of(t), nodes_of(t)
-    parts = [one(edges, "e"), one(nodes, "n"), one(edges.where("type = 'IMPORTS'"), "external"), one(nodes.where("type = 'Part'"), "files"), one(t("region"), "components")]
+    components = G.components(edges, nodes).agg(F.count_distinct("component").alias("components"))
+    parts = [one(edges, "e"), one(nodes, "n"), one(edges.where("type = 'IMPORTS'"), "external"), one(nodes.where("type = 'Part'"), "files"), components]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.join(F.broadcast(p))  # single rows

@@ -38,6 +38,7 @@ SHARES = (0.3, 0.4, 0.4, 0.35, 0.2, 0.5, 0.1)
 CLOSED = r"^\}\s*;?\s*(?://.*)?$"
 FUNCTION_CLOSED = CLOSED + r"|(?:=>|\bfunction\b.*\))\s*\{.*\}\s*;?$|^end(?:if|\s*function)?$"
 ONLY_CLOSERS = r"^[\s\]});]*$"
+SYMBOLS = r"[()\[\]{}`]"
 DECLARED = r"^(?:const|let|var)\s+\w"
 EXPORTED = r"^export\s"
 
@@ -51,7 +52,7 @@ def factors(line: Column, before: Column, behind: Column) -> Column:
     declares = lambda x: F.trim(x).rlike(DECLARED)
     apart = near[0](starts) | near[1](starts) | (near[0](declares) & near[1](declares))
     tests = (
-        trimmed.rlike(ONLY_CLOSERS) | symbol_balance(trimmed)["safe"], trimmed.rlike(FUNCTION_CLOSED), closed, closed,
+        ~trimmed.rlike(SYMBOLS) | trimmed.rlike(ONLY_CLOSERS) | symbol_balance(trimmed)["safe"], trimmed.rlike(FUNCTION_CLOSED), closed, closed,
         is_kind(line, "import") | trimmed.rlike(EXPORTED), (trimmed == "") & before.isNotNull() & behind.isNotNull() & apart, is_kind(line, "comment"),
     )
     return F.struct(*[t.alias(name) for name, t in zip(FACTORS, tests)])
@@ -70,7 +71,7 @@ def boundary_score(line: Column, before: Column, behind: Column, language: Colum
 def nesting(text: Column) -> Column:
     """How many curly brackets are open behind each line, strings and comments left out."""
     count = lambda x, sign: F.length(x) - F.length(F.translate(x, sign, ""))
-    net = F.transform(lines_of(text), lambda x: let(plain_code(x), lambda c: count(c, "{") - count(c, "}")))
+    net = F.transform(lines_of(text), lambda x: F.when(x.rlike("[{}]"), let(plain_code(x), lambda c: count(c, "{") - count(c, "}"))).otherwise(0))
     return scan(net, F.lit(0), lambda s, x: s + x, lambda s: s, "int")
 
 

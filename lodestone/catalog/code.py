@@ -351,6 +351,25 @@ def point_store(t):
     return store.info()
 
 
+@query("""WITH p AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+s AS (SELECT 'project-a' AS collection, 'cosine' AS distance, vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score, 1 AS down FROM p, q WHERE label % 2 = 0 UNION ALL SELECT 'b', 'euclid', vec_id, list_distance(embedding::DOUBLE[], q::DOUBLE[]), -1 FROM p, q WHERE label % 2 = 1),
+r AS (SELECT *, count(*) OVER (PARTITION BY collection) AS points, row_number() OVER (PARTITION BY collection ORDER BY -down * score, vec_id::VARCHAR) AS k FROM s)
+SELECT collection, distance, points, vec_id::VARCHAR AS id, CASE WHEN collection = 'project-a' THEN 'a' END AS project_id, round(score, 6) AS score FROM r WHERE k <= 10""")
+def created_collections(t):
+    """Two collections of a stated size and distance, and the nearest in each."""
+    spark = t("region").sparkSession
+    store = PointStore(spark, f"{shared_dir(spark)}/points-{uuid.uuid4().hex}")
+    points = t("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label")
+    asked = [float(x) for x in t("embeddings").where("vec_id = 0").first()["embedding"]]
+    out = None
+    for i, (name, distance) in enumerate((("project-a", "cosine"), ("b", "euclid"))):
+        store.create(name, 64, distance)
+        store.put(name, points.where(F.col("label") % 2 == i))
+        found = store.nearest(name, asked).select(F.lit(name).alias("collection"), "id", F.col("project_id") if i == 0 else F.lit(None).cast("string").alias("project_id"), F.round("score", 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out.join(store.listed().select("collection", "distance", "points"), "collection").select("collection", "distance", "points", "id", "project_id", "score")
+
+
 @query("""SELECT c_custkey AS id, '/p/' || c_custkey AS path, c_mktsegment AS status FROM customer WHERE c_custkey % 5 <> 0""")
 def migrated_states(t):
     """States that were kept as JSON texts become rows; broken ones go."""

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import entities, vector
@@ -44,6 +45,27 @@ def test_point_store(spark, tmp_path):
     assert {r["collection"] for r in store.info().collect()} == {"b"}
 
 
+def test_created_collections(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "points"))
+    assert store.listed().collect() == [] and store.create("project-x", 2) and store.create("y", 2, "euclid") and not store.create("project-x", 2)
+    for wrong in (("project-x", 3), ("z", 0), ("z", 2, "far")):
+        with pytest.raises(ValueError, match="size|distance"):
+            store.create(*wrong)
+    make = lambda rows: spark.createDataFrame(rows, "id string, vector array<float>, project_id string, at timestamp, day date")
+    when = datetime(2024, 1, 2, 3, 4, 5)
+    bad = store.put("project-x", make([("1", [1.0, 0.0], None, when, when.date()), ("2", [1.0, 1.0], "own", None, None), ("3", [1.0], "", when, None)]))
+    store.put("y", make([("1", [3.0, 4.0], None, when, None), ("2", [0.0, 1.0], None, None, None)]))
+    assert [r["id"] for r in bad.collect()] == ["3"]
+    assert {(r["id"], r["project_id"], r["at"], r["day"]) for r in store.read("project-x").collect()} == {("1", "x", "2024-01-02T03:04:05.000Z", "2024-01-02"), ("2", "own", None, None)}
+    assert [(r["id"], round(r["score"], 6)) for r in store.nearest("project-x", [1.0, 0.0], 1).collect()] == [("1", 1.0)]
+    assert [(r["id"], r["score"]) for r in store.nearest("y", [0.0, 0.0]).collect()] == [("2", 1.0), ("1", 5.0)]
+    with pytest.raises(ValueError, match="components"):
+        store.nearest("y", [1.0])
+    store.create("empty", 4, "dot")
+    store.drop("y")
+    assert {tuple(r) for r in store.listed().collect()} == {("project-x", 2, "cosine", 2), ("empty", 4, "dot", 0)}
+
+
 def test_file_change_stream(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     batches = [[("a", "add", "1", 0), ("a", "change", "1", 1), ("b", "change", "7", 2), ("c", "delete", None, 3)], [("a", "change", "2", 4), ("b", "delete", None, 5), ("b", "add", "8", 6)]]

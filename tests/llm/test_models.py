@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import lattice, tries, whitening
+from lodestone.llm import lattice, toxicity, tries, whitening
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, word string, row long, path string"
@@ -170,6 +170,19 @@ def test_streams_go_on_from_trie_to_trie():
     assert [(a.path(i), a.counts[i]) for i in range(len(a.counts))] == [(b.path(i), b.counts[i]) for i in range(len(b.counts))]
 
 
+# ---- toxicity of texts full of matches ----
+
+
+def test_clauses_are_read_once():
+    """Every clause of a text that is full of them is judged as if it stood alone."""
+    grammar = toxicity.Grammar({"=" + w: 3.0 for w in toxicity.INSULTS})
+    clauses = ["you idiot", "he said you are a moron", "you are not stupid", "I will kill you", "nothing here", "clown and idiot"]
+    alone = sum(np.expm1(grammar.features(c)[: len(toxicity.MARKS)]) for c in clauses)
+    for end in (". ", "\n", "; ", "| ", "!? "):
+        whole = np.expm1(grammar.features(end.join(clauses * 200))[: len(toxicity.MARKS)])
+        assert np.allclose(whole, 200 * alone), end
+
+
 # ---- whitening ----
 
 

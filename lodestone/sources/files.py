@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import predicates as P
 from ..operators.changes import compare
 
+#: First bytes, in hexadecimal form, of formats that are not text: pictures, documents,
+#: archives, programs, sound, databases.
+MAGIC = """89504E47 FFD8FF 47494638 49492A00 4D4D002A 00000100 25504446 D0CF11E0 504B0304 504B0506 504B0708 1F8B 425A68 FD377A585A00 377ABCAF271C 526172211A07 28B52FFD
+7F454C46 4D5A9000 CAFEBABE CFFAEDFE FEEDFACE FEEDFACF 0061736D 52494646 494433 4F676753 664C6143 53514C69746520666F726D6174203300 50415231""".split()
+#: Extensions of such files.
+BINARY = """png jpg jpeg gif bmp ico tif tiff webp pdf doc docx xls xlsx ppt pptx zip gz tgz bz2 xz 7z rar zst tar jar war exe dll so dylib o a lib class pyc wasm mp3 mp4 avi mov mkv wav flac ogg
+ttf otf woff woff2 eot db sqlite sqlite3 parquet bin dat""".split()
 #: Files of more bytes are left out.
 MOST_BYTES = 512_000
 
@@ -29,21 +36,25 @@ def scan(spark: SparkSession, root: str, ignore: str = "", most_bytes: int | Non
     if rules:
         rows = rows.where(~P.is_ignored(F.col("path"), rules))
     head = F.substring(F.col("content"), 1, 1024)
-    is_binary = looks_binary(head)
+    is_binary = looks_binary(head, T.extension(F.col("path")))
     return rows.select(
         "path", T.base_name(F.col("path")).alias("name"), T.extension(F.col("path")).alias("extension"), T.language(F.col("path")).alias("language"), F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), is_binary.alias("is_binary"), F.when(~is_binary, F.col("content").cast("string")).alias("text"),
     )
 
 
-def looks_binary(head: F.Column) -> F.Column:
-    """By the first bytes: too many zeros or control characters, or bad UTF-8 with many
-    high bytes. Shares are taken from the hexadecimal form, so no Python runs."""
+def looks_binary(head: Column, extension: Column | None = None) -> Column:
+    """By the extension, by the first bytes of known formats, or by their kinds: too many
+    zeros or control characters, or bad UTF-8 with many high bytes. Shares are taken from
+    the hexadecimal form, so no Python runs."""
     digits = F.hex(head)
     n = F.greatest(F.octet_length(head), F.lit(1))
     share = lambda pattern: F.size(F.filter(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1)), lambda b: b.rlike(pattern))) / n
     broken = F.is_valid_utf8(head.cast("string")) == F.lit(False)
-    return F.coalesce((share("^00$") > 0.001) | (share("^(0[1-8BCEF]|1.)$") > 0.03) | ((share("^[89A-F].$") > 0.1) & broken), F.lit(False))
+    known = digits.rlike("^(?:" + "|".join(MAGIC) + ")")
+    if extension is not None:
+        known = extension.isin(BINARY) | known
+    return F.coalesce(known | (share("^00$") > 0.001) | (share("^(0[1-8BCEF]|1.)$") > 0.03) | ((share("^[89A-F].$") > 0.1) & broken), F.lit(False))
 
 
 def statistics(files: DataFrame) -> DataFrame:

@@ -30,6 +30,17 @@ def test_scan_and_changes(spark, tmp_path):
     assert {(r["path"], r["change"]) for r in files.changed(every, known).collect()} == {("src/b.bin", "added"), ("big.txt", "added"), ("node/c.js", "modified")}
 
 
+def test_binary_files(spark):
+    """Known formats are told by their first bytes or their extension, others by what they hold."""
+    rows = [
+        (b"%PDF-1.7 all of it text", "x", True), (b"PK\x03\x04", "docx", True), (b"\x1f\x8b", None, True), (b"plain", "png", True), (b"SQLite format 3\x00", "x", True), (b"\x7fELF", "", True),
+        (b"PK is no archive", "txt", False), (b"GIF", "md", False), ("naïve ünd größer".encode(), "txt", False), ("naïve".encode("latin-1") * 5, "txt", True), (b"a\x00b", "txt", True), (b"\x01\x02" * 9, "txt", True), (b"", "txt", False), (None, "txt", False), (b"\tx\r\n", None, False),
+    ]
+    df = spark.createDataFrame([(i, None if h is None else bytearray(h), e, w) for i, (h, e, w) in enumerate(rows)], "i int, head binary, ext string, want boolean")
+    for r in df.select("i", "want", files.looks_binary(F.col("head"), F.coalesce("ext", F.lit(""))).alias("b")).collect():
+        assert r["b"] == r["want"], rows[r["i"]]
+
+
 def test_point_store(spark, tmp_path):
     store = PointStore(spark, str(tmp_path / "points"))
     make = lambda rows: spark.createDataFrame(rows, "id string, vector array<float>, language string")

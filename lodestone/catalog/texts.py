@@ -253,3 +253,28 @@ def near_duplicate_groups(t):
 @query()
 def greedy_filter(t):
     return S.greedy_groups(t("benchmark"), "item_id", "text", 0.1)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN trim(x) = '' THEN 1.0 ELSE (length(x) + CASE WHEN regexp_matches(x, '\b(function|class|interface|const|let|var)\b') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(x, '\b(if|else|while|for|switch|case)\b') THEN 5 ELSE 0 END
++ CASE WHEN regexp_matches(x, '\b(import|export|require|from)\b') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(x, '\b(try|catch|finally|throw)\b') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(x, '\b(return|break|continue)\b') THEN 4 ELSE 0 END
++ len(regexp_extract_all(x, '[{}]')) * 3 + len(regexp_extract_all(x, '[()]')) * 2 + len(regexp_extract_all(x, '[\[\]]')) * 1.5) * CASE WHEN regexp_matches(x, '^\s*(//|/\*|\*)') THEN 0.3 ELSE 1.0 END END AS score FROM l)
+SELECT doc_id, count(*) AS lines, round(sum(score), 4)::DOUBLE AS score, round(max(score), 4)::DOUBLE AS most FROM s GROUP BY 1""")
+def semantic_lines(t):
+    """How much the lines of every document say."""
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).withColumn("score", T.semantic_line_score(F.col("x")))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.round(F.sum("score"), 4).alias("score"), F.round(F.max("score"), 4).alias("most"))
+
+
+IGNORED = "# what is left out\n*.tmp\nen/\n!src1/en/\n\n/src3\n"
+
+
+@query("""WITH p AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'x') || '/f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.tmp' ELSE '.md' END AS path FROM documents)
+SELECT doc_id, path, CASE WHEN starts_with(path, 'src3/') THEN true WHEN starts_with(path, 'src1/en/') THEN false ELSE contains('/' || path, '/en/') OR ends_with(path, '.tmp') END AS ignored FROM p""")
+def ignored_paths(t):
+    """Paths by the rules of an ignore file, of which the last that matches decides."""
+    from ..operators import predicates as P
+
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("x")), F.lit("/f"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".tmp").otherwise(".md"))
+    rows = t("documents").select("doc_id", path.alias("path"))
+    return rows.withColumn("ignored", P.is_ignored(F.col("path"), P.ignore_rules(IGNORED)))

@@ -63,20 +63,22 @@ def _found(code: Column) -> Column:
 
 def _line(raw: Column, i: Column) -> Column:
     """What the machine has to know of a line."""
-    plain = F.regexp_replace(raw, WHOLE_TRIPLE, "")
-    aside = F.regexp_replace(F.regexp_replace(plain, f"({TRIPLE}).*$", ""), ASIDE, "")
+    # most lines hold nothing to take out
+    plain = F.when(raw.rlike(TRIPLE), F.regexp_replace(raw, WHOLE_TRIPLE, "")).otherwise(raw)
+    aside = F.when(raw.rlike(r"[\"'`/#]"), F.regexp_replace(F.regexp_replace(plain, f"({TRIPLE}).*$", ""), ASIDE, "")).otherwise(raw)
 
     def marks(a: Column) -> Column:
         return let(F.regexp_replace(a, r"/\*.*$", ""), lambda c: measured(c, F.contains(a, F.lit("/*"))))
 
     def measured(c: Column, note: Column) -> Column:
-        brackets = F.regexp_replace(c, "[^{}]", "")
+        brackets = F.when(c.rlike("[{}]"), F.regexp_replace(c, "[^{}]", "")).otherwise("")
 
         def counted(b: Column) -> Column:
             closed = F.length(F.regexp_extract(b, "^}*", 0))
             rest = F.substring(b, closed + 1, F.length(b))
             # depths behind each bracket of the rest, which begins with an opening one
-            low = F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("now"), F.lit(1000).alias("low")), lambda s, x: let(s["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0), lambda n: F.struct(n.alias("now"), F.when(x == "", s["low"]).otherwise(F.least(s["low"], n)).alias("low"))))
+            none = F.struct(F.lit(0).alias("now"), F.lit(1000).alias("low"))
+            low = F.when(rest == "", none).otherwise(F.aggregate(F.split(rest, ""), none, lambda s, x: let(s["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0), lambda n: F.struct(n.alias("now"), F.when(x == "", s["low"]).otherwise(F.least(s["low"], n)).alias("low")))))
             return F.struct(
                 i.alias("i"), (F.trim(F.translate(c, "\t\r", "  ")) == "").alias("blank"), F.length(F.regexp_extract(raw, r"^(\s*)", 1)).alias("indent"), _found(c).alias("found"),
                 F.contains(b, F.lit("{")).alias("opens"), c.rlike(r"^\s*(?:async\s+)?(?:def|class)\b[^{]*:").alias("colon"), c.rlike(r";\s*$").alias("ends"), (~F.contains(b, F.lit("{")) & c.rlike(r"^\s*\).*:\s*$")).alias("colon_later"), closed.alias("closed"), low.alias("rest"),

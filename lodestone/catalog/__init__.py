@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["tables", "texts", "vectors", "graphs", "chunks", "code", "structures"]
+SUBJECTS = ["tables", "texts", "vectors", "graphs", "chunks", "code", "structures", "mappings"]
 
 
 def queries() -> dict:

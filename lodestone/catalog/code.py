@@ -22,6 +22,7 @@ from ..sources.collections import PointStore
 from .base import Catalog
 from .graphs import BOTH, EDGES, edges_of, nodes_of, start_of
 from .texts import INTENT_SQL, _jac, _kw, _pairs, asked, asked_sql
+from .vectors import _embedded
 
 C = Catalog()
 query = C.query
@@ -307,6 +308,14 @@ def group_details(t):
     return M.group_details(groups, docs)
 
 
+@query(f"""WITH e AS {_embedded('doc_id', "(SELECT doc_id, coalesce(text, '') AS text FROM documents)")}, d AS (SELECT doc_id, source, coalesce(text, '') AS text, v FROM documents JOIN e ON e.id = doc_id WHERE source IS NOT NULL),
+p AS (SELECT a.source, CASE WHEN a.text = b.text THEN 1.0 WHEN list_sum(a.v) > 0 AND list_sum(b.v) > 0 THEN list_cosine_similarity(a.v, b.v) ELSE 0.0 END AS s FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id)
+SELECT source AS "group", n, representative, round(coalesce(s, 1.0), 6) AS score FROM (SELECT source, count(*)::BIGINT AS n, arg_max(doc_id, length(text)::BIGINT * 1000000000 - doc_id) AS representative FROM d GROUP BY 1) LEFT JOIN (SELECT source, avg(s) AS s FROM p GROUP BY 1) USING (source)""")
+def group_scores(t):
+    """How alike the documents of a source are in the mean of all pairs."""
+    return M.group_scores(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group")), t("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query(f"""WITH {FOUR} SELECT a.doc_id, a.chunk::BIGINT AS chunk_a, b.chunk::BIGINT AS chunk_b FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.chunk < b.chunk AND (b.s = a.e + 1 OR (b.s <= a.e AND a.s <= b.e))""")
 def adjacent_chunks(t):
     return K.similar_neighbours(_four(t)).select("doc_id", F.col("chunk_a").cast("long").alias("chunk_a"), F.col("chunk_b").cast("long").alias("chunk_b"))

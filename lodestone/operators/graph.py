@@ -94,16 +94,28 @@ def shortest_path(edges: DataFrame, source: object, target: object, longest: int
 
 
 def cycles(edges: DataFrame, types: list[str], longest: int) -> DataFrame:
-    """``id, length``: ids on a cycle of 2 to ``longest`` hops, with their shortest."""
-    hops = directed(edges, types).select("src", "dst").where("src <> dst").distinct()
-    walk = hops.select(F.col("src").alias("id"), F.col("dst").alias("at"))
-    found = None
-    for length in range(2, longest + 1):
-        walk = walk.join(hops, walk["at"] == hops["src"]).select("id", F.col("dst").alias("at")).distinct()
-        back = walk.where("id = at").select("id", F.lit(length).alias("length"))
-        found = back if found is None else found.unionByName(back)
-        walk = walk.where("id <> at")
-    return found.groupBy("id").agg(F.min("length").alias("length"))
+    """``id, length``: ids on a cycle of 2 to ``longest`` hops, with their shortest.
+
+    Ids without an edge in or without one out are on no cycle; they go first, round by
+    round, for as many rounds as a cycle may have hops. Of a shortest cycle one half leads
+    to an id and the other back from it, so walks of half the length are enough: least
+    distances of pairs meet the same pairs the other way round."""
+    hops = cut(directed(edges, types).select("src", "dst").where("src <> dst").distinct())
+    left = hops.count()
+    for _ in range(longest):
+        ends = lambda c, as_: hops.select(F.col(c).alias(as_)).distinct()
+        hops = cut(hops.join(ends("dst", "src"), "src", "left_semi").join(ends("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        before, left = left, hops.count()
+        if left == before:
+            break
+    seen = hops.select(F.col("src").alias("id"), F.col("dst").alias("at"), F.lit(1).alias("n"))
+    frontier = seen
+    for n in range(2, (longest + 1) // 2 + 1):
+        nxt = frontier.join(hops, frontier["at"] == hops["src"]).select("id", F.col("dst").alias("at")).where("id <> at").distinct()
+        frontier = cut(nxt.join(seen, ["id", "at"], "left_anti").withColumn("n", F.lit(n)))
+        seen = seen.unionByName(frontier)
+    back = seen.select(F.col("at").alias("id"), F.col("id").alias("at"), F.col("n").alias("m"))
+    return seen.join(back, ["id", "at"]).groupBy("id").agg(F.min(F.col("n") + F.col("m")).alias("length")).where(F.col("length") <= longest)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, jaccard, keyword_similarity, keywords, let
 from ..plans.components import connected_components
 from ..plans.lineage import cut
-from .vector import EMBEDDERS, cosine
+from .vector import EMBEDDERS, cosine, normalize
 
 # fixed values: order of the strategies and weights by kind of content
 ORDER = {"code": ["keyword", "levenshtein", "semantic"], "document": ["keyword", "semantic", "levenshtein"], "generic": ["levenshtein", "keyword", "semantic"]}
@@ -175,21 +175,28 @@ def greedy_groups(texts: DataFrame, id_col: str, text_col: str, threshold: float
 
 
 def greedy_rounds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id, group`` of all rows (``id``) by pairs (``u`` before ``v``), as above."""
-    pairs = cut(pairs)
-    later = pairs.select(F.col("v").alias("id")).distinct()
-    done = cut(rows.select("id").join(later, "id", "left_anti").select("id", F.col("id").alias("group")))
-    open_ = cut(later)
+    """``id, group`` of all rows (``id``) by pairs (``u`` before ``v``), as above.
+
+    A round writes its own decisions and the pairs that are still open, never what was
+    decided before: a decided ``v`` takes its pairs along, a ``u`` that was not kept takes
+    the pairs to later rows along, and of a kept ``u`` the pairs are marked."""
+    later = cut(pairs.select(F.col("v").alias("id")).distinct())
+    done = rows.select("id").join(later, "id", "left_anti").select("id", F.col("id").alias("group"))
+    first = done.select(F.col("id").alias("u"), F.lit(True).alias("_kept"))
+    marked = pairs.select("u", "v").join(first, "u", "left").select("u", "v", F.coalesce("_kept", F.lit(False)).alias("kept"))
+    # a row without u stands for every open v, so one whose pairs are all gone is decided too
+    stands = later.select(F.lit(None).cast(dict(pairs.dtypes)["u"]).alias("u"), F.col("id").alias("v"), F.lit(False).alias("kept"))
+    open_, i = cut(marked.unionByName(stands)), 0
     while not open_.isEmpty():
-        kept = done.where("id = group").select(F.col("id").alias("u"), F.lit(True).alias("kept"))
-        known = done.select(F.col("id").alias("u"), F.lit(True).alias("known"))
-        state = open_.withColumnRenamed("id", "v").join(pairs, "v").join(known, "u", "left").join(kept, "u", "left")
         # a kept neighbour decides as soon as no smaller one is open
-        told = state.groupBy("v").agg(F.min(F.when(F.col("known").isNull(), F.col("u"))).alias("open"), F.min(F.when(F.col("kept"), F.col("u"))).alias("joins"))
-        told = told.where("open is null or joins < open").select(F.col("v").alias("id"), F.coalesce("joins", "v").alias("group"))
-        told = cut(told)
-        done = cut(done.unionByName(told))
-        open_ = cut(open_.join(told, "id", "left_anti"))
+        told = open_.groupBy("v").agg(F.min(F.when(~F.col("kept"), F.col("u"))).alias("open"), F.min(F.when(F.col("kept"), F.col("u"))).alias("joins"))
+        told = cut(told.where("open is null or joins < open").select(F.col("v").alias("id"), F.coalesce("joins", "v").alias("group")))
+        known = told.select(F.col("id").alias("u"), F.col("id").eqNullSafe(F.col("group")).alias("_kept"))
+        rest = open_.join(told.select(F.col("id").alias("v")), "v", "left_anti").join(known, "u", "left")
+        open_ = cut(rest.where("_kept is null or _kept").select("u", "v", (F.col("kept") | F.col("_kept").isNotNull()).alias("kept")))
+        done, i = done.unionByName(told), i + 1
+        if i % 16 == 0:  # the plan stays short
+            done = cut(done)
     return done
 
 
@@ -199,6 +206,28 @@ def group_details(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.groupBy("group").agg(F.count("*").alias("n"), F.max_by("id", F.struct(F.length("text"), -F.col("id"))).alias("representative"))
 
 
+def group_scores(groups: DataFrame, texts: DataFrame, embedder: str = "hashed", digits: int = 6) -> DataFrame:
+    """``group, n, representative, score`` of groups (``id, group``) of texts (``id,
+    text``): the longest text, of equally long ones the smallest id, and the mean
+    similarity of all pairs of members by their embeddings, 1 for a group of one.
+
+    No pair is made: of vectors of length 1 the sum over all pairs is half of the squared
+    length of their sum less their number, so a group is added up, place by place, before
+    the shuffle. Texts without an embedding (null, empty, no words) are like nothing but
+    their own copies, whose pairs count 1; a null text is an empty one; rows of no group
+    (null) and ids without a text go."""
+    held = groups.where("group is not null").select("id", "group").join(texts.select("id", F.coalesce("text", F.lit("")).alias("text")), "id")
+    # vectors are made once, read for sums and for the members without one
+    held = cut(held.select("id", "group", "text", normalize(EMBEDDERS[embedder](F.col("text"))).alias("v")).withColumn("some", F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))))
+    places = held.where("some").select("group", F.posexplode("v").alias("at", "x"))
+    squared = places.groupBy("group", "at").agg(F.sum("x").alias("x")).groupBy("group").agg(F.sum(F.col("x") * F.col("x")).alias("squared"))
+    copies = held.where("not some").groupBy("group", "text").agg(F.count("*").alias("c")).groupBy("group").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("copies"))
+    best = held.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.col("some").cast("long")).alias("m"), F.min_by("id", F.struct(-F.length("text"), "id")).alias("representative"))
+    total = (F.coalesce("squared", F.lit(0.0)) - F.col("m")) / 2 + F.coalesce("copies", F.lit(0.0))
+    mean = F.when(F.col("n") > 1, clamp(total / (F.col("n") * (F.col("n") - 1) / 2))).otherwise(1.0)
+    return best.join(squared, "group", "left").join(copies, "group", "left").select("group", "n", "representative", F.round(mean, digits).alias("score"))
+
+
 def adaptive_threshold(results: DataFrame, order: str, score: str, start: float) -> DataFrame:
     """The threshold after the last 50 results (10 at least), moved by how many pass."""
     last = results.orderBy(F.desc(order)).limit(50).agg(F.count("*").alias("n"), F.avg((F.col(score) >= start).cast("double")).alias("share"))

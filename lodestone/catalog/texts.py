@@ -46,7 +46,7 @@ def levenshtein_similarity(t):
 @query()
 def hybrid_similarity(t):
     x, y = F.col("x"), F.col("y")
-    return _pairs(t).select("i", "j", F.round(T.hybrid(T.levenshtein_similarity(x, y), F.lit(None).cast("double"), T.keyword_similarity(x, y)), 6).alias("score"))
+    return _pairs(t).select("i", "j", F.round(T.hybrid(T.levenshtein_similarity(x, y), S.semantic(x, y), T.keyword_similarity(x, y)), 6).alias("score"))
 
 
 @query(f"""WITH k AS (SELECT item_id, text, {_kw('text')} AS w FROM benchmark), p AS (SELECT a.item_id AS i, b.item_id AS j, a.w AS a, b.w AS b FROM k a JOIN k b ON a.item_id < b.item_id)
@@ -58,8 +58,8 @@ def batch_similarity(t):
 @query()
 def cascade_similarity(t):
     x, y = F.col("x"), F.col("y")
-    score, steps = S.cascade(x == y, [("keyword", T.keyword_similarity(x, y)), ("levenshtein", T.levenshtein_similarity(x, y))], kind="document")
-    return _pairs(t).select("i", "j", F.round(score, 6).alias("score"), steps.alias("steps"))
+    found = S.cascade(x == y, [("keyword", T.keyword_similarity(x, y)), ("levenshtein", T.levenshtein_similarity(x, y)), ("semantic", S.semantic(x, y))], kind="document")
+    return _pairs(t).select("i", "j", found.alias("found")).select("i", "j", F.round("found.score", 6).alias("score"), "found.steps")
 
 
 @query(f"""WITH k AS (SELECT doc_id, unnest({_kw('text')}) AS w FROM documents), n AS (SELECT count(*) AS n FROM documents), l AS (SELECT doc_id, count(*) AS len FROM k GROUP BY 1),

@@ -30,22 +30,44 @@ def exits(kind: str, level: str = "medium") -> tuple[float, float, float]:
     return min(0.95, max(0.8, high * a)), min(0.85, max(0.6, medium * b)), min(0.6, max(0.4, low))
 
 
-def cascade(same: Column, scores: list[tuple[str, Column]], kind: str = "generic", level: str = "medium") -> tuple[Column, Column]:
-    """Score and number of steps: cheap strategies first, weighted means of what was run,
-    and an end as soon as a score is high enough for what the rest would cost."""
-    ranked = sorted(scores, key=lambda s: ORDER[kind].index(s[0]))
+#: What the step before must score for the semantic one to be run at all.
+LEAST_SEMANTIC = 0.5
+
+
+def cascade(same: Column, scores: list[tuple[str, Column]], kind: str = "generic", level: str = "medium", first: str | None = None) -> Column:
+    """``score, steps`` as a struct: strategies in the order of a kind of content (one may
+    be put first), the weighted mean of those that were run, and their number.
+
+    Equal texts score 1 in one step. The semantic step is left out where the last score is
+    too low for it; a score that is high enough for what the rest would cost ends the run.
+    What comes behind an end is not evaluated."""
+    named = dict(scores)
+    order = [n for n in ORDER[kind] if n in named]
+    if first in order:
+        order = [first, *[n for n in order if n != first]]
     high, medium, low = exits(kind, level)
-    means, total, spent = [], F.lit(0.0), 0.0
-    for i, (name, score) in enumerate(ranked):
-        w = weight(kind, name, level)
-        total, spent = total + score * w, spent + w
-        means.append(score if i == 0 else total / spent)
-    out, steps = F.when(same, F.lit(1.0)), F.when(same, F.lit(1))
-    for i, (_, score) in enumerate(ranked[:-1]):
-        left = sum(COSTS[n] for n, _ in ranked[i + 1 :])
-        stop = (score >= high) | ((score >= medium) & F.lit(left > 0.7)) | ((score >= low) & F.lit(left > 0.9))
-        out, steps = out.when(stop, means[i]), steps.when(stop, F.lit(i + 1))
-    return out.otherwise(means[-1]), steps.otherwise(len(ranked))
+
+    def ended(total: Column, spent: float, steps: int) -> Column:
+        return F.struct((total / spent).alias("score"), F.lit(steps).alias("steps"))
+
+    def run(i: int, total: Column, spent: float, steps: int, last: Column | None) -> Column:
+        if i == len(order):
+            return ended(total, spent, steps)
+        w, left = weight(kind, order[i], level), sum(COSTS[n] for n in order[i + 1 :])
+
+        def after(score: Column) -> Column:
+            sum_, n = total + score * w, steps + 1
+            if i + 1 == len(order):
+                return ended(sum_, spent + w, n)
+            stop = score >= (low if left > 0.9 else medium if left > 0.7 else high)
+            return F.when(stop, ended(sum_, spent + w, n)).otherwise(run(i + 1, sum_, spent + w, n, score))
+
+        step = let(named[order[i]], after)
+        if order[i] != "semantic" or last is None:
+            return step
+        return F.when(last >= LEAST_SEMANTIC, step).otherwise(run(i + 1, total, spent, steps, last))
+
+    return F.when(same, F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("steps"))).otherwise(run(0, F.lit(0.0), 0.0, 0, None))
 
 
 #: Texts under so many characters are compared by their keywords.

@@ -81,6 +81,21 @@ def error_log_filter(t):
     return e.where(F.col("event_type").isin("error", "click") & (F.col("value") > 10) & (F.col("ts") >= F.lit(low + (high - low) / 2))).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
 
 
+ERRORS = {"id": "event_id", "level": "CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END", "category": "event_type", "resolved": "user_id % 2 = 0", "at": "ts"}
+
+
+@query(f"""WITH e AS (SELECT {', '.join(f'{x} AS "{k}"' for k, x in ERRORS.items())}, [event_type, concat('k', (props->>'$.k')::BIGINT % 7), concat('u', user_id % 5)] AS tags FROM events)
+SELECT id, level, "at" FROM e WHERE level = 'high' AND category = 'error' AND list_has_any(tags, ['k3', 'u2']) AND NOT resolved AND "at" >= (SELECT min(ts) + (max(ts) - min(ts)) / 4 FROM events)""")
+def error_log(t):
+    from ..operators.metrics import error_log as found
+
+    e = t("events")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    tags = F.array("event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k").cast("long") % 7), F.concat(F.lit("u"), F.col("user_id") % 5))
+    rows = e.select(*[F.expr(x).alias(k) for k, x in ERRORS.items()], tags.alias("tags"))
+    return found(rows, "high", "error", ["k3", "u2"], False, low + (high - low) / 4 if low else None).select("id", "level", "at")
+
+
 @query("SELECT o_custkey, list_sort(list(o_orderkey)) AS ids FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def ids_by_file(t):
     return t("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
@@ -300,3 +315,40 @@ def update_nodes(t):
 
     c = t("customer").select("c_custkey", "c_acctbal")
     return upsert(c, c.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
+
+
+PLACED = {"project_id": "o_custkey % 40", "path": "concat('f', o_orderkey % 5000)", "hash": "md5(o_orderpriority)", "at": "o_orderdate"}
+STATES = 'SELECT project_id, path, arg_max(hash, ("at", hash)) AS hash FROM (SELECT {} FROM orders) GROUP BY 1, 2'.format(", ".join(f'{x} AS "{k}"' for k, x in PLACED.items()))
+
+
+@query(f"""WITH s AS ({STATES}), r AS (SELECT o_custkey % 40 AS p, concat('f', o_orderkey % 5000) AS old, arg_max(concat('f', o_orderkey % 5000 + 1 + o_custkey % 3), (o_orderdate, concat('f', o_orderkey % 5000 + 1 + o_custkey % 3))) AS new FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+m AS (SELECT s.*, r.old, coalesce(r.new, path) AS target FROM s LEFT JOIN r ON r.p = project_id AND r.old = path), w AS (SELECT *, min(old) OVER (PARTITION BY project_id, target) AS first FROM m) SELECT project_id, target AS path, hash FROM w WHERE first IS NULL OR old = first""")
+def renamed_files(t):
+    """States of files after renames that swap, follow and cover one another."""
+    from ..operators.changes import renamed
+
+    o = t("orders")
+    states = o.select(*[F.expr(x).alias(k) for k, x in PLACED.items()]).groupBy("project_id", "path").agg(F.max_by("hash", F.struct("at", "hash")).alias("hash"))
+    new = F.concat(F.lit("f"), F.col("o_orderkey") % 5000 + 1 + F.col("o_custkey") % 3)
+    moves = o.where("o_orderstatus = 'P'").select((F.col("o_custkey") % 40).alias("project_id"), F.concat(F.lit("f"), F.col("o_orderkey") % 5000).alias("old"), new.alias("new"), F.col("o_orderdate").alias("at"))
+    return renamed(states, moves)
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c))
+SELECT 'customer' AS name, count(*)::BIGINT AS n FROM customer WHERE c_custkey NOT IN (FROM c) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderkey NOT IN (FROM o) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM o)""")
+def cascade_delete(t):
+    """Rows that are left when projects go with their files and what belongs to those."""
+    from ..operators.changes import delete_cascading
+
+    tables = {name: t(name) for name in ("customer", "orders", "lineitem")}
+    gone = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    left = delete_cascading(tables, gone, "customer", [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")])
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("SELECT regexp_matches(url, '^https://[^/]*/[a-m]') AS matched, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def changes_by_pattern(t):
+    from ..operators.changes import by_pattern
+
+    return by_pattern(t("pages"), "url", "^https://[^/]*/[a-m]").groupBy("matched").agg(F.count("*").alias("n"))

@@ -185,6 +185,30 @@ def group_by_complexity(t):
     return _paths(t).groupBy(level.alias("complexity")).agg(F.count("*").alias("n"))
 
 
+TIMES = ", ".join(f"('{k}', {v})" for k, v in T.LANGUAGE_TIME.items())
+PRIORITIES = ", ".join(f"('{k}', {v})" for k, v in T.GROUP_PRIORITY.items())
+
+
+@query(f"""WITH l(e, lang) AS (VALUES {LANG_ROWS}), g(lang, grp) AS (VALUES {GROUP_ROWS}), c(lang, base) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in T.LANGUAGE_COMPLEXITY.items())}), f(lang, factor) AS (VALUES {TIMES}), p(grp, own) AS (VALUES {PRIORITIES}),
+d AS (SELECT coalesce(n_chars, 0)::BIGINT * 9 AS size, ([{', '.join(repr(e) for e in EXT)}])[doc_id % {len(EXT)} + 1] AS e FROM documents), x AS (SELECT lang, grp, size, coalesce(factor, 1.0)::DOUBLE AS factor, coalesce(base, 0.5)::DOUBLE AS base FROM d JOIN l USING (e) JOIN g USING (lang) LEFT JOIN c USING (lang) LEFT JOIN f USING (lang)),
+y AS (SELECT *, CASE WHEN size > 204800 THEN least(1.0, base + 0.2) WHEN size > 102400 THEN least(1.0, base + 0.1) WHEN size < 10240 THEN greatest(0.1, base - 0.1) ELSE base END AS c FROM x),
+z AS (SELECT grp, count(*)::BIGINT AS n, sum(size)::BIGINT AS total_size, avg(size) AS mean_size, avg(c) AS c, array_to_string(list_sort(list(DISTINCT lang)), ' ') AS languages, greatest(1.0, max(factor)) AS factor FROM y GROUP BY 1)
+SELECT grp, n, total_size, mean_size, round(c, 6) AS complexity, languages, least(100, 50 + own + CASE WHEN round(c, 6) <= 0.3 THEN 20 WHEN round(c, 6) <= 0.7 THEN 10 ELSE 0 END + CASE WHEN mean_size <= 51200 THEN 15 WHEN mean_size <= 102400 THEN 5 ELSE 0 END)::INTEGER AS priority, round(total_size / 1024 * 10 * (1 + c) * factor)::BIGINT AS millis FROM z JOIN p USING (grp)""")
+def file_groups(t):
+    """Groups of files by language, most urgent first."""
+    from ..sources.files import file_groups as grouped
+
+    return grouped(_paths(t).select("path", (F.col("n_chars").cast("long") * 9).alias("size"))).withColumn("languages", F.array_join("languages", " "))
+
+
+@query("""WITH d AS (SELECT CASE doc_id % 3 WHEN 0 THEN concat('/', source, '/a.py') WHEN 1 THEN concat(source, '/', lang, '/', doc_id % 4, '/x//', 'a.py') ELSE 'a.py' END AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+s AS (SELECT string_split(regexp_extract(regexp_replace(path, '/{2,}', '/', 'g'), '^(.*)/[^/]*$', 1), '/') AS p FROM d) SELECT array_to_string(CASE WHEN len(p) > 3 THEN p[-3:] ELSE p END, '/') AS dir, count(*)::BIGINT AS n FROM s GROUP BY 1""")
+def group_by_directory(t):
+    d = t("documents").where("source is not null and lang is not null")
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), "source", F.lit("/a.py"))).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "source", "lang", F.col("doc_id") % 4, F.lit("x//a.py"))).otherwise("a.py")
+    return d.groupBy(T.last_directories(path).alias("dir")).agg(F.count("*").alias("n"))
+
+
 def _has(q: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({q}, '{x}')" for x in terms) + ")"
 

@@ -262,6 +262,17 @@ def file_complexity(lang: Column, size: Column) -> Column:
     return F.when(size > 200 * 1024, F.least(F.lit(1.0), base + 0.2)).when(size > 100 * 1024, F.least(F.lit(1.0), base + 0.1)).when(size < 10 * 1024, F.greatest(F.lit(0.1), base - 0.1)).otherwise(base)
 
 
+# fixed values: priority of groups of files, and factors of the time that languages take
+GROUP_PRIORITY = {"code-heavy": 80, "config": 90, "style": 60, "markup": 50, "documentation": 30, "database": 70, "miscellaneous": 20}
+LANGUAGE_TIME = {"typescript": 1.5, "java": 1.8, "cpp": 1.6, "rust": 1.7, "python": 1.2, "javascript": 1.3, "json": 0.5, "yaml": 0.5, "html": 0.8, "css": 0.7, "markdown": 0.3}
+
+
+def last_directories(path: Column, depth: int = 3) -> Column:
+    """A path's directory, or its last ``depth`` parts where it has more."""
+    parts = F.split(directory(path), "/")
+    return F.array_join(F.when(F.size(parts) > depth, F.slice(parts, -depth, depth)).otherwise(parts), "/")
+
+
 # fixed values: terms of the intent rules, Chinese and English
 PATH_TERMS = ["目录", "文件夹", "路径", "下", "在", "位于", "path", "directory", "folder"]
 PLACE_TERMS = ["in", "在", "位于", "under", "下"]

@@ -30,6 +30,43 @@ def routed(changes: DataFrame, extension: Column) -> DataFrame:
     return changes.withColumn("to_vector", extension.isin(VECTOR_EXTENSIONS)).withColumn("to_graph", extension.isin(GRAPH_EXTENSIONS))
 
 
+def by_pattern(changes: DataFrame, path_col: str, pattern: str) -> DataFrame:
+    """Adds ``matched``: whether a path holds the pattern; a null path does not."""
+    return changes.withColumn("matched", F.coalesce(F.col(path_col).rlike(pattern), F.lit(False)))
+
+
+def renamed(states: DataFrame, renames: DataFrame, project: str = "project_id", path: str = "path") -> DataFrame:
+    """File states after ``renames`` (``project, old, new, at``), all at once: states of the
+    old path go on under the new one, what stood there goes, paths that nobody has are
+    passed over. Of several renames of a path the last counts, of equally late ones the one
+    with the larger name; renames from or to null go. Of states that come to stand under
+    one name, only the moved ones stay; if several moved there, the one of the smallest old
+    path; a repeated state of one path stays repeated."""
+    fine = renames.where("old is not null and new is not null").groupBy(F.col(project).alias("_p"), F.col("old").alias("_old")).agg(F.max_by("new", F.struct("at", "new")).alias("_new"))
+    moved = states.join(fine, F.col(project).eqNullSafe(F.col("_p")) & (F.col(path) == F.col("_old")), "left").drop("_p")
+    target = F.coalesce("_new", path)
+    w = Window.partitionBy(project, target)
+    told = moved.withColumn("_least", F.min("_old").over(w)).where((F.col("_old") == F.col("_least")) | F.col("_least").isNull())
+    return told.withColumn(path, F.coalesce("_new", path)).select(states.columns)
+
+
+def delete_cascading(tables: dict[str, DataFrame], gone: DataFrame, first: str, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """What is left of all tables when the rows of ``first`` that ``gone`` names (by its own
+    columns) go and, link by link (child, its column, parent, the parent's column), the
+    rows that belong to rows that went. Links come parents first; rows that belong to
+    nothing (null) stay."""
+    went = {first: tables[first].join(gone.distinct(), gone.columns, "left_semi")}
+    left = {**tables, first: tables[first].join(gone.distinct(), gone.columns, "left_anti").select(tables[first].columns)}
+    for child, key, parent, own in links:
+        if parent not in went:
+            raise ValueError(f"{parent} is deleted from by no link before that of {child}")
+        keys = went[parent].select(F.col(own).alias(key)).where(F.col(key).isNotNull()).distinct()
+        more = tables[child].join(keys, key, "left_semi").select(tables[child].columns)
+        went[child] = went[child].unionByName(more) if child in went else more
+        left[child] = left[child].join(keys, key, "left_anti").select(tables[child].columns)
+    return left
+
+
 def latest(events: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows of each key; the limit holds in each task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

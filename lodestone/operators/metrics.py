@@ -51,3 +51,20 @@ def low_streaks(events: DataFrame, time: str, value: str, threshold: float, read
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(1 - readings, 0)
     low = F.sum((F.col(value) < threshold).cast("int")).over(w)
     return events.withColumn("low", low).where(F.col("low") == readings).withColumn("severity", F.when(F.col(value) < 0.5 * threshold, "critical").when(F.col(value) < 0.75 * threshold, "high").otherwise("medium"))
+
+
+def error_log(errors: DataFrame, level: str | None = None, category: str | None = None, tags: list[str] | None = None, resolved: bool | None = None, since: object = None, until: object = None) -> DataFrame:
+    """Errors (``id, level, category, tags, resolved, at``) that meet all that is asked for,
+    newest first, then by id: any of some tags, times with both ends. What is null meets
+    nothing that is asked of it."""
+    tests = [
+        None if level is None else F.col("level") == level,
+        None if category is None else F.col("category") == category,
+        F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])) if tags else None,
+        None if resolved is None else F.col("resolved") == resolved,
+        None if since is None else F.col("at") >= since,
+        None if until is None else F.col("at") <= until,
+    ]
+    for test in tests:
+        errors = errors if test is None else errors.where(test)
+    return errors.orderBy(F.desc("at"), "id")

@@ -69,3 +69,21 @@ def largest(files: DataFrame, k: int = 10) -> DataFrame:
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files that ``known`` (path, hash) lacks or has with another hash."""
     return compare(known, files, "path").where("change in ('added', 'modified')")
+
+
+def file_groups(files: DataFrame, path_col: str = "path", size_col: str = "size") -> DataFrame:
+    """``grp, n, total_size, mean_size, complexity, languages, priority, millis`` of groups of
+    files by language, most urgent first: small and simple groups come before others, the
+    time grows with size, complexity and the slowest language. A file without a size (null)
+    has 0; paths that are null go. One partial aggregate a task, a row a group."""
+    lang, size = T.language(F.col(path_col)), F.coalesce(F.col(size_col), F.lit(0))
+    rows = files.where(F.col(path_col).isNotNull()).select(lang.alias("lang"), size.cast("long").alias("size"))
+    rows = rows.select(T.language_group(F.col("lang")).alias("grp"), "lang", "size", T.file_complexity(F.col("lang"), F.col("size")).alias("c"))
+    held = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("total_size"), F.avg("size").alias("mean_size"), F.avg("c").alias("_c"), F.sort_array(F.collect_set("lang")).alias("languages"))
+    held = held.withColumn("complexity", F.round("_c", 6))
+    simple = F.when(F.col("complexity") <= 0.3, 20).when(F.col("complexity") <= 0.7, 10).otherwise(0)
+    small = F.when(F.col("mean_size") <= 50 * 1024, 15).when(F.col("mean_size") <= 100 * 1024, 5).otherwise(0)
+    priority = F.least(F.lit(100), 50 + T.lookup(T.GROUP_PRIORITY, F.col("grp"), 0) + simple + small)
+    slowest = F.array_max(F.concat(F.array(F.lit(1.0)), F.transform("languages", lambda x: T.lookup(T.LANGUAGE_TIME, x, 1.0))))
+    millis = F.round(F.col("total_size") / 1024 * 10 * (1 + F.col("_c")) * slowest).cast("long")
+    return held.select("*", priority.cast("int").alias("priority"), millis.alias("millis")).drop("_c").orderBy(F.desc("priority"), "grp")

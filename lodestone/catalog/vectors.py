@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -96,9 +97,10 @@ FROM {_embedded('doc_id', 'documents')} d, {_embedded('item_id', 'benchmark')} q
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 5""")
 def search_by_text(t):
     embed = V.EMBEDDERS["hashed"]
-    embedded = t("documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
-    asked = t("benchmark").select((-1 - F.col("item_id")).alias("query_id"), embed(F.col("text")).alias("query"))
-    return V.batch_search(embedded, asked, k=5, digits=6).select("query_id", "vec_id", "rank", "score")
+    of = lambda df, name, key: df.select(F.lit("text").alias("field"), key.alias(name), F.lit(None).cast("string").alias("tag"), F.lit(0).alias("part"), embed(F.coalesce("text", F.lit(""))).alias("v"))
+    points, asked = of(t("documents"), "id", F.col("doc_id")), of(t("benchmark"), "query_id", -1 - F.col("item_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return V.block_search(points, asked, 5, -1.0).select("query_id", F.col("id").alias("vec_id"), rank.alias("rank"), "score")
 
 
 ASKED = "the report of the nation and its trade by sea"

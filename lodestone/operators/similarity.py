@@ -147,9 +147,11 @@ def repetitive(rows: DataFrame, keys: list[str], order: str, hash_col: str, back
 def shingles(text: Column, words: int = 5) -> Column:
     """Distinct runs of ``words`` words (A-Z made lower case); a shorter text is one run."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, words), " "))
-    return let(held, lambda w: F.when(F.size(w) >= words, F.array_distinct(runs(w))).when(F.size(w) > 0, F.array(F.array_join(w, " "))))
+    # one blank between words: a run is what a look ahead from the start of a word finds
+    plain = F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))
+    run = " ".join(["[^ ]++"] * words)
+    runs = lambda t: F.regexp_extract_all(t, F.lit(f"(?<![^ ])(?=({run}))"), F.lit(1))
+    return let(plain, lambda t: let(runs(t), lambda r: F.when(F.size(r) > 0, F.array_distinct(r)).when(t != "", F.array(t))))
 
 
 def set_links(sets: DataFrame, threshold: float) -> DataFrame:
@@ -178,7 +180,7 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, words: i
     """``id, group`` of texts that links of shingle sets join to another one, by the
     smallest id. Texts with equal sets are one class, of which one member is compared."""
     sets = texts.select(F.col(id_col).alias("id"), shingles(F.col(text_col), words).alias("w")).where(F.size("w") > 0)
-    sets = cut(sets.withColumn("mark", F.sha2(F.array_join(F.array_sort("w"), "\n"), 256)))
+    sets = cut(sets.withColumn("mark", F.sha2(F.array_join(F.sort_array("w"), "\n"), 256)))
     first = sets.groupBy("mark").agg(F.min("id").alias("u"), F.count("*").alias("n"))
     alike = sets.join(first.where("n > 1"), "mark").where("id <> u").select("u", F.col("id").alias("v"))
     one = sets.join(first.select(F.col("u").alias("id")), "id", "left_semi")

@@ -125,11 +125,16 @@ def block_search(points: DataFrame, queries: DataFrame, k: int, least: float, di
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """The offline embedder: words counted in hashed slots, of length 1."""
+    """The offline embedder: words counted in hashed slots, of length 1.
+
+    Each word puts the letter of its slot (at most 128) in a string; how much shorter that
+    is without a letter is its count. So words are looked at once, not once a slot."""
+    if not 0 < size <= 128:
+        raise ValueError("an embedding has 1 to 128 slots")
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size)
-    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
-    return let(let(slots, counts), normalize)
+    letters = F.array_join(F.transform(words, lambda w: F.chr(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % size)), "")
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.length(own) - F.length(F.replace(own, F.chr(i)))).cast("double"))
+    return let(let(letters, counts), normalize)
 
 
 #: Embedders by name; ``register`` adds one.

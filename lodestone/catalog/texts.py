@@ -131,14 +131,23 @@ def chunk_complexity(t):
     return t("pages").select("page_id", T.chunk_complexity(F.col("html")).alias("c"), T.estimated_complexity(F.col("html")).alias("estimate"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
+QUALITY = f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
 SELECT doc_id, round(greatest(0, least(1, least(len(l) / 10.0, 0.3) + least({_n('(?m)^#{1,6}[ ]+')} * 0.1, 0.2) + least({_n('(?s)```.*?```')} * 0.15, 0.3) + least({_n('(?m)^[-*+][ ]+')} * 0.05, 0.1)
  - CASE WHEN len(list_filter(l, lambda x: trim(x) = '')) / len(l)::DOUBLE > 0.5 THEN 0.2 ELSE 0.0 END
- - CASE WHEN len(list_filter(l, lambda x: regexp_matches(trim(x), '^(//|#|/\\*|\\*|<!--)'))) / len(l)::DOUBLE > 0.8 THEN 0.3 ELSE 0.0 END)), 6)::DOUBLE AS quality FROM l""")
+ - CASE WHEN len(list_filter(l, lambda x: regexp_matches(trim(x), '^(//|#|/\\*|\\*|<!--)'))) / len(l)::DOUBLE > 0.8 THEN 0.3 ELSE 0.0 END)), 6)::DOUBLE AS quality FROM l"""
+
+
+@query(QUALITY)
 def content_quality(t):
     return t("documents").select("doc_id", F.round(T.content_quality(F.col("text"), code=False), 6).alias("quality"))
 
 
+@query(f"WITH q AS ({QUALITY}) SELECT doc_id FROM q WHERE quality >= 0.3")
+def quality_gate(t):
+    """Documents that a stricter gate than the usual one lets through."""
+    return t("documents").where(T.worth_keeping(F.col("text"), code=False, least=0.3)).select("doc_id")
+
+
 @query(f"SELECT page_id, length(html)::BIGINT AS chars, {LC.format('html')}::BIGINT AS lines, {_n('[{}()\\[\\]]', 'html')}::BIGINT AS brackets, {_n('<[^>]+>', 'html')}::BIGINT AS tags, ({_n('[{}()\\[\\]]', 'html')} / length(html)::DOUBLE > 0.01) OR ({_n('<[^>]+>', 'html')} / length(html)::DOUBLE > 0.005) AS structured FROM pages")
 def file_stats(t):
     h = F.col("html")

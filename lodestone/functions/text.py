@@ -152,6 +152,11 @@ def semantic_line_score(line: Column) -> Column:
     return F.when(F.trim(line) == "", F.lit(1.0)).when(line.rlike(r"^\s*(//|/\*|\*)"), score * 0.3).otherwise(score)
 
 
+def worth_keeping(text: Column, code: bool, least: float = 0.1) -> Column:
+    """Whether a text's quality reaches ``least``; a null text's does not."""
+    return F.coalesce(F.round(content_quality(text, code), 6) >= least, F.lit(False))
+
+
 def content_quality(text: Column, code: bool) -> Column:
     lines = F.split(text, "\n")
     n = F.size(lines)

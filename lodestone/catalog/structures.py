@@ -14,7 +14,6 @@ from ..operators import code_quality as Q
 from ..operators import graph as G
 from ..operators import overlaps as O
 from ..operators import rebalance as R
-from ..operators import spans as P
 from ..operators import structure as S
 from .base import Catalog
 from .graphs import BOTH, edges_of, nodes_of, start_of
@@ -72,8 +71,7 @@ UNION ALL SELECT c, first + inside + 2, 'say', first, 'order' || o FROM p WHERE
 
 @query(f"WITH {SPANS}, {CALLS} SELECT custkey, line::BIGINT AS line, name, owner_line::BIGINT AS owner_line, owner FROM calls")
 def code_calls(t):
-    files = code_files(t)
-    owned = P.innermost(S.uses(files, keys=("custkey",)), S.definitions(files, keys=("custkey",)), ("custkey",))
+    owned = S.owned_uses(code_files(t), keys=("custkey",))
     return owned.where("does = 'CALLS'").select("custkey", F.col("line").cast("long").alias("line"), "name", F.col("owner_line").cast("long").alias("owner_line"), F.col("owner_name").alias("owner"))
 
 
@@ -81,9 +79,7 @@ def code_calls(t):
 SELECT c.custkey, c.line::BIGINT AS line, c.name, CASE WHEN b.id IS NOT NULL THEN a.id END AS from_id, b.id AS to_id FROM calls c LEFT JOIN n a ON a.custkey = c.custkey AND a.line = c.line AND a.k = 1 LEFT JOIN n b ON b.custkey = c.custkey AND b.line = c.line AND b.k = 2""")
 def edge_endpoints(t):
     """The first two definitions within ten lines of every call."""
-    files = code_files(t)
-    entities = S.definitions(files, keys=("custkey",)).select("custkey", F.col("start_line").alias("line"), F.concat("kind", F.lit(":"), "name").alias("id"))
-    found = P.endpoints(S.uses(files, keys=("custkey",)).where("does = 'CALLS'"), entities, ("custkey",))
+    found = S.ended_uses(code_files(t), keys=("custkey",)).where("does = 'CALLS'")
     return found.select("custkey", F.col("line").cast("long").alias("line"), "name", "from_id", "to_id")
 
 

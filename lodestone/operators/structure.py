@@ -4,9 +4,9 @@ No parser is at hand. A stack machine runs over the lines of a text instead: a l
 begins a definition pushes it, and it is popped where its curly bracket closes or, for a
 definition that ends in a colon, where the indentation falls back to its own. Brackets in
 strings and comments do not count; block comments and triple quotes may span lines. The
-machine is a fold over an array inside a Spark expression, so it runs beside the scan,
-without a shuffle and without Python; the stack is as deep as the nesting, and a closed
-definition is written once.
+machine is a helper that an Arrow UDF calls for each text, so it runs beside the scan,
+without a shuffle; the stack is as deep as the nesting, a closed definition is written
+once, and a worker remembers what it found out about short lines, as most of them repeat.
 
 Cases: null texts give no rows, texts without a definition (or without one of the right
 size) are one chunk, blank ones none; a definition without a body is one line; one that
@@ -16,12 +16,20 @@ block comment on its line is not read; of several definitions on a line the firs
 
 from __future__ import annotations
 
+import bisect
+import functools
+import re
+from collections.abc import Callable
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import MODIFIERS
 from ..functions.text import let
 from .chunking import lines_of
+from .spans import NEAR, innermost
 
 #: Kinds of definitions and the pattern, with a group for the name, of a line that begins one.
 DEFINITIONS = {
@@ -45,106 +53,174 @@ TRIPLE = r"\"\"\"|'''"
 #: Levels below the outermost that become chunks; characters of a chunk.
 MOST_LEVEL, LEAST_CHARS, MOST_CHARS = 5, 50, 2000
 
-SPAN = "struct<kind:string,name:string,start_line:int,end_line:int,level:int,parent_line:int>"
-OPEN = "struct<kind:string,name:string,start:int,depth:int,body:int,indent:int,level:int,parent:int>"
+SPAN = {"kind": "string", "name": "string", "start_line": "int", "end_line": "int", "level": "int", "parent_line": "int"}
+USE = {"line": "int", "does": "string", "name": "string"}
 #: Bodies of a definition: none so far, between brackets, by indentation.
 WAITING, BRACKETS, INDENTED = 0, 1, 2
-
-
-def _found(code: Column) -> Column:
-    """``kind, name`` of the first kind of definition that a line begins, else null."""
-    def of(kind: str, pattern: str) -> Column:
-        groups = [F.nullif(F.regexp_extract(code, pattern, g + 1), F.lit("")) for g in range(pattern.count("([A-Za-z"))]
-        named = let(F.coalesce(*groups), lambda name: F.when(name.isNotNull() & ~name.isin(NO_METHODS), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
-        return F.when(code.rlike(pattern), named)
-
-    return F.when(code.rlike(MAYBE), F.coalesce(*[of(k, p) for k, p in DEFINITIONS.items()]))
-
-
-def _line(raw: Column, i: Column) -> Column:
+#: Lines up to so many characters are remembered by a worker, and how many of them.
+SHORT_LINE, REMEMBERED = 200, 1 << 15
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    """A pattern with the meaning that it has in Spark's expressions: classes of ASCII, a
+    dot that is no line end of any kind, an end before a last carriage return."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out, i = out + pattern[i : i + 2], i + 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out += c if inside or c not in ".$" else r"[^\n\r\x85\u2028\u2029]" if c == "." else r"(?=[\r\x85\u2028\u2029]?\Z)"
+        i += 1
+    return re.compile(out, re.ASCII)
+
+
+_MAYBE, _ASIDE, _TRIPLE, _WHOLE_TRIPLE = map(_compiled, (MAYBE, ASIDE, TRIPLE, WHOLE_TRIPLE))
+_TRIPLE_ON, _NOTE, _SIGNS, _COLON, _ENDS, _COLON_LATER = map(_compiled, (f"(?:{TRIPLE}).*$", r"/\*.*$", r"[\"'`/#]", r"^\s*(?:async\s+)?(?:def|class)\b[^{]*:", r";\s*$", r"^\s*\).*:\s*$"))
+_KINDS = {kind: _compiled(p) for kind, p in DEFINITIONS.items()}
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _found(code: str) -> tuple[str, str] | None:
+    """Kind and name of the first kind of definition that a line begins."""
+    if _MAYBE.search(code):
+        for kind, pattern in _KINDS.items():
+            m = pattern.search(code)
+            name = m and next((g for g in m.groups() if g), None)
+            if name and name not in NO_METHODS:
+                return kind, name
+    return None
+
+
+class Line(NamedTuple):
     """What the machine has to know of a line."""
-    # most lines hold nothing to take out
-    plain = F.when(raw.rlike(TRIPLE), F.regexp_replace(raw, WHOLE_TRIPLE, "")).otherwise(raw)
-    aside = F.when(raw.rlike(r"[\"'`/#]"), F.regexp_replace(F.regexp_replace(plain, f"({TRIPLE}).*$", ""), ASIDE, "")).otherwise(raw)
-
-    def marks(a: Column) -> Column:
-        return let(F.regexp_replace(a, r"/\*.*$", ""), lambda c: measured(c, F.contains(a, F.lit("/*"))))
-
-    def measured(c: Column, note: Column) -> Column:
-        brackets = F.when(c.rlike("[{}]"), F.regexp_replace(c, "[^{}]", "")).otherwise("")
-
-        def counted(b: Column) -> Column:
-            closed = F.length(F.regexp_extract(b, "^}*", 0))
-            rest = F.substring(b, closed + 1, F.length(b))
-            # depths behind each bracket of the rest, which begins with an opening one
-            none = F.struct(F.lit(0).alias("now"), F.lit(1000).alias("low"))
-            low = F.when(rest == "", none).otherwise(F.aggregate(F.split(rest, ""), none, lambda s, x: let(s["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0), lambda n: F.struct(n.alias("now"), F.when(x == "", s["low"]).otherwise(F.least(s["low"], n)).alias("low")))))
-            return F.struct(
-                i.alias("i"), (F.trim(F.translate(c, "\t\r", "  ")) == "").alias("blank"), F.length(F.regexp_extract(raw, r"^(\s*)", 1)).alias("indent"), _found(c).alias("found"),
-                F.contains(b, F.lit("{")).alias("opens"), c.rlike(r"^\s*(?:async\s+)?(?:def|class)\b[^{]*:").alias("colon"), c.rlike(r";\s*$").alias("ends"), (~F.contains(b, F.lit("{")) & c.rlike(r"^\s*\).*:\s*$")).alias("colon_later"), closed.alias("closed"), low.alias("rest"),
-                note.alias("note"), F.contains(raw, F.lit("*/")).alias("note_ends"), (F.regexp_count(plain, F.lit(TRIPLE)) % 2 == 1).alias("triple"), (F.regexp_count(raw, F.lit(TRIPLE)) % 2 == 1).alias("triple_ends"),
-            )
-
-        return let(brackets, counted)
-
-    return let(aside, marks)
-
-
-def _step(s: Column, x: Column) -> Column:
-    """One line: what it closes, then what it opens."""
-    quoted = s["quoted"]
-    then = F.when((quoted == 1) & x["note_ends"], 0).when((quoted == 2) & x["triple_ends"], 0).when((quoted == 0) & x["triple"], 2).when((quoted == 0) & x["note"], 1).otherwise(quoted)
-    still = F.struct(s["depth"].alias("depth"), then.alias("quoted"), s["last"].alias("last"), s["stack"].alias("stack"), s["out"].alias("out"))
-    depth = s["depth"] - x["closed"]
-    lowest = depth + x["rest"]["low"]
-    is_new = x["found"].isNotNull()
-
-    def end(e: Column) -> Column:
-        """The last line of an open definition that this line closes, -1 if it stays open,
-        -2 if it was a call after all, as its body does not come."""
-        waits = e["body"] == WAITING
-        none = waits & ~x["opens"] & (x["ends"] | is_new | (depth < e["depth"]))
-        bracket = ((e["body"] == BRACKETS) & (x["closed"] > 0) & (e["depth"] >= depth)) | (((e["body"] == BRACKETS) | (waits & x["opens"])) & (e["depth"] >= lowest))
-        return F.when((e["body"] == INDENTED) & (x["indent"] <= e["indent"]), s["last"]).when(none & (e["kind"] == "method"), -2).when(none, e["start"]).when(bracket, x["i"]).otherwise(-1)
-
-    def live(judged: Column) -> Column:
-        kept = F.transform(F.filter(judged, lambda j: j["end"] == -1), lambda j: F.struct(*[j["e"][c].alias(c) for c in ("kind", "name", "start", "depth")], F.when((j["e"]["body"] == WAITING) & x["opens"], BRACKETS).when((j["e"]["body"] == WAITING) & x["colon_later"], INDENTED).otherwise(j["e"]["body"]).alias("body"), *[j["e"][c].alias(c) for c in ("indent", "level", "parent")]).cast(OPEN))
-        gone = F.transform(F.filter(judged, lambda j: j["end"] >= 0), lambda j: _span(j["e"], j["end"]))
-
-        def opened(stack: Column) -> Column:
-            body = F.when(x["opens"], BRACKETS).when(x["colon"], INDENTED).otherwise(WAITING)
-            above = F.when(F.size(stack) > 0, F.element_at(stack, -1)["start"]).otherwise(-1)
-            new = F.struct(x["found"]["kind"].alias("kind"), x["found"]["name"].alias("name"), x["i"].alias("start"), depth.alias("depth"), body.alias("body"), x["indent"].alias("indent"), F.size(stack).alias("level"), above.alias("parent")).cast(OPEN)
-            at_once = is_new & x["opens"] & (depth >= lowest)
-            closed = F.when(at_once, F.concat(gone, F.array(_span(new, x["i"])))).otherwise(gone)
-            return F.struct(
-                (depth + x["rest"]["now"]).alias("depth"), then.alias("quoted"), x["i"].alias("last"),
-                F.when(is_new & ~at_once, F.concat(stack, F.array(new))).otherwise(stack).alias("stack"),
-                # what is written already is copied only where something closes
-                let(closed, lambda c: F.when(F.size(c) > 0, F.concat(s["out"], c)).otherwise(s["out"])).alias("out"),
-            )
-
-        return let(kept, opened)
-
-    judged = F.transform(s["stack"], lambda e: F.struct(e.alias("e"), end(e).alias("end")))
-    return F.when((quoted != 0) | x["blank"], still).otherwise(let(judged, live))
-
-
-def _span(e: Column, end: Column) -> Column:
-    return F.struct(e["kind"].alias("kind"), e["name"].alias("name"), (e["start"] + 1).alias("start_line"), (end + 1).alias("end_line"), e["level"].alias("level"), F.when(e["parent"] >= 0, e["parent"] + 1).alias("parent_line")).cast(SPAN)
+
+    blank: bool
+    indent: int
+    found: tuple[str, str] | None
+    opens: bool
+    colon: bool  #: a body by indentation follows
+    ends: bool
+    colon_later: bool
+    closed: int  #: closing brackets before any other
+    now: int  #: depth behind the rest of the brackets, against that before them
+    low: int  #: the smallest depth behind one of them
+    note: bool
+    note_ends: bool
+    triple: bool
+    triple_ends: bool
+
+
+def _line(raw: str) -> Line:
+    triples = _TRIPLE.search(raw) is not None
+    plain = _WHOLE_TRIPLE.sub("", raw) if triples else raw
+    aside = _ASIDE.sub("", _TRIPLE_ON.sub("", plain)) if _SIGNS.search(raw) else raw
+    note = "/*" in aside
+    c = _NOTE.sub("", aside) if note else aside
+    signs = [x for x in c if x in "{}"]
+    closed = next((i for i, x in enumerate(signs) if x == "{"), len(signs))
+    now, low = 0, 1000
+    for x in signs[closed:]:
+        now += 1 if x == "{" else -1
+        low = min(low, now)
+    opens = "{" in signs
+    odd = lambda x: triples and len(_TRIPLE.findall(x)) % 2 == 1
+    return Line(
+        not c.strip(" \t\r"), len(raw) - len(raw.lstrip(_SPACE)), _found(c), opens, bool(_COLON.search(c)), bool(_ENDS.search(c)), not opens and bool(_COLON_LATER.search(c)), closed, now, low,
+        note, "*/" in raw, odd(plain), odd(raw),
+    )
+
+
+_known_line = functools.lru_cache(REMEMBERED)(_line)
+
+
+class Open(NamedTuple):
+    """A definition that has not ended."""
+
+    kind: str
+    name: str
+    start: int
+    depth: int
+    body: int
+    indent: int
+    level: int
+    parent: int
+
+
+def _end(e: Open, x: Line, i: int, last: int, depth: int, lowest: int) -> int:
+    """The last line of an open definition that this line closes, -1 if it stays open, -2 if
+    it was a call after all, as its body does not come."""
+    waits = e.body == WAITING
+    if e.body == INDENTED and x.indent <= e.indent:
+        return last
+    if waits and not x.opens and (x.ends or x.found is not None or depth < e.depth):
+        return -2 if e.kind == "method" else e.start
+    if (e.body == BRACKETS and x.closed > 0 and e.depth >= depth) or ((e.body == BRACKETS or (waits and x.opens)) and e.depth >= lowest):
+        return i
+    return -1
+
+
+def text_spans(text: str) -> list[tuple]:
+    """All definitions of a text by line, with the columns of ``SPAN``."""
+    depth = quoted = last = 0
+    stack: list[Open] = []
+    out: list[tuple] = []
+    put = lambda e, end: out.append((e.kind, e.name, e.start + 1, end + 1, e.level, e.parent + 1 if e.parent >= 0 else None))
+    for i, raw in enumerate(text.split("\n")):
+        x = _known_line(raw) if len(raw) <= SHORT_LINE else _line(raw)
+        silent = quoted != 0 or x.blank
+        if quoted:
+            quoted = 0 if (x.note_ends if quoted == 1 else x.triple_ends) else quoted
+        else:
+            quoted = 2 if x.triple else 1 if x.note else 0
+        if silent:
+            continue
+        # what the line closes, then what it opens
+        depth -= x.closed
+        lowest = depth + x.low
+        kept = []
+        for e in stack:
+            end = _end(e, x, i, last, depth, lowest)
+            if end >= 0:
+                put(e, end)
+            elif end == -1:
+                kept.append(e._replace(body=BRACKETS if x.opens else INDENTED) if e.body == WAITING and (x.opens or x.colon_later) else e)
+        stack = kept
+        if x.found:
+            new = Open(*x.found, i, depth, BRACKETS if x.opens else INDENTED if x.colon else WAITING, x.indent, len(stack), stack[-1].start if stack else -1)
+            if x.opens and depth >= lowest:
+                put(new, i)
+            else:
+                stack.append(new)
+        depth, last = depth + x.now, i
+    for e in stack:
+        if e.body != WAITING or e.kind != "method":
+            put(e, e.start if e.body == WAITING else last)
+    return sorted(out, key=lambda row: row[2])
+
+
+def _by_text(helper: Callable[[str], list[tuple]], fields: dict[str, str]) -> Callable[[Column], Column]:
+    """A column of arrays of ``fields``: the rows that ``helper`` finds in each text."""
+    types = {"string": pa.string(), "int": pa.int32()}
+
+    @F.arrow_udf(f"array<struct<{','.join(f'{c}:{t}' for c, t in fields.items())}>>")
+    def found(texts: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        for text in texts.to_pylist():
+            rows += helper(text) if text is not None else []
+            ends.append(len(rows))
+        columns = list(zip(*rows)) if rows else [()] * len(fields)
+        held = pa.StructArray.from_arrays([pa.array(c, types[t]) for c, t in zip(columns, fields.values())], list(fields))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+
+    return found
 
 
 def spans(text: Column) -> Column:
     """All definitions of a text by line: ``kind, name, start_line, end_line`` (from 1),
     ``level`` (0: in no other) and ``parent_line``, where the innermost around it begins."""
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("quoted"), F.lit(0).alias("last"), F.array().cast(f"array<{OPEN}>").alias("stack"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    ended = F.aggregate(F.transform(lines_of(text), _line), begin, _step)
-
-    def finished(s: Column) -> Column:
-        rest = F.transform(F.filter(s["stack"], lambda e: (e["body"] != WAITING) | (e["kind"] != "method")), lambda e: _span(e, F.when(e["body"] == WAITING, e["start"]).otherwise(s["last"])))
-        return F.array_sort(F.concat(s["out"], rest), lambda a, b: a["start_line"] - b["start_line"])
-
-    return let(ended, finished)
+    return _by_text(text_spans, SPAN)(text)
 
 
 def definitions(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
@@ -165,29 +241,79 @@ def structure_chunks(files: DataFrame, text_col: str = "text", keys: tuple = ("d
         whole = F.array(F.struct(F.lit("generic").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(1).alias("start_line"), F.size(lines).alias("end_line"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent_line"), text.alias("content")))
         return let(right, lambda r: F.when(F.size(r) > 0, r).otherwise(whole))
 
-    both = let(lines_of(text), lambda lines: let(spans(text), lambda found: chosen(lines, found)))
-    rows = files.where(text.isNotNull() & (F.trim(F.translate(text, "\n\t\r", "   ")) != ""))
+    both = let(lines_of(text), lambda lines: chosen(lines, F.col("_spans")))
+    rows = files.where(text.isNotNull() & (F.trim(F.translate(text, "\n\t\r", "   ")) != "")).withColumn("_spans", spans(text))
     return rows.select(*keys, F.posexplode(both).alias("chunk", "c")).select(*keys, "chunk", "c.*")
 
 
 #: Names before a bracket, and members of the object itself that are not called.
 CALLED, MEMBER = r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(", r"\b(?:this|self)\.([A-Za-z_$][\w$]*)\b(?!\s*\()"
+_CALLED, _MEMBER = map(_compiled, (CALLED, MEMBER))
+NO_CALLS = frozenset(NO_METHODS) - {"new"}
+
+
+def _uses(raw: str) -> list[tuple[str, str]]:
+    """What a line does, and the names that it does it to."""
+    code = _ASIDE.sub("", raw) if _SIGNS.search(raw) else raw
+    own = (_found(code) or (None, ""))[1] if "(" in code else ""
+    called = [name.rpartition(".")[2] for name in _CALLED.findall(code)] if "(" in code else []
+    return [("CALLS", n) for n in called if n not in NO_CALLS and n != own] + [("ACCESSES", n) for n in _MEMBER.findall(code)]
+
+
+_known_uses = functools.lru_cache(REMEMBERED)(_uses)
+
+
+def text_uses(text: str) -> list[tuple]:
+    """All uses of a text by line, with the columns of ``USE``."""
+    return [(i, *use) for i, raw in enumerate(text.split("\n"), 1) for use in (_known_uses(raw) if len(raw) <= SHORT_LINE else _uses(raw))]
 
 
 def uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     """``keys, line, does (CALLS, ACCESSES), name``: functions that lines call, by the last
     part of their name, and members that they touch; strings and line comments left out. A
     line that begins a definition does not call it."""
-    def of(x: Column, i: Column) -> Column:
-        def found(c: Column) -> Column:
-            own = F.coalesce(_found(c)["name"], F.lit(""))
-            called = F.filter(F.transform(F.regexp_extract_all(c, F.lit(CALLED), F.lit(1)), lambda n: F.substring_index(n, ".", -1)), lambda n: ~n.isin([w for w in NO_METHODS if w != "new"]) & (n != own))
-            row = lambda kind: lambda n: F.struct((i + 1).alias("line"), F.lit(kind).alias("does"), n.alias("name"))
-            return F.concat(F.transform(called, row("CALLS")), F.transform(F.regexp_extract_all(c, F.lit(MEMBER), F.lit(1)), row("ACCESSES")))
+    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_uses, USE)(F.col(text_col))).alias("u"))
+    return rows.select(*keys, "u.*")
+
+
+def text_owned_uses(text: str) -> list[tuple]:
+    """All uses of a text with the innermost definition around the line of each."""
+    found = text_uses(text)
+    around: list[tuple] = [(None,) * 4] * (text.count("\n") + 2)
+    # a definition that begins later lies within, or goes on behind, an earlier one
+    for kind, name, start, end, *_ in text_spans(text) if found else ():
+        around[start : end + 1] = [(start, end, name, kind)] * (end + 1 - start)
+    return [use + around[use[0]] for use in found]
+
+
+def text_ended_uses(text: str) -> list[tuple]:
+    """All uses of a text with the first two definitions that begin within ``NEAR`` lines."""
+    found = text_uses(text)
+    near = [(row[2], f"{row[0]}:{row[1]}") for row in text_spans(text)] if found else []
+    starts, out = [at for at, _ in near], []
+    for use in found:
+        i = bisect.bisect_left(starts, use[0] - NEAR) + 1
+        two = i < len(near) and starts[i] <= use[0] + NEAR
+        out.append((*use, near[i - 1][1] if two else None, near[i][1] if two else None))
+    return out
 
-        return let(F.regexp_replace(x, ASIDE, ""), found)
 
-    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(F.flatten(F.transform(lines_of(F.col(text_col)), of))).alias("u"))
+OWNED = USE | {"owner_line": "int", "owner_end": "int", "owner_name": "string", "owner_kind": "string"}
+ENDED = USE | {"from_id": "string", "to_id": "string"}
+
+
+def owned_uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
+    """``uses`` with ``owner_line, owner_end, owner_name, owner_kind`` of the innermost
+    definition around each (nulls outside of all), as ``spans.innermost`` would join it.
+    Both stand in one text, so nothing is shuffled."""
+    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_owned_uses, OWNED)(F.col(text_col))).alias("u"))
+    return rows.select(*keys, "u.*")
+
+
+def ended_uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
+    """``uses`` with ``from_id, to_id`` (``kind:name``): the first two definitions that
+    begin at most ``NEAR`` lines away, as ``spans.endpoints`` would join them."""
+    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_ended_uses, ENDED)(F.col(text_col))).alias("u"))
     return rows.select(*keys, "u.*")
 
 
@@ -196,10 +322,8 @@ def usage_edges(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id
     definition around a call to the functions and methods of that name (those of the file if
     it has any, else those of all files), and ACCESSES from it to members (``dst_line`` is
     where the class around it begins)."""
-    from .spans import innermost
-
     spans = definitions(files, text_col, keys)
-    owned = innermost(uses(files, text_col, keys), spans, keys).where("owner_line is not null")
+    owned = owned_uses(files, text_col, keys).where("owner_line is not null")
     source = [*keys, F.col("owner_line").alias("src_line"), F.col("owner_name").alias("src")]
     targets = spans.where("kind in ('function', 'method')").select(F.struct(*keys).alias("at"), F.col("start_line").alias("dst_line"), F.col("name").alias("dst"))
     calls = owned.where("does = 'CALLS'").select(*source, F.col("name").alias("dst"), F.struct(*keys).alias("own")).distinct()

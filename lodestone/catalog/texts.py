@@ -156,7 +156,7 @@ def file_stats(t):
 
 @query("SELECT page_id, " + ", ".join(f"regexp_matches(html, '{p}') AS {k}" for k, p in T.FEATURES.items()) + " FROM pages")
 def code_features(t):
-    return t("pages").select("page_id", *[F.col("html").rlike(p).alias(k) for k, p in T.FEATURES.items()])
+    return t("pages").select("page_id", *[F.col("html").rlike(T.portable(p)).alias(k) for k, p in T.FEATURES.items()])
 
 
 @query("""SELECT doc_id, CASE WHEN contains(text, chr(13)) AND NOT contains(text, chr(10)) THEN 'CR' WHEN contains(text, chr(10)) AND NOT contains(text, chr(13)) THEN 'LF' ELSE 'mixed' END AS ending FROM documents""")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
-#: Points that one task of a batch search holds, on average.
+#: Points of a shard of a search of blocks, on average.
 SHARD_POINTS = 4096
+#: Points and queries that meet in a tile of a batch search, on average, and the pairs of
+#: a tile whose scores are held at once.
+TILE_POINTS, TILE_QUERIES, HELD_PAIRS = 32_768, 8192, 1 << 22
 
 
 def _sum(values: Column) -> Column:
@@ -27,8 +34,9 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0."""
-    length = norm(a) * norm(b)
-    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
+    parts = lambda s: F.struct((norm(s["a"]) * norm(s["b"])).alias("length"), dot(s["a"], s["b"]).alias("dot"))
+    # what makes the vectors is worked out once, not wherever they are named
+    return let(let(F.struct(a.alias("a"), b.alias("b")), parts), lambda s: F.when(s["length"] == 0, F.lit(0.0)).otherwise(s["dot"] / s["length"]))
 
 
 def euclid(a: Column, b: Column) -> Column:
@@ -66,21 +74,81 @@ def search(points: DataFrame, query: list[float], k: int = 10, measure: str = "c
     return df.orderBy(order, id_col).limit(k)
 
 
+def _nearest(at: pd.DataFrame, of: pd.DataFrame, k: int, unit: bool, digits: int | None, cells: bool = False) -> pd.DataFrame:
+    """``query_id, vec_id, score`` of the k points with the largest inner products with each
+    query, ties to the smaller id. A product of matrices chooses, with a margin for its
+    rounding; what it chooses is added up in the order of the places, so equal vectors tie.
+    With ``cells`` a query (``cells``) meets the points of its cells (``cell``) alone."""
+    out = [pd.DataFrame({"query_id": of["query_id"][:0], "vec_id": at["vec_id"][:0], "score": np.zeros(0)})]
+    if len(at) and len(of):
+        v, q = (np.vstack(x.to_numpy()).astype(np.float64) for x in (at["v"], of["q"]))
+        added = lambda x: np.cumsum(x, axis=1)[:, -1]
+        if unit:
+            v, q = (x / np.where(n == 0, 1, n)[:, None] for x in (v, q) for n in [np.sqrt(added(x * x))])
+        ids, asked = at["vec_id"].to_numpy(), of["query_id"].to_numpy()
+        place = np.argsort(np.argsort(ids, kind="stable"))
+        margin = 1e-9 * np.sqrt((v * v).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1)) + (0 if digits is None else 10.0**-digits)
+        step = max(1, HELD_PAIRS // len(v))
+        if cells:
+            known, cell = np.unique(at["cell"].to_numpy(), return_inverse=True)
+        for a in range(0, len(q), step):
+            score = q[a : a + step] @ v.T
+            score[asked[a : a + step, None] == ids] = -np.inf
+            if cells:
+                score[~np.vstack([np.isin(known, c) for c in of["cells"].iloc[a : a + step]])[:, cell]] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if k < len(v) else np.full(len(score), -np.inf)
+            r, c = np.nonzero((score >= (least - margin[a : a + step])[:, None]) & (score > -np.inf))
+            exact = np.concatenate([added(v[c[i : i + 65536]] * q[a + r[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
+            exact = exact if digits is None else np.round(exact, digits)
+            order = np.lexsort((place[c], -exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query_id": asked[a + r[first]], "vec_id": ids[c[first]], "score": exact[first]}))
+    return pd.concat(out)
+
+
+def _finite(vector: str) -> Column:
+    """Whether a vector has numbers alone."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vector) > 0), F.lit(False))
+
+
+def _every(count: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+
+def _dealt(count: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+
+
 def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, measure: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of a stated set of queries (``query_id``,
-    ``query``). Points are dealt to shards once and only the queries are copied to each;
-    the rank limit holds in every task before the shuffle. With ``digits`` scores are
-    rounded before they are ranked, so that equal vectors tie."""
+    ``query``). Cosine and dot: tiles of points and queries meet as matrices, and k rows of
+    a query leave a tile; other measures and vectors with entries that are no numbers are
+    compared pair by pair. With ``digits`` scores are rounded before they are ranked, so
+    that equal vectors tie."""
     f, larger = MEASURES[measure]
-    spark = points.sparkSession
-    shards = max(spark.sparkContext.defaultParallelism, points.count() // SHARD_POINTS)
-    a, b = F.col(vector_col), F.col("query")
-    if measure == "cosine":  # lengths once a vector, not once a pair
-        f, a, b = dot, normalize(a), normalize(b)
-    dealt = points.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), F.col(id_col).alias("vec_id"), a.alias("v"))
-    asked = queries.select("query_id", b.alias("q")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    score = f(F.col("v"), F.col("q"))
-    scored = dealt.join(asked, "shard").where("vec_id <> query_id").select("query_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    at, asked = points.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")), queries.select("query_id", F.col("query").alias("q"))
+    n, m = at.count(), asked.count()
+
+    def by_pairs(at: DataFrame, asked: DataFrame) -> DataFrame:
+        shards = max(at.sparkSession.sparkContext.defaultParallelism, n // SHARD_POINTS)
+        if measure == "cosine":  # lengths once a vector, not once a pair
+            at, asked = at.withColumn("v", normalize(F.col("v"))), asked.withColumn("q", normalize(F.col("q")))
+        score = (dot if measure == "cosine" else f)(F.col("v"), F.col("q"))
+        met = at.withColumn("shard", _dealt(shards, "vec_id")).join(asked.withColumn("shard", _every(shards)), "shard")
+        return met.where("vec_id <> query_id").select("query_id", "vec_id", (score if digits is None else F.round(score, digits)).alias("score"))
+
+    if measure in ("cosine", "dot"):
+        spread = at.sparkSession.sparkContext.defaultParallelism
+        shards, blocks = max(min(spread, -(-n // 256)), -(-n // TILE_POINTS), 1), max(1, -(-m // TILE_QUERIES))
+        kinds = dict(at.dtypes) | dict(asked.dtypes)
+        left = at.where(_finite("v")).select("*", F.size("v").alias("size"), _dealt(shards, "vec_id").alias("shard"), _every(blocks).alias("block"))
+        right = asked.where(_finite("q")).select("*", F.size("q").alias("size"), _dealt(blocks, "query_id").alias("block"), _every(shards).alias("shard"))
+        tile = ["size", "shard", "block"]
+        scored = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(lambda a, b: _nearest(a, b, k, measure == "cosine", digits), f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
+        scored = scored.unionByName(by_pairs(at.where(~_finite("v")), asked)).unionByName(by_pairs(at.where(_finite("v")), asked.where(~_finite("q"))))
+    else:
+        scored = by_pairs(at, asked)
     order = F.col("score").desc() if larger else F.col("score").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -98,8 +166,7 @@ def block_search(points: DataFrame, queries: DataFrame, k: int, least: float, di
     vectors tie; k rows of a query leave a block. Vectors of length 0 are like nothing."""
     n, m = points.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_POINTS)), max(1, -(-m // BLOCK_QUERIES))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    own = lambda count, *keys: F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+    every, own = _every, _dealt
     dealt = points.select("field", "id", "tag", normalize(F.col("v")).alias("v"), own(shards, "id").alias("shard"), every(blocks).alias("block"))
     asked = queries.select("field", "query_id", "part", F.col("tag").alias("want"), normalize(F.col("v")).alias("q"), own(blocks, "query_id", "part").alias("block"), every(shards).alias("shard"))
     keys = ["field", "shard", "block"]
@@ -137,6 +204,34 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     return let(let(letters, counts), normalize)
 
 
+#: Slots of words that a worker remembers.
+REMEMBERED = 1 << 17
+
+
+@functools.lru_cache(REMEMBERED)
+def _slot(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:4], 16)
+
+
+def hashed_vectors(text: Column, size: int = 64) -> Column:
+    """``hashed_embedding`` of whole columns as an Arrow UDF: the same vectors, but words
+    are counted without an expression for each. It cannot stand within a lambda."""
+
+    @F.arrow_udf("array<double>")
+    def counted(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), size))
+        for row, t in zip(out, texts.to_pylist()):
+            slots = np.fromiter(map(_slot, (t or "").split()), np.int64)
+            row += np.bincount(slots % size, minlength=size)
+        length = np.sqrt((out * out).sum(axis=1))  # of whole numbers, so exact in any order
+        out /= np.where(length == 0, 1, length)[:, None]
+        ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+    return F.when(text.isNotNull(), counted(words))
+
+
 #: Embedders by name; ``register`` adds one.
 EMBEDDERS = {"hashed": hashed_embedding}
 
@@ -171,8 +266,13 @@ def approximate_search(points: DataFrame, queries: DataFrame, k: int = 10, id_co
 
         return f
 
-    dealt = at.withColumn("cell", F.explode(nearest_cells(1)("v")))
-    probes = asked.withColumn("cell", F.explode(nearest_cells(max(1, round(probed * max(1, len(chosen)))))("v"))).withColumnRenamed("v", "q")
-    scored = dealt.join(probes, "cell").where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("score"))
+    # a tile holds some of the cells, so a query goes to a tile once, however many it probes
+    n, m = at.count(), asked.count()
+    shards, blocks = max(1, min(len(chosen), max(at.sparkSession.sparkContext.defaultParallelism, -(-n // TILE_POINTS)))), max(1, -(-m // TILE_QUERIES))
+    dealt = at.withColumn("cell", nearest_cells(1)("v")[0]).withColumns({"shard": F.pmod("cell", F.lit(shards)), "block": _every(blocks)})
+    probes = asked.select("query_id", F.col("v").alias("q"), _dealt(blocks, "query_id").alias("block"), nearest_cells(max(1, round(probed * max(1, len(chosen)))))("v").alias("all"))
+    probes = probes.withColumn("shard", _every(shards)).withColumn("cells", F.filter("all", lambda c: F.pmod(c, F.lit(shards)) == F.col("shard"))).where(F.size("cells") > 0).drop("all")
+    kinds = dict(at.dtypes) | dict(asked.dtypes)
+    scored = dealt.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInPandas(lambda a, b: _nearest(a, b, k, False, None, cells=True), f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -145,3 +145,26 @@ def test_approximate_search_has_recall(spark):
     assert len(got) == 400 and hit >= 0.9 * 400
     exact = {(r["query_id"], r["vec_id"]): r["score"] for r in vector.batch_search(df, asked).collect()}
     assert all(abs(exact.get((r["query_id"], r["vec_id"]), r["score"]) - r["score"]) < 1e-9 for r in got)
+
+
+def test_batch_search_meets_in_tiles(spark):
+    """Equal vectors tie by id, odd ones are compared as before, and no pair is a row."""
+    import numpy as np
+
+    x = np.random.default_rng(5).standard_normal((300, 8)).tolist()
+    x[7], x[9], x[11] = x[100], x[100], [0.0] * 8
+    x += [None, [1.0] * 7 + [None], [float("nan")] * 8]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for measure in ("cosine", "dot"):
+        found = vector.batch_search(df, asked, 5, measure)
+        assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+        f = vector.MEASURES[measure][0]
+        want = {}
+        for r in df.crossJoin(asked).where("vec_id <> query_id").select("query_id", "vec_id", f(F.col("embedding"), F.col("query")).alias("s")).collect():
+            # nulls last, no numbers first
+            want.setdefault(r["query_id"], []).append((np.inf if r["s"] is None else -np.inf if np.isnan(r["s"]) else -round(r["s"], 12), r["vec_id"]))
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == {q: [i for _, i in sorted(rows)[:5]] for q, rows in want.items()}

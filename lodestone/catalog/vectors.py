@@ -96,7 +96,7 @@ def _embedded(key: str, table: str) -> str:
 FROM {_embedded('doc_id', 'documents')} d, {_embedded('item_id', 'benchmark')} q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 5""")
 def search_by_text(t):
-    embed = V.EMBEDDERS["hashed"]
+    embed = V.hashed_vectors
     of = lambda df, name, key: df.select(F.lit("text").alias("field"), key.alias(name), F.lit(None).cast("string").alias("tag"), F.lit(0).alias("part"), embed(F.coalesce("text", F.lit(""))).alias("v"))
     points, asked = of(t("documents"), "id", F.col("doc_id")), of(t("benchmark"), "query_id", -1 - F.col("item_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -113,5 +113,5 @@ SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 6) DESC, doc_id LIM
 def hybrid_search(t):
     """Vector and keyword scores of documents for one text, by weight."""
     embed, asked = V.EMBEDDERS["hashed"], F.lit(ASKED)
-    score = 0.7 * V.cosine(embed(F.col("text")), embed(asked)) + 0.3 * T.jaccard(T.keywords(F.col("text")), T.keywords(asked))
+    score = 0.7 * V.cosine(V.hashed_vectors(F.col("text")), embed(asked)) + 0.3 * T.jaccard(T.keywords(F.col("text")), T.keywords(asked))
     return t("documents").where("text is not null").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)

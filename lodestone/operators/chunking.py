@@ -12,7 +12,9 @@ own unless ``char_windows`` cuts it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -326,24 +328,49 @@ def structural_similarity(a: Callable[[str], Column], b: Callable[[str], Column]
     return F.least(F.lit(1.0), F.when(a("type") == b("type"), 0.3).otherwise(0.0) + 0.2 * share("complexity") + 0.2 * share("size") + near)
 
 
+def _alike(a: dict, b: dict) -> float:
+    """``structural_similarity`` of two chunks; -1 where a measure is missing."""
+    if any(x[c] is None for x in (a, b) for c in ("complexity", "size", "start_line", "end_line")):
+        return -1.0
+    share = lambda x: 1 - abs(a[x] - b[x]) / max(a[x], b[x]) if max(a[x], b[x]) > 0 else 0.0
+    apart = b["start_line"] - a["end_line"]
+    near = 0.3 * (1 - apart / 50) if 0 <= apart <= 50 else 0.0
+    return min(1.0, (0.3 if a["type"] is not None and a["type"] == b["type"] else 0.0) + 0.2 * share("complexity") + 0.2 * share("size") + near)
+
+
+def joined_chunks(chunks: list[dict], least: float) -> list[tuple[int, int]]:
+    """``chunk, into`` of a document's chunks, in their order. Lines count in steps of 64: a
+    chunk meets those that end in the step where it begins or in the one before."""
+    kept: dict[int, list[dict]] = {}
+    out = []
+    for b in sorted(chunks, key=lambda x: x["chunk"]):
+        near = kept.get((b["start_line"] or 0) // 64, ())
+        into = next((a["chunk"] for a in near if a["chunk"] < b["chunk"] and _alike(a, b) >= least - 1e-9), None)
+        if into is None:
+            step = (b["end_line"] or 0) // 64
+            for s in (step, step + 1):
+                kept.setdefault(s, []).append(b)
+        out.append((b["chunk"], b["chunk"] if into is None else into))
+    return out
+
+
 def structural_groups(rows: DataFrame, least: float = 0.8, keys: tuple = ("doc_id",)) -> DataFrame:
     """``keys, chunk, into``: every chunk joins the first chunk of its document that is not
-    merged itself and that it is alike enough. Alike ones stand within 33 lines, so pairs
-    are few however long a document is."""
-    from .similarity import greedy_rounds
-
-    key = [*keys, "chunk"]
-    a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    # lines in steps of 64: a pair lies in one step or in two that follow each other
-    step = lambda x: F.floor(F.col(x) / 64)
-    a = rows.withColumn("_s", F.explode(F.array(step("end_line"), step("end_line") + 1))).alias("a")
-    b = rows.withColumn("_s", step("start_line")).alias("b")
-    near = a.join(b, [*same, F.col("a._s") == F.col("b._s"), F.col("a.chunk") < F.col("b.chunk")])
-    score = structural_similarity(lambda x: F.col(f"a.{x}"), lambda x: F.col(f"b.{x}"))
-    pairs = near.where(score >= least - 1e-9).select(F.struct(*[F.col(f"a.{k}") for k in key]).alias("u"), F.struct(*[F.col(f"b.{k}") for k in key]).alias("v"))
-    done = greedy_rounds(rows.select(F.struct(*key).alias("id")), pairs)
-    return done.select("id.*", F.col("group")["chunk"].alias("into"))
+    merged itself and that it is alike enough. Alike ones stand within 33 lines, so a chunk
+    meets few however long a document is, and the measures of a document's chunks (not
+    their texts) are decided in one pass, without rounds. Chunks of no document (a null
+    key) join nothing."""
+    item = F.struct("chunk", "start_line", "end_line", "type", F.col("complexity").cast("double").alias("complexity"), F.col("size").cast("long").alias("size"))
+
+    @F.arrow_udf("array<struct<chunk:int,into:int>>")
+    def decided(docs: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("chunk", pa.int32()), ("into", pa.int32())]))
+        return pa.array([[{"chunk": c, "into": i} for c, i in joined_chunks(d, least)] for d in docs.to_pylist()], kind)
+
+    own = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    held = rows.where(own).groupBy(*keys).agg(F.collect_list(item).alias("_c"))
+    found = held.select(*keys, F.explode(decided("_c")).alias("c")).select(*keys, "c.*")
+    return found.unionByName(rows.where(~own).select(*keys, "chunk", F.col("chunk").alias("into")))
 
 
 #: Types that may join a generic chunk.

@@ -64,3 +64,16 @@ def test_suggestions(spark):
     row = spark.createDataFrame([("conf",)], "q string").select(S.file_suggestions(F.col("q")).alias("f"), S.topic_suggestions(F.lit("a Class of FILE")).alias("t")).first()
     assert row["f"] == ["*.c", "*.conf", "*.config", "config", "config/"]
     assert row["t"] == ["class inheritance", "class methods", "class properties", "file path", "file content"]
+
+
+def test_structural_groups_run_no_rounds(spark):
+    """Rounds of joins held the driver's memory for as long as chains of neighbours are."""
+    rows = [(d, i, 4 * i + 1, 4 * i + 4, "x" * (20 + i % 3), "function", float(i % 2), 20 + i % 3) for d in (1, None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, chunk int, start_line int, end_line int, content string, type string, complexity double, size int")
+    spark.sparkContext.setJobGroup("structural", "")
+    found = K.structural_groups(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("structural")
+    got = found.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 1200 and {r["into"] == r["chunk"] for r in got if r["doc_id"] is None} == {True}
+    assert any(r["into"] != r["chunk"] for r in got)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,46 @@ def keep(df: DataFrame, name: str = "table", path: str | None = None, by: str |
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns to the system what a worker has freed. Workers serve one task after another,
+    and the allocators of C and Arrow keep the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of glibc
+        libc.malloc_trim(0)
+
+
+#: Seconds between two times that a running task gives memory back.
+GIVE_BACK_S = 1.0
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of ``mapInArrow``, giving memory back as it goes and at its end."""
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for p in run(batches):
+            yield p
+            del p
+            if time.monotonic() - last > GIVE_BACK_S:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return leanly
+
+
+def lean_group(f: Callable) -> Callable:
+    """``f`` of ``applyInPandas`` for one group, giving memory back behind it."""
+
+    def leanly(pdf):  # noqa: ANN001, ANN202
+        try:
+            return f(pdf)
+        finally:
+            give_back()
+
+    return leanly
+
+
 #: Bytes of text that a worker takes at once; a longer text goes alone.
 BATCH_BYTES = 1 << 22
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import batched, drop_path, keep, new_path
+from .common import batched, drop_path, keep, lean, lean_group, new_path
 from .shingles import WORDS, order_of, shingle_sets
 
 #: Links have at least this many hundredths of their union in common.
@@ -147,7 +147,7 @@ def _dealt(plain: DataFrame, words: int, buckets: int, eighths: int, chosen: Cho
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=[x.split()[0] for x in DEALT.split(", ")])
 
-    return plain.mapInArrow(deal, DEALT)
+    return plain.mapInArrow(lean(deal), DEALT)
 
 
 def class_rows(dealt: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def alone_counts(dealt: DataFrame) -> DataFrame:
         some = np.flatnonzero((sent > 0) & (count > 0))
         return pd.DataFrame({"doc_id": ids[some], "n": count[some].astype(np.int64), "alone": alone[some]})
 
-    answers = dealt.where("bucket >= 0").select("batch", "bucket", "hi", "docs").groupBy("bucket").applyInPandas(meet, "batch long, docs binary, times binary")
+    answers = dealt.where("bucket >= 0").select("batch", "bucket", "hi", "docs").groupBy("bucket").applyInPandas(lean_group(meet), "batch long, docs binary, times binary")
     of = dealt.where("bucket = -1").select("batch", "hi", "times", "docs")
     return of.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(add, "doc_id long, n long, alone long")
 
@@ -248,7 +248,7 @@ def repeated_sets(dealt: DataFrame, percent: int) -> DataFrame:
                     out.append((int(ids[d]), n, rare, own[: most - rare], own))
         return pd.DataFrame(out, columns=["doc_id", "n", "rare", "prefix", "tokens"])
 
-    answers = dealt.where("bucket >= 0").select("batch", "bucket", "hi", "lo", "times").groupBy("bucket").applyInPandas(meet, "batch long, bucket int, tokens binary, df binary")
+    answers = dealt.where("bucket >= 0").select("batch", "bucket", "hi", "lo", "times").groupBy("bucket").applyInPandas(lean_group(meet), "batch long, bucket int, tokens binary, df binary")
     of = dealt.withColumn("hi", F.when(F.col("bucket") < 0, F.col("hi"))).select("batch", "bucket", "hi", "times", "docs")
     return of.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, "doc_id long, n long, rare long, prefix array<long>, tokens array<long>")
 

@@ -117,31 +117,35 @@ def suffix_ranks(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
     codes = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
     n = len(codes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    # 32 bits hold any place: a column of bytes is shorter than 2^31
+    left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)
+    left -= np.arange(n, dtype=np.int32)
     have = min(8, depth)
     key = np.zeros(n, np.uint64)
     for j in range(have):
         key[: n - j] |= codes[j:].astype(np.uint64) << np.uint64(8 * (7 - j))
-    rank = np.full(n, -1, np.int64)
-    tied = np.flatnonzero(left >= have)
-    base = np.zeros(len(tied), np.int64)
+    rank = np.full(n, -1, np.int32)
+    tied = np.flatnonzero(left >= have).astype(np.int32)
+    base = np.zeros(len(tied), np.int32)
     value = key[tied]
+    del key
     while True:
         order = np.argsort(value, kind="stable")
         tied, base, value = tied[order], base[order], value[order]
-        place = np.arange(len(tied))
+        del order
+        place = np.arange(len(tied), dtype=np.int32)
         fresh = np.ones(len(tied), bool)
         fresh[1:] = base[1:] != base[:-1]
-        group = np.maximum.accumulate(np.where(fresh, place, 0))
+        group = np.maximum.accumulate(np.where(fresh, place, np.int32(0)))
         fresh[1:] |= value[1:] != value[:-1]
-        rank[tied] = base + np.maximum.accumulate(np.where(fresh, place, 0)) - group
+        rank[tied] = base + np.maximum.accumulate(np.where(fresh, place, np.int32(0))) - group
         tied = tied[~(fresh & np.append(fresh[1:], True))]
         if have == depth:
             break
         step = min(have, depth - have)
         tied = tied[left[tied] >= have + step]
         base = rank[tied]
-        value = (base << 32) | rank[tied + step]
+        value = (base.astype(np.int64) << 32) | rank[tied + step]
         have += step
     rank[left < depth] = -1
     shared = np.zeros(n, bool)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched
+from .common import batched, lean
 from .linear import Logistic, logit, sigmoid
 from .shingles import word_hashes
 
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("y"), pa.array(content.tobytes()[i * CONTENT_WIDTH * 4 : (i + 1) * CONTENT_WIDTH * 4] for i in range(len(content))), pa.array(meta.tobytes()[i * META_WIDTH * 4 : (i + 1) * META_WIDTH * 4] for i in range(len(meta)))], names=["doc_id", "y", "content", "meta"])
 
     rows = docs.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    got = rows.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars", "y").mapInArrow(features, "doc_id long, y int, content binary, meta binary").toPandas()
+    got = rows.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars", "y").mapInArrow(lean(features), "doc_id long, y int, content binary, meta binary").toPandas()
     got["order"] = [zlib.crc32(str(i).encode()) for i in got["doc_id"]]
     got = got.sort_values(["order", "doc_id"])
     matrix = lambda col, width: np.frombuffer(b"".join(col), np.float32).reshape(-1, width)
@@ -229,7 +229,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             a, m, s = model.score(*view_features(p.column("text"), *[p.column(c).to_pylist() for c in ("lang", "source", "n_chars")]))
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(a), pa.array(m), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "content_score", "metadata_score", "score", "predicted"])
 
-    return plain.mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double, predicted int")
+    return plain.mapInArrow(lean(run), "doc_id long, content_score double, metadata_score double, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
             s = model.score(*view_features(p.column(text), *[p.column(names.index(c)).to_pylist() for c in ("lang", "source", "n_chars")]))[2]
             yield p.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

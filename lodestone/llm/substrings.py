@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, keep
+from .common import batched, keep, lean, lean_group
 from .parsing import TRIGGER, parse, suffix_ranks
 
 WINDOW = 200
@@ -73,7 +73,7 @@ def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
                 sizes = pa.compute.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([q.column(0), q.column(1), sizes, pa.array([squeeze(t.as_py()) for t in texts], pa.binary())], names=["key", "row", "size", "z"])
 
-    return plain.mapInArrow(run, f"key long, row {dict(plain.dtypes)['row']}, size long, z binary")
+    return plain.mapInArrow(lean(run), f"key long, row {dict(plain.dtypes)['row']}, size long, z binary")
 
 
 def _rows(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -126,7 +126,7 @@ def dictionary_parts(texts: DataFrame, window: int, trigger_bytes: int, buckets:
             if out:
                 yield _rows(list(zip(*out)), [pa.int64()] + [pa.binary()] * 8, [c.split()[0] for c in PARTS.split(", ")])
 
-    return texts.mapInArrow(deal, PARTS)
+    return texts.mapInArrow(lean(deal), PARTS)
 
 
 JUDGED = "key long, begin long, starts long, offset int, kind int, trigger long, hot boolean"
@@ -236,18 +236,18 @@ def repeated_windows(packed: DataFrame, mixed: DataFrame, window: int, trigger_b
                 continue
             some = pdf.iloc[at:b]
             _, shared = suffix_ranks(some["part"].tolist(), window)
-            row = np.repeat(np.arange(b - at), sizes[at:b])
-            place = np.arange(len(row)) - (total[at:b] - sizes[at:b] - (total[at - 1] if at else 0))[row]
-            found = np.flatnonzero(shared & some["need"].to_numpy(bool)[row])
-            r, w = row[found], place[found]
+            found = np.flatnonzero(shared & np.repeat(some["need"].to_numpy(bool), sizes[at:b]))
+            ends = total[at:b] - (total[at - 1] if at else 0)
+            r = np.searchsorted(ends, found, side="right")
+            w = found - (ends - sizes[at:b])[r]
             # consecutive windows of a phrase go as one span
             cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])) if len(found) else np.zeros(0, np.int64)
             out.append(pd.DataFrame({"key": some["key"].to_numpy()[r[cut]], "begin": some["begin"].to_numpy()[r[cut]] + w[cut], "starts": np.diff(np.append(cut, len(found)))}))
             at = b
         return pd.concat(out)
 
-    dealt = both.mapInArrow(deal, "bucket long, class long, key long, begin long, starts long, need boolean, part binary")
-    return dealt.groupBy("bucket").applyInPandas(rank, "key long, begin long, starts long")
+    dealt = both.mapInArrow(lean(deal), "bucket long, class long, key long, begin long, starts long, need boolean, part binary")
+    return dealt.groupBy("bucket").applyInPandas(lean_group(rank), "key long, begin long, starts long")
 
 
 def removed_runs(begin: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -263,7 +263,7 @@ def _cut_texts(docs: DataFrame, text_col: str, window: int, trigger: int, with_t
     """``row`` (a row's other columns), the four figures and, ``with_text``, ``kept``."""
     packed = keep(_numbered(docs, text_col), "parse-texts")
     buckets = max(16, (packed.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)
-    judged = keep(dictionary_parts(packed.select("key", "z"), window, trigger, buckets).groupBy("bucket").applyInPandas(lambda pdf: judge_phrases(pdf, hot_class), JUDGED), "parse-judged")
+    judged = keep(dictionary_parts(packed.select("key", "z"), window, trigger, buckets).groupBy("bucket").applyInPandas(lean_group(lambda pdf: judge_phrases(pdf, hot_class)), JUDGED), "parse-judged")
     found = judged.where("kind = 2").select("key", "begin", "starts").unionByName(repeated_windows(packed, judged.where("kind < 2"), window, trigger, buckets))
     # a text has no more spans than bytes, so what one row collects is bounded by its text
     spans = found.groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("starts").alias("starts"))
@@ -289,7 +289,7 @@ def _cut_texts(docs: DataFrame, text_col: str, window: int, trigger: int, with_t
                 arrays = [q.column(0)] + [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
-    return packed.join(spans, "key", "left").select("row", "z", "begins", "starts").mapInArrow(cut, shape)
+    return packed.join(spans, "key", "left").select("row", "z", "begins", "starts").mapInArrow(lean(cut), shape)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, trigger: int = TRIGGER, with_text: bool = False, hot_class: int = HOT_CLASS) -> DataFrame:

@@ -442,3 +442,67 @@ def test_held_out_accuracy(spark):
     known = labels.where(~toxicity.held_out(labels["doc_id"]))
     rows = [(truth[r["doc_id"]][0], r["predicted"]) for r in quality.score_quality(docs, known).collect() if r["doc_id"] in truth and held(r["doc_id"])]
     assert sum(y == p for y, p in rows) >= 0.99 * len(rows)
+
+
+def test_workers_give_memory_back():
+    """What one batch or one group took at most is not what the worker keeps."""
+    import os
+
+    import pandas as pd
+
+    from lodestone.llm.common import lean, lean_group
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous")) / 1024
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+
+    def litter():
+        # many small pieces below one that stays: the heap can't shrink from its end
+        held = [bytes(1000) for _ in range(150_000)]
+        pin = bytearray(1000)
+        return held, pin
+
+    def run(batches):
+        for p in batches:
+            held, pin = litter()
+            pins.append(pin)
+            del held
+            yield p
+
+    def group(pdf):
+        held, pin = litter()
+        pins.append(pin)
+        return pdf
+
+    pins: list = []
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    before = anonymous()
+    for _ in range(3):
+        list(lean(run)(iter([1])))
+        assert len(lean_group(group)(pd.DataFrame({"a": [1]}))) == 1
+    assert anonymous() < before + 60
+
+
+def test_suffix_order_takes_little_memory():
+    """The order of 2 MB of strings stays under 64 bytes a byte, with the same ties."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestone.llm.parsing import suffix_ranks
+
+    r = np.random.default_rng(1)
+    texts = [r.integers(97, 123, 20_000, np.uint8).tobytes() for _ in range(25)]
+    texts += texts[:5]
+    tracemalloc.start()
+    rank, shared = suffix_ranks(texts, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * sum(map(len, texts)), peak / sum(map(len, texts))
+    own = np.repeat(np.arange(30), 20_000)
+    place = np.tile(np.arange(20_000), 30)
+    assert (shared == (((own < 5) | (own >= 25)) & (place <= 20_000 - 200))).all()
+    assert (rank[place > 20_000 - 200] == -1).all()

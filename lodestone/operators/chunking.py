@@ -75,10 +75,23 @@ def line_ends(text: Column, most_lines: int = 50, most_chars: int = 3000) -> Col
     return _fold(lines_of(text), good, {"n": zero, "chars": zero, "after": F.lit(-1), "tail": zero}, step)
 
 
+BRACKETS, TAGS = (r"[{(\[]", r"[})\]]"), (r"<[A-Za-z][^<>/]*>|<[A-Za-z][^<>]*[^/<>]>", r"</[A-Za-z][^<>]*>")
+SIGNS = dict(zip(BRACKETS, ("{([", "})]")))
+
+
+def _times(line: Column, pattern: str) -> Column:
+    """How often a pattern stands in a line; most lines have no tag, and single signs need
+    no pattern."""
+    if pattern in SIGNS:
+        return F.length(line) - F.length(F.translate(line, SIGNS[pattern], ""))
+    count = F.regexp_count(line, F.lit(pattern))
+    return F.when(F.contains(line, F.lit("<")), count).otherwise(0) if pattern in TAGS else count
+
+
 def balanced_ends(text: Column, pairs: list[tuple[str, str]], least_lines: int, least_chars: int, most_chars: int = 3000, most_lines: int = 50, imbalance: int = 3) -> Column:
     """A chunk ends where all kinds of brackets are balanced, once it is large enough, and
     anyway where it is full or too far out of balance; depths start anew behind it."""
-    marks = lambda x: {f"d{k}": F.regexp_count(x, F.lit(a)) - F.regexp_count(x, F.lit(b)) for k, (a, b) in enumerate(pairs)}
+    marks = lambda x: {f"d{k}": _times(x, a) - _times(x, b) for k, (a, b) in enumerate(pairs)}
     names = [f"d{k}" for k in range(len(pairs))]
 
     def step(s: Column, x: Column, last: Column):  # noqa: ANN202
@@ -95,9 +108,6 @@ def balanced_ends(text: Column, pairs: list[tuple[str, str]], least_lines: int,
     return _fold(lines_of(text), marks, {"n": zero, "chars": zero} | dict.fromkeys(names, zero), step)
 
 
-BRACKETS, TAGS = (r"[{(\[]", r"[})\]]"), (r"<[A-Za-z][^<>/]*>|<[A-Za-z][^<>]*[^/<>]>", r"</[A-Za-z][^<>]*>")
-
-
 def bracket_ends(text: Column) -> Column:
     return balanced_ends(text, [BRACKETS, TAGS], 5, 200)
 

@@ -92,3 +92,37 @@ def test_neighbours(spark):
     wide = [(1, 0, 1, 3, cut(1, 3) + " " * 200), (1, 1, 7, 7, cut(7, 7)), (1, 2, 10, 11, cut(10, 11) + " " * 200)]
     got = {r["chunk"]: (r["strategy"], r["overlap"]) for r in O.overlaps(spark.createDataFrame(wide, "doc_id int, chunk int, start_line int, end_line int, content string"), files).collect()}
     assert got[0] == ("node-aware", cut(4, 6)) and got[1] == ("node-aware", "const b = 3;")
+
+
+def test_only_ends_of_functions_are_good_places(spark):
+    """Lines without neighbours: other factors never come to more than a good place needs."""
+    assert all(sum(w[i] * B.SHARES[i] for i in (0, 4, 6)) < O.GOOD for w in [*B.WEIGHTS.values(), B.COMMON])
+    lines = [*LINES, "};", "}\t", "end", "endif", "export x", "=> { a }", "# c", "} // e", "import a"]
+    df = spark.createDataFrame([(x, k) for x in lines for k in (*B.WEIGHTS, "none", None)], "x string, k string")
+    none = F.lit(None).cast("string")
+    got = df.select("x", O.good_place(F.col("x"), F.col("k")).alias("good"), (B.boundary_score(F.col("x"), none, none, F.col("k")) > O.GOOD).alias("want")).collect()
+    assert all(r["good"] == r["want"] for r in got) and len({r["good"] for r in got}) == 2
+
+
+def test_files_meet_their_chunks_once(spark):
+    """Chunks, owners and marks come from one row a file, so no more than chunks and files
+    are dealt out and lines meet no definitions by joins; repeated chunks count apart."""
+    import contextlib
+    import io
+
+    from lodestone.catalog import queries
+
+    text = "class A {\n  m() {\n    a();\n  }\n\n  n() {\n    b();\n  }\n}"
+    files = spark.createDataFrame([(1, text, "typescript"), (2, None, None)], "doc_id int, text string, language string")
+    lines = text.split("\n")
+    rows = [(1, i, a, b, "\n".join(lines[a - 1 : b])) for i, (a, b) in enumerate([(1, 4), (6, 8), (9, 9)])]
+    held = O.near_chunks(text, [1, 6, 9], [4, 8, 9])
+    assert [(x["owner_end"], x["marks"], x["gap"]) for x in held] == [(4, [1, 2, 4, 6], None), (8, [6, 8, 9], None), (9, [9], None)]
+    assert O.near_chunks(None, [1, 2], [1, 2])[0] == {"owner_end": None, "marks": [], "gap": None}
+    assert O.near_chunks("a\nfunction f() {\n}\nb", [1, 4], [1, 4])[0]["gap"] == ["function f() {", "}"]
+    found = O.overlaps(spark.createDataFrame([*rows, rows[1]], "doc_id int, chunk int, start_line int, end_line int, content string"), files)
+    assert found.count() == 3
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        found.explain()
+    assert shown.getvalue().count("Join") == 1 and "chunk_overlaps" in queries()

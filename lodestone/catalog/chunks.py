@@ -67,7 +67,7 @@ def processed_chunks(t):
 @query()
 def merged_chunks(t):
     rows = K.chunks(t("documents"), K.line_ends(F.col("text"), 10, 400))
-    return summary(K.merge_neighbours(rows, T.keyword_similarity), "doc_id")
+    return summary(K.merge_neighbours(rows, words=T.keywords), "doc_id")
 
 
 @query("""WITH s AS (SELECT page_id, 'script' AS kind, regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>') AS b FROM pages UNION ALL SELECT page_id, 'style', regexp_extract_all(html, '(?is)<style\\b[^>]*>.*?</style\\s*>') FROM pages),

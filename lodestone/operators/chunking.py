@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, scan
+from ..functions.text import jaccard, let, scan
 
 # fixed values: limits of the strategies (lines, characters, least characters, depth)
 LIMITS = {"line": (50, 3000, 0, 0), "bracket": (50, 3000, 200, 3), "xml": (50, 3000, 200, 10), "markdown": (100, 3000, 0, 0)}
@@ -279,22 +279,35 @@ def with_overlap(rows: DataFrame, lines: int = 3, keys: tuple = ("doc_id",)) ->
     return rows.withColumn("overlap", F.array_join(F.slice(before, F.greatest(F.size(before) - lines + 1, F.lit(1)), F.lit(lines)), "\n"))
 
 
-def merge_neighbours(rows: DataFrame, score: Callable[[Column, Column], Column], least: float = 0.75, most_chars: int = 3000, most_gap: int = 50, keys: tuple = ("doc_id",)) -> DataFrame:
+def merge_neighbours(rows: DataFrame, score: Callable[[Column, Column], Column] | None = None, least: float = 0.75, most_chars: int = 3000, most_gap: int = 50, keys: tuple = ("doc_id",), words: Callable[[Column], Column] | None = None) -> DataFrame:
     """Chunks whose texts are alike enough join the one before them while both fit into
     ``most_chars`` and stand at most ``most_gap`` lines apart. A document's chunks come
-    together, which its text bounds."""
+    together, which its text bounds.
+
+    With ``words`` (sets of strings, of which two texts apart by line ends have the union)
+    texts are as alike as their sets by the Jaccard measure, equal ones wholly; a set is made
+    once a chunk, however many neighbours meet it."""
     item = F.struct("chunk", "start_line", "end_line", "content")
     held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_c"))
-    kind = "array<struct<chunk:int,start_line:int,end_line:int,content:string>>"
+    plain = "struct<chunk:int,start_line:int,end_line:int,content:string>"
+    kind = plain[:-1] + ",words:array<string>>"
+    fields = lambda x: [x[c].alias(c) for c in ("chunk", "start_line", "end_line", "content")]
+    known = lambda x: F.struct(*fields(x), (words(x["content"]) if words else F.array().cast("array<string>")).alias("words")).cast(kind)
+    alike = (lambda a, b: F.when(a["content"] == b["content"], 1.0).otherwise(jaccard(a["words"], b["words"]))) if words else (lambda a, b: score(a["content"], b["content"]))
+    state = lambda done, top: F.struct(done.cast(f"array<{plain}>").alias("done"), top.cast(kind).alias("top"))
+    ended = lambda s: F.concat(s["done"], F.array(F.struct(*fields(s["top"])).cast(plain)))
 
-    def step(out: Column, x: Column) -> Column:
-        top = F.element_at(out, -1)
+    def step(s: Column, x: Column) -> Column:
+        top = s["top"]
         near = (x["start_line"] - top["end_line"] <= most_gap) & (F.length(top["content"]) + F.length(x["content"]) <= most_chars)
-        both = F.struct(top["chunk"].alias("chunk"), top["start_line"].alias("start_line"), F.greatest(top["end_line"], x["end_line"]).alias("end_line"), F.concat(top["content"], F.lit("\n\n"), x["content"]).alias("content"))
-        return F.when(near & (score(top["content"], x["content"]) >= least), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both)).cast(kind)).otherwise(F.concat(out, F.array(x)).cast(kind))
+        both = F.struct(top["chunk"].alias("chunk"), top["start_line"].alias("start_line"), F.greatest(top["end_line"], x["end_line"]).alias("end_line"), F.concat(top["content"], F.lit("\n\n"), x["content"]).alias("content"), F.array_union(top["words"], x["words"]).alias("words"))
+        return F.when(near & (alike(top, x) >= least), state(s["done"], both)).otherwise(state(ended(s), x))
+
+    def joined(chunks: Column) -> Column:
+        rest = F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))
+        return F.aggregate(rest, state(F.array(), F.element_at(chunks, 1)), step, ended)
 
-    first, rest = F.slice("_c", 1, 1).cast(kind), F.slice("_c", F.lit(2), F.greatest(F.size("_c") - 1, F.lit(0)))
-    return held.select(*keys, F.explode(F.aggregate(rest.cast(kind), first, step)).alias("c")).select(*keys, "c.*")
+    return held.select(*keys, F.explode(let(F.transform("_c", known), joined)).alias("c")).select(*keys, "c.*")
 
 
 def pair_small(rows: DataFrame, least: int = 100, keys: tuple = ("doc_id",)) -> DataFrame:

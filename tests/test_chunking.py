@@ -109,3 +109,19 @@ def test_embedded_code(spark):
     html = "<p>a</p><script type=\"text/typescript\">let s = '</p>';</script><style>b{}</style><script>x</script>"
     got = K.embedded(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
     assert sorted((r["kind"], r["block"], r["language"], r["code"]) for r in got) == [("script", 0, "typescript", "let s = '</p>';"), ("script", 1, "javascript", "x"), ("style", 0, "css", "b{}")]
+
+
+def test_sets_of_words_are_made_once_a_chunk(spark):
+    """Joining by sets gives what joining by the score of texts gives, and the plan makes
+    the words of a chunk in one place."""
+    r = random.Random(6)
+    some = ["alpha", "beta", "gamma", "delta", "12", "the", "omega-x", "Alpha"]
+    rows = [(d, k, 3 * k + 1 + 60 * (r.random() < 0.1), 3 * k + 3, "\n".join(" ".join(r.choice(some) for _ in range(r.randint(0, 6))) for _ in range(3))) for d in range(30) for k in range(r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "doc_id int, chunk int, start_line int, end_line int, content string")
+    for least in (0.75, 0.4):
+        want = sorted(map(tuple, K.merge_neighbours(df, T.keyword_similarity, least).collect()))
+        found = K.merge_neighbours(df, least=least, words=T.keywords)
+        assert sorted(map(tuple, found.collect())) == want and found.columns == df.columns
+        assert 30 < len(want) < len(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(") == 1, plan

@@ -33,10 +33,19 @@ CAPACITY = 4096
 MIN_PIECE = 64
 END_ID = 2
 #: Distinct words that a worker remembers with their ids.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+#: Texts whose words are looked up together.
+BATCH_TEXTS = 4096
+#: New words of letters that the tokenizer gets as one text.
+JOINED_WORDS = 100
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 #: After a letter or digit: where a new word of the tokenizer begins in any case.
-PUNCTUATION = re.compile(r"(?<=[^\W_])[.,;:!?|%$&#*]+")
+PUNCTUATION = b".,;:!?|%$&#*"
+# by Latin-1 letter: lower case with plain white space as a space, letters and digits, punctuation
+_LATIN = bytes(range(256)).decode("latin-1")
+_LOWER = re.sub(r"[\n\t\r]", " ", _LATIN.lower()).encode("latin-1")
+_WORDLY = np.array([c.isalnum() for c in _LATIN])
+_MARK = np.isin(np.arange(256), list(PUNCTUATION))
 
 
 class WordTokenizer:
@@ -44,73 +53,117 @@ class WordTokenizer:
 
     Words repeat, so each distinct one is encoded once and its ids are remembered in one
     flat array. A run of plain punctuation after a letter or digit is a word of its own to
-    this tokenizer, so it is looked up apart; Latin-1 texts are looked up in lower case.
+    this tokenizer, so it is looked up apart; Latin-1 texts are looked up in lower case, as
+    bytes with the space behind them, and only once for all texts of a call.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: by id: whether a word ends there
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {"": 0}
+        self.known: dict = {"": 0, b" ": 0}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
         self.used, self.n = 0, 1
 
-    def _put(self, word: str | tuple, ids: list[int]) -> None:
-        if self.n == len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * self.n), np.resize(self.size, 2 * self.n)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[self.n], self.size[self.n] = self.used, len(ids)
-        self.known[word] = self.n
-        self.used, self.n = self.used + len(ids), self.n + 1
-
-    def _learn(self, words: set[str]) -> None:
-        fresh = sorted(words)
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self._put(x, e.ids)
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words that the tokenizer never joins. Only these four white-space characters
-        are taken out here; the tokenizer itself judges rarer ones."""
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")  # lower case and composition of these letters commute
-                text = PUNCTUATION.sub(r" \g<0>", text.lower())
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _put(self, words: list, ids: np.ndarray, size: np.ndarray) -> None:
+        """Remembers new words; ``ids`` of one after another, ``size`` of each."""
+        n, used = self.n + len(words), self.used + len(ids)
+        if n > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * used)
+        self.flat[self.used : used] = ids
+        self.begin[self.n : n], self.size[self.n : n] = self.used + np.cumsum(size) - size, size
+        self.known.update(zip(words, range(self.n, n)))
+        self.used, self.n = used, n
+
+    def _learn(self, words: list) -> None:
+        texts = [w[:-1].decode("latin-1") if isinstance(w, bytes) else w for w in words]
+        # one word of letters is one word of the tokenizer, whose last id tells its end
+        plain, single = [], []
+        for i, w in enumerate(words):
+            (plain if isinstance(w, bytes) and texts[i].isalpha() else single).append(i)
+        for k in range(0, len(plain), 64 * JOINED_WORDS):
+            parts = [plain[j : j + JOINED_WORDS] for j in range(k, min(k + 64 * JOINED_WORDS, len(plain)), JOINED_WORDS)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part]) for part in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    self._put([words[i] for i in part], ids, np.diff(ends, prepend=0))
+                else:
+                    single += part
+        for k in range(0, len(single), 4096):
+            part = single[k : k + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+            self._put([words[i] for i in part], np.array([x for own in ids for x in own], np.uint32), np.array([len(own) for own in ids], np.int64))
+
+    def _numbers(self, words: list) -> np.ndarray:
+        """Places of the words among the remembered ones."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(missed := np.flatnonzero(at < 0)):
+            new = [words[i] for i in missed.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[missed] = [self.known[w] for w in new]
+        return at
+
+    def _latin(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of all texts, each closed by ``end``, and their counts."""
+        # no line end is left in a text, so as a word it can stand for the text's end
+        raw = np.frombuffer(b"".join([x for t in texts for x in (t.translate(_LOWER), b" \n ")]), np.uint8)
+        raw = np.insert(raw, np.flatnonzero(_MARK[raw[1:]] & _WORDLY[raw[:-1]]) + 1, 32)
+        offsets = np.append(0, np.flatnonzero(raw == 32) + 1)
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        which, closing = words.indices.to_numpy(), distinct.index(b"\n ")
+        distinct[closing] = b" "
+        at = self._numbers(distinct)
+        at[closing] = end
+        return at[which], np.diff(np.flatnonzero(which == closing), prepend=-1)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, each closed by ``end_id``; tokens of each text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.n > CACHE_WORDS:
             self.clear()
         end = (end_id,)  # no text, so no word of a text is taken for it
         if end not in self.known:
-            self._put(end, [end_id])
-        words: list = []
-        counts = []
-        for t in texts:
-            w = self._split(t or "")
-            words += w
-            words.append(end)
-            counts.append(len(w) + 1)
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(missed := np.flatnonzero(at < 0)):
-            new = [words[i] for i in missed.tolist()]
-            self._learn(set(new))
-            at[missed] = [self.known[w] for w in new]
+            self._put([end], np.array([end_id], np.uint32), np.ones(1, np.int64))
+        latin: list[bytes] = []
+        latin_at, other_at, words, counts = [], [], [], []
+        for i, t in enumerate(texts):
+            t = t or ""
+            try:
+                if "<|" in t:
+                    raise ValueError
+                latin.append(t.encode("latin-1"))  # lower case and composition of these letters commute
+                latin_at.append(i)
+            except ValueError:  # of other letters too
+                # only these white-space characters are taken out here; the tokenizer itself judges rarer ones
+                own = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                words += own
+                words.append(end)
+                counts.append(len(own) + 1)
+                other_at.append(i)
+        at, n = self._latin(latin, self.known[end]) if latin else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if words:
+            at, n, text = np.append(at, self._numbers(words)), np.append(n, counts), np.array(latin_at + other_at)
+            at = at[np.argsort(np.repeat(text, n), kind="stable")]
+            n = n[np.argsort(text)]
         size = self.size[at]
         shift = self.begin[at] - np.cumsum(size) + size
         where = np.repeat(shift, size)
         where += np.arange(len(where))
-        return self.flat[where], np.add.reduceat(size, np.cumsum([0, *counts[:-1]])) if counts else np.zeros(0, np.int64)
+        return self.flat[where], np.add.reduceat(size, np.cumsum(n) - n)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -197,7 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             out = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[2], cols[3], cols[4], *cols[-4:])]
             return pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-        for part in batched(batches, 256, column=1):
+        for part in batched(batches, BATCH_TEXTS, column=1):
             ids, counts = words.encode(part.column(1).to_pylist(), end_id)
             raw = ids.astype("<u4").tobytes()
             rows, at = [], 0

@@ -246,6 +246,28 @@ def test_apportionment():
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 1.5, 2.0) == [20.0, 196.66666666666666, 98.33333333333333]
 
 
+def test_packing_gives_new_words_to_the_tokenizer_together():
+    public = pytest.importorskip("public_tokenizers")
+    words = packing.WordTokenizer(public.path("word_bpe_49k.json"))
+    plain, asked = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Counting()
+    letters = "abcdefghij\u00e9\u00df"
+    texts = [" ".join(f"{a}{b}{c}{d}" for c in letters for d in letters) + f". {a}{b}," for a in letters for b in letters]
+    odd = ["x_. a.b...c", "\n", None, "a\n\n b\xa0c\x85 \xaa.\xb2,", "it's, <| It'S", "\u0130. \u65e5a", "tail\n"]
+    for _ in range(2):  # the second time all words are known
+        ids, counts = words.encode([*texts, *odd], 2)
+        expected = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in [*texts, *odd]]
+        assert counts.tolist() == [len(x) for x in expected]
+        assert ids.tolist() == [y for x in expected for y in x]
+    assert len(asked) < 1000  # of some 20,000 distinct words
+
+
 def test_packing_round_trip(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -34,8 +34,11 @@ MIN_PIECE = 64
 END_ID = 2
 #: Distinct words that a worker remembers with their ids.
 CACHE_WORDS = 400_000
-#: Texts whose words are looked up together.
+#: As many at most once a task is over: a worker goes on to other steps, which need that memory.
+KEPT_WORDS = 50_000
+#: Texts, and bytes of them, whose words are looked up together.
 BATCH_TEXTS = 4096
+BATCH_BYTES = 1 << 20
 #: New words of letters that the tokenizer gets as one text.
 JOINED_WORDS = 100
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
@@ -68,6 +71,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all words."""
         self.known: dict = {"": 0, b" ": 0}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
@@ -170,7 +174,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One per worker and file: the words it remembers serve all its tasks."""
+    """One per worker and file, for all its tasks."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         _tokenizers[path] = WordTokenizer(path)
@@ -250,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             out = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], cols[2], cols[3], cols[4], *cols[-4:])]
             return pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-        for part in batched(batches, BATCH_TEXTS, column=1):
+        for part in batched(batches, BATCH_TEXTS, column=1, most_bytes=BATCH_BYTES):
             ids, counts = words.encode(part.column(1).to_pylist(), end_id)
             raw = ids.astype("<u4").tobytes()
             rows, at = [], 0
@@ -264,5 +268,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 yield batch_of(rows)
         if rows := bins.rest():
             yield batch_of(rows)
+        if words.n > KEPT_WORDS:
+            words.clear()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), schema)

@@ -50,7 +50,7 @@ BATCH_TEXTS = 2000
 #: Bytes of text for each bucket of triggers, on average.
 BUCKET_BYTES = 6_000_000
 #: Bytes of phrases that are ordered together in one bucket; classes are never parted.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 #: Distinct phrases of a trigger beyond which its windows are dealt out by their cores.
 HOT_CLASS = 2000
 #: Parts by the trigger's place in a window that a hot class is split into first.

@@ -268,6 +268,23 @@ def test_packing_gives_new_words_to_the_tokenizer_together():
     assert len(asked) < 1000  # of some 20,000 distinct words
 
 
+def test_packing_leaves_few_words_in_its_workers(spark):
+    import pyarrow as pa
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    letters = "abcdefghijklmnop"
+    texts = [" ".join(f"{a}{b}{c}{d}" for b in letters for c in letters for d in letters) for a in letters]
+    assert packing.pack(docs_of(spark, texts).coalesce(1), path).count() > len(texts)
+
+    def held(batches):
+        for _ in batches:
+            known = packing._tokenizers.get(path)
+            yield pa.RecordBatch.from_arrays([pa.array([known.n if known else 0], pa.int64())], names=["n"])
+
+    # tasks enough to reach every worker
+    assert max(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()) <= packing.KEPT_WORDS
+
+
 def test_packing_round_trip(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -4,7 +4,6 @@ and by indentation for odd ones, so what has to be found follows from the tables
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
@@ -24,17 +23,26 @@ query = C.query
 
 def code_files(t):
     """``custkey, path, text``."""
-    # line numbers repeat within an order, so its lines are numbered by their sizes
-    order = Window.partitionBy("l_orderkey").orderBy("more", "l_linenumber")
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", (F.floor("l_quantity") % 4).cast("int").alias("more")).select(F.col("l_orderkey").alias("o"), "more", F.row_number().over(order).alias("n"))
+    # orders and files are numbers until their text is made, so no text is dealt out; line
+    # numbers repeat within an order, so its lines are numbered by their sizes
+    more = (F.floor("l_quantity") % 4).cast("int").alias("more")
+    lines = t("lineitem").where("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(F.struct(more, "l_linenumber"))).alias("lines"))
+    joined = lines.select("o", F.col("lines.more").alias("lines")).join(t("orders").select(F.col("o_orderkey").alias("o"), "o_custkey"), "o")
+    # the few numbers of a partition become many lines, so partitions are not joined by size
+    joined = joined.repartition(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    files = joined.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o", "lines"))).alias("orders"))
     even = F.col("o_custkey") % 2 == 0
-    joined = lines.join(t("orders").select(F.col("o_orderkey").alias("o"), "o_custkey"), "o")
-    step = lambda blank: F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.col("more") + F.when(even, 0).otherwise(1)), lambda k: F.concat(F.lit(blank + "step("), k.cast("string"), F.lit(");" if len(blank) == 6 else ")"))))
-    steps = F.when(even & (F.col("more") == 0), "").when(even, F.concat(step(" " * 6), F.lit("\n"))).otherwise(step(" " * 12))
-    inner = F.when(even, F.concat(F.lit("    function line"), F.col("n").cast("string"), F.lit("() {\n"), steps, F.lit("    }"))).otherwise(F.concat(F.lit("        def line_"), F.col("n").cast("string"), F.lit("():\n"), steps))
-    orders = joined.withColumn("part", inner).groupBy("o_custkey", "o").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("body"))
-    method = F.when(even, F.concat(F.lit("  order"), F.col("o").cast("string"), F.lit("(total) {\n"), "body", F.lit('\n    // no end: } {\n    say("}");\n  }'))).otherwise(F.concat(F.lit("    def order_"), F.col("o").cast("string"), F.lit("(self):\n"), "body", F.lit("\n")))
-    files = orders.withColumn("part", method).groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    joint = lambda items, part: F.array_join(F.transform(items, part), "\n")
+    # what follows a function's number, by the number of its steps (-3 to 3, or none known)
+    steps = lambda more, call: "\n".join(call.format(k) for k in (range(1, more + 1) if more > 0 else range(1, more - 1, -1)))
+    tail = lambda ends, unknown, more: F.coalesce(F.get(F.array(*map(F.lit, ends)), more + 3), F.lit(unknown))
+    in_brackets = ["() {\n" + (steps(m, " " * 6 + "step({});") + "\n" if m else "") + "    }" for m in range(-3, 4)]
+    by_indent = ["():\n" + steps(m + 1, " " * 12 + "step({})") for m in range(-3, 4)]
+    bracket = lambda more, i: F.concat(F.lit("    function line"), (i + 1).cast("string"), tail(in_brackets, "() {\n\n    }", more))
+    indented = lambda more, i: F.concat(F.lit("        def line_"), (i + 1).cast("string"), tail(by_indent, "():\n", more))
+    braces = lambda x: F.concat(F.lit("  order"), x["o"].cast("string"), F.lit("(total) {\n"), joint(x["lines"], bracket), F.lit('\n    // no end: } {\n    say("}");\n  }'))
+    colons = lambda x: F.concat(F.lit("    def order_"), x["o"].cast("string"), F.lit("(self):\n"), joint(x["lines"], indented), F.lit("\n"))
+    files = files.withColumn("body", F.when(even, joint("orders", braces)).otherwise(joint("orders", colons)))
     key = F.col("o_custkey").cast("string")
     text = F.when(even, F.concat(F.lit('import { step } from "steps";\n\nexport class Customer'), key, F.lit(" {\n"), "body", F.lit("\n}"))).otherwise(F.concat(F.lit("from steps import step\n\nclass Customer"), key, F.lit(":\n"), "body"))
     return files.select(F.col("o_custkey").alias("custkey"), F.concat(F.lit("c"), key, F.when(even, ".ts").otherwise(".py")).alias("path"), text.alias("text"))
@@ -144,6 +152,5 @@ def rebalanced_chunks(t):
 def chunk_overlaps(t):
     """Overlaps between the pieces that bracket chunks of the code files hand on."""
     files = code_files(t).withColumn("language", F.when(F.col("custkey") % 2 == 0, "typescript").otherwise("python"))
-    rows = K.chunks(files, K.bracket_ends(F.col("text")), keys=("custkey",))
-    found = O.overlaps(rows, files, keys=("custkey",))
+    found = O.text_overlaps(files, K.text_bracket_ends, keys=("custkey",))
     return found.select("custkey", F.col("chunk").cast("long").alias("chunk"), "strategy", F.md5("overlap").alias("digest"), F.round("quality", 6).alias("quality"))

@@ -9,13 +9,17 @@ that close more than was opened count below zero.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import is_kind
+from ..functions.languages import LINE_KINDS, is_kind
 from ..functions.text import let, lookup, scan
-from .chunking import lines_of
-from .code_quality import plain_code, symbol_balance
+from .chunking import Remembered, lines_of
+from .code_quality import ASIDE, PAIRS, plain_code, symbol_balance
+from .structure import _compiled
 
 FACTORS = ("syntactic", "function", "class", "method", "import", "logical", "comment")
 # fixed values: weights of languages in the order of the factors, and shares of the factors
@@ -68,6 +72,45 @@ def boundary_score(line: Column, before: Column, behind: Column, language: Colum
     return let(factors(line, before, behind), lambda f: let(weights_of(language), lambda w: weigh(f, w)))
 
 
+# Java's own edge of a word takes letters of all scripts for parts of words
+_java = lambda pattern: _compiled(pattern.replace(r"\b", r"(?u:\b)"))
+_KINDS = {kind: _java("|".join(patterns)) for kind, patterns in LINE_KINDS.items()}
+_CLOSED, _FUNCTION_CLOSED, _ONLY_CLOSERS, _SYMBOLS, _EXPORTED = map(_java, (CLOSED, FUNCTION_CLOSED, ONLY_CLOSERS, SYMBOLS, EXPORTED))
+# the first of them says itself that a dot is any sign
+_ASIDE = [re.compile(p, re.ASCII) if p.startswith("(?s)") else _java(p) for p in ASIDE]
+
+
+def line_is(line: str, kind: str) -> bool:
+    """``is_kind`` of one line."""
+    return _KINDS[kind].search(line.strip(" ")) is not None
+
+
+def _line_factors(line: str) -> tuple[bool, ...]:
+    trimmed = line.translate({9: " ", 13: " "}).strip(" ")
+    code = trimmed
+    for pattern in _ASIDE:
+        code = pattern.sub(" ", code)
+    even = code.count("`") % 2 == 0 and all(code.count(a) == code.count(b) for a, b in PAIRS.values())
+    closed = _CLOSED.search(trimmed) is not None
+    return (
+        even or not _SYMBOLS.search(trimmed) or _ONLY_CLOSERS.search(trimmed) is not None, _FUNCTION_CLOSED.search(trimmed) is not None, closed, closed,
+        line_is(line, "import") or _EXPORTED.search(trimmed) is not None, False, line_is(line, "comment"),
+    )
+
+
+def _line_score(line: str, language: str | None) -> float:
+    weights, score = WEIGHTS.get((language or "").lower(), COMMON), 0.0
+    for is_so, weight, share in zip(_line_factors(line), weights, SHARES):
+        score += weight * share if is_so else 0.0
+    return min(1.0, score)
+
+
+@functools.lru_cache(64)
+def line_scores(language: str | None) -> Remembered:
+    """``boundary_score`` of lines that have no neighbours, by line."""
+    return Remembered(lambda line: _line_score(line, language))
+
+
 def nesting(text: Column) -> Column:
     """How many curly brackets are open behind each line, strings and comments left out."""
     count = lambda x, sign: F.length(x) - F.length(F.translate(x, sign, ""))

@@ -1,9 +1,10 @@
 """Texts to chunks: rules over lines, folded inside Spark expressions.
 
 A rule turns the lines of a text into the numbers of the lines that end a chunk. It is a
-fold over an array, so it runs in the JVM beside the scan, without a shuffle and without
-Python; texts are independent of each other. What works on neighbouring chunks
-afterwards partitions by document.
+fold over an array, so it runs in the JVM beside the scan, without a shuffle; the rule of
+brackets is a helper that an Arrow UDF calls for each text, which remembers what short
+lines hold, as most of them repeat. Texts are independent of each other. What works on
+neighbouring chunks afterwards partitions by document.
 
 Cases: null and blank texts give no chunks; a line longer than a chunk is a chunk of its
 own unless ``char_windows`` cuts it.
@@ -11,7 +12,10 @@ own unless ``char_windows`` cuts it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import operator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -77,39 +81,86 @@ def line_ends(text: Column, most_lines: int = 50, most_chars: int = 3000) -> Col
 
 BRACKETS, TAGS = (r"[{(\[]", r"[})\]]"), (r"<[A-Za-z][^<>/]*>|<[A-Za-z][^<>]*[^/<>]>", r"</[A-Za-z][^<>]*>")
 SIGNS = dict(zip(BRACKETS, ("{([", "})]")))
+#: Lines up to so many characters are remembered by a worker, and how many of them.
+SHORT_LINE, REMEMBERED = 200, 1 << 15
+_pattern = functools.lru_cache(functools.partial(re.compile, flags=re.ASCII))
 
 
-def _times(line: Column, pattern: str) -> Column:
+class Remembered(dict):
+    """What a helper says of lines, by line, short ones remembered."""
+
+    def __init__(self, helper: Callable) -> None:
+        self.helper = helper
+
+    def __missing__(self, line: str):  # noqa: ANN204
+        said = self.helper(line)
+        if len(line) <= SHORT_LINE:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[line] = said
+        return said
+
+
+def _times(line: str, pattern: str) -> int:
     """How often a pattern stands in a line; most lines have no tag, and single signs need
     no pattern."""
     if pattern in SIGNS:
-        return F.length(line) - F.length(F.translate(line, SIGNS[pattern], ""))
-    count = F.regexp_count(line, F.lit(pattern))
-    return F.when(F.contains(line, F.lit("<")), count).otherwise(0) if pattern in TAGS else count
+        return sum(map(line.count, SIGNS[pattern]))
+    return len(_pattern(pattern).findall(line)) if pattern not in TAGS or "<" in line else 0
+
+
+def _net(line: str, pairs: tuple[tuple[str, str], ...]) -> tuple[int, ...] | None:
+    """By how much a line opens more of each pair than it closes, none if by nothing."""
+    held = tuple(_times(line, a) - _times(line, b) for a, b in pairs)
+    return held if any(held) else None
+
+
+@functools.lru_cache(16)
+def _nets(pairs: tuple[tuple[str, str], ...]) -> Remembered:
+    return Remembered(lambda line: _net(line, pairs))
+
+
+def text_balanced_ends(text: str, pairs: tuple[tuple[str, str], ...], least_lines: int, least_chars: int, most_chars: int = 3000, most_lines: int = 50, imbalance: int = 3) -> list[int]:
+    """``balanced_ends`` of one text."""
+    lines, none = text.split("\n"), (0,) * len(pairs)
+    out, n, chars, depth, even, far = [], 0, -1, none, True, False
+    for i, net in enumerate(map(_nets(pairs).__getitem__, lines)):
+        n += 1
+        chars += len(lines[i]) + 1
+        if net:
+            depth = tuple(map(operator.add, depth, net))
+            even = depth == none
+            far = max(depth) > imbalance or min(depth) < -imbalance
+        if (even and chars >= least_chars and n >= least_lines) or far or chars >= most_chars or n >= most_lines:
+            out.append(i)
+            n, chars, depth, even, far = 0, -1, none, True, False
+    if not out or out[-1] != len(lines) - 1:
+        out.append(len(lines) - 1)
+    return out
 
 
 def balanced_ends(text: Column, pairs: list[tuple[str, str]], least_lines: int, least_chars: int, most_chars: int = 3000, most_lines: int = 50, imbalance: int = 3) -> Column:
     """A chunk ends where all kinds of brackets are balanced, once it is large enough, and
     anyway where it is full or too far out of balance; depths start anew behind it."""
-    marks = lambda x: {f"d{k}": _times(x, a) - _times(x, b) for k, (a, b) in enumerate(pairs)}
-    names = [f"d{k}" for k in range(len(pairs))]
+    limits = (tuple(pairs), least_lines, least_chars, most_chars, most_lines, imbalance)
 
-    def step(s: Column, x: Column, last: Column):  # noqa: ANN202
-        n, chars = s["n"] + 1, s["chars"] + x["len"] + 1
-        depth = {k: s[k] + x[k] for k in names}
-        even, far = F.lit(True), F.lit(False)
-        for d in depth.values():
-            even, far = even & (d == 0), far | (F.abs(d) > imbalance)
-        cut = (even & (n >= least_lines) & (chars - 1 >= least_chars)) | (chars - 1 >= most_chars) | (n >= most_lines) | (x["i"] == last) | far
-        state = {"n": F.when(cut, 0).otherwise(n), "chars": F.when(cut, 0).otherwise(chars)} | {k: F.when(cut, 0).otherwise(d) for k, d in depth.items()}
-        return _one(cut, x["i"]), state
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else text_balanced_ends(t, *limits) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return found(text)
+
+
+#: Pairs, least lines and least characters of the chunks of code in brackets.
+BRACKET_RULE = ((BRACKETS, TAGS), 5, 200)
 
-    zero = F.lit(0)
-    return _fold(lines_of(text), marks, {"n": zero, "chars": zero} | dict.fromkeys(names, zero), step)
+
+def text_bracket_ends(text: str) -> list[int]:
+    return text_balanced_ends(text, *BRACKET_RULE)
 
 
 def bracket_ends(text: Column) -> Column:
-    return balanced_ends(text, [BRACKETS, TAGS], 5, 200)
+    return balanced_ends(text, *BRACKET_RULE)
 
 
 # fixed values: elements of HTML that have no end, and those whose text holds no tags
@@ -226,12 +277,23 @@ def chunks(docs: DataFrame, ends: Column, text_col: str = "text", keys: tuple =
         begins = F.transform(at, lambda e, i: F.struct(F.coalesce(F.get(at, i - 1) + 1, F.lit(0)).alias("b"), e.alias("e")))
         return F.transform(begins, lambda s: F.struct((s["b"] + 1).alias("start_line"), (s["e"] + 1).alias("end_line"), F.array_join(F.slice(lines, s["b"] + 1, s["e"] - s["b"] + 1), "\n").alias("content")))
 
-    # lines and ends are worked out once a text, however many chunks it has
-    all_ = let(lines_of(F.col(text_col)), lambda lines: let(ends, lambda at: parts(lines, at)))
+    # lines and ends are worked out once a text, however many chunks it has; ends come first,
+    # as a helper's are not to be had within an expression over lines
+    all_ = let(ends, lambda at: let(lines_of(F.col(text_col)), lambda lines: parts(lines, at)))
     cut = docs.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(all_).alias("chunk", "c"))
     return cut.select(*keys, "chunk", "c.*").where(F.trim(F.translate("content", "\n\t\r", "   ")) != "")
 
 
+def text_chunks(text: str, ends: list[int]) -> Iterator[tuple[int, int, int, str]]:
+    """``chunks`` of one text that end behind the lines ``ends``."""
+    lines, begin = text.split("\n"), 0
+    for chunk, end in enumerate(ends):
+        content = "\n".join(lines[begin : end + 1])
+        if content.strip(" \n\t\r"):
+            yield chunk, begin + 1, end + 1, content
+        begin = end + 1
+
+
 def chunk_by_language(docs: DataFrame, language_col: str, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     kind = strategy_for(F.col(language_col))
     out = None

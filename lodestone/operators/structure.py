@@ -17,7 +17,6 @@ block comment on its line is not read; of several definitions on a line the firs
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 from collections.abc import Callable
 from typing import NamedTuple
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import MODIFIERS
 from ..functions.text import let
-from .chunking import lines_of
+from .chunking import Remembered, lines_of
 from .spans import NEAR, innermost
 
 #: Kinds of definitions and the pattern, with a group for the name, of a line that begins one.
@@ -42,6 +41,11 @@ DEFINITIONS = {
     # alone behind a type, with the curly one on a later line
     "method": rf"^\s*{MODIFIERS}(?:[A-Za-z_][\w<>\[\],.?*&:]*\s+)?[*&~#]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\((?![^)]*\bfunction\b)[^;{{}}]*\)\s*(?:(?::|->)\s*[\w<>\[\]., |?&]+|const|noexcept|override|throws\s+[\w, .]+)?\s*\{{(?:\s*|.*\}}\s*)$|^\s*{MODIFIERS}(?:(?!(?:return|await|yield|throw|new|else|not|in)\b)[A-Za-z_][\w<>\[\],.?*&:]*\s+)[*&~]?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*$",
 }
+#: What a line of each kind holds somewhere, so that most patterns are not looked for.
+HOLDS = {
+    "class": ("class",), "interface": ("interface", "trait", "protocol"), "struct": ("struct", "enum", "union", "record", "impl", "interface"), "namespace": ("namespace", "module", "mod"),
+    "function": ("function", "def", "fn", "func", "=>"), "method": ("(",),
+}
 #: Words before a bracket that begin no method.
 NO_METHODS = "if for while switch catch return else do try with synchronized foreach using lock match unless elif except function new".split()
 #: What a line needs to begin a definition.
@@ -57,9 +61,6 @@ SPAN = {"kind": "string", "name": "string", "start_line": "int", "end_line": "in
 USE = {"line": "int", "does": "string", "name": "string"}
 #: Bodies of a definition: none so far, between brackets, by indentation.
 WAITING, BRACKETS, INDENTED = 0, 1, 2
-#: Lines up to so many characters are remembered by a worker, and how many of them.
-SHORT_LINE, REMEMBERED = 200, 1 << 15
-
 
 def _compiled(pattern: str) -> re.Pattern:
     """A pattern with the meaning that it has in Spark's expressions: classes of ASCII, a
@@ -86,7 +87,7 @@ def _found(code: str) -> tuple[str, str] | None:
     """Kind and name of the first kind of definition that a line begins."""
     if _MAYBE.search(code):
         for kind, pattern in _KINDS.items():
-            m = pattern.search(code)
+            m = any(map(code.__contains__, HOLDS[kind])) and pattern.search(code)
             name = m and next((g for g in m.groups() if g), None)
             if name and name not in NO_METHODS:
                 return kind, name
@@ -110,6 +111,7 @@ class Line(NamedTuple):
     note_ends: bool
     triple: bool
     triple_ends: bool
+    idle: bool  #: neither blank nor anything that may open or close a definition by itself
 
 
 def _line(raw: str) -> Line:
@@ -126,13 +128,14 @@ def _line(raw: str) -> Line:
         low = min(low, now)
     opens = "{" in signs
     odd = lambda x: triples and len(_TRIPLE.findall(x)) % 2 == 1
+    blank, found, triple = not c.strip(" \t\r"), _found(c), odd(plain)
     return Line(
-        not c.strip(" \t\r"), len(raw) - len(raw.lstrip(_SPACE)), _found(c), opens, bool(_COLON.search(c)), bool(_ENDS.search(c)), not opens and bool(_COLON_LATER.search(c)), closed, now, low,
-        note, "*/" in raw, odd(plain), odd(raw),
+        blank, len(raw) - len(raw.lstrip(_SPACE)), found, opens, ":" in c and bool(_COLON.search(c)), ";" in c and bool(_ENDS.search(c)), not opens and ":" in c and bool(_COLON_LATER.search(c)), closed, now, low,
+        note, "*/" in raw, triple, odd(raw), not (blank or found or signs or note or triple),
     )
 
 
-_known_line = functools.lru_cache(REMEMBERED)(_line)
+_known_line = Remembered(_line)
 
 
 class Open(NamedTuple):
@@ -164,11 +167,15 @@ def _end(e: Open, x: Line, i: int, last: int, depth: int, lowest: int) -> int:
 def text_spans(text: str) -> list[tuple]:
     """All definitions of a text by line, with the columns of ``SPAN``."""
     depth = quoted = last = 0
+    # no definition waits for its body, and the indentation up to which a line closes one
+    calm, edge = True, -1
     stack: list[Open] = []
     out: list[tuple] = []
     put = lambda e, end: out.append((e.kind, e.name, e.start + 1, end + 1, e.level, e.parent + 1 if e.parent >= 0 else None))
-    for i, raw in enumerate(text.split("\n")):
-        x = _known_line(raw) if len(raw) <= SHORT_LINE else _line(raw)
+    for i, x in enumerate(map(_known_line.__getitem__, text.split("\n"))):
+        if calm and not quoted and x.idle and x.indent > edge:
+            last = i
+            continue
         silent = quoted != 0 or x.blank
         if quoted:
             quoted = 0 if (x.note_ends if quoted == 1 else x.triple_ends) else quoted
@@ -179,14 +186,15 @@ def text_spans(text: str) -> list[tuple]:
         # what the line closes, then what it opens
         depth -= x.closed
         lowest = depth + x.low
-        kept = []
-        for e in stack:
-            end = _end(e, x, i, last, depth, lowest)
-            if end >= 0:
-                put(e, end)
-            elif end == -1:
-                kept.append(e._replace(body=BRACKETS if x.opens else INDENTED) if e.body == WAITING and (x.opens or x.colon_later) else e)
-        stack = kept
+        if not calm or x.indent <= edge or x.closed or lowest <= depth:
+            kept = []
+            for e in stack:
+                end = _end(e, x, i, last, depth, lowest)
+                if end >= 0:
+                    put(e, end)
+                elif end == -1:
+                    kept.append(e._replace(body=BRACKETS if x.opens else INDENTED) if e.body == WAITING and (x.opens or x.colon_later) else e)
+            stack = kept
         if x.found:
             new = Open(*x.found, i, depth, BRACKETS if x.opens else INDENTED if x.colon else WAITING, x.indent, len(stack), stack[-1].start if stack else -1)
             if x.opens and depth >= lowest:
@@ -194,6 +202,9 @@ def text_spans(text: str) -> list[tuple]:
             else:
                 stack.append(new)
         depth, last = depth + x.now, i
+        calm, edge = True, -1
+        for e in stack:
+            calm, edge = calm and e.body != WAITING, max(edge, e.indent) if e.body == INDENTED else edge
     for e in stack:
         if e.body != WAITING or e.kind != "method":
             put(e, e.start if e.body == WAITING else last)
@@ -225,7 +236,8 @@ def spans(text: Column) -> Column:
 
 def definitions(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     """A row for every definition: ``keys`` and the columns of ``spans``."""
-    return files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(spans(F.col(text_col))).alias("d")).select(*keys, "d.*")
+    # null texts have none; a test of the text would have it made twice where an expression makes it
+    return files.select(*keys, F.explode(spans(F.col(text_col))).alias("d")).select(*keys, "d.*")
 
 
 def structure_chunks(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",), most_level: int = MOST_LEVEL, least_chars: int = LEAST_CHARS, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -260,19 +272,19 @@ def _uses(raw: str) -> list[tuple[str, str]]:
     return [("CALLS", n) for n in called if n not in NO_CALLS and n != own] + [("ACCESSES", n) for n in _MEMBER.findall(code)]
 
 
-_known_uses = functools.lru_cache(REMEMBERED)(_uses)
+_known_uses = Remembered(_uses)
 
 
 def text_uses(text: str) -> list[tuple]:
     """All uses of a text by line, with the columns of ``USE``."""
-    return [(i, *use) for i, raw in enumerate(text.split("\n"), 1) for use in (_known_uses(raw) if len(raw) <= SHORT_LINE else _uses(raw))]
+    return [(i, *use) for i, raw in enumerate(text.split("\n"), 1) for use in _known_uses[raw]]
 
 
 def uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     """``keys, line, does (CALLS, ACCESSES), name``: functions that lines call, by the last
     part of their name, and members that they touch; strings and line comments left out. A
     line that begins a definition does not call it."""
-    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_uses, USE)(F.col(text_col))).alias("u"))
+    rows = files.select(*keys, F.explode(_by_text(text_uses, USE)(F.col(text_col))).alias("u"))
     return rows.select(*keys, "u.*")
 
 
@@ -306,14 +318,14 @@ def owned_uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id"
     """``uses`` with ``owner_line, owner_end, owner_name, owner_kind`` of the innermost
     definition around each (nulls outside of all), as ``spans.innermost`` would join it.
     Both stand in one text, so nothing is shuffled."""
-    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_owned_uses, OWNED)(F.col(text_col))).alias("u"))
+    rows = files.select(*keys, F.explode(_by_text(text_owned_uses, OWNED)(F.col(text_col))).alias("u"))
     return rows.select(*keys, "u.*")
 
 
 def ended_uses(files: DataFrame, text_col: str = "text", keys: tuple = ("doc_id",)) -> DataFrame:
     """``uses`` with ``from_id, to_id`` (``kind:name``): the first two definitions that
     begin at most ``NEAR`` lines away, as ``spans.endpoints`` would join them."""
-    rows = files.where(F.col(text_col).isNotNull()).select(*keys, F.explode(_by_text(text_ended_uses, ENDED)(F.col(text_col))).alias("u"))
+    rows = files.select(*keys, F.explode(_by_text(text_ended_uses, ENDED)(F.col(text_col))).alias("u"))
     return rows.select(*keys, "u.*")
 
 

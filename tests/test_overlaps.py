@@ -126,3 +126,35 @@ def test_files_meet_their_chunks_once(spark):
     with contextlib.redirect_stdout(shown):
         found.explain()
     assert shown.getvalue().count("Join") == 1 and "chunk_overlaps" in queries()
+
+
+def test_texts_hand_on_without_a_shuffle(spark):
+    """Chunks of a rule and their overlaps come from one pass over each text: the same as by
+    way of rows of chunks, and neither dealt out nor joined."""
+    import contextlib
+    import io
+
+    from lodestone.operators import chunking as K
+
+    r = random.Random(3)
+    lines = [*LINES, "{", "}}}", "<b>", "</b>", "def g():", "    y = (1", "\t};\r", "sé {", '"}" // {', "  // note"]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 120))) for _ in range(60)] + ["", " \n", None, "{\n" * 70, "x" * 4000 + "\ny"]
+    files = spark.createDataFrame([(i, x, r.choice([*B.WEIGHTS, "none", None])) for i, x in enumerate(texts)], "doc_id int, text string, language string")
+    got = O.text_overlaps(files, K.text_bracket_ends)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "chunk", "strategy", "overlap", "quality").collect()))
+    want = rows(O.overlaps(K.chunks(files, K.bracket_ends(F.col("text"))), files))
+    assert rows(got) == want and len({x[2] for x in want}) > 2
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        got.explain()
+    assert "Join" not in shown.getvalue() and "Exchange" not in shown.getvalue()
+
+
+def test_lines_alone_score_as_columns_do(spark):
+    """The helper of one line and the expression over lines are one rule."""
+    lines = [*LINES, "", " ", "\t}\r", "};  // x", "end", "endif", "export x", "x => { a }", "# c", "-- c", "(a", "'(' )", "/* ( */ )", "`a", "`a` {}", "importé x", "functioné(", "require('x')", "} ", "a }", "é {", '"\\"(" + "', "//(\n".strip()]
+    kinds = [*B.WEIGHTS, "none", "TypeScript", None]
+    df = spark.createDataFrame([(x, k) for x in lines for k in kinds], "x string, k string")
+    none = F.lit(None).cast("string")
+    for row in df.select("x", "k", B.boundary_score(F.col("x"), none, none, F.col("k")).alias("s"), L.is_kind(F.col("x"), "function").alias("f"), L.is_kind(F.col("x"), "class").alias("c")).collect():
+        assert (B.line_scores(row["k"])[row["x"]], B.line_is(row["x"], "function"), B.line_is(row["x"], "class")) == (row["s"], row["f"], row["c"]), row

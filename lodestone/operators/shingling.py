@@ -63,7 +63,7 @@ def text_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     order, and how many there are. A text of fewer words is one shingle of all of them;
     null texts and those without words have none."""
     values, counts, some, chars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-    for i, t in enumerate(texts.to_pylist()):
+    for i, t in enumerate(t for k in range(0, len(texts), TEXTS) for t in texts.slice(k, TEXTS).to_pylist()):
         some.append(t)
         chars += len(t or "")
         if len(some) >= TEXTS or chars >= CHARS or i + 1 == len(texts):
